@@ -80,17 +80,18 @@ def allocate_ids(
     alone, so a repeated task gives the same ids.
     """
     bucketed = new.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    rank = F.row_number().over(W.partitionBy("_bucket").orderBy(*keys))
+    local = bucketed.withColumn("_local", rank)
     earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    # Counted on the numbered rows: both uses share one shuffle of `new`.
     shifts = (
-        bucketed.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        local.groupBy("_bucket")
+        .agg(F.max("_local").alias("_n"))
         .select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     )
-    local = F.row_number().over(W.partitionBy("_bucket").orderBy(*keys))
     # At most `buckets` rows of two numbers: safe to broadcast.
     return (
-        bucketed.withColumn("_local", local)
-        .join(F.broadcast(shifts), "_bucket")
+        local.join(F.broadcast(shifts), "_bucket")
         .withColumn(name, (start + F.col("_shift") + F.col("_local")).cast("bigint"))
         .drop("_bucket", "_local", "_shift")
     )

@@ -11,6 +11,7 @@ from tallyline.functions.exprs import iso_date
 from tallyline.operators import derived, directory, ingest, maintain, reads
 from tallyline.operators.reads import STATIONS
 from tallyline.operators.skew import heavy_keys
+from tallyline.session import stage
 from tallyline.sources import sheets
 from tallyline.sources.fixtures import ClubData
 from tallyline.streaming import jobs
@@ -245,9 +246,9 @@ def roster_after_ingest(d: ClubData) -> DataFrame:
 
 @query
 def facts_after_ingest(d: ClubData) -> DataFrame:
-    lines = ingest.accepted_lines(d.submission_headers, _lines(d))
-    roster = _stored_ids_only(ingest.roster_upsert(lines, d.shooters))
-    return ingest.facts(lines, roster).withColumn("round_date", iso_date("round_date"))
+    lines = stage(ingest.accepted_lines(d.submission_headers, _lines(d)), "accepted-lines")
+    roster = stage(ingest.roster_upsert(lines, d.shooters), "roster")
+    return ingest.facts(lines, _stored_ids_only(roster)).withColumn("round_date", iso_date("round_date"))
 
 
 @query
@@ -291,7 +292,7 @@ def patched_users(d: ClubData) -> DataFrame:
 def patched_teams(d: ClubData) -> DataFrame:
     """Odd teams are renamed, every third also loses its league; team 3 asks for a taken name."""
     odd = F.col("id") % 2 == 1
-    name = F.when(F.col("id") == 3, "FRANCE").otherwise(F.concat(F.lit(" New "), "name", F.lit(" ")))
+    name = F.when(F.col("id") == 3, "NATION_2").otherwise(F.concat(F.lit(" New "), "name", F.lit(" ")))
     patch = d.teams.filter(odd).select(
         "id", name.alias("name"), F.lit(None).cast("int").alias("league_id"), (F.col("id") % 3 == 0).alias("league_id_set")
     )

@@ -23,8 +23,8 @@ def with_views(views: str, body: str) -> str:
     plain = {name: name for name in (*BASE_TABLES, *BLOCKS)}
     ctes = [f"{name} AS ({BLOCKS[name].format(**plain)})" for name in ordered]
     body = body.strip()
-    if body.startswith("WITH "):
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[len("WITH "):]
+    if body.startswith("WITH"):
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[len("WITH"):]
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on. Sizing (executors, shuffle partitions, memory) is
 # left to the cluster.
@@ -51,3 +51,14 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = os.path.join(tempfile.gettempdir(), "tallyline")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(rows: DataFrame, label: str) -> DataFrame:
+    """Write ``rows`` once and go on from the written table.
+
+    For results that several later steps read, and for ids that must be handed
+    out once even when executors are lost.
+    """
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
