@@ -11,6 +11,7 @@ from tallyline.operators.directory import squad_leaders
 from tallyline.operators.reads import (
     STATIONS,
     _round_keys,
+    in_order,
     score_lines,
     shooter_totals,
     team_totals,
@@ -74,7 +75,6 @@ def team_trends_top5(
         scores.select("round_id", "shooter_id", "total")
         .join(dates, "round_id")
         .join(ids, ["team_id", "shooter_id"])
-        .orderBy("team_id", "rank", "round_date", "round_number", "round_id", "total")
         .select("team_id", "rank", "name", iso_date("round_date").alias("round_date"), "round_number", "round_id", "total")
     )
 
@@ -91,17 +91,17 @@ def shooter_drilldown(scores: DataFrame, shooters: DataFrame) -> DataFrame:
     return sums.join(shooters.select(F.col("id").alias("shooter_id"), "name", "team_id"), "shooter_id")
 
 
-def shooter_history(scores: DataFrame, shooters: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Every score of every shooter, tagged when it was shot for someone else."""
-    return (
-        score_lines(scores, shooters, rounds)
-        .withColumn("is_sub", F.col("sub_for_shooter_id").isNotNull())
-        .orderBy("shooter_id", "round_date", "round_number", "round_id")
-        .select(
-            "shooter_id", "name", "team_id", iso_date("round_date").alias("round_date"), "round_number",
-            "round_id", *STATIONS, "total", "is_sub", "sub_for_name",
-        )
-    )
+def shooter_history(
+    scores: DataFrame, shooters: DataFrame, rounds: DataFrame, shooter_id: int | None = None
+) -> DataFrame:
+    """Every score of every shooter (or of one, oldest first), tagged when shot for someone else."""
+    if shooter_id is not None:
+        scores = scores.filter(F.col("shooter_id") == shooter_id)
+    history = score_lines(scores, shooters, rounds).select(
+        "shooter_id", "name", "team_id", iso_date("round_date").alias("round_date"), "round_number", "round_id",
+        *STATIONS, "total", F.col("sub_for_shooter_id").isNotNull().alias("is_sub"), "sub_for_name",
+    )
+    return in_order(history, shooter_id is not None, "round_date", "round_number", "round_id")
 
 
 def station_accuracy(scores: DataFrame, rounds: DataFrame) -> DataFrame:

@@ -485,7 +485,12 @@ def upgrade(old: DataFrame, table: str) -> DataFrame:
 
 def with_default_team(teams: DataFrame) -> DataFrame:
     """Teams with the default team present."""
-    return upsert_teams(teams.sparkSession.range(1).select(F.lit(DEFAULT_TEAM).alias("name")), teams)
+    missing = (
+        teams.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"), F.count_if(F.col("name") == DEFAULT_TEAM).alias("n"))
+        .filter("n = 0")
+        .select((F.col("top") + 1).cast("int").alias("id"), F.lit(DEFAULT_TEAM).alias("name"))
+    )
+    return teams.unionByName(missing, allowMissingColumns=True)
 
 
 def backfill_team(table: DataFrame, teams: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.exprs import exact_avg, iso_date, spread_null_id
-from tallyline.operators.skew import heavy_keys, number_within
+from tallyline.operators.skew import HEAVY_ROWS, heavy_keys, heavy_names, number_within
 
 STATIONS = [f"station_{i}" for i in range(1, 6)]
 TOP_K = 10
@@ -30,6 +30,15 @@ def _round_keys(rounds: DataFrame, *columns: str) -> DataFrame:
     return rounds.select(F.col("id").alias("round_id"), *columns)
 
 
+def in_order(rows: DataFrame, narrowed: bool, *columns: str | Column) -> DataFrame:
+    """Sort rows of one team, round or shooter for display.
+
+    Row-level results over all teams stay unsorted: a total order over the whole
+    site would cost a second pass and a shuffle that no reader needs.
+    """
+    return rows.orderBy(*columns) if narrowed else rows
+
+
 def _named(shooters: DataFrame, id_name: str, name: str) -> DataFrame:
     return shooters.select(F.col("id").alias(id_name), F.col("name").alias(name))
 
@@ -112,12 +121,10 @@ def trend_points(
 def shooter_trend_points(
     scores: DataFrame, shooters: DataFrame, rounds: DataFrame, team_id: int | None = None
 ) -> DataFrame:
-    """The trend as flat rows in plotting order."""
-    return (
-        trend_points(scores, shooters, rounds, team_id)
-        .orderBy("team_id", "name", "round_date", "round_number", "round_id", "total")
-        .withColumn("round_date", iso_date("round_date"))
-    )
+    """The trend as flat rows, for one team in plotting order."""
+    points = trend_points(scores, shooters, rounds, team_id)
+    order = ("name", "round_date", "round_number", "round_id", "total")
+    return in_order(points, team_id is not None, *order).withColumn("round_date", iso_date("round_date"))
 
 
 def _paged(
@@ -126,10 +133,10 @@ def _paged(
     order: Sequence[Column],
     slices: Sequence[Column],
     page_rows: int,
-    heavy: Sequence[int],
+    is_heavy: Column | None,
 ) -> DataFrame:
     """Add ``seq`` (1, 2, ... within ``keys``) and ``page`` (``page_rows`` rows each)."""
-    numbered = number_within(rows, keys, order, slices, "seq", heavy)
+    numbered = number_within(rows, keys, order, slices, "seq", is_heavy)
     return numbered.withColumn("page", F.floor((F.col("seq") - 1) / page_rows).cast("int"))
 
 
@@ -145,7 +152,7 @@ def shooter_trends(
     rounds: DataFrame,
     team_id: int | None = None,
     page_rows: int = PAGE_ROWS,
-    heavy: Sequence[int] | None = None,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """The trend of every name as a JSON array of {date, total}, oldest first.
 
@@ -156,15 +163,10 @@ def shooter_trends(
     points = trend_points(scores, shooters, rounds, team_id)
     keys = ["team_id", "name"]
     order = [F.col(c) for c in ("round_date", "round_number", "round_id", "total")]
-    paged = _paged(
-        points, keys, order, order[:2], page_rows, heavy_keys(points, keys) if heavy is None else heavy
-    )
+    paged = _paged(points, keys, order, order[:2], page_rows, heavy_names(scores, shooters, heavy_rows))
     point = F.struct(iso_date("round_date").alias("date"), F.col("total"))
-    return (
-        paged.groupBy(*keys, "page")
-        .agg(_listed(point).alias("history"))
-        .orderBy(*keys, "page")
-    )
+    pages = paged.groupBy(*keys, "page").agg(_listed(point).alias("history"))
+    return in_order(pages, team_id is not None, "name", "page")
 
 
 def round_history(
@@ -173,11 +175,10 @@ def round_history(
     rounds: DataFrame,
     team_id: int | None = None,
     page_rows: int = PAGE_ROWS,
-    heavy: Sequence[int] | None = None,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Every round with its score lines as JSON, newest first; ``[]`` without scores."""
-    if heavy is None:
-        heavy = heavy_keys(scores, ["round_id"])
+    """Every round with its score lines as JSON, ``[]`` without scores; for one team newest first."""
+    is_heavy = heavy_keys(scores, ["round_id"], ["round_id"], heavy_rows)
     rounds = _of_team(rounds, team_id)
     lines = scores
     if team_id is not None:
@@ -189,41 +190,39 @@ def round_history(
         "left",
     )
     order = [F.col(c) for c in ("shooter_id", "sub_for_shooter_id", *STATIONS, "total")]
-    paged = _paged(lines, ["round_id"], order, [F.floor(F.col("shooter_id") / 256)], page_rows, heavy)
+    paged = _paged(lines, ["round_id"], order, [F.floor(F.col("shooter_id") / 256)], page_rows, is_heavy)
     entry = F.struct(
         F.col("name"), F.array(*STATIONS).alias("stations"), F.col("total"), F.col("sub_for_name").alias("subFor")
     )
     listed = paged.groupBy("round_id", "page").agg(_listed(entry).alias("shooters"))
-    return (
-        rounds.join(listed, rounds["id"] == listed["round_id"], "left")
-        .select(
-            "id",
-            "team_id",
-            iso_date("round_date").alias("date"),
-            "yardage",
-            F.col("round_number").alias("roundNumber"),
-            F.coalesce("page", F.lit(0)).alias("page"),
-            F.coalesce("shooters", F.lit("[]")).alias("shooters"),
-        )
-        .orderBy("team_id", F.desc("date"), F.desc("roundNumber"), F.desc("id"), "page")
+    history = rounds.join(listed, rounds["id"] == listed["round_id"], "left").select(
+        "id",
+        "team_id",
+        iso_date("round_date").alias("date"),
+        "yardage",
+        F.col("round_number").alias("roundNumber"),
+        F.coalesce("page", F.lit(0)).alias("page"),
+        F.coalesce("shooters", F.lit("[]")).alias("shooters"),
     )
+    return in_order(history, team_id is not None, F.desc("date"), F.desc("roundNumber"), F.desc("id"), "page")
 
 
 def round_detail(
     scores: DataFrame, shooters: DataFrame, rounds: DataFrame, teams: DataFrame, round_id: int | None = None
 ) -> DataFrame:
-    """Flat score lines of each round (or of one) with team and sub-for name."""
+    """Flat score lines of each round (or of one, by name) with team and sub-for name."""
     if round_id is not None:
         scores = scores.filter(F.col("round_id") == round_id)
-    lines = score_lines(scores, shooters, rounds)
-    return (
-        lines.join(teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name")), "team_id")
-        .select(
-            "round_id", "team_id", "team_name", iso_date("round_date").alias("round_date"), "round_number",
-            "yardage", "shooter_id", "name", *STATIONS, "total", "sub_for_name",
-        )
-        .orderBy("round_id", "name", "shooter_id")
+        rounds = rounds.filter(F.col("id") == round_id)
+    team = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
+    lines = score_lines(scores, shooters, rounds.join(team, "team_id"), round_columns=(
+        "team_id", "team_name", "round_date", "round_number", "yardage",
+    ))
+    detail = lines.select(
+        "round_id", "team_id", "team_name", iso_date("round_date").alias("round_date"), "round_number", "yardage",
+        "shooter_id", "name", *STATIONS, "total", "sub_for_name",
     )
+    return in_order(detail, round_id is not None, "name", "shooter_id")
 
 
 def rounds_overview(scores: DataFrame, rounds: DataFrame, teams: DataFrame) -> DataFrame:

@@ -17,16 +17,42 @@ SKETCH_TOP = 4_096
 ID_BUCKETS = 4_096
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_ROWS) -> list[int]:
-    """Hashes of the keys that hold more than ``min_rows`` rows.
+def heavy_keys(rows: DataFrame, source: Sequence[str], keys: Sequence[str], min_rows: int = HEAVY_ROWS) -> Column | None:
+    """A test, over the columns ``keys``, for keys with more than ``min_rows`` rows in ``rows``.
 
-    One scan of the key columns with a frequent-items sketch per task; the
-    driver gets at most SKETCH_TOP numbers. The answer only steers how rows are
-    spread, so an estimate is enough.
+    ``source`` names the same key columns in ``rows``. One scan of them with a
+    frequent-items sketch per task; the driver gets at most SKETCH_TOP hashes.
+    The answer only steers how rows are spread, so an estimate is enough. None
+    when no key is heavy.
     """
-    hashed = rows.select(F.xxhash64(*keys).alias("h"))
+    if rows.count() <= min_rows:  # answered from file footers
+        return None
+    hashed = rows.select(F.xxhash64(*source).alias("h"))
     top = hashed.agg(F.expr(f"approx_top_k(h, {SKETCH_TOP}, {SKETCH_KEYS})").alias("top")).first()["top"]
-    return sorted(r["item"] for r in top or [] if r["count"] > min_rows)
+    hashes = sorted(r["item"] for r in top or [] if r["count"] > min_rows)
+    return F.xxhash64(*keys).isin(hashes) if hashes else None
+
+
+def heavy_names(scores: DataFrame, shooters: DataFrame, min_rows: int = HEAVY_ROWS) -> Column | None:
+    """The same test over ``name`` for names that hold many scores, however many shooters share them.
+
+    Scores are counted per shooter before names are looked up; no other table is
+    read. At most SKETCH_TOP names reach the driver.
+    """
+    if scores.count() <= min_rows:
+        return None
+    names = (
+        scores.groupBy("shooter_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(shooters.select(F.col("id").alias("shooter_id"), "name"), "shooter_id")
+        .groupBy("name")
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") > min_rows)
+        .orderBy(F.desc("n"), "name")
+        .limit(SKETCH_TOP)
+    )
+    found = [r["name"] for r in names.collect()]
+    return F.col("name").isin(found) if found else None
 
 
 def number_within(
@@ -35,18 +61,18 @@ def number_within(
     order: Sequence[Column],
     slices: Sequence[Column],
     name: str,
-    heavy: Sequence[int],
+    is_heavy: Column | None,
 ) -> DataFrame:
     """Number rows 1, 2, ... within ``keys`` in ``order``.
 
-    Heavy keys are cut into ``slices`` (expressions that never decrease along
-    ``order``), numbered per slice, and shifted by the rows of earlier slices.
-    All other keys take the plain window; the numbers are the same either way.
+    Keys under ``is_heavy`` are cut into ``slices`` (expressions that never
+    decrease along ``order``), numbered per slice, and shifted by the rows of
+    earlier slices. All other keys take the plain window; the numbers are the
+    same either way.
     """
-    if not heavy:
+    if is_heavy is None:
         return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
-    is_heavy = F.xxhash64(*keys).isin(list(heavy))
     names = [f"_s{i}" for i in range(len(slices))]
     cut = rows.withColumns({n: F.when(is_heavy, s) for n, s in zip(names, slices)}).withColumn("_heavy", is_heavy)
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order)))

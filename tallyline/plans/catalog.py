@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tallyline.functions.exprs import iso_date
 from tallyline.operators import derived, directory, ingest, maintain, reads
 from tallyline.operators.reads import STATIONS
-from tallyline.operators.skew import heavy_keys
 from tallyline.session import stage
 from tallyline.sources import sheets
 from tallyline.sources.fixtures import ClubData
@@ -68,9 +67,7 @@ def site_trends(d: ClubData) -> DataFrame:
 
 @query
 def round_history(d: ClubData) -> DataFrame:
-    # The heavy rounds are found on the key column of the stored table.
-    heavy = heavy_keys(d.base("lineitem"), ["l_orderkey"])
-    return reads.round_history(d.scores, d.shooters, d.rounds, heavy=heavy)
+    return reads.round_history(d.scores, d.shooters, d.rounds)
 
 
 @query
@@ -201,6 +198,12 @@ def _lines(d: ClubData) -> DataFrame:
     return sheets.flat_line_rows(d.submission_lines)
 
 
+def _accepted(d: ClubData) -> DataFrame:
+    """Accepted lines, for plans that read them several times."""
+    judged = stage(ingest.judged_lines(_lines(d)), "judged-lines")
+    return ingest.accepted_lines(d.submission_headers, judged)
+
+
 def _stored_ids_only(roster: DataFrame) -> DataFrame:
     """The roster with new ids hidden: they depend on the engine that hands them out."""
     return roster.withColumn("id", F.when(~F.col("is_new"), F.col("id")))
@@ -230,7 +233,7 @@ def sheet_headers(d: ClubData) -> DataFrame:
 
 @query
 def rejected_submissions(d: ClubData) -> DataFrame:
-    return ingest.rejected_submissions(d.submission_headers, _lines(d))
+    return ingest.rejected_submissions(d.submission_headers, ingest.judged_lines(_lines(d)))
 
 
 @query
@@ -240,20 +243,19 @@ def substitutions(d: ClubData) -> DataFrame:
 
 @query
 def roster_after_ingest(d: ClubData) -> DataFrame:
-    lines = ingest.accepted_lines(d.submission_headers, _lines(d))
-    return _stored_ids_only(ingest.roster_upsert(lines, d.shooters))
+    return _stored_ids_only(ingest.roster_upsert(_accepted(d), d.shooters))
 
 
 @query
 def facts_after_ingest(d: ClubData) -> DataFrame:
-    lines = stage(ingest.accepted_lines(d.submission_headers, _lines(d)), "accepted-lines")
+    lines = _accepted(d)
     roster = stage(ingest.roster_upsert(lines, d.shooters), "roster")
     return ingest.facts(lines, _stored_ids_only(roster)).withColumn("round_date", iso_date("round_date"))
 
 
 @query
 def split_rounds(d: ClubData) -> DataFrame:
-    return ingest.split_rounds(d.submission_headers, _lines(d))
+    return ingest.split_rounds(d.submission_headers, ingest.judged_lines(_lines(d)))
 
 
 @query
@@ -398,5 +400,4 @@ def stream_ingest(d: ClubData) -> DataFrame:
 
 @query
 def stream_leaderboard(d: ClubData) -> DataFrame:
-    lines = ingest.accepted_lines(d.submission_headers, _lines(d))
-    return jobs.stream_totals(d.spark, lines)
+    return jobs.stream_totals(d.spark, _accepted(d))

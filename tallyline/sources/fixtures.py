@@ -160,5 +160,5 @@ class ClubData:
             order=[F.col(c) for c in _LINE_ORDER],
             slices=[F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1024)],
             name="pos",
-            heavy=heavy_keys(self.base("lineitem"), ["l_orderkey"]),
+            is_heavy=heavy_keys(self.base("lineitem"), ["l_orderkey"], ["submission_id"]),
         ).drop(*_LINE_ORDER)
