@@ -23,7 +23,9 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "16g") -> SparkSession:
+def local_session(
+    cores: str | int = "*", partitions: int = 8, memory: str = "16g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -32,6 +34,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "16
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -9,8 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8)
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    session = local_session(8, checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

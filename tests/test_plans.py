@@ -1,0 +1,74 @@
+"""Shape of the physical plans and totals that must agree."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyline.operators import reads
+from tallyline.plans import catalog
+
+LAZY = sorted(set(catalog.CATALOG) - {"stream_ingest", "stream_leaderboard", "scores_after_edit", "facts_after_ingest"})
+
+
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_no_cross_joins_and_no_python(data, name):
+    text = plan(catalog.CATALOG[name](data))
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|Python|Arrow", text)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_big_tables_join_without_broadcast(data, no_broadcast):
+    """With large dimensions only the top-k and id helpers still broadcast."""
+    for name in LAZY:
+        text = plan(catalog.CATALOG[name](data))
+        if name not in ("site_top_individuals", "site_top_teams", "leader_callouts", "roster_after_ingest"):
+            assert "BroadcastHashJoin" not in text, name
+
+
+def test_scores_shrink_before_they_are_shuffled(data, no_broadcast):
+    text = plan(reads.site_top_teams(data.scores, data.rounds, data.teams, data.team_logos))
+    scan = text[: text.index("l_suppkey")] if "l_suppkey" in text else text
+    assert "partial_sum" in scan
+    # Only the key and the total are read.
+    assert "l_extendedprice" not in text and "l_shipdate" not in text
+
+
+def test_top_k_is_cut_on_both_sides_of_the_shuffle(data):
+    text = plan(catalog.team_trends_top5(data))
+    assert "WindowGroupLimit" in text and "Partial" in text
+    assert "TakeOrderedAndProject" in plan(catalog.site_top_individuals(data))
+
+
+def test_one_team_is_filtered_at_the_scan(data):
+    text = plan(reads.team_leaderboard(data.scores, data.shooters, data.rounds, team_id=3))
+    assert "EqualTo(c_nationkey,3)" in text
+
+
+def test_totals_agree(data):
+    scores = data.scores
+    board = catalog.team_leaderboard(data).agg(F.sum("rounds")).first()[0]
+    people = reads.shooter_totals(scores, data.shooters, data.teams).agg(F.sum("total_points")).first()[0]
+    teams = reads.team_totals(scores, data.rounds, data.teams).agg(F.sum("total_points")).first()[0]
+    assert board == scores.count()
+    assert people == teams == scores.agg(F.sum("total")).first()[0]
+    assert catalog.round_history(data).select("id").distinct().count() == data.rounds.count()
+
+
+def test_split_keeps_all_lines(data):
+    split = catalog.split_rounds(data)
+    accepted = split.select("submission_id").distinct()
+    lines = data.submission_lines.join(accepted, "submission_id", "left_semi").count()
+    assert split.agg(F.sum("n_lines")).first()[0] == lines
