@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a browser's trim() strips (Unicode white space, line ends, BOM).
@@ -40,17 +42,15 @@ def iso_date(date: str | Column) -> Column:
 
 
 def as_number(text: str | Column) -> Column:
-    """Text to DOUBLE the way a browser converts it: blank is 0, garbage is NaN."""
-    t = trimmed(text)
-    radix = F.lower(F.substring(t, 1, 2))
+    """Trimmed text to DOUBLE the way a browser converts it: blank is 0, garbage is NaN."""
+    t = col(text)
     digits = F.substring(t, 3, 400)
     return (
-        F.when(t == "", F.lit(0.0))
-        .when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), t.try_cast("double"))
-        .when(t.rlike(r"^[+-]?Infinity\z"), t.try_cast("double"))
-        .when((radix == "0x") & digits.rlike(r"^[0-9a-fA-F]+\z"), F.conv(digits, 16, 10).try_cast("double"))
-        .when((radix == "0o") & digits.rlike(r"^[0-7]+\z"), F.conv(digits, 8, 10).try_cast("double"))
-        .when((radix == "0b") & digits.rlike(r"^[01]+\z"), F.conv(digits, 2, 10).try_cast("double"))
+        F.when(t.rlike(r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|Infinity)\z"), t.try_cast("double"))
+        .when(t == "", F.lit(0.0))
+        .when(t.rlike(r"^0[xX][0-9a-fA-F]+\z"), F.conv(digits, 16, 10).try_cast("double"))
+        .when(t.rlike(r"^0[oO][0-7]+\z"), F.conv(digits, 8, 10).try_cast("double"))
+        .when(t.rlike(r"^0[bB][01]+\z"), F.conv(digits, 2, 10).try_cast("double"))
         .when(t.isNotNull(), F.lit(float("nan")))
     )
 
@@ -58,8 +58,20 @@ def as_number(text: str | Column) -> Column:
 def number_to_smallint(number: str | Column) -> Column:
     """DOUBLE to SMALLINT; NULL for fractions, NaN and values out of range."""
     number = col(number)
-    whole = number.between(SMALLINT_MIN, SMALLINT_MAX) & (number == F.floor(number))
-    return F.when(whole, number.cast("smallint"))
+    short = number.try_cast("smallint")
+    return F.when(short == number, short)
+
+
+def with_smallints(rows: DataFrame, texts: Mapping[str, str]) -> DataFrame:
+    """Add SMALLINT columns {new column: text column} by browser rules; the empty text is missing.
+
+    Trimming, parsing and narrowing are separate steps, so that each is
+    evaluated once per row instead of being inlined wherever it is used.
+    """
+    stripped = rows.withColumns({f"_t_{new}": F.when(F.col(text) != "", trimmed(text)) for new, text in texts.items()})
+    parsed = stripped.withColumns({f"_d_{new}": as_number(f"_t_{new}") for new in texts})
+    narrow = parsed.withColumns({new: number_to_smallint(f"_d_{new}") for new in texts})
+    return narrow.drop(*[f"_{step}_{new}" for new in texts for step in "td"])
 
 
 def text_to_smallint(text: str | Column) -> Column:

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Compressed files understate rows in memory; without this, score tables of
+    # a few megabytes on disk pass for broadcastable.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     # Duplicate keys in a scoresheet text: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Deduplication state of the streaming leaderboard stays off the heap.

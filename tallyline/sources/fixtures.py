@@ -76,7 +76,7 @@ SELECT l_orderkey AS submission_id,
        CASE WHEN l_returnflag = 'R' THEN 'Supplier#00000000' || CAST(l_partkey % 10 AS VARCHAR(2))
             WHEN l_returnflag = 'N' AND l_partkey % 3 = 0 THEN ' ' || upper(s_name) END AS raw_sub_for,
        CASE WHEN l_linenumber > 4 THEN 2 END AS row_round_number
-FROM {lineitem} JOIN {rounds} r ON r.id = l_orderkey JOIN {supplier} ON s_suppkey = l_suppkey""",
+FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {rounds} r ON r.id = l_orderkey""",
     "raw_extractions": """
 SELECT event_id,
        CASE event_id % 5
@@ -122,14 +122,21 @@ _LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extend
 
 
 class ClubData:
-    """The score tables of one data folder as lazy DataFrames."""
+    """The score tables of one data folder as lazy DataFrames.
+
+    Sheet lines join their round last: the shuffle on the round's key then also
+    serves the numbering and everything else that goes sheet by sheet.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._base: dict[str, DataFrame] = {}
 
     def base(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        if table not in self._base:
+            self._base[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self._base[table]
 
     def _input(self, name: str) -> DataFrame:
         return self.base(name) if name in BASE_TABLES else getattr(self, name)
