@@ -10,13 +10,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.functions.exprs import blank_to_null, spread_null_id, trimmed
+from tallyline.functions.exprs import blank_to_null, spread_null_id, spread_null_name, trimmed
 from tallyline.operators.skew import allocate_ids
 
 DEFAULT_TEAM = "Default Team"
 LEAGUE_TEXTS = (
     "location", "contact_name", "contact_email", "contact_phone", "schedule_text", "costs_text", "description",
 )
+PROFILE_TEXTS = ("name", "phone", "address")
 LOGO_PREFIX = "data:image/"
 
 
@@ -121,8 +122,9 @@ def patch_shooters(shooters: DataFrame, patch: DataFrame) -> tuple[DataFrame, Da
 def patch_logos(logos: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Set or clear team logos; (logos, report).
 
-    ``requests``: team_id, logo_data, is_admin, is_squad_leader, own_team_id.
-    Admins may change any team, leaders their own. NULL clears; anything else,
+    ``requests``: seq, team_id, logo_data, is_admin, is_squad_leader, own_team_id.
+    Admins may change any team, leaders their own; the last good request of a
+    team stays. NULL clears; anything else,
     the empty text included, must be an image data URL.
     """
     allowed = F.col("is_admin") | (
@@ -136,9 +138,11 @@ def patch_logos(logos: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataF
         .when(F.col("logo_data").isNull(), "cleared")
         .otherwise("set"),
     )
-    done = judged.filter(F.col("outcome").isin("set", "cleared")).select("team_id", "logo_data")
-    kept = logos.join(done.select("team_id"), "team_id", "left_anti")
-    return kept.unionByName(done.filter("logo_data IS NOT NULL")), judged.select("team_id", "outcome")
+    good = judged.filter(F.col("outcome").isin("set", "cleared"))
+    last = good.groupBy("team_id").agg(F.max("seq").alias("seq"))
+    done = good.join(last, ["team_id", "seq"], "left_semi").select("team_id", "logo_data")
+    kept = logos.join(last, "team_id", "left_anti")
+    return kept.unionByName(done.filter("logo_data IS NOT NULL")), judged.select("seq", "team_id", "outcome")
 
 
 def replace_texts(table: DataFrame, values: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
@@ -172,6 +176,11 @@ def replace_leagues(leagues: DataFrame, values: DataFrame) -> DataFrame:
     return replace_texts(leagues, values, LEAGUE_TEXTS)
 
 
+def replace_profiles(users: DataFrame, values: DataFrame) -> DataFrame:
+    """Accounts with name, phone and address replaced by what their owners sent (id, texts)."""
+    return replace_texts(users, values, PROFILE_TEXTS)
+
+
 # --- keyed inserts -------------------------------------------------------------
 
 
@@ -330,7 +339,7 @@ def account_intake(
     clean = applicants.select("seq", email.alias("email"), "team_id", new_team.alias("new_team"))
     valid = F.contains(F.col("email"), F.lit("@"))
     stored = users.select("email", F.lit(True).alias("_stored"))
-    named = teams.select(F.col("name").alias("new_team"), F.lit(True).alias("_named"))
+    named = teams.select(F.col("name").alias("known_team"))
     # Counted before the shuffle, so an email repeated very often stays cheap.
     first = clean.filter(valid).groupBy("email").agg(F.min("seq").alias("first_seq"))
     site_empty = users.select(F.count(F.lit(1)) == 0).scalar()
@@ -346,7 +355,7 @@ def account_intake(
     judged = (
         clean.join(first, "email", "left")
         .join(stored, "email", "left")
-        .join(named, "new_team", "left")
+        .join(named, spread_null_name("new_team", "seq") == F.col("known_team"), "left")
         .withColumn("first_account", F.coalesce(is_first, F.lit(False)))
         .withColumn("outcome", outcome)
     )
@@ -362,7 +371,7 @@ def account_intake(
         F.when(made, F.col("first_account")).alias("is_admin"),
         F.when(made, founds).alias("is_squad_leader"),
         F.when(made, F.col("first_account") | founds | joins.isNull()).alias("team_approved"),
-        F.when(made, founds & F.col("_named").isNotNull()).alias("names_existing_team"),
+        F.when(made, founds & F.col("known_team").isNotNull()).alias("names_existing_team"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.exprs import exact_avg, iso_date, spread_null_id
-from tallyline.operators.skew import HEAVY_ROWS, heavy_keys, heavy_names, number_within
+from tallyline.operators.skew import heavy_keys, heavy_names, number_within
 
 STATIONS = [f"station_{i}" for i in range(1, 6)]
 TOP_K = 10
@@ -152,7 +152,7 @@ def shooter_trends(
     rounds: DataFrame,
     team_id: int | None = None,
     page_rows: int = PAGE_ROWS,
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """The trend of every name as a JSON array of {date, total}, oldest first.
 
@@ -163,7 +163,8 @@ def shooter_trends(
     points = trend_points(scores, shooters, rounds, team_id)
     keys = ["team_id", "name"]
     order = [F.col(c) for c in ("round_date", "round_number", "round_id", "total")]
-    paged = _paged(points, keys, order, order[:2], page_rows, heavy_names(scores, shooters, heavy_rows))
+    slices = [*order[:2], F.floor(F.col("round_id") / 65_536), *order[2:]]
+    paged = _paged(points, keys, order, slices, page_rows, heavy_names(scores, shooters, heavy_rows))
     point = F.struct(iso_date("round_date").alias("date"), F.col("total"))
     pages = paged.groupBy(*keys, "page").agg(_listed(point).alias("history"))
     return in_order(pages, team_id is not None, "name", "page")
@@ -175,7 +176,7 @@ def round_history(
     rounds: DataFrame,
     team_id: int | None = None,
     page_rows: int = PAGE_ROWS,
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """Every round with its score lines as JSON, ``[]`` without scores; for one team newest first."""
     is_heavy = heavy_keys(scores, ["round_id"], ["round_id"], heavy_rows)
@@ -190,7 +191,8 @@ def round_history(
         "left",
     )
     order = [F.col(c) for c in ("shooter_id", "sub_for_shooter_id", *STATIONS, "total")]
-    paged = _paged(lines, ["round_id"], order, [F.floor(F.col("shooter_id") / 256)], page_rows, is_heavy)
+    slices = [F.floor(F.col("shooter_id") / 65_536), *order[:5]]
+    paged = _paged(lines, ["round_id"], order, slices, page_rows, is_heavy)
     entry = F.struct(
         F.col("name"), F.array(*STATIONS).alias("stations"), F.col("total"), F.col("sub_for_name").alias("subFor")
     )

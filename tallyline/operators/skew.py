@@ -17,7 +17,9 @@ SKETCH_TOP = 4_096
 ID_BUCKETS = 4_096
 
 
-def heavy_keys(rows: DataFrame, source: Sequence[str], keys: Sequence[str], min_rows: int = HEAVY_ROWS) -> Column | None:
+def heavy_keys(
+    rows: DataFrame, source: Sequence[str], keys: Sequence[str], min_rows: int | None = None
+) -> Column | None:
     """A test, over the columns ``keys``, for keys with more than ``min_rows`` rows in ``rows``.
 
     ``source`` names the same key columns in ``rows``. One scan of them with a
@@ -25,6 +27,7 @@ def heavy_keys(rows: DataFrame, source: Sequence[str], keys: Sequence[str], min_
     The answer only steers how rows are spread, so an estimate is enough. None
     when no key is heavy.
     """
+    min_rows = HEAVY_ROWS if min_rows is None else min_rows
     if rows.count() <= min_rows:  # answered from file footers
         return None
     hashed = rows.select(F.xxhash64(*source).alias("h"))
@@ -33,12 +36,13 @@ def heavy_keys(rows: DataFrame, source: Sequence[str], keys: Sequence[str], min_
     return F.xxhash64(*keys).isin(hashes) if hashes else None
 
 
-def heavy_names(scores: DataFrame, shooters: DataFrame, min_rows: int = HEAVY_ROWS) -> Column | None:
+def heavy_names(scores: DataFrame, shooters: DataFrame, min_rows: int | None = None) -> Column | None:
     """The same test over ``name`` for names that hold many scores, however many shooters share them.
 
     Scores are counted per shooter before names are looked up; no other table is
     read. At most SKETCH_TOP names reach the driver.
     """
+    min_rows = HEAVY_ROWS if min_rows is None else min_rows
     if scores.count() <= min_rows:
         return None
     names = (
@@ -65,35 +69,36 @@ def number_within(
 ) -> DataFrame:
     """Number rows 1, 2, ... within ``keys`` in ``order``.
 
-    Keys under ``is_heavy`` are cut into ``slices`` (expressions that never
-    decrease along ``order``), numbered per slice, and shifted by the rows of
-    earlier slices. All other keys take the plain window; the numbers are the
-    same either way.
+    Keys under ``is_heavy`` are cut into nested ``slices`` (taken one after the
+    other they never decrease along ``order``), numbered per innermost slice, and
+    shifted by the rows of earlier slices. Each slice should have a limited
+    number of values within the one before it. All other keys take the plain
+    window; the numbers are the same either way.
     """
     if is_heavy is None:
         return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
     names = [f"_s{i}" for i in range(len(slices))]
-    cut = rows.withColumns({n: F.when(is_heavy, s) for n, s in zip(names, slices)}).withColumn("_heavy", is_heavy)
+    # A struct keeps a NULL slice value apart from "not cut".
+    cut = rows.withColumns({n: F.when(is_heavy, F.struct(s.alias("v"))) for n, s in zip(names, slices)})
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order)))
 
-    earlier = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    shifts = (
-        cut.filter("_heavy")
-        .groupBy(*keys, *names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    a, b = local.alias("a"), shifts.alias("b")
-    # Slices of a heavy key may themselves be NULL, hence the null-safe match.
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    same += [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
-    on = F.col("a._heavy")
-    for term in same:
-        on = on & term
-    number = (F.col("_local") + F.coalesce(F.col("b._shift"), F.lit(0))).cast("bigint").alias(name)
-    return a.join(b, on, "left").select(*[F.col(f"a.{c}") for c in rows.columns], number)
+    counts = cut.filter(is_heavy).groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    shifts = None
+    for depth in range(len(names)):
+        outer, level = [*keys, *names[:depth]], [*keys, *names[: depth + 1]]
+        earlier = W.partitionBy(*outer).orderBy(names[depth]).rowsBetween(W.unboundedPreceding, -1)
+        here = (
+            counts.groupBy(*level)
+            .agg(F.sum("_n").alias("_n"))
+            .select(*level, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        )
+        if shifts is None:
+            shifts = here.withColumnRenamed("_before", "_shift")
+        else:
+            shifts = here.join(shifts, outer).select(*level, (F.col("_before") + F.col("_shift")).alias("_shift"))
+    number = (F.col("_local") + F.coalesce("_shift", F.lit(0))).cast("bigint")
+    return local.join(shifts, [*keys, *names], "left").select(*rows.columns, number.alias(name))
 
 
 def allocate_ids(

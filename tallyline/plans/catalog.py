@@ -301,6 +301,38 @@ def patched_teams(d: ClubData) -> DataFrame:
     return maintain.patch_teams(d.teams, patch)[0]
 
 
+@query
+def patched_shooters(d: ClubData) -> DataFrame:
+    """Every fifth shooter is renamed (a blank name keeps the old one), every tenth also moves."""
+    name = F.when(F.col("id") % 15 == 0, "  ").otherwise(F.concat(F.lit(" New "), "name"))
+    team = F.when(F.col("id") % 10 == 0, (F.col("team_id") + 1) % 25)
+    patch = d.shooters.filter("id % 5 = 0").select("id", name.alias("name"), team.cast("int").alias("team_id"))
+    return maintain.patch_shooters(d.shooters, patch)[0]
+
+
+@query
+def patched_logos(d: ClubData) -> DataFrame:
+    """Every member asks for a logo, by turns for their own and the next team; some send no image."""
+    image = F.when(F.col("id") % 4 == 1, "logo.png").when(F.col("id") % 4 != 2, F.concat(F.lit("data:image/png;"), "email"))
+    wanted = ((F.col("team_id") + F.col("id") % 2) % 25).cast("int")
+    requests = d.users.filter("team_id IS NOT NULL").select(
+        F.col("id").alias("seq"), wanted.alias("team_id"), image.alias("logo_data"),
+        "is_admin", "is_squad_leader", F.col("team_id").alias("own_team_id"),
+    )
+    return maintain.patch_logos(d.team_logos, requests)[0]
+
+
+@query
+def replaced_profiles(d: ClubData) -> DataFrame:
+    """Even accounts send a phone number, every fourth a name; what is blank or missing is cleared."""
+    values = d.users.filter("id % 2 = 0").select(
+        "id",
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit(" "), "email")).otherwise(" ").alias("name"),
+        F.concat(F.lit(" 555-"), "id").alias("phone"),
+    )
+    return maintain.replace_profiles(d.users, values).select("id", "name", "phone", "address")
+
+
 @query
 def replaced_leagues(d: ClubData) -> DataFrame:
     hall = F.when(F.col("id") % 2 == 0, "  ").otherwise(" Hall ")
@@ -314,6 +346,22 @@ def keyed_insert_report(d: ClubData) -> DataFrame:
     return maintain.insert_shooters(requests, d.shooters)
 
 
+@query
+def teams_after_intake(d: ClubData) -> DataFrame:
+    """Teams with those founded by new accounts added; their ids are hidden."""
+    founded = maintain.account_intake(d.applicants, d.users, d.teams).select(F.col("new_team").alias("name"))
+    after = maintain.upsert_teams(founded, d.teams)
+    known = d.teams.select(F.col("id").alias("known_id"))
+    return after.join(known, after["id"] == known["known_id"], "left").select(F.col("known_id").alias("id"), "name", "league_id")
+
+
+@query
+def after_delete_users(d: ClubData) -> DataFrame:
+    """Every ninth account is to go; account 18 asks for it and so stays."""
+    wanted = d.users.filter("id % 9 = 0").select("id", F.lit(18).alias("requested_by"))
+    return maintain.without_users(d.users, wanted).select("id", "email")
+
+
 @query
 def after_delete_rounds(d: ClubData) -> DataFrame:
     return maintain.without_rounds(d.scores, d.rounds.filter("id % 11 = 0").select("id"))

@@ -383,6 +383,26 @@ SELECT id, CASE WHEN id % 2 = 0 OR id = 3 THEN name ELSE 'New ' || name END AS n
        CASE WHEN id % 2 = 1 AND id % 3 = 0 AND id <> 3 THEN NULL ELSE league_id END AS league_id
 FROM teams""")
 
+oracle("patched_shooters", "shooters", """
+SELECT id, CASE WHEN id % 10 = 0 THEN CAST((team_id + 1) % 25 AS INT) ELSE team_id END AS team_id,
+       CASE WHEN id % 5 = 0 AND id % 15 <> 0 THEN 'New ' || name ELSE name END AS name
+FROM shooters""")
+
+oracle("patched_logos", "users team_logos", """WITH
+asked AS (SELECT id AS seq, CAST((team_id + id % 2) % 25 AS INT) AS team_id,
+                 CASE id % 4 WHEN 1 THEN 'logo.png' WHEN 2 THEN NULL ELSE 'data:image/png;' || email END AS logo_data
+          FROM users
+          WHERE team_id IS NOT NULL AND id % 4 <> 1
+            AND (is_admin OR (is_squad_leader AND (team_id + id % 2) % 25 = team_id))),
+last AS (SELECT team_id, arg_max({'logo': logo_data}, seq).logo AS logo_data FROM asked GROUP BY team_id)
+SELECT team_id, logo_data FROM team_logos WHERE team_id NOT IN (SELECT team_id FROM last)
+UNION ALL SELECT team_id, logo_data FROM last WHERE logo_data IS NOT NULL""")
+
+oracle("replaced_profiles", "users", """
+SELECT id, CASE WHEN id % 4 = 0 THEN email WHEN id % 2 = 1 THEN name END AS name,
+       CASE WHEN id % 2 = 0 THEN '555-' || id END AS phone, CAST(NULL AS VARCHAR) AS address
+FROM users""")
+
 oracle("replaced_leagues", "leagues", """
 SELECT id, name, CASE WHEN id % 2 = 1 THEN 'Hall' END AS location, CAST(NULL AS VARCHAR) AS contact_name,
        CAST(NULL AS VARCHAR) AS contact_email, CAST(NULL AS VARCHAR) AS contact_phone,
@@ -403,6 +423,17 @@ SELECT team_id, name, outcome, attempts,
 FROM judged""")
 
 _ALL_SCORES = f"round_id, shooter_id, sub_for_shooter_id, {ST}, total"
+oracle("teams_after_intake", "applicants users teams", """WITH
+clean AS (SELECT seq, lower(trim(raw_email)) AS email, nullif(trim(new_team_name), '') AS new_team FROM applicants),
+made AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY seq) AS turn FROM clean
+         WHERE contains(email, '@') AND email NOT IN (SELECT email FROM users))
+SELECT id, name, league_id FROM teams
+UNION ALL
+SELECT DISTINCT NULL, new_team, NULL FROM made
+WHERE turn = 1 AND new_team IS NOT NULL AND new_team NOT IN (SELECT name FROM teams)""")
+
+oracle("after_delete_users", "users", "SELECT id, email FROM users WHERE id % 9 <> 0 OR id = 18")
+
 oracle("after_delete_rounds", "scores rounds", f"""
 SELECT {_ALL_SCORES} FROM scores WHERE round_id NOT IN (SELECT id FROM rounds WHERE id % 11 = 0)""")
 

@@ -165,7 +165,7 @@ class ClubData:
             rows,
             keys=["submission_id"],
             order=[F.col(c) for c in _LINE_ORDER],
-            slices=[F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1024)],
+            slices=[F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65_536), F.col("l_partkey"), F.col("l_suppkey")],
             name="pos",
             is_heavy=heavy_keys(self.base("lineitem"), ["l_orderkey"], ["submission_id"]),
         ).drop(*_LINE_ORDER)

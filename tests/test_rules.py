@@ -437,12 +437,15 @@ def test_shooter_patches(spark):
 def test_logo_patches(spark):
     logos = spark.createDataFrame([(1, "data:image/a"), (2, "data:image/b"), (3, "data:image/c")], tables.SCHEMAS["team_logos"])
     asked = spark.createDataFrame(
-        [(1, None, True, False, None), (2, "data:image/z", False, True, 2), (3, "x", True, False, None), (4, "data:image/q", False, True, 2)],
-        "team_id INT, logo_data STRING, is_admin BOOLEAN, is_squad_leader BOOLEAN, own_team_id INT",
+        [(1, 1, None, True, False, None), (2, 2, "data:image/y", False, True, 2), (3, 2, "data:image/z", False, True, 2),
+         (4, 3, "x", True, False, None), (5, 4, "data:image/q", False, True, 2), (6, 3, "", True, False, None)],
+        "seq INT, team_id INT, logo_data STRING, is_admin BOOLEAN, is_squad_leader BOOLEAN, own_team_id INT",
     )
     after, report = maintain.patch_logos(logos, asked)
     assert rows(after) == [(2, "data:image/z"), (3, "data:image/c")]
-    assert dict(rows(report)) == {1: "cleared", 2: "set", 3: "not_an_image", 4: "forbidden"}
+    assert dict(rows(report, "seq", "outcome")) == {
+        1: "cleared", 2: "set", 3: "set", 4: "not_an_image", 5: "forbidden", 6: "not_an_image"
+    }
 
 
 def test_user_patch_keeps_what_was_not_supplied(spark):
