@@ -197,15 +197,25 @@ def round_history(
         F.col("name"), F.array(*STATIONS).alias("stations"), F.col("total"), F.col("sub_for_name").alias("subFor")
     )
     listed = paged.groupBy("round_id", "page").agg(_listed(entry).alias("shooters"))
-    history = rounds.join(listed, rounds["id"] == listed["round_id"], "left").select(
-        "id",
-        "team_id",
-        iso_date("round_date").alias("date"),
-        "yardage",
-        F.col("round_number").alias("roundNumber"),
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("shooters", F.lit("[]")).alias("shooters"),
-    )
+
+    def with_pages(pages: DataFrame, how: str) -> DataFrame:
+        return rounds.join(pages, rounds["id"] == pages["round_id"], how).select(
+            "id",
+            "team_id",
+            iso_date("round_date").alias("date"),
+            "yardage",
+            F.col("round_number").alias("roundNumber"),
+            F.coalesce("page", F.lit(0)).alias("page"),
+            F.coalesce("shooters", F.lit("[]")).alias("shooters"),
+        )
+
+    if is_heavy is None:
+        history = with_pages(listed, "left")
+    else:
+        # Many pages of one round may spread over tasks in an inner join, not in a left one.
+        history = with_pages(listed.filter("page = 0"), "left").unionByName(
+            with_pages(listed.filter("page > 0"), "inner")
+        )
     return in_order(history, team_id is not None, F.desc("date"), F.desc("roundNumber"), F.desc("id"), "page")
 
 

@@ -94,8 +94,8 @@ def flat_line_rows(lines: DataFrame) -> DataFrame:
 def sheet_documents(headers: DataFrame, lines: DataFrame, lines_per_document: int = 5_000) -> DataFrame:
     """Nested JSON documents from flat headers and lines, long sheets in several documents.
 
-    Lines are gathered per (sheet, block of positions), so even a sheet with
-    most of all lines is spread over many rows.
+    Lines take their sheet's header along and are gathered per (sheet, block of
+    positions), so even a sheet with most of all lines is spread over many rows.
     """
     line = F.struct(
         F.col("pos"),
@@ -107,11 +107,15 @@ def sheet_documents(headers: DataFrame, lines: DataFrame, lines_per_document: in
             F.col("row_round_number").alias("roundNumber"),
         ).alias("line"),
     )
-    blocks = (
-        lines.withColumn("block", F.floor((F.col("pos") - 1) / lines_per_document))
-        .groupBy("submission_id", "block")
+    block = F.floor((F.col("pos") - 1) / lines_per_document)
+    filled = (
+        lines.withColumn("block", block)
+        .join(headers, "submission_id")
+        .groupBy(*headers.columns, "block")
         .agg(F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(line)).alias("lines"))
+        .drop("block")
     )
+    empty = headers.join(lines.select("submission_id").distinct(), "submission_id", "left_anti")
     body = F.struct(
         "submission_id",
         "team_id",
@@ -121,6 +125,6 @@ def sheet_documents(headers: DataFrame, lines: DataFrame, lines_per_document: in
         "first_pos",
         F.coalesce(F.transform("lines", lambda e: e["line"]), F.array()).alias("shooters"),
     )
-    return headers.join(blocks, "submission_id", "left").select(
+    return filled.unionByName(empty, allowMissingColumns=True).select(
         "submission_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("doc")
     )
