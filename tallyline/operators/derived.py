@@ -10,8 +10,8 @@ from tallyline.functions.exprs import exact_avg, iso_date
 from tallyline.operators.directory import squad_leaders
 from tallyline.operators.reads import (
     STATIONS,
-    _round_keys,
     in_order,
+    round_keys,
     score_lines,
     shooter_totals,
     team_totals,
@@ -26,7 +26,7 @@ TREND_SHOOTERS = 5
 def _team_shooter_sums(scores: DataFrame, rounds: DataFrame, *extra) -> DataFrame:
     """Scores added up per (team of the round, shooter)."""
     return (
-        scores.join(_round_keys(rounds, "team_id"), "round_id")
+        scores.join(round_keys(rounds, "team_id"), "round_id")
         .groupBy("team_id", "shooter_id")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("points"), F.max("total").alias("best"), *extra)
     )
@@ -61,7 +61,7 @@ def team_trends_top5(
     survive to the shuffle. The points are then cut down before names are joined.
     """
     pairs = (
-        scores.join(_round_keys(rounds, "team_id"), "round_id")
+        scores.join(round_keys(rounds, "team_id"), "round_id")
         .groupBy("team_id", "shooter_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .join(shooters.select(F.col("id").alias("shooter_id"), "name"), "shooter_id")
@@ -70,7 +70,7 @@ def team_trends_top5(
     names = pairs.groupBy("team_id", "name").agg(F.sum("n").alias("n")).withColumn("rank", rank)
     top = names.filter(F.col("rank") <= k).select("team_id", "name", "rank")
     ids = pairs.select("team_id", "shooter_id", "name").join(top, ["team_id", "name"])
-    dates = _round_keys(rounds, "team_id", "round_date", "round_number")
+    dates = round_keys(rounds, "team_id", "round_date", "round_number")
     return (
         scores.select("round_id", "shooter_id", "total")
         .join(dates, "round_id")

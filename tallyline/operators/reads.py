@@ -26,7 +26,7 @@ def _of_team(rounds: DataFrame, team_id: int | None) -> DataFrame:
     return rounds if team_id is None else rounds.filter(F.col("team_id") == team_id)
 
 
-def _round_keys(rounds: DataFrame, *columns: str) -> DataFrame:
+def round_keys(rounds: DataFrame, *columns: str) -> DataFrame:
     return rounds.select(F.col("id").alias("round_id"), *columns)
 
 
@@ -51,7 +51,7 @@ def score_lines(
     round_columns: Sequence[str] = ("team_id", "round_date", "round_number", "yardage"),
 ) -> DataFrame:
     """Every score with its round, the name of who shot, and who was subbed for."""
-    rounds = _round_keys(_of_team(rounds, team_id), *round_columns)
+    rounds = round_keys(_of_team(rounds, team_id), *round_columns)
     subbed = _named(shooters, "subbed_id", "sub_for_name")
     return (
         scores.join(rounds, "round_id")
@@ -74,7 +74,7 @@ def team_leaderboard(
     per (team, shooter, subbed member) before names are looked up; unknown ids
     fall out or fall back exactly as they would row by row.
     """
-    teams = _round_keys(_of_team(rounds, team_id), "team_id")
+    teams = round_keys(_of_team(rounds, team_id), "team_id")
     sums = [
         F.count(F.lit(1)).alias("n"),
         F.sum("total").alias("points"),
@@ -109,7 +109,7 @@ def trend_points(
     scores: DataFrame, shooters: DataFrame, rounds: DataFrame, team_id: int | None = None
 ) -> DataFrame:
     """One point per score under the name of who shot; substitutes are never rolled up."""
-    dates = _round_keys(_of_team(rounds, team_id), "team_id", "round_date", "round_number")
+    dates = round_keys(_of_team(rounds, team_id), "team_id", "round_date", "round_number")
     return (
         scores.select("round_id", "shooter_id", "total")
         .join(dates, "round_id")
@@ -183,7 +183,7 @@ def round_history(
     rounds = _of_team(rounds, team_id)
     lines = scores
     if team_id is not None:
-        lines = lines.join(_round_keys(rounds), "round_id", "left_semi")
+        lines = lines.join(round_keys(rounds), "round_id", "left_semi")
     # Scores of unknown shooters are not listed.
     lines = lines.join(_named(shooters, "shooter_id", "name"), "shooter_id").join(
         _named(shooters, "subbed_id", "sub_for_name"),
@@ -283,7 +283,7 @@ def team_totals(scores: DataFrame, rounds: DataFrame, teams: DataFrame) -> DataF
     per_round = scores.groupBy("round_id").agg(F.sum("total").alias("points"))
     team = teams.select(F.col("id").alias("team_id"), "name")
     return (
-        per_round.join(_round_keys(rounds, "team_id"), "round_id")
+        per_round.join(round_keys(rounds, "team_id"), "round_id")
         .groupBy("team_id")
         .agg(F.sum("points").alias("total_points"), F.count(F.lit(1)).alias("rounds"))
         .join(team, "team_id")
@@ -334,7 +334,7 @@ def site_trends(scores: DataFrame, rounds: DataFrame) -> DataFrame:
     """Average score of each day across all teams."""
     per_round = scores.groupBy("round_id").agg(F.sum("total").alias("points"), F.count(F.lit(1)).alias("n"))
     return (
-        per_round.join(_round_keys(rounds, "round_date"), "round_id")
+        per_round.join(round_keys(rounds, "round_date"), "round_id")
         .groupBy("round_date")
         .agg(exact_avg(F.sum("points"), F.sum("n"), 1).alias("avg"))
         .orderBy("round_date")

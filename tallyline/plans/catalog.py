@@ -249,7 +249,8 @@ def roster_after_ingest(d: ClubData) -> DataFrame:
 @query
 def facts_after_ingest(d: ClubData) -> DataFrame:
     lines = _accepted(d)
-    roster = stage(ingest.roster_upsert(lines, d.shooters), "roster")
+    added = stage(ingest.roster_additions(lines, d.shooters), "new-names")
+    roster = ingest.extended_roster(d.shooters, added)
     return ingest.facts(lines, _stored_ids_only(roster)).withColumn("round_date", iso_date("round_date"))
 
 

@@ -44,7 +44,6 @@ def avg(total: str, n: str, places: int) -> str:
 
 STATIONS = [f"station_{i}" for i in range(1, 6)]
 ST = ", ".join(STATIONS)
-LONG = "BIGINT"
 
 # --- leaderboards, trends, histories -------------------------------------------
 

@@ -22,6 +22,6 @@ def write_documents(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Save a table hashed on ``key``, so that later joins on it need no shuffle."""
-    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
+    """Save a table hashed on ``key`` at ``path``, so that later joins on it need no shuffle."""
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import reads
 from tallyline.plans import catalog
+from tallyline.sources import sinks
 
 LAZY = sorted(set(catalog.CATALOG) - {"stream_ingest", "stream_leaderboard", "scores_after_edit", "facts_after_ingest"})
 
@@ -57,6 +58,20 @@ def test_one_team_is_filtered_at_the_scan(data):
     assert "EqualTo(c_nationkey,3)" in text
 
 
+def test_bucketed_tables_join_in_place(spark, data, no_broadcast, tmp_path):
+    sinks.save_bucketed(data.scores, "bucketed_scores", "round_id", 4, str(tmp_path / "scores"))
+    sinks.save_bucketed(data.rounds, "bucketed_rounds", "id", 4, str(tmp_path / "rounds"))
+    scores, rounds = spark.table("bucketed_scores"), spark.table("bucketed_rounds")
+    try:
+        joined = scores.join(reads.round_keys(rounds, "team_id"), "round_id")
+        assert "Exchange" not in plan(joined)
+        totals = reads.team_totals(scores, rounds, data.teams)
+        assert totals.exceptAll(reads.team_totals(data.scores, data.rounds, data.teams)).count() == 0
+    finally:
+        spark.sql("DROP TABLE bucketed_scores")
+        spark.sql("DROP TABLE bucketed_rounds")
+
+
 def test_totals_agree(data):
     scores = data.scores
     board = catalog.team_leaderboard(data).agg(F.sum("rounds")).first()[0]
