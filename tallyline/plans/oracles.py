@@ -67,7 +67,7 @@ oracle("shooter_trends", "scores shooters rounds", f"""WITH {_POINTS},
 paged AS (SELECT *, row_number() OVER w AS seq FROM points
           WINDOW w AS (PARTITION BY team_id, name ORDER BY round_date, round_number, round_id, total))
 SELECT team_id, name, CAST((seq - 1) // 10000 AS INT) AS page,
-       to_json(list({{'date': strftime(round_date, '%Y-%m-%d'), 'total': total}} ORDER BY seq)) AS history
+       CAST(to_json(list({{'date': strftime(round_date, '%Y-%m-%d'), 'total': total}} ORDER BY seq)) AS VARCHAR) AS history
 FROM paged GROUP BY 1, 2, 3""")
 
 _BY_SHOOTER = """

@@ -34,18 +34,26 @@ def _text(value: str | Column) -> Column:
 
 
 def _is_number(value: Column) -> Column:
-    return F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    # BIGINT, DECIMAL(p,s), DOUBLE or FLOAT.
+    return F.substring(F.schema_of_variant(value), 1, 3).isin("BIG", "DEC", "DOU", "FLO")
+
+
+def one_per_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, the same one on every run, also when repeats differ."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
 
 
 def sheet_header_rows(sheets: DataFrame) -> DataFrame:
     """One row per sheet with its raw header texts, also when it came in several documents."""
-    return sheets.select(
+    rows = sheets.select(
         "submission_id",
         "team_id",
         F.col("date").alias("raw_date"),
         _text("yardage").alias("raw_yardage"),
         _text("roundNumber").alias("raw_round_number"),
-    ).dropDuplicates(["submission_id"])
+    )
+    return one_per_key(rows, "submission_id")
 
 
 def sheet_line_rows(sheets: DataFrame) -> DataFrame:
