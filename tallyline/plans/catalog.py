@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.exprs import iso_date
 from tallyline.operators import derived, directory, ingest, maintain, reads
 from tallyline.operators.reads import STATIONS
-from tallyline.session import stage
+from tallyline.session import prepare, stage
 from tallyline.sources import sheets
 from tallyline.sources.fixtures import ClubData
 from tallyline.streaming import jobs
@@ -25,7 +25,7 @@ def query(build: Callable[[ClubData], DataFrame]) -> Callable[[ClubData], DataFr
 
 
 def bound(build: Callable[[ClubData], DataFrame]) -> Query:
-    return lambda spark, folder: build(ClubData(spark, folder))
+    return lambda spark, folder: build(ClubData(prepare(spark), folder))
 
 
 def queries() -> dict[str, Query]:

@@ -12,20 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 # left to the cluster.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
+    # Several plans join and then group by one key in a single shuffle. When the
+    # key turns out to be skewed, its partition is split all the same and the
+    # grouping gets a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Compressed files understate rows in memory; without this, score tables of
     # a few megabytes on disk pass for broadcastable.
     "spark.sql.sources.fileCompressionFactor": "4.0",
     # Duplicate keys in a scoresheet text: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Deduplication state of the streaming leaderboard stays off the heap.
+}
+# Deduplication state of the running totals stays off the heap.
+STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply SETTINGS to a session made elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(
     cores: str | int = "*", partitions: int = 8, memory: str = "16g", checkpoint_dir: str | None = None
 ) -> SparkSession:
@@ -36,6 +47,7 @@ def local_session(
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
     )
     if checkpoint_dir:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)

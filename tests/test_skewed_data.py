@@ -5,6 +5,7 @@ import shutil
 
 import pytest
 
+import __spark_entry__ as contract
 from tallyline.operators import reads, skew
 from tests.compare import database, difference
 from tests.conftest import FOLDER
@@ -23,7 +24,7 @@ def skewed(tmp_path_factory, con):
     folder = tmp_path_factory.mktemp("skewed")
     for source in pathlib.Path(FOLDER).glob("*.parquet"):
         if source.stem in THIRDS:
-            con.execute(f"COPY ({THIRDS[source.stem]} FROM '{source}') TO '{folder}/{source.name}' (FORMAT parquet)")
+            con.execute(f"COPY ({THIRDS[source.stem]} FROM '{source}') TO '{folder}/{source.name}' (FORMAT parquet, ROW_GROUP_SIZE 2048)")
         else:
             shutil.copyfile(source, folder / source.name)
     return str(folder)
@@ -37,6 +38,34 @@ def test_heavy_keys_give_the_same_results(spark, skewed, monkeypatch, name):
     assert difference(spark, database(skewed), skewed, name) is None
 
 
+@pytest.fixture
+def eager_splits(spark):
+    """No broadcasts, and partitions count as skewed from a few kilobytes on."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        # Several map tasks, as for a large table: a partition is split along them.
+        "spark.sql.files.maxPartitionBytes": "30KB",
+        "spark.sql.files.openCostInBytes": "1KB",
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["team_leaderboard", "split_rounds", "rejected_submissions", "history_labels"])
+def test_skewed_joins_are_split(spark, skewed, eager_splits, name):
+    assert difference(spark, database(skewed), skewed, name) is None
+    frame = contract.queries()[name](spark, skewed)
+    frame.collect()
+    assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pages_of_a_heavy_round_are_bounded(spark, skewed):
     from tallyline.sources.fixtures import ClubData
 
