@@ -16,11 +16,14 @@ SHEET_SCHEMA = (
     "first_pos BIGINT, shooters ARRAY<STRUCT<name: STRING, stations: ARRAY<VARIANT>, total: VARIANT, "
     "subFor: STRING, roundNumber: VARIANT>>"
 )
+# In files, documents that do not parse keep their text here.
+MALFORMED = "_corrupt_record"
+FILE_SCHEMA = f"{SHEET_SCHEMA}, {MALFORMED} STRING"
 STATION_FIELDS = [f"st{i}" for i in range(1, 6)]
 
 
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SHEET_SCHEMA).json(path)
+    return spark.read.schema(FILE_SCHEMA).json(path)
 
 
 def parse_sheets(docs: DataFrame, text: str = "doc") -> DataFrame:
