@@ -20,6 +20,8 @@ SHEET_SCHEMA = (
 MALFORMED = "_corrupt_record"
 FILE_SCHEMA = f"{SHEET_SCHEMA}, {MALFORMED} STRING"
 STATION_FIELDS = [f"st{i}" for i in range(1, 6)]
+HEADER_FIELDS = ["submission_id", "team_id", "raw_date", "raw_yardage", "raw_round_number"]
+LINE_FIELDS = ["pos", "raw_name", *STATION_FIELDS, "station_sum", "raw_total", "raw_sub_for", "raw_row_round"]
 
 
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
@@ -47,42 +49,67 @@ def one_per_key(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
 
 
-def sheet_header_rows(sheets: DataFrame) -> DataFrame:
-    """One row per sheet with its raw header texts, also when it came in several documents."""
-    rows = sheets.select(
-        "submission_id",
-        "team_id",
+def _header_columns() -> list[Column]:
+    return [
+        F.col("submission_id"),
+        F.col("team_id"),
         F.col("date").alias("raw_date"),
         _text("yardage").alias("raw_yardage"),
         _text("roundNumber").alias("raw_round_number"),
-    )
-    return one_per_key(rows, "submission_id")
+    ]
 
 
-def sheet_line_rows(sheets: DataFrame) -> DataFrame:
-    """One row per shooter line, in sheet order, with raw texts and the sum of its numeric entries.
+def _line_columns() -> list[Column]:
+    """Raw texts of ``line`` and the sum of its numeric entries.
 
     ``first_pos`` lets a long sheet arrive in several documents; it is the
     position of the document's first line and 1 when missing.
     """
-    lines = sheets.select(
-        "submission_id",
-        F.coalesce("first_pos", F.lit(1)).alias("first_pos"),
-        F.posexplode("shooters").alias("offset", "line"),
-    )
     stations = F.col("line.stations")
     numbers = F.filter(stations, _is_number)
     total = F.aggregate(numbers, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-    return lines.select(
-        "submission_id",
-        (F.col("first_pos") + F.col("offset")).cast("bigint").alias("pos"),
+    return [
+        (F.coalesce("first_pos", F.lit(1)) + F.col("offset")).cast("bigint").alias("pos"),
         F.col("line.name").alias("raw_name"),
         *[_text(F.get(stations, F.lit(i))).alias(name) for i, name in enumerate(STATION_FIELDS)],
         F.when(F.size(numbers) > 0, total).alias("station_sum"),
         _text("line.total").alias("raw_total"),
         F.col("line.subFor").alias("raw_sub_for"),
         _text("line.roundNumber").alias("raw_row_round"),
+    ]
+
+
+def sheet_header_rows(sheets: DataFrame) -> DataFrame:
+    """One row per sheet with its raw header texts, also when it came in several documents."""
+    return one_per_key(sheets.select(*_header_columns()), "submission_id")
+
+
+def sheet_line_rows(sheets: DataFrame) -> DataFrame:
+    """One row per shooter line, in sheet order."""
+    lines = sheets.select("submission_id", "first_pos", F.posexplode("shooters").alias("offset", "line"))
+    return lines.select("submission_id", *_line_columns())
+
+
+def flat_sheets(sheets: DataFrame) -> DataFrame:
+    """Lines with their sheet's header beside them, in one pass over the documents.
+
+    A sheet without lines is one row without a position. ``rows_to_headers`` and
+    ``rows_to_lines`` take the two apart again.
+    """
+    header = _header_columns()
+    exploded = sheets.select(
+        *header, MALFORMED, "first_pos", F.posexplode_outer("shooters").alias("offset", "line")
     )
+    return exploded.select(*HEADER_FIELDS, MALFORMED, *_line_columns())
+
+
+def rows_to_headers(rows: DataFrame) -> DataFrame:
+    return one_per_key(rows.select(*HEADER_FIELDS), "submission_id")
+
+
+def rows_to_lines(rows: DataFrame) -> DataFrame:
+    lines = rows.filter("pos IS NOT NULL").select("submission_id", *LINE_FIELDS)
+    return one_per_key(lines, "submission_id", "pos")
 
 
 def flat_line_rows(lines: DataFrame) -> DataFrame:
