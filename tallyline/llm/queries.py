@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, packing, simhash, token_counts
+from tallyline.llm import decontaminate, packing, quality, simhash, substring_dedup, token_counts
 from tallyline.llm.shared import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,15 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -38,8 +47,13 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+QUERIES = (
+    op1_simhash, op3_token_counts, op6_substring_dedup, op8_quality, op9_best_fit_packing, op10_decontaminate,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op9_best_fit_packing, op10_decontaminate)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -18,12 +19,14 @@ SETTINGS = {
 # The words of the contracts: runs of anything but ASCII white space. These are
 # the bytes that bytes.split() takes for white space too.
 WORD = r"[^\x20\x09-\x0D]+"
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply SETTINGS to the session."""
+    """Apply SETTINGS to the session and let its Python workers import this package from where the driver did."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    spark.sparkContext.environment["PYTHONPATH"] = _ROOT
     return spark
 
 
