@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, packing, quality, simhash, substring_dedup, token_counts
+from tallyline.llm import decontaminate, lm_score, packing, quality, simhash, substring_dedup, token_counts
 from tallyline.llm.shared import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.scored(table(spark, folder, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.deduplicated(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -48,7 +52,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_simhash, op3_token_counts, op6_substring_dedup, op8_quality, op9_best_fit_packing, op10_decontaminate,
+    op1_simhash, op3_token_counts, op4_lm_scoring, op6_substring_dedup, op8_quality, op9_best_fit_packing, op10_decontaminate,
 )
 
 
