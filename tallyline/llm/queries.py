@@ -8,10 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, lm_score, packing, quality, simhash, substring_dedup, token_counts
+from tallyline.llm import (
+    decontaminate, html_extract, lm_score, packing, quality, simhash, substring_dedup, token_counts, url_filter,
+)
 from tallyline.llm.shared import table
 
 VOCABULARY = "word_bpe_49k.json"
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"),
+]
+#: Hosts with one of these words are the labelled examples of what to block.
+BLOCKED_WORDS = (
+    "adult", "ads", "bets", "bet", "casino", "escort", "gamble", "pills", "poker", "porn", "sex", "slots", "spam",
+    "track", "viagra", "warez", "xxx",
+)
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,11 +41,24 @@ def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.scored(table(spark, folder, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    urls = table(spark, folder, "pages").select("page_id", "url")
+    found = url_filter.judged(urls, URL_RULES, url_filter.listed_labels(urls.select("url"), BLOCKED_WORDS))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.deduplicated(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    # The address comes along with the html: one row in, one row out.
+    texts = html_extract.extracted(pages.select(F.struct("page_id", "url").alias("page"), "html"), id_col="page")
+    return texts.select("page_id.page_id", "page_id.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"))
 
@@ -52,7 +76,8 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_simhash, op3_token_counts, op4_lm_scoring, op6_substring_dedup, op8_quality, op9_best_fit_packing, op10_decontaminate,
+    op1_simhash, op3_token_counts, op4_lm_scoring, op5_url_filter, op6_substring_dedup, op7_html_extraction, op8_quality,
+    op9_best_fit_packing, op10_decontaminate,
 )
 
 
