@@ -174,6 +174,8 @@ def _covered(n_words: int, starts: list[int], window: int) -> np.ndarray:
 
 def cut(text: str, starts: list[int], window: int = WINDOW) -> str:
     """The text without the words of the windows at ``starts``; what stays keeps its own white space."""
+    if not len(starts):
+        return text
     raw = text.encode("utf-8", "surrogatepass")
     inside = ~np.isin(np.frombuffer(raw, np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
     turn = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
@@ -235,10 +237,13 @@ def deduplicated(
     )
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None
+) -> DataFrame:
     """``docs`` with the repeated passages cut from their texts, all other columns as they are.
 
-    Rows whose words all go are left out; all others stay, unchanged where nothing repeats.
+    Rows whose words all go are left out; all others stay, unchanged where nothing
+    repeats. ``length_col`` names a column that holds the text's length, if there is one.
     """
     rows = _narrow(docs, id_col, text_col)
     seen = stage(digests(rows), "repeat-digests")
@@ -257,4 +262,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     new = F.when(changed & F.col("__starts").isNotNull(), rest(F.col(text_col), F.coalesce("__starts", F.array().cast("array<int>"))))
     out = joined.withColumn("__text", F.when(~changed, F.col(text_col)).otherwise(F.coalesce(new, F.lit(""))))
     out = out.filter(~changed | (F.col("__text") != ""))
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    length = F.when(changed, F.length("__text"))
+    result = {text_col: F.col("__text")}
+    if length_col in docs.columns:
+        own = F.col(f"`{length_col}`")
+        result[length_col] = F.coalesce(length.cast(docs.schema[length_col].dataType), own)
+    return out.select(*[result.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
