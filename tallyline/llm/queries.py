@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import (
-    decontaminate, html_extract, lm_score, packing, quality, simhash, substring_dedup, token_counts, url_filter,
+    decontaminate, html_extract, license_scan, lm_score, packing, quality, simhash, substring_dedup, token_counts,
+    url_filter,
 )
 from tallyline.llm.shared import table
 
@@ -30,6 +31,17 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of source/lang directories; those of under 50 words are the licence files there."""
+    docs = table(spark, folder, "documents")
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
+    name = F.when(words < 50, F.concat_ws("-", F.lit("LICENSE"), "doc_id")).otherwise(
+        F.concat_ws("/", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    )
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", name).alias("path"))
+    return license_scan.scanned(files)
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return token_counts.totals(
@@ -76,7 +88,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_simhash, op3_token_counts, op4_lm_scoring, op5_url_filter, op6_substring_dedup, op7_html_extraction, op8_quality,
+    op1_simhash, op2_license_scan, op3_token_counts, op4_lm_scoring, op5_url_filter, op6_substring_dedup, op7_html_extraction, op8_quality,
     op9_best_fit_packing, op10_decontaminate,
 )
 
