@@ -1,0 +1,165 @@
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tallyline.llm import packing, token_counts
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def drawn_text(rng, size):
+    def letter():
+        kind = rng.random()
+        if kind < 0.55:
+            return chr(rng.randrange(33, 127))
+        if kind < 0.7:
+            return rng.choice(" \n\t  \x0b\x0c\x1c\x1f\x85  ")
+        if kind < 0.9:
+            return chr(rng.randrange(161, 384))
+        return chr(rng.choice([rng.randrange(0x300, 0x3000), rng.randrange(0x4E00, 0x4F00), 0x1F600]))
+
+    return "".join(letter() for _ in range(size))
+
+
+def test_packed_ids_are_the_tokenizers(tokenizer):
+    rng = random.Random(2)
+    texts = [
+        "it's DON'T we'll x1y2 Straße ŉ İstanbul ΣΑΣ", "a <|endoftext|> b<|startoftext|>c", "x" * 500 + " " + "ab,." * 90,
+        "don't'll ''s's ¼½² ªº ...,,, 汉字 😀", "é ́x e ́", "", "\x1c\x1d", " ",
+    ] + [drawn_text(rng, rng.randint(1, 200)) for _ in range(300)]
+    own = packing.Encoder(PATH)
+    for _ in range(2):
+        for text, ids in zip(texts, own.pack(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.pack([None]) == [b""]
+
+
+def test_memory_is_bounded(monkeypatch):
+    own = packing.Encoder(PATH)
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    assert [own.pack(["some words are new here"])[0] for _ in range(3)].count(own.pack(["some words are new here"])[0]) == 3
+    own.pack(["z" * 100])
+    assert "z" * 100 not in own and "z" * 100 not in own.parts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_gives_every_rank_one_place(seed):
+    rng = random.Random(seed)
+    length = rng.choice([8, 50, 200])
+    counts = {s: rng.choice([1, 2, 7, 1000]) for s in rng.sample(range(1, length + 1), min(length, 30))}
+    plan = packing.plan_slots(counts, length)
+    taken, ranks = {}, Counter()
+    for size, rank, n, each, sequence, offset in plan:
+        for k in range(n):
+            ranks[size, rank + k] += 1
+            taken.setdefault(sequence + k // each, []).append((offset + k % each * size, size))
+    assert ranks == Counter((s, k) for s, c in counts.items() for k in range(c))
+    for spans in taken.values():
+        at = 0
+        for offset, size in sorted(spans):
+            assert offset == at
+            at += size
+        assert at <= length
+    # Best-fit decreasing needs at most 11/9 of the best and one more.
+    total = sum(s * c for s, c in counts.items())
+    assert sorted(taken) == list(range(len(taken)))
+    assert len(taken) <= max(-(-total // length), max(Counter({s: c for s, c in counts.items() if 2 * s > length}).values(), default=0)) * 11 / 9 + sum(
+        c for s, c in counts.items() if 2 * s > length
+    ) + 1
+
+
+def test_plan_does_not_grow_with_the_documents():
+    counts = {s: 1 + s % 3 for s in range(1, 400)}
+    small = packing.plan_slots(counts, 400)
+    large = packing.plan_slots({s: c * 100_000 for s, c in counts.items()}, 400)
+    assert len(large) < 3 * len(small)
+
+
+def check_pieces(tokenizer, rows, got, length):
+    want = {}
+    for i, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), length):
+            cut = np.array(ids[k:k + length], "<u4").tobytes()
+            want.setdefault((i, k // length, k, len(cut) // 4, zlib.crc32(cut)), []).append(1)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == Counter(
+        {k: len(v) for k, v in want.items()}
+    )
+    spans = {}
+    for r in got:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in spans.values():
+        at = 0
+        for offset, size in sorted(s):
+            assert offset == at
+            at += size
+        assert at <= length
+    return spans
+
+
+def test_documents_are_packed_whole(make, tokenizer):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma,", "delta.", "x"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 5, 5, 5, 30, 300])))) for i in range(200)]
+    rows += [(300, None), (301, ""), (5, "repeated row"), (5, "repeated row"), (None, "no id"), (302, "y " * 3000)]
+    docs = make(rows).withColumn("length", F.lit("mine")).withColumn("sequence_id", F.lit(0)).withColumn("piece", F.lit(9))
+    spans = check_pieces(tokenizer, rows, packing.pack(docs, PATH, length=256).collect(), 256)
+    total = sum(size for s in spans.values() for _, size in s)
+    assert len(spans) <= -(-total // 256) + 2
+
+
+def test_sequences_round_trip(make, tokenizer):
+    rows = [(i, f"text number {i} with some words " * (1 + i % 5)) for i in range(40)]
+    cut = packing.pieces(make(rows), PATH, length=32)
+    placed = packing.place(cut.drop("ids"), 32)
+    whole = {r["sequence_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in packing.sequences(cut, placed).collect()}
+    for r in placed.collect():
+        ids = tokenizer.encode(rows[r["doc_id"]][1], add_special_tokens=False).ids + [1]
+        assert whole[r["sequence_id"]][r["offset"]:r["offset"] + r["length"]] == ids[r["start"]:r["start"] + r["length"]]
+
+
+def test_one_length_for_all(make):
+    got = packing.pack(make([(i, "same words here") for i in range(500)]), PATH, length=10).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 500
+    assert len({r["sequence_id"] for r in got}) == 250
+
+
+def test_no_documents(make):
+    docs = make([], 1)
+    assert packing.pack(docs, PATH).count() == 0
+    assert token_counts.totals(token_counts.histogram(token_counts.lengths(docs, PATH))).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_totals_for_every_limit(make, tokenizer, block):
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.choice([0, 1, 3, 3, 20, 200, 900])) for i in range(150)] + [(500, None), (3, "again"), (3, "again")]
+    sizes = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    docs = make(rows).withColumn("n_tokens", F.lit("mine"))
+    counted = token_counts.histogram(token_counts.lengths(docs, PATH))
+    reached = token_counts.totals(counted, block)
+    got = {r["n_tokens"]: r.asDict() for r in reached.collect()}
+    assert set(got) == set(sizes)
+    for limit, r in got.items():
+        assert r["n_docs"] == sizes.count(limit)
+        assert r["docs_at_most"] == sum(s <= limit for s in sizes) and r["docs_longer"] == sum(s > limit for s in sizes)
+        assert r["tokens_at_most"] == sum(s for s in sizes if s <= limit)
+        assert r["truncated_total"] == sum(min(s, limit) for s in sizes)
+        assert r["quantile"] == pytest.approx(r["docs_at_most"] / len(sizes))
+    cut = {r["limit"]: r for r in token_counts.truncated_at(counted, [0, 2, 100, 10_000]).collect()}
+    for limit, r in cut.items():
+        assert r["truncated_total"] == sum(min(s, limit) for s in sizes)
+        assert r["docs_longer"] == sum(s > limit for s in sizes)
+    half = token_counts.length_at(reached, 0.5).first()["n_tokens"]
+    assert half == sorted(sizes)[-(-len(sizes) // 2) - 1]
