@@ -197,9 +197,11 @@ class Field:
 def fit(pages: list[tuple[list[list[str]], list[bool]]], epochs: int = EPOCHS) -> Field:
     """The field that makes the labels of ``pages`` (features and labels of their blocks) most probable."""
     pages = [p for p in pages if p[0]]
+    if not pages:
+        return Field({}, [[0.0, 0.0], [0.0, 0.0]])
     names = sorted({n for named, _ in pages for f in named for n in f})
     number = {n: k for k, n in enumerate(names)}
-    longest = max((len(named) for named, _ in pages), default=0)
+    longest = max(len(named) for named, _ in pages)
     count = len(pages)
     owner, column = [], []
     gold = np.zeros((count, longest), dtype=np.int64)

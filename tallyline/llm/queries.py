@@ -1,4 +1,4 @@
-"""The queries of this folder by name, with their production parameters, and SQL for those that SQL can express."""
+"""The queries of this folder by name, with their production parameters."""
 
 from __future__ import annotations
 
@@ -95,7 +95,3 @@ QUERIES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

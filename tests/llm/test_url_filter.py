@@ -1,0 +1,90 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyline.llm import url_filter
+from tallyline.llm.queries import BLOCKED_WORDS, URL_RULES
+
+URLS = [
+    None, "", "nothing here", "http://A.Example.NET/en/1?x=1", "http://example.net/en", "http://net/", "http://net", "https://x.net?/a",
+    "http://a.org/fr/x#y", "http://a.org/de/", "http://b.example.com/de/1", "http://example.com/DE/1", "http://myexample.com/de/",
+    "//x://y.org/fr/?", "http://", "http://a.b.c.net:80/", "ftp://É.org/fr/\nz", "http://notnet/", "x\ny://a.net/p?q#r", "http://a.net#/b",
+    "http://" + "a" * 5000 + ".net/" + "b" * 5000,
+]
+
+
+def plain(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.name), default=None)
+    return host, path, best and best.name, best and best.verdict
+
+
+@pytest.fixture(scope="module")
+def drawn():
+    rng = random.Random(3)
+    good = ["alpha", "betahouse", "gamma", "deltas", "epsilon"]
+    rows = []
+    for i in range(900):
+        bad = rng.random() < 0.4
+        name = f"{rng.choice(BLOCKED_WORDS)}-{rng.choice(['win', 'best', 'x', 'cheap'])}" if bad else rng.choice(good) + rng.choice(["", "a", "bc"])
+        rows.append((i, f"http://{rng.choice(['www.', '', 'm.'])}{name}.example.{rng.choice(['com', 'org', 'info'])}/{rng.choice(['en', 'fr'])}/{i}"))
+    return rows
+
+
+def judged(spark, rows):
+    frame = spark.createDataFrame(rows, "page_id long, url string").withColumn("label", F.lit("mine")).withColumn("host", F.lit(1)).withColumn("features", F.lit(1))
+    return url_filter.judged(frame, URL_RULES, url_filter.listed_labels(frame.select("url"), BLOCKED_WORDS))
+
+
+def test_hosts_paths_and_rules(spark, make, drawn):
+    rows = drawn + [(2000 + k, u) for k, u in enumerate(URLS)] + [(1, drawn[1][1]), (None, "http://q.net/")]
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"]) for r in judged(spark, rows).collect()), key=str)
+    assert got == sorted(((i, *plain(u)[:3]) for i, u in rows), key=str)
+    for r in judged(spark, rows).collect():
+        verdict = plain(dict(rows).get(r["page_id"]))[3]
+        assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
+
+
+def test_trees_on_held_out_urls(spark, make, drawn):
+    frame = spark.createDataFrame(drawn, "page_id long, url string")
+    labelled = url_filter.listed_labels(frame.select("url"), BLOCKED_WORDS)
+    learned = labelled.filter(F.xxhash64("url") % 2 == 0)
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(frame, [], learned).collect()}
+    truth = {r["url"]: r["label"] for r in labelled.collect()}
+    right = sum((got[i] == "block") == (truth[u] == 1.0) for i, u in drawn)
+    assert right / len(drawn) > 0.95
+
+
+def test_features(spark, make):
+    rows = [(0, "http://ab.example.org/x/y?a=1&b=22"), (1, ""), (2, None), (3, "é")]
+    host, path = url_filter.parts(F.col("url"))
+    frame = spark.createDataFrame(rows, "page_id long, url string").select("*", host.alias("host"), path.alias("path"))
+    got = {r["page_id"]: r for r in url_filter.lexical(frame).collect()}
+    url = rows[0][1]
+    want = -sum(c / len(url) * math.log2(c / len(url)) for c in Counter(url).values())
+    assert got[0]["entropy"] == pytest.approx(want)
+    assert (got[0]["depth"], got[0]["labels"], got[0]["parameters"], got[0]["suffix"]) == (2, 2, 2, "org")
+    assert got[0]["digit_ratio"] == pytest.approx(3 / len(url))
+    assert got[1]["entropy"] == got[2]["entropy"] == got[3]["entropy"] == 0
+
+
+def test_no_python_on_the_way(spark, make, drawn):
+    plan = judged(spark, drawn)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_without_labels(spark, make):
+    rows = [(1, "http://a.com/"), (2, "http://b.net/")]
+    got = {r["page_id"]: r["verdict"] for r in judged(spark, rows).collect()}
+    assert got == {1: "allow", 2: "block"}
+    assert judged(spark, []).count() == 0
