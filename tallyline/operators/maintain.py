@@ -415,52 +415,6 @@ def identity_match(identities: DataFrame, users: DataFrame, registration_open: b
     )
 
 
-def membership_after_requests(users: DataFrame, requests: DataFrame) -> DataFrame:
-    """Accounts after the latest membership request of each.
-
-    ``requests``: seq, user_id, action (join, create, approve, deny), team_id.
-    Joining and creating are for accounts without a team; creating makes an
-    approved leader, a title that is never taken away here. Approving and denying
-    look at the team only, not at whether the member was still pending.
-    """
-    latest = requests.groupBy(F.col("user_id").alias("id")).agg(
-        F.max_by(F.struct("action", F.col("team_id").alias("asked_team")), "seq").alias("r"),
-        (F.count(F.lit(1)) - 1).alias("superseded"),
-    )
-    action, asked = F.col("r.action"), F.col("r.asked_team")
-    teamless = F.col("team_id").isNull()
-    same_team = F.coalesce(F.col("team_id") == asked, F.lit(False))
-    outcome = (
-        F.when(action.isNull(), "unchanged")
-        .when(action.isin("join", "create") & ~teamless, "already_on_a_team")
-        .when(action.isin("join", "create") & asked.isNull(), "no_team_given")
-        .when((action == "join") & F.col("is_admin"), "joined")
-        .when(action == "join", "pending")
-        .when(action == "create", "created")
-        .when(~same_team, "other_team")
-        .when(action == "approve", "approved")
-        .when(action == "deny", "denied")
-    )
-    step = F.col("outcome")
-    return (
-        users.join(latest, "id", "left")
-        .withColumn("outcome", outcome)
-        .select(
-            "id",
-            F.when(step.isin("joined", "pending", "created"), asked)
-            .when(step != "denied", F.col("team_id"))
-            .alias("team_id"),
-            F.when(step == "pending", False)
-            .when(step.isin("joined", "created", "approved", "denied"), True)
-            .otherwise(F.col("team_approved"))
-            .alias("team_approved"),
-            (F.col("is_squad_leader") | (step == "created")).alias("is_squad_leader"),
-            "outcome",
-            F.coalesce("superseded", F.lit(0)).alias("superseded"),
-        )
-    )
-
-
 # --- schema upgrades ---------------------------------------------------------------
 
 # Columns added to the tables over time, with the value older rows get.

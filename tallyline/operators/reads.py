@@ -133,10 +133,10 @@ def _paged(
     order: Sequence[Column],
     slices: Sequence[Column],
     page_rows: int,
-    is_heavy: Column | None,
+    heavy: DataFrame,
 ) -> DataFrame:
     """Add ``seq`` (1, 2, ... within ``keys``) and ``page`` (``page_rows`` rows each)."""
-    numbered = number_within(rows, keys, order, slices, "seq", is_heavy)
+    numbered = number_within(rows, keys, order, slices, "seq", heavy)
     return numbered.withColumn("page", F.floor((F.col("seq") - 1) / page_rows).cast("int"))
 
 
@@ -179,7 +179,6 @@ def round_history(
     heavy_rows: int | None = None,
 ) -> DataFrame:
     """Every round with its score lines as JSON, ``[]`` without scores; for one team newest first."""
-    is_heavy = heavy_keys(scores, ["round_id"], ["round_id"], heavy_rows)
     rounds = _of_team(rounds, team_id)
     lines = scores
     if team_id is not None:
@@ -192,30 +191,19 @@ def round_history(
     )
     order = [F.col(c) for c in ("shooter_id", "sub_for_shooter_id", *STATIONS, "total")]
     slices = [F.floor(F.col("shooter_id") / 65_536), *order[:5]]
-    paged = _paged(lines, ["round_id"], order, slices, page_rows, is_heavy)
+    paged = _paged(lines, ["round_id"], order, slices, page_rows, heavy_keys(scores, ["round_id"], heavy_rows))
     entry = F.struct(
         F.col("name"), F.array(*STATIONS).alias("stations"), F.col("total"), F.col("sub_for_name").alias("subFor")
     )
     listed = paged.groupBy("round_id", "page").agg(_listed(entry).alias("shooters"))
 
-    def with_pages(pages: DataFrame, how: str) -> DataFrame:
-        return rounds.join(pages, rounds["id"] == pages["round_id"], how).select(
-            "id",
-            "team_id",
-            iso_date("round_date").alias("date"),
-            "yardage",
-            F.col("round_number").alias("roundNumber"),
-            F.coalesce("page", F.lit(0)).alias("page"),
-            F.coalesce("shooters", F.lit("[]")).alias("shooters"),
-        )
-
-    if is_heavy is None:
-        history = with_pages(listed, "left")
-    else:
-        # Many pages of one round may spread over tasks in an inner join, not in a left one.
-        history = with_pages(listed.filter("page = 0"), "left").unionByName(
-            with_pages(listed.filter("page > 0"), "inner")
-        )
+    # An inner join spreads the many pages of one round over tasks, a left one would not.
+    columns = ["id", "team_id", iso_date("round_date").alias("date"), "yardage", F.col("round_number").alias("roundNumber")]
+    paired = rounds.join(listed, rounds["id"] == listed["round_id"]).select(*columns, "page", "shooters")
+    bare = rounds.join(lines.select(F.col("round_id").alias("id")), "id", "left_anti").select(
+        *columns, F.lit(0).alias("page"), F.lit("[]").alias("shooters")
+    )
+    history = paired.unionByName(bare)
     return in_order(history, team_id is not None, F.desc("date"), F.desc("roundNumber"), F.desc("id"), "page")
 
 

@@ -8,55 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A key with fewer rows than this is sorted by one task without trouble.
-HEAVY_ROWS = 1_000_000
-# The sketch follows this many keys and reports at most this many of them, so no
-# unreported key holds more than about 1/4096 of the rows.
-SKETCH_KEYS = 65_536
-SKETCH_TOP = 4_096
-ID_BUCKETS = 4_096
-
-
-def heavy_keys(
-    rows: DataFrame, source: Sequence[str], keys: Sequence[str], min_rows: int | None = None
-) -> Column | None:
-    """A test, over the columns ``keys``, for keys with more than ``min_rows`` rows in ``rows``.
-
-    ``source`` names the same key columns in ``rows``. One scan of them with a
-    frequent-items sketch per task; the driver gets at most SKETCH_TOP hashes.
-    The answer only steers how rows are spread, so an estimate is enough. None
-    when no key is heavy.
+# A key with more rows than this is cut into slices; any other is sorted by one task.
+HEAVY_ROWS = 10_000
+
+
+def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame:
+    """The ``keys`` with more than ``min_rows`` rows in ``rows``, however many there are.
+
+    Rows are counted before the shuffle. The plan is the same at every size.
     """
     min_rows = HEAVY_ROWS if min_rows is None else min_rows
-    if rows.count() <= min_rows:  # answered from file footers
-        return None
-    hashed = rows.select(F.xxhash64(*source).alias("h"))
-    top = hashed.agg(F.expr(f"approx_top_k(h, {SKETCH_TOP}, {SKETCH_KEYS})").alias("top")).first()["top"]
-    hashes = sorted(r["item"] for r in top or [] if r["count"] > min_rows)
-    return F.xxhash64(*keys).isin(hashes) if hashes else None
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > min_rows).drop("_rows")
 
 
-def heavy_names(scores: DataFrame, shooters: DataFrame, min_rows: int | None = None) -> Column | None:
-    """The same test over ``name`` for names that hold many scores, however many shooters share them.
+def heavy_names(scores: DataFrame, shooters: DataFrame, min_rows: int | None = None) -> DataFrame:
+    """The names (``name``) that hold more than ``min_rows`` scores, however many shooters share them.
 
-    Scores are counted per shooter before names are looked up; no other table is
-    read. At most SKETCH_TOP names reach the driver.
+    Scores are counted per shooter before names are looked up; no other table is read.
     """
     min_rows = HEAVY_ROWS if min_rows is None else min_rows
-    if scores.count() <= min_rows:
-        return None
-    names = (
+    return (
         scores.groupBy("shooter_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .join(shooters.select(F.col("id").alias("shooter_id"), "name"), "shooter_id")
         .groupBy("name")
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") > min_rows)
-        .orderBy(F.desc("n"), "name")
-        .limit(SKETCH_TOP)
+        .select("name")
     )
-    found = [r["name"] for r in names.collect()]
-    return F.col("name").isin(found) if found else None
 
 
 def number_within(
@@ -65,25 +44,23 @@ def number_within(
     order: Sequence[Column],
     slices: Sequence[Column],
     name: str,
-    is_heavy: Column | None,
+    heavy: DataFrame,
 ) -> DataFrame:
     """Number rows 1, 2, ... within ``keys`` in ``order``.
 
-    Keys under ``is_heavy`` are cut into nested ``slices`` (taken one after the
-    other they never decrease along ``order``), numbered per innermost slice, and
-    shifted by the rows of earlier slices. Each slice should have a limited
-    number of values within the one before it. All other keys take the plain
-    window; the numbers are the same either way.
+    Rows whose key (or part of it) is in ``heavy`` are cut into nested ``slices``
+    (taken one after the other they never decrease along ``order``), numbered per
+    innermost slice, and shifted by the rows of earlier slices. Each slice should
+    have a limited number of values within the one before it. All other rows have
+    one slice per key; the numbers are the same either way.
     """
-    if is_heavy is None:
-        return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-
     names = [f"_s{i}" for i in range(len(slices))]
+    marked = rows.join(heavy.withColumn("_heavy", F.lit(True)), heavy.columns, "left").select(*rows.columns, "_heavy")
     # A struct keeps a NULL slice value apart from "not cut".
-    cut = rows.withColumns({n: F.when(is_heavy, F.struct(s.alias("v"))) for n, s in zip(names, slices)})
+    cut = marked.withColumns({n: F.when(F.col("_heavy"), F.struct(s.alias("v"))) for n, s in zip(names, slices)})
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order)))
 
-    counts = cut.filter(is_heavy).groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut.filter("_heavy").groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
     shifts = None
     for depth in range(len(names)):
         outer, level = [*keys, *names[:depth]], [*keys, *names[: depth + 1]]
@@ -102,14 +79,17 @@ def number_within(
 
 
 def allocate_ids(
-    new: DataFrame, keys: Sequence[str], start: Column, name: str = "id", buckets: int = ID_BUCKETS
+    new: DataFrame, keys: Sequence[str], start: Column, name: str = "id", buckets: int | None = None
 ) -> DataFrame:
     """Give every row of ``new`` (unique on ``keys``) a dense id above ``start``.
 
-    Rows are numbered inside hash buckets of their key; only the bucket counts
-    (at most ``buckets`` rows) meet in one task. The ids depend on the contents
-    alone, so a repeated task gives the same ids.
+    Rows are numbered inside hash buckets of their key, by default four for every
+    shuffle partition of the session; only the bucket counts meet in one task. The
+    ids depend on the contents and the buckets alone, so a repeated task gives the
+    same ids.
     """
+    if buckets is None:
+        buckets = 4 * int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucketed = new.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     rank = F.row_number().over(W.partitionBy("_bucket").orderBy(*keys))
     local = bucketed.withColumn("_local", rank)

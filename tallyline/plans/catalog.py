@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.exprs import iso_date
-from tallyline.operators import derived, directory, ingest, maintain, reads
+from tallyline.operators import derived, directory, ingest, maintain, membership, reads
 from tallyline.operators.reads import STATIONS
 from tallyline.session import prepare, stage
 from tallyline.sources import sheets
@@ -263,7 +263,7 @@ def split_rounds(d: ClubData) -> DataFrame:
 def scores_after_edit(d: ClubData) -> DataFrame:
     """Every 13th round is replaced by its sheet and moved to the next team."""
     edited = F.col("submission_id") % 13 == 0
-    headers = d.submission_headers.filter(edited).withColumn("team_id", ((F.col("team_id") + 1) % 25).cast("int"))
+    headers = d.submission_headers.filter(edited).withColumn("team_id", (F.col("team_id") % 25 + 1).cast("int"))
     scores, roster, rounds = ingest.scores_after_edit(
         d.scores, d.shooters, d.rounds, headers, _lines(d).filter(edited)
     )
@@ -295,7 +295,7 @@ def patched_users(d: ClubData) -> DataFrame:
 def patched_teams(d: ClubData) -> DataFrame:
     """Odd teams are renamed, every third also loses its league; team 3 asks for a taken name."""
     odd = F.col("id") % 2 == 1
-    name = F.when(F.col("id") == 3, "NATION_2").otherwise(F.concat(F.lit(" New "), "name", F.lit(" ")))
+    name = F.when(F.col("id") == 3, "NATION_5").otherwise(F.concat(F.lit(" New "), "name", F.lit(" ")))
     patch = d.teams.filter(odd).select(
         "id", name.alias("name"), F.lit(None).cast("int").alias("league_id"), (F.col("id") % 3 == 0).alias("league_id_set")
     )
@@ -306,7 +306,7 @@ def patched_teams(d: ClubData) -> DataFrame:
 def patched_shooters(d: ClubData) -> DataFrame:
     """Every fifth shooter is renamed (a blank name keeps the old one), every tenth also moves."""
     name = F.when(F.col("id") % 15 == 0, "  ").otherwise(F.concat(F.lit(" New "), "name"))
-    team = F.when(F.col("id") % 10 == 0, (F.col("team_id") + 1) % 25)
+    team = F.when(F.col("id") % 10 == 0, F.col("team_id") % 25 + 1)
     patch = d.shooters.filter("id % 5 = 0").select("id", name.alias("name"), team.cast("int").alias("team_id"))
     return maintain.patch_shooters(d.shooters, patch)[0]
 
@@ -315,7 +315,7 @@ def patched_shooters(d: ClubData) -> DataFrame:
 def patched_logos(d: ClubData) -> DataFrame:
     """Every member asks for a logo, by turns for their own and the next team; some send no image."""
     image = F.when(F.col("id") % 4 == 1, "logo.png").when(F.col("id") % 4 != 2, F.concat(F.lit("data:image/png;"), "email"))
-    wanted = ((F.col("team_id") + F.col("id") % 2) % 25).cast("int")
+    wanted = ((F.col("team_id") - 1 + F.col("id") % 2) % 25 + 1).cast("int")
     requests = d.users.filter("team_id IS NOT NULL").select(
         F.col("id").alias("seq"), wanted.alias("team_id"), image.alias("logo_data"),
         "is_admin", "is_squad_leader", F.col("team_id").alias("own_team_id"),
@@ -374,8 +374,8 @@ def after_delete_shooters(d: ClubData) -> DataFrame:
 
 
 def _unwanted_teams(d: ClubData) -> tuple[DataFrame, DataFrame]:
-    """Every fifth team, and the members that protect the first twenty teams."""
-    return d.teams.filter("id % 5 = 0").select("id"), d.users.filter("team_id < 20")
+    """Every fifth team; every other one of these has no members."""
+    return d.teams.filter("id % 5 = 0").select("id"), d.users
 
 
 @query
@@ -405,9 +405,31 @@ def identity_match(d: ClubData) -> DataFrame:
     return maintain.identity_match(d.identities, d.users)
 
 
+def _after_requests(d: ClubData) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return membership.apply_requests(d.users, d.membership_requests, d.teams)
+
+
 @query
 def membership_after_requests(d: ClubData) -> DataFrame:
-    return maintain.membership_after_requests(d.users, d.membership_requests)
+    """Accounts with the name of their team: ids of teams founded meanwhile depend on the engine."""
+    users, _, teams = _after_requests(d)
+    named = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team"))
+    return users.join(named, "team_id", "left").select("id", "team", "team_approved", "is_squad_leader")
+
+
+@query
+def membership_request_outcomes(d: ClubData) -> DataFrame:
+    return _after_requests(d)[1]
+
+
+@query
+def teams_after_requests(d: ClubData) -> DataFrame:
+    """Teams with those founded by requests added; their ids are hidden."""
+    known = d.teams.select(F.col("id").alias("known_id"))
+    after = _after_requests(d)[2]
+    return after.join(known, after["id"] == known["known_id"], "left").select(
+        F.col("known_id").alias("id"), "name", "league_id"
+    )
 
 
 @query

@@ -23,6 +23,8 @@ def with_views(views: str, body: str) -> str:
     plain = {name: name for name in (*BASE_TABLES, *BLOCKS)}
     ctes = [f"{name} AS ({BLOCKS[name].format(**plain)})" for name in ordered]
     body = body.strip()
+    if body.startswith("WITH RECURSIVE"):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[len("WITH RECURSIVE"):]
     if body.startswith("WITH"):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[len("WITH"):]
     return "WITH " + ",\n".join(ctes) + "\n" + body
@@ -366,7 +368,7 @@ replaced AS (SELECT * FROM editable WHERE submission_id % 13 = 0)
 SELECT round_id AS source_id, team_id, round_number, yardage, name, sub_for_name, {ST}, total
 FROM flat WHERE round_id NOT IN (SELECT submission_id FROM replaced)
 UNION ALL
-SELECT e.submission_id, CAST((e.team_id + 1) % 25 AS INT), CAST(COALESCE(k.row_round_number, e.round_number) AS SMALLINT),
+SELECT e.submission_id, CAST(e.team_id % 25 + 1 AS INT), CAST(COALESCE(k.row_round_number, e.round_number) AS SMALLINT),
        e.yardage, k.name, k.sub_for, {ST}, k.total
 FROM replaced e JOIN kept k USING (submission_id)""")
 
@@ -383,16 +385,16 @@ SELECT id, CASE WHEN id % 2 = 0 OR id = 3 THEN name ELSE 'New ' || name END AS n
 FROM teams""")
 
 oracle("patched_shooters", "shooters", """
-SELECT id, CASE WHEN id % 10 = 0 THEN CAST((team_id + 1) % 25 AS INT) ELSE team_id END AS team_id,
+SELECT id, CASE WHEN id % 10 = 0 THEN CAST(team_id % 25 + 1 AS INT) ELSE team_id END AS team_id,
        CASE WHEN id % 5 = 0 AND id % 15 <> 0 THEN 'New ' || name ELSE name END AS name
 FROM shooters""")
 
 oracle("patched_logos", "users team_logos", """WITH
-asked AS (SELECT id AS seq, CAST((team_id + id % 2) % 25 AS INT) AS team_id,
+asked AS (SELECT id AS seq, CAST((team_id - 1 + id % 2) % 25 + 1 AS INT) AS team_id,
                  CASE id % 4 WHEN 1 THEN 'logo.png' WHEN 2 THEN NULL ELSE 'data:image/png;' || email END AS logo_data
           FROM users
           WHERE team_id IS NOT NULL AND id % 4 <> 1
-            AND (is_admin OR (is_squad_leader AND (team_id + id % 2) % 25 = team_id))),
+            AND (is_admin OR (is_squad_leader AND (team_id - 1 + id % 2) % 25 + 1 = team_id))),
 last AS (SELECT team_id, arg_max({'logo': logo_data}, seq).logo AS logo_data FROM asked GROUP BY team_id)
 SELECT team_id, logo_data FROM team_logos WHERE team_id NOT IN (SELECT team_id FROM last)
 UNION ALL SELECT team_id, logo_data FROM last WHERE logo_data IS NOT NULL""")
@@ -444,7 +446,7 @@ FROM scores WHERE shooter_id NOT IN (SELECT id FROM gone)""")
 
 _GONE_TEAMS = """
 gone AS (SELECT id FROM teams WHERE id % 5 = 0
-         AND id NOT IN (SELECT team_id FROM users WHERE team_id < 20))"""
+         AND id NOT IN (SELECT team_id FROM users WHERE team_id IS NOT NULL))"""
 
 oracle("after_delete_teams", "scores shooters rounds teams users", f"""WITH {_GONE_TEAMS},
 gone_shooters AS (SELECT id FROM shooters WHERE team_id IN (SELECT id FROM gone)),
@@ -457,7 +459,7 @@ WHERE round_id NOT IN (SELECT id FROM gone_rounds) AND shooter_id NOT IN (SELECT
 
 oracle("team_delete_report", "teams users", """
 SELECT t.id, t.name, count(u.id) AS members, CASE WHEN count(u.id) > 0 THEN 'has_members' ELSE 'deleted' END AS outcome
-FROM teams t LEFT JOIN users u ON u.team_id = t.id AND u.team_id < 20
+FROM teams t LEFT JOIN users u ON u.team_id = t.id 
 WHERE t.id % 5 = 0 GROUP BY 1, 2""")
 
 oracle("after_delete_leagues", "teams", """
@@ -487,24 +489,47 @@ SELECT s.seq, s.external_id, s.email, CASE WHEN ok THEN COALESCE(g.id, e.id) END
             ELSE 'created' END AS outcome
 FROM seen s LEFT JOIN users g ON g.google_id = s.external_id LEFT JOIN users e ON e.email = s.email""")
 
-oracle("membership_after_requests", "users membership_requests", """WITH
-latest AS (SELECT user_id, action, team_id AS asked, n - 1 AS superseded
-           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS turn,
-                        count(*) OVER (PARTITION BY user_id) AS n FROM membership_requests) WHERE turn = 1),
-judged AS (SELECT u.*, asked, COALESCE(superseded, 0) AS superseded,
-                  CASE WHEN action IS NULL THEN 'unchanged'
-                       WHEN action IN ('join', 'create') AND team_id IS NOT NULL THEN 'already_on_a_team'
-                       WHEN action = 'join' THEN CASE WHEN is_admin THEN 'joined' ELSE 'pending' END
-                       WHEN action = 'create' THEN 'created'
-                       WHEN team_id IS DISTINCT FROM asked THEN 'other_team'
-                       WHEN action = 'approve' THEN 'approved' ELSE 'denied' END AS outcome
-           FROM users u LEFT JOIN latest l ON l.user_id = u.id)
-SELECT id, CASE WHEN outcome IN ('joined', 'pending', 'created') THEN asked
-                WHEN outcome <> 'denied' THEN team_id END AS team_id,
-       CASE WHEN outcome = 'pending' THEN false WHEN outcome IN ('joined', 'created', 'approved', 'denied') THEN true
-            ELSE team_approved END AS team_approved,
-       is_squad_leader OR outcome = 'created' AS is_squad_leader, outcome, superseded
-FROM judged""")
+# One request after the other, as the site handles them.
+_REQUESTS = """
+asked AS (
+  SELECT r.seq, r.user_id, r.action, nullif(r.team_id, 0) AS wanted, nullif(trim(r.team_name), '') AS new_name,
+         row_number() OVER (PARTITION BY r.user_id ORDER BY r.seq) AS turn
+  FROM membership_requests r),
+turns AS (
+  SELECT a.*, t.name AS wanted_name FROM asked a LEFT JOIN teams t ON t.id = a.wanted),
+walk AS (
+  SELECT u.id, u.is_admin, CAST(0 AS BIGINT) AS turn, t.name AS team, u.team_approved, u.is_squad_leader,
+         CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS outcome
+  FROM users u LEFT JOIN teams t ON t.id = u.team_id
+  UNION ALL
+  SELECT id, is_admin, turn,
+         CASE WHEN outcome = 'created' THEN new_name WHEN outcome IN ('joined', 'pending') THEN wanted_name
+              WHEN outcome <> 'denied' THEN team END,
+         CASE WHEN outcome IN ('created', 'joined', 'approved', 'denied') THEN true WHEN outcome = 'pending' THEN false
+              ELSE team_approved END,
+         is_squad_leader OR outcome = 'created', seq, action, outcome
+  FROM (SELECT w.id, w.is_admin, t.turn, w.team, w.team_approved, w.is_squad_leader, t.seq, t.action, t.new_name, t.wanted_name,
+               CASE WHEN t.action IN ('join', 'create') THEN
+                      CASE WHEN w.team IS NOT NULL THEN 'already_on_a_team' WHEN t.new_name IS NOT NULL THEN 'created'
+                           WHEN t.wanted IS NULL THEN 'no_team_given' WHEN t.wanted_name IS NULL THEN 'unknown_team'
+                           WHEN w.is_admin THEN 'joined' ELSE 'pending' END
+                    WHEN w.team IS NULL OR t.wanted_name IS NULL OR w.team <> t.wanted_name THEN 'other_team'
+                    WHEN t.action = 'approve' THEN 'approved' ELSE 'denied' END AS outcome
+        FROM walk w JOIN turns t ON t.user_id = w.id AND t.turn = w.turn + 1) x)"""
+
+oracle("membership_after_requests", "users teams membership_requests", f"""WITH RECURSIVE {_REQUESTS}
+SELECT id, team, team_approved, is_squad_leader FROM walk
+WHERE turn = (SELECT count(*) FROM membership_requests r WHERE r.user_id = walk.id)""")
+
+oracle("membership_request_outcomes", "users teams membership_requests", f"""WITH RECURSIVE {_REQUESTS}
+SELECT seq, id AS user_id, action, outcome FROM walk WHERE turn > 0
+UNION ALL
+SELECT seq, user_id, action, 'unknown_user' FROM membership_requests WHERE user_id NOT IN (SELECT id FROM users)""")
+
+oracle("teams_after_requests", "users teams membership_requests", f"""WITH RECURSIVE {_REQUESTS}
+SELECT id, name, league_id FROM teams
+UNION ALL
+SELECT DISTINCT NULL, team, NULL FROM walk WHERE outcome = 'created' AND team NOT IN (SELECT name FROM teams)""")
 
 oracle("backfilled_rounds", "rounds teams", """
 SELECT id, CASE WHEN id % 3 = 0 THEN (SELECT max(id) + 1 FROM teams) ELSE team_id END AS team_id,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply SETTINGS to a session made elsewhere."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return importing(spark)
+
+
+def importing(spark: SparkSession) -> SparkSession:
+    """Let the session's Python workers import this package from where the driver did."""
+    spark.sparkContext.environment["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     return spark
 
 
@@ -58,18 +65,36 @@ def local_session(
     return spark
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder for intermediate tables and stream checkpoints.
+# Folders written by `scratch`, for `clearing` to remove.
+_written: list[str] = []
 
-    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``.
-    Only a local-mode session without that setting gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that the driver and all executors can reach, as the session names it."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediate tables and stream checkpoints, in the shared folder of the session."""
+    base = shared_folder(spark)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = os.path.join(tempfile.gettempdir(), "tallyline")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end the scratch folders made inside. Results must be written or read by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _written[before:]
 
 
 def stage(rows: DataFrame, label: str) -> DataFrame:

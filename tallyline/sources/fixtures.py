@@ -19,19 +19,19 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem",
 BLOCKS: dict[str, str] = {
     "leagues": "SELECT r_regionkey AS id, r_name AS name FROM {region}",
     "teams": """
-SELECT n_nationkey AS id, n_name AS name,
+SELECT n_nationkey + 1 AS id, n_name AS name,
        CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE n_regionkey END AS league_id
 FROM {nation}""",
     "team_logos": """
-SELECT n_nationkey AS team_id, 'data:image/png;base64,' || n_name AS logo_data
+SELECT n_nationkey + 1 AS team_id, 'data:image/png;base64,' || n_name AS logo_data
 FROM {nation} WHERE n_nationkey % 4 <> 0""",
     "shooters": """
-SELECT s_suppkey AS id, s_nationkey AS team_id, s_name AS name FROM {supplier}
+SELECT s_suppkey AS id, s_nationkey + 1 AS team_id, s_name AS name FROM {supplier}
 UNION ALL
-SELECT 1000000 + c_custkey, c_nationkey, c_name FROM {customer}
+SELECT 1000000 + c_custkey, c_nationkey + 1, c_name FROM {customer}
 WHERE c_mktsegment = 'MACHINERY'""",
     "rounds": """
-SELECT o_orderkey AS id, c_nationkey AS team_id, CAST(o_orderdate AS DATE) AS round_date,
+SELECT o_orderkey AS id, c_nationkey + 1 AS team_id, CAST(o_orderdate AS DATE) AS round_date,
        CAST(1 + o_orderkey % 2 AS SMALLINT) AS round_number,
        CAST(CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 16 + o_orderkey % 12 END AS SMALLINT) AS yardage
 FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
@@ -53,7 +53,7 @@ SELECT c_custkey AS id, lower(c_name) || '@club.test' AS email,
        CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS name,
        c_custkey % 50 = 0 AS is_admin, c_custkey % 20 = 0 AS is_squad_leader,
        c_acctbal >= 0 AS team_approved,
-       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey END AS team_id,
+       CASE WHEN c_custkey % 7 = 0 OR c_nationkey % 10 = 4 THEN NULL ELSE c_nationkey + 1 END AS team_id,
        ts AS created_at
 FROM {customer} JOIN {events} ON event_id = c_custkey""",
     "submission_headers": """
@@ -91,7 +91,8 @@ SELECT c_custkey AS seq,
        CASE WHEN c_custkey % 13 = 0 THEN 'no-at-sign'
             WHEN c_custkey % 5 = 0 THEN '  ' || upper(c_name) || '@Club.Test '
             ELSE 'New' || CAST(c_custkey % 1000 AS VARCHAR(20)) || '@new.test' END AS raw_email,
-       CASE WHEN c_custkey % 4 = 0 THEN c_nationkey END AS team_id,
+       CASE WHEN c_custkey % 44 = 0 THEN 999 WHEN c_custkey % 36 = 0 THEN 0 WHEN c_custkey % 4 = 0 THEN c_nationkey + 1 END AS team_id,
+       CASE WHEN c_custkey % 3 > 0 THEN ' ' || c_name || ' ' END AS raw_name,
        CASE WHEN c_custkey % 4 = 1 THEN ' Team ' || CAST(c_custkey % 30 AS VARCHAR(4))
             WHEN c_custkey % 4 = 2 AND c_custkey % 10 = 2 THEN n_name END AS new_team_name
 FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey""",
@@ -104,7 +105,10 @@ FROM {customer}""",
     "membership_requests": """
 SELECT event_id AS seq, user_id,
        CASE event_id % 4 WHEN 0 THEN 'join' WHEN 1 THEN 'create' WHEN 2 THEN 'approve' ELSE 'deny' END AS action,
-       CAST(user_id % 25 AS INT) AS team_id
+       CAST(CASE WHEN event_id % 97 = 0 THEN 999 WHEN event_id % 89 = 0 THEN 0 ELSE user_id % 25 + 1 END AS INT) AS team_id,
+       CASE WHEN event_id % 4 = 1 AND event_id % 3 > 0
+            THEN CASE WHEN event_id % 8 = 1 THEN ' NATION_' || CAST(user_id % 25 AS VARCHAR(2)) || ' '
+                      ELSE 'Founded ' || CAST(event_id % 30 AS VARCHAR(2)) END END AS team_name
 FROM {events}""",
 }
 
@@ -167,5 +171,5 @@ class ClubData:
             order=[F.col(c) for c in _LINE_ORDER],
             slices=[F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65_536), F.col("l_partkey"), F.col("l_suppkey")],
             name="pos",
-            is_heavy=heavy_keys(self.base("lineitem"), ["l_orderkey"], ["submission_id"]),
+            heavy=heavy_keys(self.base("lineitem").withColumnRenamed("l_orderkey", "submission_id"), ["submission_id"]),
         ).drop(*_LINE_ORDER)

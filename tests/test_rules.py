@@ -1,12 +1,13 @@
 """Rules the test tables do not reach, on small hand-written frames."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions import exprs, jsontext
-from tallyline.operators import derived, directory, ingest, maintain, reads
+from tallyline.operators import derived, directory, ingest, maintain, membership, reads
 from tallyline.sources import sheets, sinks, tables
 
 SCORES = tables.SCHEMAS["scores"]
@@ -328,25 +329,77 @@ def test_admins_are_asked_only_without_leaders(spark):
     ]
 
 
+REQUESTS = "seq INT, user_id BIGINT, action STRING, team_id INT, team_name STRING"
+
+
+def two_teams(spark):
+    return spark.createDataFrame([(1, "One", None), (2, "Two", None)], tables.SCHEMAS["teams"])
+
+
 def test_requests(spark):
     users = spark.createDataFrame(
         [user(1), user(2, admin=True), user(3), user(4, 1), user(5, 1, approved=False), user(6, 2), user(7, 1, leader=True)], USERS
     )
     asked = spark.createDataFrame(
-        [(1, 1, "create", 9), (2, 1, "join", 1), (3, 2, "join", 1), (4, 3, "create", 1), (5, 4, "deny", 1),
-         (6, 5, "approve", 1), (7, 6, "deny", 1), (8, 7, "join", 2)],
-        "seq INT, user_id BIGINT, action STRING, team_id INT",
+        [(1, 1, "create", None, " New "), (2, 1, "join", 1, None), (3, 2, "join", 1, None), (4, 3, "create", 2, "One"),
+         (5, 4, "deny", 1, None), (6, 5, "approve", 1, None), (7, 6, "deny", 1, None), (8, 7, "join", 2, None),
+         (9, 4, "join", 999, None), (10, 4, "join", 0, " "), (11, 4, "create", 2, " "), (12, 4, "approve", 2, None),
+         (13, 99, "join", 1, None), (14, 3, "deny", 1, None), (15, 7, "join", 999, None), (16, 6, "approve", None, None)],
+        REQUESTS,
     )
-    after = maintain.membership_after_requests(users, asked)
-    assert rows(after, "id", "team_id", "team_approved", "is_squad_leader", "outcome", "superseded") == [
-        (1, 1, False, False, "pending", 1),
-        (2, 1, True, False, "joined", 0),
-        (3, 1, True, True, "created", 0),
-        (4, None, True, False, "denied", 0),
-        (5, 1, True, False, "approved", 0),
-        (6, 2, True, False, "other_team", 0),
-        (7, 1, True, True, "already_on_a_team", 0),
+    for width in (2, 4096):
+        after, outcomes, teams = membership.apply_requests(users, asked, two_teams(spark), width)
+        assert sorted(map(tuple, outcomes.select("seq", "outcome").collect())) == [
+            (1, "created"), (2, "already_on_a_team"), (3, "joined"), (4, "created"), (5, "denied"), (6, "approved"),
+            (7, "other_team"), (8, "already_on_a_team"), (9, "unknown_team"), (10, "no_team_given"), (11, "pending"),
+            (12, "approved"), (13, "unknown_user"), (14, "denied"), (15, "already_on_a_team"), (16, "other_team"),
+        ]
+        assert rows(teams, "id", "name") == [(1, "One"), (2, "Two"), (3, "New")]
+        assert after.columns == users.columns
+        assert rows(after, "id", "team_id", "team_approved", "is_squad_leader") == [
+            (1, 3, True, True), (2, 1, True, False), (3, None, True, True), (4, 2, True, False), (5, 1, True, False),
+            (6, 2, True, False), (7, 1, True, True),
+        ]
+
+
+def test_requests_of_one_busy_member(spark):
+    """A third of all requests come from one member; the order decides throughout."""
+    draw = random.Random(5)
+    users = [user(k, draw.choice([None, 1, 2]), admin=k % 4 == 0) for k in range(1, 9)]
+    asked = [
+        (seq, 1 if seq % 3 == 0 else draw.randint(1, 8), draw.choice(["join", "create", "approve", "deny", "deny"]),
+         draw.choice([1, 2, 2, 999]), draw.choice([None, None, "One", "Fresh"]))
+        for seq in draw.sample(range(5_000), 900)
     ]
+    state = {u[0]: [u[7], u[6], u[5]] for u in users}
+    names = {1: "One", 2: "Two"}
+    want = []
+    for seq, member, action, team, name in sorted(asked):
+        on, _, leader = state[member]
+        if action in ("join", "create"):
+            if on:
+                outcome = "already_on_a_team"
+            elif name:
+                outcome, state[member] = "created", [name, True, True]
+            elif team not in names:
+                outcome = "unknown_team"
+            else:
+                admin = member % 4 == 0
+                outcome, state[member] = "joined" if admin else "pending", [team, admin, leader]
+        elif on is None or names.get(on, on) != names.get(team):
+            outcome = "other_team"
+        elif action == "approve":
+            outcome, state[member] = "approved", [on, True, leader]
+        else:
+            outcome, state[member] = "denied", [None, True, leader]
+        want.append((seq, outcome))
+    frame = spark.createDataFrame(asked, REQUESTS)
+    for width in (3, 64, 4096):
+        after, outcomes, teams = membership.apply_requests(spark.createDataFrame(users, USERS), frame, two_teams(spark), width)
+        assert sorted(map(tuple, outcomes.select("seq", "outcome").collect())) == want
+        named = {r["id"]: r["name"] for r in teams.collect()}
+        got = {r["id"]: [named.get(r["team_id"]), r["team_approved"], r["is_squad_leader"]] for r in after.collect()}
+        assert got == {k: [names.get(t, t), a, x] for k, (t, a, x) in state.items()}
 
 
 APPLICANTS = "seq INT, raw_email STRING, team_id INT, new_team_name STRING"
