@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.session import importing, stage
+
 # Batches to Python stay small even where texts are long.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,37 +19,19 @@ SETTINGS = {
 # The words of the contracts: runs of anything but ASCII white space. These are
 # the bytes that bytes.split() takes for white space too.
 WORD = r"[^\x20\x09-\x0D]+"
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply SETTINGS to the session and let its Python workers import this package from where the driver did."""
+    """Apply SETTINGS to the session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    spark.sparkContext.environment["PYTHONPATH"] = _ROOT
-    return spark
+    return importing(spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def stage(rows: DataFrame, label: str) -> DataFrame:
-    """Write ``rows`` to the shared folder and go on from the written table.
-
-    Cuts the lineage: a lost executor costs its running tasks only. The folder is
-    the one the cluster names in ``spark.checkpoint.dir``; a session without that
-    setting is refused, since no other place is known to be shared.
-    """
-    spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
