@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.shared import spread_sample
 
 #: Pages the field is trained on, at most.
 TRAINING_PAGES = 300
@@ -347,9 +348,8 @@ def extracted(
     out each time, a null page_id stays; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
-    usable = rows.filter(F.col("html").contains("<article")).select("html", F.xxhash64("html").alias("h"))
-    # Few rows by their hash: each task hands on that many at most.
-    sample = [r["html"] for r in usable.orderBy("h", "html").limit(training_pages).collect()]
+    usable = rows.filter(F.col("html").contains("<article")).select("html")
+    sample = [r["html"] for r in spread_sample(usable, F.col("html"), training_pages).collect()]
     sent = pages.sparkSession.sparkContext.broadcast(fit(labelled(sample)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

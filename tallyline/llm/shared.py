@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.session import importing, stage
@@ -36,6 +36,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """``n`` rows of ``rows``, those with the least hash of ``key``; all if there are no more.
+
+    The rows are counted first, so that every task only hands on its share of a
+    few more than ``n``, however many tasks there are.
+    """
+    total = rows.count()
+    share = (n + 8 * n**0.5 + 50) / max(total, 1)
+    lowest = -(1 << 63)
+    rows = rows.withColumn("__hash", F.xxhash64(key))
+    if share < 1:
+        rows = rows.filter(F.col("__hash") < F.lit(lowest + int(share * (1 << 64))))
+    return rows.orderBy("__hash").limit(n).drop("__hash")
+
+
 def components(edges: DataFrame, stage_as: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """Connected components of the links ``a``, ``b``: one row (node, root) per linked node.
 
