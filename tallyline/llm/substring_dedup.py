@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyline.llm.shared import stage
 
@@ -19,7 +20,8 @@ WINDOW = 50
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 # Odd 64-bit multipliers of the rolling hashes.
 _ANCHOR, _LEFT, _RIGHT = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
-_ONE = np.uint64(1)
+#: Anchors or windows that a task holds to settle among themselves.
+HELD = 4_000_000
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -57,62 +59,104 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_words, sha256) of the words of every text, joined by one space."""
+    """(doc_id, text_hash, n_words, sha256) of the words of every text, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [(x.as_py() or "").encode("utf-8", "surrogatepass").split() for x in batch.column(1)]
+            split = [(x.as_py() or "").encode("utf-8", "surrogatepass").split() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in split], pa.int64()),
+                [batch.column(0), batch.column(1), pa.array([len(w) for w in split], pa.int64()),
                  pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split])],
-                ["doc_id", "n_words", "sha256"],
+                ["doc_id", "text_hash", "n_words", "sha256"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, sha256 string")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(
+        run, "doc_id long, text_hash long, n_words long, sha256 string"
+    )
 
 
 def anchors(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, doc_id, pos): a hash of the words after every cover position of every text.
+    """(known, h, text_hash, pos): hashes of the words after the cover positions of every text.
 
     An anchor has ``window - PERIOD + 1`` words. Wherever two texts agree on a
     whole window, some offset into it is a cover position in both, so both have
-    the same anchor there.
+    the same anchor there. A task that sees an anchor in two texts knows that it
+    is shared: their rows come out as ``known``, under a key of their own, and
+    only one goes on to be held against other tasks. So no anchor has more rows
+    to compare than there are tasks, besides repeats within one text.
     """
     size = window - PERIOD + 1
     cover = np.isin(np.arange(PERIOD), COVER)
 
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, text, pos = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pos, text, h))
+        h, text, pos = h[order], text[order], pos[order]
+        own = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]) | (pos[1:] != pos[:-1])]
+        h, text, pos = h[own], text[own], pos[own]
+        first = np.r_[True, h[1:] != h[:-1]]
+        group = np.cumsum(first) - 1
+        last = np.r_[np.flatnonzero(first)[1:], len(h)] - 1
+        known = (text[first] != text[last])[group]
+        go = ~known | first
+        key = np.concatenate([h[go], mixed(text[known].view(np.uint64) + pos[known].astype(np.uint64))])
+        flag = np.r_[np.zeros(go.sum(), bool), np.ones(known.sum(), bool)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(flag), pa.array(key.view(np.int64)), pa.array(np.r_[text[go], text[known]]),
+             pa.array(np.r_[pos[go], pos[known]])], ["known", "h", "text_hash", "pos"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            h, doc, pos = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = word_hashes(text.as_py())
                 if len(words) < window:
                     continue
                 runs = rolled(words, size, _ANCHOR)
                 at = np.flatnonzero(np.resize(cover, len(runs)))
-                h.append(runs[at])
-                doc.append(np.full(len(at), number, dtype=np.int64))
-                pos.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(doc)),
-                 pa.array(np.concatenate(pos))], ["h", "doc_id", "pos"],
-            )
+                parts.append((runs[at], np.full(len(at), text_hash, dtype=np.int64), at.astype(np.int32)))
+                held += len(at)
+                if held >= HELD:
+                    yield out(parts)
+                    parts, held = [], 0
+        if parts:
+            yield out(parts)
+
+    return rows.filter("doc_id IS NOT NULL").select("text_hash", "text").mapInArrow(
+        run, "known boolean, h long, text_hash long, pos int"
+    )
 
-    return rows.filter("doc_id IS NOT NULL").mapInArrow(run, "h long, doc_id long, pos int")
 
+def windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(known, k1, k2, doc_id, i): 128-bit hashes of all windows around the anchors at ``at`` of every text.
 
-def windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k1, k2, doc_id, i): 128-bit hashes of all windows around the anchors at ``at`` of every text."""
+    Where a task sees a window in several texts, all but those of the smallest
+    doc_id are ``known`` to repeat, and only that one's go on to be held against
+    other tasks.
+    """
     before = PERIOD - 1
 
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        k1, k2, doc, pos = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pos, doc, k2, k1))
+        k1, k2, doc, pos = k1[order], k2[order], doc[order], pos[order]
+        first = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
+        known = doc > doc[first][np.cumsum(first) - 1]
+        k1[known], k2[known] = mixed(doc[known].view(np.uint64) + pos[known].astype(np.uint64)), 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(known), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(doc), pa.array(pos)],
+            ["known", "k1", "k2", "doc_id", "i"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            k1, k2 = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            doc, pos = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for number, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = word_hashes(text.as_py())
                 count = len(words) - window + 1
@@ -124,35 +168,43 @@ def windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 np.add.at(edge, np.clip(at - before, 0, count), 1)
                 np.add.at(edge, np.clip(at + 1, 0, count), -1)
                 near = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                k1.append(rolled(words, window, _LEFT)[near])
-                k2.append(rolled(words, window, _RIGHT)[near])
-                doc.append(np.full(len(near), number, dtype=np.int64))
-                pos.append(near.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(k1).view(np.int64)), pa.array(np.concatenate(k2).view(np.int64)),
-                 pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos))], ["k1", "k2", "doc_id", "i"],
-            )
-
-    return rows.select("doc_id", "text", "at").mapInArrow(run, "k1 long, k2 long, doc_id long, i int")
+                parts.append((
+                    rolled(words, window, _LEFT)[near], rolled(words, window, _RIGHT)[near],
+                    np.full(len(near), number, dtype=np.int64), near.astype(np.int32),
+                ))
+                held += len(near)
+                if held >= HELD:
+                    yield out(parts)
+                    parts, held = [], 0
+        if parts:
+            yield out(parts)
+
+    return texts.select("doc_id", "text", "at").mapInArrow(
+        run, "known boolean, k1 long, k2 long, doc_id long, i int"
+    )
 
 
 def repeats(rows: DataFrame, seen: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(texts, starts): the texts with candidates and, per doc_id, the windows that a smaller doc_id has too.
 
-    ``rows`` has doc_id and text, ``seen`` their digests. Copies of a whole text
-    are settled by their digest and take no further part. An anchor that many
-    texts share is one skewed key of a join, which Spark splits; minima are
-    combined before the shuffle, and the members of a group never meet.
+    ``rows`` has doc_id, text_hash and text, ``seen`` their digests. Of texts with
+    the same words only the smallest doc_id takes part; the others are settled by
+    their digest. Anchors and windows are each shuffled once, after every task has
+    settled what it can by itself, so that no key has many rows left.
     """
-    spread = anchors(rows, window)
-    shared = spread.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    copies = _copies(seen).select("doc_id").distinct()
-    found = spread.join(shared.select("h"), "h").select("doc_id", "pos").join(copies, "doc_id", "left_anti")
-    at = found.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    texts = stage(rows.join(at, "doc_id"), "repeat-candidates")
-    wide = windows(texts, window)
-    firsts = wide.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    later = wide.join(firsts.select("k1", "k2", "lo"), ["k1", "k2"]).filter("doc_id > lo")
+    same_anchor = Window.partitionBy("known", "h")
+    shared = F.min("text_hash").over(same_anchor) != F.max("text_hash").over(same_anchor)
+    spread = anchors(rows, window).withColumn("shared", F.col("known") | shared).filter("shared")
+    at = spread.groupBy("text_hash").agg(F.collect_set("pos").alias("at"))
+    alone = seen.filter("doc_id IS NOT NULL").groupBy("sha256").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("x")
+    ).select("x.doc_id", "x.text_hash")
+    texts = stage(
+        rows.select("doc_id", "text").join(alone.join(at, "text_hash").select("doc_id", "at"), "doc_id"),
+        "repeat-candidates",
+    )
+    same_window = Window.partitionBy("known", "k1", "k2")
+    later = windows(texts, window).withColumn("lo", F.min("doc_id").over(same_window)).filter("known OR doc_id > lo")
     return texts, later.groupBy("doc_id").agg(F.collect_set("i").alias("starts"))
 
 
@@ -224,7 +276,7 @@ def deduplicated(
         "doc_id", "text", "starts"
     ).mapInArrow(run, "__id long, __lost long, __sha string, starts array<int>")
     copies = _copies(seen).filter(F.col("n_words") >= window).select(F.col("doc_id").alias("__copy")).distinct()
-    out = seen.join(changed, seen["doc_id"] == changed["__id"], "left").join(
+    out = seen.drop("text_hash").join(changed, seen["doc_id"] == changed["__id"], "left").join(
         copies, F.col("doc_id") == F.col("__copy"), "left"
     )
     whole = F.col("__copy").isNotNull()

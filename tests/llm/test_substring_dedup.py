@@ -86,6 +86,13 @@ def test_removed_words(make, seed):
             assert r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("parts", [1, 16])
+def test_any_spread_over_tasks(make, parts):
+    rows = drawn_rows(5)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(make(rows, parts)).collect()}
+    assert got == plain(rows)
+
+
 def test_other_window(make):
     rows = drawn_rows(7)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(make(rows), window=35).collect()}
