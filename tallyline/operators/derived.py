@@ -58,7 +58,8 @@ def team_trends_top5(
     """Trend points of the ``k`` names with the most scores in each team's rounds.
 
     Ranking runs on one row per (team, name); only ``k`` rows per team and task
-    survive to the shuffle. The points are then cut down before names are joined.
+    survive to the shuffle. The second pass keeps the scores of the chosen
+    shooters, at most ``k`` names per team, before it looks up any round.
     """
     pairs = (
         scores.join(round_keys(rounds, "team_id"), "round_id")
@@ -73,6 +74,7 @@ def team_trends_top5(
     dates = round_keys(rounds, "team_id", "round_date", "round_number")
     return (
         scores.select("round_id", "shooter_id", "total")
+        .join(ids.select("shooter_id"), "shooter_id", "left_semi")
         .join(dates, "round_id")
         .join(ids, ["team_id", "shooter_id"])
         .select("team_id", "rank", "name", iso_date("round_date").alias("round_date"), "round_number", "round_id", "total")
@@ -180,10 +182,22 @@ def leagues_for_member(leagues: DataFrame, teams: DataFrame, users: DataFrame) -
     )
 
 
-def league_list(leagues: DataFrame, league_id: int | None) -> DataFrame:
-    """The full league list as a member of ``league_id`` sees it: own league first, then by name."""
-    own = F.lit(league_id).eqNullSafe(F.col("id")) if league_id is not None else F.lit(False)
-    return leagues.withColumn("is_own", own).orderBy(F.desc("is_own"), "name", "id")
+def league_lists(leagues: DataFrame, teams: DataFrame) -> DataFrame:
+    """The full league list as the members of each team see it: their own league first, then by name.
+
+    One list per distinct own league (NULL for teams without one), not per member.
+    ``place`` is the position. Leagues number a handful, so a list is one array.
+    """
+    entry = F.struct(F.col("name"), F.col("id"))
+    everything = leagues.agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    owners = teams.select(F.col("league_id").alias("own_league_id")).distinct()
+    listed = owners.withColumn("entries", everything.scalar())
+    own = F.filter("entries", lambda e: e["id"] == F.coalesce("own_league_id", F.lit(-1)))
+    others = F.filter("entries", lambda e: e["id"] != F.coalesce("own_league_id", F.lit(-1)))
+    placed = listed.select("own_league_id", F.posexplode(F.concat(own, others)).alias("place", "e"))
+    return placed.select(
+        "own_league_id", (F.col("place") + 1).alias("place"), F.col("e.id").alias("league_id"), F.col("e.name").alias("name")
+    )
 
 
 def history_labels(scores: DataFrame, shooters: DataFrame, rounds: DataFrame) -> DataFrame:

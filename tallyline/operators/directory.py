@@ -29,7 +29,7 @@ def user_directory(users: DataFrame, teams: DataFrame) -> DataFrame:
         users.join(team, "team_id", "left")
         .orderBy("created_at", "id")
         .select(
-            "id", "email", "name", "is_admin", "is_squad_leader", "team_approved", "team_id", "team_name",
+            "id", "email", "name", "phone", "is_admin", "is_squad_leader", "team_approved", "team_id", "team_name",
             _stamp("created_at").alias("created_at"),
         )
     )
@@ -53,7 +53,7 @@ def pending_members(users: DataFrame, team_id: int | None = None) -> DataFrame:
     if team_id is not None:
         pending = pending.filter(F.col("team_id") == team_id)
     return pending.orderBy("team_id", "created_at", "id").select(
-        "team_id", "id", "email", "name", _stamp("created_at").alias("created_at")
+        "team_id", "id", "email", "name", "phone", _stamp("created_at").alias("created_at")
     )
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyline.functions.exprs import blank_to_null, spread_null_id, spread_null_name, trimmed
 from tallyline.operators.skew import allocate_ids
+from tallyline.session import stage
 
 DEFAULT_TEAM = "Default Team"
 LEAGUE_TEXTS = (
@@ -26,6 +28,18 @@ def _next_id(table: DataFrame) -> Column:
     return table.select(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
 
 
+def _unknown(rows: DataFrame, column: str, parents: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``_unknown_<column>``: whether the column names a parent that is not stored. NULL names none.
+
+    ``by`` is a column that tells rows apart, for rows that name none.
+    """
+    known = parents.select(F.col("id").alias("_parent"), F.lit(True).alias("_stored_parent"))
+    key = spread_null_id(column, by)
+    joined = rows.join(known, key == F.col("_parent"), "left")
+    flag = F.col(column).isNotNull() & F.col("_stored_parent").isNull()
+    return joined.withColumn(f"_unknown_{column}", flag).drop("_parent", "_stored_parent")
+
+
 # --- patches and replacements ------------------------------------------------
 
 
@@ -49,10 +63,30 @@ def apply_patch(table: DataFrame, patch: DataFrame, columns: Mapping[str, Column
     return joined.select(*values)
 
 
-def patch_users(users: DataFrame, patch: DataFrame) -> DataFrame:
-    """Flags are set when supplied; a supplied team of NULL or 0 clears the team."""
-    flags = {c: F.col(f"p.{c}") for c in ("is_admin", "is_squad_leader", "team_approved")}
-    return apply_patch(users, patch, {**flags, "team_id": F.nullif(F.col("p.team_id"), F.lit(0))})
+USER_FLAGS = ("is_admin", "is_squad_leader", "team_approved")
+
+
+def patch_users(users: DataFrame, patch: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Set flags and teams of accounts; (users, report).
+
+    Flags are set where a value is supplied; a supplied NULL is ignored. A supplied
+    team of NULL or 0 clears the team, one that is not stored refuses the whole change.
+    """
+    given = {f"{c}_set": F.coalesce(F.col(f"{c}_set"), F.lit(False)) & F.col(c).isNotNull() for c in USER_FLAGS}
+    wanted = F.when(F.coalesce("team_id_set", F.lit(False)), F.nullif(F.col("team_id"), F.lit(0)))
+    asked = _unknown(patch.withColumns({**given, "team_id": wanted}), "team_id", teams, "id")
+    anything = F.coalesce("team_id_set", F.lit(False))
+    for c in USER_FLAGS:
+        anything = anything | F.col(f"{c}_set")
+    outcome = (
+        F.when(~anything, "nothing_to_update")
+        .when(F.col("_unknown_team_id"), "unknown_team")
+        .when(F.col("_known").isNull(), "not_found")
+        .otherwise("updated")
+    )
+    judged = asked.join(users.select("id", F.lit(True).alias("_known")), "id", "left").withColumn("outcome", outcome)
+    rules = {c: F.col(f"p.{c}") for c in (*USER_FLAGS, "team_id")}
+    return apply_patch(users, judged.filter("outcome = 'updated'"), rules), judged.select("id", "outcome")
 
 
 def _refused_keys(asked: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,19 +103,26 @@ def _refused_keys(asked: DataFrame, stored: DataFrame, keys: Sequence[str]) -> D
     return asked.join(holder, list(keys), "left").join(first, list(keys)).filter(refused).select("id")
 
 
-def patch_teams(teams: DataFrame, patch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def patch_teams(teams: DataFrame, patch: DataFrame, leagues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rename teams and set, clear or keep their league; (teams, report).
 
-    A blank name refuses the change, a taken one is a conflict; both leave the
-    row as it was. An omitted league stays, a league of NULL or 0 is cleared.
+    A blank name or an unknown league refuses the change, a taken name is a
+    conflict; all leave the row as it was. An omitted league stays, a league of
+    NULL or 0 is cleared. Names are held against the table as it was before all
+    requests: a name that another row gives up in the same batch is still taken.
     """
-    asked = patch.withColumns({"name": trimmed(F.coalesce("name", F.lit(""))), "name_set": F.lit(True)})
-    known = asked.filter(F.col("name") != "").join(teams.select("id"), "id", "left_semi")
+    wanted = F.when(F.coalesce("league_id_set", F.lit(False)), F.nullif(F.col("league_id"), F.lit(0)))
+    asked = patch.withColumns(
+        {"name": trimmed(F.coalesce("name", F.lit(""))), "name_set": F.lit(True), "league_id": wanted}
+    )
+    asked = _unknown(asked, "league_id", leagues, "id")
+    known = asked.filter("name <> '' AND NOT _unknown_league_id").join(teams.select("id"), "id", "left_semi")
     refused = _refused_keys(known.select("id", "name"), teams, ["name"])
-    rules = {"name": F.col("p.name"), "league_id": F.nullif(F.col("p.league_id"), F.lit(0))}
+    rules = {"name": F.col("p.name"), "league_id": F.col("p.league_id")}
     outcome = (
         F.when(F.col("name") == "", "name_required")
         .when(F.col("_known").isNull(), "not_found")
+        .when(F.col("_unknown_league_id"), "unknown_league")
         .when(F.col("_refused").isNotNull(), "conflict")
         .otherwise("updated")
     )
@@ -93,21 +134,24 @@ def patch_teams(teams: DataFrame, patch: DataFrame) -> tuple[DataFrame, DataFram
     return apply_patch(teams, known.join(refused, "id", "left_anti"), rules), report
 
 
-def patch_shooters(shooters: DataFrame, patch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def patch_shooters(shooters: DataFrame, patch: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rename or move shooters; (shooters, report). Scores follow, as they refer to the id.
 
-    Blank names and NULL teams mean "keep". A (team, name) already taken is a conflict.
+    Blank names and NULL teams mean "keep". An unknown team refuses the change, a
+    (team, name) already taken is a conflict.
     """
     asked = patch.select("id", blank_to_null("name").alias("name"), "team_id").withColumns(
         {"name_set": F.col("name").isNotNull(), "team_id_set": F.col("team_id").isNotNull()}
     )
-    known = asked.filter("name_set OR team_id_set").join(shooters.select("id"), "id", "left_semi")
+    asked = _unknown(asked, "team_id", teams, "id")
+    known = asked.filter("(name_set OR team_id_set) AND NOT _unknown_team_id").join(shooters.select("id"), "id", "left_semi")
     rules = {"name": F.col("p.name"), "team_id": F.col("p.team_id")}
     wanted = apply_patch(shooters.join(known.select("id"), "id", "left_semi"), known, rules)
     refused = _refused_keys(wanted.select("id", "team_id", "name"), shooters, ["team_id", "name"])
     outcome = (
         F.when(~(F.col("name_set") | F.col("team_id_set")), "nothing_to_update")
         .when(F.col("_known").isNull(), "not_found")
+        .when(F.col("_unknown_team_id"), "unknown_team")
         .when(F.col("_refused").isNotNull(), "conflict")
         .otherwise("updated")
     )
@@ -119,22 +163,23 @@ def patch_shooters(shooters: DataFrame, patch: DataFrame) -> tuple[DataFrame, Da
     return apply_patch(shooters, known.join(refused, "id", "left_anti"), rules), report
 
 
-def patch_logos(logos: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def patch_logos(logos: DataFrame, requests: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Set or clear team logos; (logos, report).
 
     ``requests``: seq, team_id, logo_data, is_admin, is_squad_leader, own_team_id.
     Admins may change any team, leaders their own; the last good request of a
-    team stays. NULL clears; anything else,
-    the empty text included, must be an image data URL.
+    team stays. NULL clears; anything else, the empty text included, must be an
+    image data URL. Requests for unknown teams are answered ``not_found``.
     """
     allowed = F.col("is_admin") | (
         F.col("is_squad_leader") & F.coalesce(F.col("own_team_id") == F.col("team_id"), F.lit(False))
     )
     fine = F.col("logo_data").isNull() | F.startswith("logo_data", F.lit(LOGO_PREFIX))
-    judged = requests.withColumn(
+    judged = _unknown(requests, "team_id", teams, "seq").withColumn(
         "outcome",
         F.when(~allowed, "forbidden")
         .when(~fine, "not_an_image")
+        .when(F.col("_unknown_team_id") | F.col("team_id").isNull(), "not_found")
         .when(F.col("logo_data").isNull(), "cleared")
         .otherwise("set"),
     )
@@ -184,32 +229,37 @@ def replace_profiles(users: DataFrame, values: DataFrame) -> DataFrame:
 # --- keyed inserts -------------------------------------------------------------
 
 
-def insert_shooters(requests: DataFrame, shooters: DataFrame) -> DataFrame:
-    """What happens to requests (team_id, raw_name, plus an ordering pair submission_id, pos) to add shooters.
+def insert_shooters(requests: DataFrame, shooters: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add shooters (team_id, raw_name, plus an ordering pair submission_id, pos); (shooters, report).
 
-    One row per (team, name): the first request is inserted unless the name is
-    taken; every other one is a conflict. Requests are counted before the shuffle,
-    so a name asked for many times costs little.
+    The report has one row per (team, name): the first request is inserted unless
+    the name is taken or the team unknown; every other one is a conflict. A blank
+    name and a team of NULL or 0 are invalid. Requests are counted before the
+    shuffle, so a name asked for many times costs little.
     """
     asked = requests.select("team_id", trimmed(F.coalesce("raw_name", F.lit(""))).alias("name"), "submission_id", "pos")
     per_name = asked.groupBy("team_id", "name").agg(
         F.count(F.lit(1)).alias("attempts"), F.min(F.struct("submission_id", "pos")).alias("first")
     )
     taken = shooters.select("team_id", "name", F.lit(True).alias("taken"))
-    invalid = (F.col("name") == "") | F.col("team_id").isNull()
-    judged = per_name.join(taken, ["team_id", "name"], "left").withColumn(
+    invalid = (F.col("name") == "") | (F.coalesce("team_id", F.lit(0)) == 0)
+    judged = _unknown(per_name, "team_id", teams, "name").join(taken, ["team_id", "name"], "left").withColumn(
         "outcome",
-        F.when(invalid, "invalid").when(F.col("taken"), "conflict").otherwise("inserted"),
+        F.when(invalid, "invalid").when(F.col("_unknown_team_id"), "unknown_team").when(F.col("taken"), "conflict")
+        .otherwise("inserted"),
     )
     refused = (
         F.when(F.col("outcome") == "inserted", F.col("attempts") - 1)
         .when(F.col("outcome") == "conflict", F.col("attempts"))
         .otherwise(0)
     )
-    return judged.select(
+    fresh = judged.filter("outcome = 'inserted'").select("team_id", "name")
+    added = allocate_ids(fresh, ["team_id", "name"], _next_id(shooters))
+    report = judged.select(
         "team_id", "name", "outcome", "attempts", refused.alias("conflicts"),
         F.col("first.submission_id").alias("first_submission_id"), F.col("first.pos").alias("first_pos"),
     )
+    return shooters.unionByName(added, allowMissingColumns=True), report
 
 
 def upsert_teams(names: DataFrame, teams: DataFrame) -> DataFrame:
@@ -327,17 +377,24 @@ def without_users(users: DataFrame, wanted: DataFrame) -> DataFrame:
 def account_intake(
     applicants: DataFrame, users: DataFrame, teams: DataFrame, registration_open: bool = True
 ) -> DataFrame:
-    """Outcome of every application (seq, raw_email, team_id, new_team_name), in order of ``seq``.
+    """Outcome of every application (seq, raw_email, raw_name, team_id, new_team_name), in order of ``seq``.
 
     The first account on an empty site is admin and approved. Naming a new team
     makes the applicant its approved leader, even when a team of that name
-    already exists (``names_existing_team``). The earliest of several valid
-    applications with one email wins.
+    already exists (``names_existing_team``). The earliest of several applications
+    with one email wins; one that is refused for a faulty email or an unknown team
+    does not count. A team of 0 means none.
     """
     email = F.lower(trimmed(F.coalesce("raw_email", F.lit(""))))
     new_team = blank_to_null("new_team_name")
-    clean = applicants.select("seq", email.alias("email"), "team_id", new_team.alias("new_team"))
-    valid = F.contains(F.col("email"), F.lit("@"))
+    name = blank_to_null("raw_name") if "raw_name" in applicants.columns else F.lit(None).cast("string")
+    joins = F.when(F.col("new_team").isNull(), F.nullif(F.col("asked"), F.lit(0)))
+    clean = applicants.select(
+        "seq", email.alias("email"), name.alias("name"), F.col("team_id").alias("asked"), new_team.alias("new_team")
+    ).withColumn("team_id", joins)
+    clean = _unknown(clean, "team_id", teams, "seq")
+    has_email = F.contains(F.col("email"), F.lit("@"))
+    valid = has_email & ~F.col("_unknown_team_id")
     stored = users.select("email", F.lit(True).alias("_stored"))
     named = teams.select(F.col("name").alias("known_team"))
     # Counted before the shuffle, so an email repeated very often stays cheap.
@@ -345,11 +402,12 @@ def account_intake(
     site_empty = users.select(F.count(F.lit(1)) == 0).scalar()
     opener = clean.filter(valid).select(F.min("seq")).scalar()
     is_first = site_empty & (F.col("seq") == opener)
+    before_opener = site_empty & (F.col("seq") < F.coalesce(opener, F.col("seq") + 1))
     outcome = (
-        F.when(~valid, "invalid_email")
-        .when(~(is_first | F.lit(registration_open)), "registration_closed")
-        .when(F.col("_stored").isNotNull(), "email_taken")
-        .when(F.col("seq") != F.col("first_seq"), "email_taken")
+        F.when(~has_email, "invalid_email")
+        .when(~(is_first | before_opener | F.lit(registration_open)), "registration_closed")
+        .when(F.col("_stored").isNotNull() | (F.col("seq") > F.col("first_seq")), "email_taken")
+        .when(F.col("_unknown_team_id"), "unknown_team")
         .otherwise("created")
     )
     judged = (
@@ -361,58 +419,118 @@ def account_intake(
     )
     made = F.col("outcome") == "created"
     founds = F.col("new_team").isNotNull()
-    joins = F.when(~founds, F.col("team_id"))
     return judged.select(
         "seq",
         "email",
+        F.when(made, F.col("name")).alias("name"),
         "outcome",
         F.when(made, F.col("new_team")).alias("new_team"),
-        F.when(made, joins).alias("joined_team_id"),
+        F.when(made, F.col("team_id")).alias("joined_team_id"),
         F.when(made, F.col("first_account")).alias("is_admin"),
         F.when(made, founds).alias("is_squad_leader"),
-        F.when(made, F.col("first_account") | founds | joins.isNull()).alias("team_approved"),
+        F.when(made, F.col("first_account") | founds | F.col("team_id").isNull()).alias("team_approved"),
         F.when(made, founds & F.col("known_team").isNotNull()).alias("names_existing_team"),
     )
 
 
+def users_after_intake(
+    intake: DataFrame, users: DataFrame, teams: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(users, teams) with the accounts and teams that ``intake`` (of ``account_intake``) makes. Both get ids."""
+    made = stage(intake.filter("outcome = 'created'"), "new-accounts")
+    all_teams = stage(upsert_teams(made.select(F.col("new_team").alias("name")), teams), "teams-after-intake")
+    founded = all_teams.select(F.col("name").alias("_team"), F.col("id").alias("_founded_id"))
+    rows = made.join(founded, spread_null_name("new_team", "seq") == F.col("_team"), "left").select(
+        "email", "name", "is_admin", "is_squad_leader", "team_approved",
+        F.coalesce("_founded_id", "joined_team_id").alias("team_id"),
+    )
+    added = allocate_ids(rows, ["email"], _next_id(users))
+    return users.unionByName(added, allowMissingColumns=True), all_teams
+
+
+# Sign-ins of one email that are looked at together, by number.
+SIGN_INS = 65_536
+
+
 def identity_match(identities: DataFrame, users: DataFrame, registration_open: bool = True) -> DataFrame:
-    """Match sign-ins from outside (seq, external_id, raw_email, email_verified) to accounts.
+    """Match sign-ins from outside (seq, external_id, raw_email, email_verified) to accounts, in order of ``seq``.
 
     The external id decides first, then the normalised verified email (the id is
-    then linked), else a new account without a team is made. Repeats within the
-    batch meet the account their first sign-in made or linked.
+    then linked, in place of the one linked before), else a new account without a
+    team is made. An account holds one external id: when another one signs in with its
+    email, the first must link again by email. An external id is taken to come
+    with one email throughout a batch. ``seq`` is unique and not negative.
     """
     seen = identities.select(
         "seq", "external_id", F.lower(trimmed("raw_email")).alias("email"),
         (F.coalesce("email_verified", F.lit(False)) & (F.coalesce("raw_email", F.lit("")) != "")).alias("ok"),
+    ).withColumn("slice", F.floor(F.col("seq") / SIGN_INS))
+    by_id = users.filter("google_id IS NOT NULL").select(
+        F.col("google_id").alias("external_id"), F.col("id").alias("id_user"), F.col("email").alias("id_email")
     )
-    by_id = users.filter("google_id IS NOT NULL").select(F.col("google_id").alias("external_id"), F.col("id").alias("id_user"))
-    by_email = users.select("email", F.col("id").alias("email_user"))
+    by_email = users.select("email", F.col("id").alias("email_user"), F.col("google_id").alias("held"))
     accounts = users.select(F.count(F.lit(1)) == 0).scalar()
-    first_seen = seen.filter("ok").groupBy("external_id").agg(F.min("seq").alias("first_of_id"))
-    # Of the sign-ins that find no account, the earliest per email makes one.
-    joined = (
-        seen.join(by_id, "external_id", "left").join(by_email, "email", "left").join(first_seen, "external_id", "left")
+    opener = seen.filter("ok").select(F.min("seq")).scalar()
+    good = seen.filter("ok")
+    # When each account's stored id was first replaced.
+    replaced = (
+        good.join(by_email, "email").filter("external_id <> held").groupBy("email").agg(F.min("seq").alias("replaced_at"))
+        .withColumnRenamed("email", "_replaced_email")
     )
-    maker = (
-        joined.filter("ok AND id_user IS NULL AND email_user IS NULL AND seq = first_of_id")
-        .groupBy("email")
-        .agg(F.min("seq").alias("maker_seq"))
+    at_home = F.col("id_user").isNotNull() & (F.col("seq") < F.coalesce("replaced_at", F.col("seq") + 1))
+    homes = good.join(by_id, "external_id", "left").join(replaced, spread_null_name("id_email", "seq") == F.col("_replaced_email"), "left").select(
+        "seq", "external_id", "email", "slice", "id_user", "id_email", at_home.alias("home")
     )
+    # Signing in to an account with another email does not touch the one with this email.
+    away = homes.filter("home AND id_email <> email").select(
+        "seq", "external_id", "email", F.col("id_user").alias("user_id"), F.lit("signed_in").alias("outcome")
+    )
+    chain = homes.filter("NOT (home AND id_email <> email)")
+    # The id of the sign-in before, for the same email: within a slice, or the last one of the slice before.
+    ends = chain.groupBy("email", "slice").agg(F.max_by("external_id", "seq").alias("last"))
+    ends = ends.select("email", "slice", F.lag("last").over(W.partitionBy("email").orderBy("slice")).alias("carried"))
+    inside = F.lag("external_id").over(W.partitionBy("email", "slice").orderBy("seq"))
+    first = chain.groupBy("email").agg(F.min("seq").alias("first_seq"))
+    joined = (
+        chain.withColumn("inside", inside).join(ends, ["email", "slice"]).join(first, "email").join(by_email, "email", "left")
+        .withColumn("before", F.coalesce("inside", "carried", F.when(F.col("home"), F.col("external_id"))))
+    )
+    may_open = F.lit(registration_open) | (accounts & (F.col("first_seq") == opener))
     outcome = (
-        F.when(~F.col("ok"), "rejected")
-        .when(F.col("id_user").isNotNull() | (F.col("seq") != F.col("first_of_id")), "signed_in")
-        .when(F.col("email_user").isNotNull() | (F.col("seq") != F.col("maker_seq")), "linked")
-        .when(F.lit(registration_open) | accounts, "created")
-        .otherwise("registration_closed")
+        F.when(F.col("email_user").isNull() & ~may_open, "registration_closed")
+        .when(F.col("email_user").isNull() & (F.col("seq") == F.col("first_seq")), "created")
+        .when(F.col("before") == F.col("external_id"), "signed_in")
+        .otherwise("linked")
     )
-    return joined.join(maker, "email", "left").select(
-        "seq",
-        "external_id",
-        "email",
-        F.when(F.col("ok"), F.coalesce("id_user", "email_user")).alias("user_id"),
-        outcome.alias("outcome"),
+    judged = joined.select(
+        "seq", "external_id", "email", F.col("email_user").alias("user_id"), outcome.alias("outcome")
+    ).unionByName(away)
+    rejected = seen.filter("NOT ok").select(
+        "seq", "external_id", "email", F.lit(None).cast("bigint").alias("user_id"), F.lit("rejected").alias("outcome")
     )
+    return judged.unionByName(rejected)
+
+
+def users_after_sign_in(matched: DataFrame, identities: DataFrame, users: DataFrame) -> DataFrame:
+    """Accounts after ``matched`` (of ``identity_match``): linked ids stored, new accounts added with ids.
+
+    ``identities`` may have ``raw_name``, the name a new account gets.
+    """
+    matched = stage(matched, "sign-ins")
+    tied = matched.filter(F.col("outcome").isin("linked", "created")).groupBy("email").agg(
+        F.max_by("external_id", "seq").alias("_linked")
+    )
+    name = blank_to_null("raw_name") if "raw_name" in identities.columns else F.lit(None).cast("string")
+    names = identities.select("seq", name.alias("name"))
+    made = matched.filter("outcome = 'created'").select("seq", "email").join(names, "seq").join(tied, "email")
+    first = users.select(F.count(F.lit(1)) == 0).scalar()
+    new = made.select(
+        "email", F.col("_linked").alias("google_id"), "name", first.alias("is_admin"),
+        F.lit(False).alias("is_squad_leader"), F.lit(True).alias("team_approved"),
+    )
+    kept = users.join(tied, "email", "left").withColumn("google_id", F.coalesce("_linked", "google_id"))
+    added = allocate_ids(new, ["email"], _next_id(users))
+    return kept.select(*users.columns).unionByName(added, allowMissingColumns=True)
 
 
 # --- schema upgrades ---------------------------------------------------------------
@@ -490,41 +608,65 @@ FOREIGN = (
 )
 
 
+LOGO_RULE = "logo_data is an image"
+
+
+def _checks(table: str) -> list[Column]:
+    """What one row of ``table`` says about each rule: structs (rule, number, text, child, parent), NULL where it is silent."""
+
+    def said(table: str, rule: str, keys: Sequence[Column], child: int, parent: int, when: Column) -> Column:
+        # Ids go as numbers, all other keys as text.
+        by_id = len(keys) == 1 and rule not in ("unique name", "unique email", "unique google_id")
+        number = keys[0].cast("bigint") if by_id else F.lit(None).cast("bigint")
+        text = F.to_json(F.array(*[k.cast("string") for k in keys])) if keys and not by_id else F.lit(None).cast("string")
+        return F.when(when, F.struct(
+            F.lit(f"{table}: {rule}").alias("rule"), number.alias("number"), text.alias("text"),
+            F.lit(child).alias("child"), F.lit(parent).alias("parent"),
+        ))
+
+    out = [said(table, f"not null {c}", [], 1, 0, F.col(c).isNull()) for c in NOT_NULL[table]]
+    for keys in UNIQUE.get(table, ()):
+        filled = F.lit(True)
+        for k in keys:
+            filled = filled & F.col(k).isNotNull()
+        out.append(said(table, "unique " + ",".join(keys), [F.col(k) for k in keys], 1, 0, filled))
+    for child, column, parent in FOREIGN:
+        if child == table:
+            out.append(said(table, f"{column} in {parent}", [F.col(column)], 1, 0, F.col(column).isNotNull()))
+        if parent == table:
+            out.append(said(child, f"{column} in {parent}", [F.col("id")], 0, 1, F.col("id").isNotNull()))
+    return out
+
+
 def constraint_violations(tables: Mapping[str, DataFrame], logos: DataFrame | None = None) -> DataFrame:
     """Rows that break each rule of the schema, one result row per rule.
 
-    Not-null rules of a table share one pass. Unique and reference rules first
-    shrink to one row per key, so no key's rows meet in one task.
+    Every table is read once. Each row says which keys it holds and which it
+    refers to; these are added up per (rule, key) before the one shuffle, so no
+    key's rows meet in one task, and a key with children but without a parent shows.
     """
-    checks: list[DataFrame] = []
-
-    def add(found: DataFrame, table: str, rule: str) -> None:
-        checks.append(found.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"))
-
-    for table, columns in NOT_NULL.items():
-        counts = tables[table].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-        rules = ", ".join(f"'not null {c}', {c}" for c in columns)
-        checks.append(
-            counts.select(F.lit(table).alias("table_name"), F.expr(f"stack({len(columns)}, {rules}) AS (rule, violations)"))
-        )
-    for table, groups in UNIQUE.items():
-        for keys in groups:
-            rows = tables[table].dropna(subset=list(keys))
-            repeats = rows.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("extra"))
-            add(
-                repeats.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("violations")),
-                table,
-                "unique " + ",".join(keys),
-            )
-    for table, column, parent in FOREIGN:
-        used = tables[table].filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        orphans = used.join(tables[parent].select(F.col("id").alias(column)), column, "left_anti")
-        add(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")), table, f"{column} in {parent}")
+    said = None
+    for name in NOT_NULL:
+        rows = tables[name].select(F.explode(F.array_compact(F.array(*_checks(name)))).alias("x")).select("x.*")
+        said = rows if said is None else said.unionByName(rows)
+    keys = said.groupBy("rule", "number", "text").agg(F.sum("child").alias("children"), F.max("parent").alias("parent"))
+    broken = (
+        F.when(F.col("rule").contains(": unique "), F.col("children") - 1)
+        .when(F.col("rule").contains(": not null "), F.col("children"))
+        .when(F.col("parent") == 0, F.col("children"))
+        .otherwise(0)
+    )
+    found = keys.groupBy("rule").agg(F.sum(broken).alias("violations"))
     if logos is not None:
-        wrong = ~F.startswith("logo_data", F.lit(LOGO_PREFIX))
-        add(logos.agg(F.count_if(wrong).alias("violations")), "teams", "logo_data is an image")
-
-    out = checks[0]
-    for check in checks[1:]:
-        out = out.unionByName(check)
-    return out
+        wrong = F.count_if(~F.startswith("logo_data", F.lit(LOGO_PREFIX)))
+        found = found.unionByName(logos.agg(wrong.alias("violations")).select(F.lit(f"teams: {LOGO_RULE}").alias("rule"), "violations"))
+    names = [f"{t}: not null {c}" for t, columns in NOT_NULL.items() for c in columns]
+    names += [f"{t}: unique {','.join(k)}" for t, groups in UNIQUE.items() for k in groups]
+    names += [f"{t}: {c} in {p}" for t, c, p in FOREIGN] + ([f"teams: {LOGO_RULE}"] if logos is not None else [])
+    spark = said.sparkSession
+    # Rules no row has anything to say about hold.
+    rules = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("rule"))
+    parts = F.split("rule", ": ", 2)
+    return rules.join(found, "rule", "left").select(
+        parts[0].alias("table_name"), parts[1].alias("rule"), F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations")
+    )

@@ -186,6 +186,11 @@ def leagues_for_member(d: ClubData) -> DataFrame:
     return derived.leagues_for_member(d.leagues, d.teams, d.users)
 
 
+@query
+def league_lists(d: ClubData) -> DataFrame:
+    return derived.league_lists(d.leagues, d.teams)
+
+
 @query
 def history_labels(d: ClubData) -> DataFrame:
     return derived.history_labels(d.scores, d.shooters, d.rounds)
@@ -233,7 +238,10 @@ def sheet_headers(d: ClubData) -> DataFrame:
 
 @query
 def rejected_submissions(d: ClubData) -> DataFrame:
-    return ingest.rejected_submissions(d.submission_headers, ingest.judged_lines(_lines(d)))
+    """Every 53rd sheet names a team that is not stored."""
+    team = F.when(F.col("submission_id") % 53 == 0, 999).otherwise(F.col("team_id"))
+    headers = ingest.with_known_teams(d.submission_headers.withColumn("team_id", team), d.teams)
+    return ingest.rejected_submissions(headers, ingest.judged_lines(_lines(d)))
 
 
 @query
@@ -259,14 +267,21 @@ def split_rounds(d: ClubData) -> DataFrame:
     return ingest.split_rounds(d.submission_headers, ingest.judged_lines(_lines(d)))
 
 
-@query
-def scores_after_edit(d: ClubData) -> DataFrame:
-    """Every 13th round is replaced by its sheet and moved to the next team."""
+def _edited(d: ClubData) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every 13th sheet edits its round: some move it to the next team, some name no team or one that is not stored."""
     edited = F.col("submission_id") % 13 == 0
-    headers = d.submission_headers.filter(edited).withColumn("team_id", (F.col("team_id") % 25 + 1).cast("int"))
-    scores, roster, rounds = ingest.scores_after_edit(
-        d.scores, d.shooters, d.rounds, headers, _lines(d).filter(edited)
+    number = F.col("submission_id")
+    team = (
+        F.when(number % 39 == 0, F.lit(None)).when(number % 26 == 0, 0).when(number % 65 == 0, 999)
+        .otherwise(F.col("team_id") % 25 + 1)
     )
+    headers = d.submission_headers.filter(edited).withColumn("team_id", team.cast("int"))
+    return ingest.scores_after_edit(d.scores, d.shooters, d.rounds, headers, _lines(d).filter(edited), d.teams)
+
+
+@query
+def scores_after_edit(d: ClubData) -> DataFrame:
+    scores, roster, rounds, _ = _edited(d)
     # New ids depend on the engine; the round a score came from and its number do not.
     natural = ("source_id", "team_id", "round_number", "yardage")
     return reads.score_lines(scores, roster, rounds, round_columns=natural).select(
@@ -274,53 +289,103 @@ def scores_after_edit(d: ClubData) -> DataFrame:
     )
 
 
-# --- maintenance ---------------------------------------------------------------------
+@query
+def rounds_after_edit(d: ClubData) -> DataFrame:
+    return _edited(d)[2].select("source_id", "team_id", iso_date("round_date").alias("round_date"), "round_number", "yardage")
 
 
 @query
-def patched_users(d: ClubData) -> DataFrame:
-    fourth, eighth = F.col("id") % 4 == 0, F.col("id") % 8 == 0
-    nothing = F.lit(None).cast("boolean")
-    patch = d.users.filter(fourth).select(
+def edit_report(d: ClubData) -> DataFrame:
+    return _edited(d)[3]
+
+
+# --- maintenance ---------------------------------------------------------------------
+
+
+def _user_patch(d: ClubData) -> tuple[DataFrame, DataFrame]:
+    """Every fourth account: some lose their team, move, or ask for a team that is not stored; flags of NULL count for nothing."""
+    number = F.col("id")
+    yes = F.lit(True)
+    team = F.when(number % 24 == 0, 999).when(number % 20 == 0, 3).when(number % 16 == 0, 0)
+    patch = d.users.filter(number % 4 == 0).select(
         "id",
-        nothing.alias("is_admin"), F.lit(False).alias("is_admin_set"),
-        F.lit(True).alias("is_squad_leader"), F.lit(True).alias("is_squad_leader_set"),
-        nothing.alias("team_approved"), F.lit(False).alias("team_approved_set"),
-        F.lit(None).cast("int").alias("team_id"), eighth.alias("team_id_set"),
+        F.lit(None).cast("boolean").alias("is_admin"), yes.alias("is_admin_set"),
+        F.when(number % 12 != 0, True).alias("is_squad_leader"), yes.alias("is_squad_leader_set"),
+        F.lit(False).alias("team_approved"), (number % 28 == 0).alias("team_approved_set"),
+        team.cast("int").alias("team_id"), (number % 8 == 0).alias("team_id_set"),
     )
-    return maintain.patch_users(d.users, patch).drop("created_at")
+    return maintain.patch_users(d.users, patch, d.teams)
 
 
 @query
-def patched_teams(d: ClubData) -> DataFrame:
-    """Odd teams are renamed, every third also loses its league; team 3 asks for a taken name."""
+def patched_users(d: ClubData) -> DataFrame:
+    return _user_patch(d)[0].drop("created_at")
+
+
+@query
+def user_patch_report(d: ClubData) -> DataFrame:
+    return _user_patch(d)[1]
+
+
+def _team_patch(d: ClubData) -> tuple[DataFrame, DataFrame]:
+    """Odd teams are renamed, every third also loses its league; team 3 asks for a taken name, team 7 for an unknown league."""
     odd = F.col("id") % 2 == 1
     name = F.when(F.col("id") == 3, "NATION_5").otherwise(F.concat(F.lit(" New "), "name", F.lit(" ")))
+    league = F.when(F.col("id") == 7, 999).when(F.col("id") == 9, 0).cast("int")
     patch = d.teams.filter(odd).select(
-        "id", name.alias("name"), F.lit(None).cast("int").alias("league_id"), (F.col("id") % 3 == 0).alias("league_id_set")
+        "id", name.alias("name"), league.alias("league_id"),
+        ((F.col("id") % 3 == 0) | (F.col("id") == 7)).alias("league_id_set"),
     )
-    return maintain.patch_teams(d.teams, patch)[0]
+    return maintain.patch_teams(d.teams, patch, d.leagues)
 
 
 @query
-def patched_shooters(d: ClubData) -> DataFrame:
-    """Every fifth shooter is renamed (a blank name keeps the old one), every tenth also moves."""
+def patched_teams(d: ClubData) -> DataFrame:
+    return _team_patch(d)[0]
+
+
+@query
+def team_patch_report(d: ClubData) -> DataFrame:
+    return _team_patch(d)[1].select("id", "outcome")
+
+
+def _shooter_patch(d: ClubData) -> tuple[DataFrame, DataFrame]:
+    """Every fifth shooter is renamed (a blank name keeps the old one), every tenth also moves, some to no stored team."""
     name = F.when(F.col("id") % 15 == 0, "  ").otherwise(F.concat(F.lit(" New "), "name"))
-    team = F.when(F.col("id") % 10 == 0, F.col("team_id") % 25 + 1)
+    team = F.when(F.col("id") % 70 == 0, 999).when(F.col("id") % 10 == 0, F.col("team_id") % 25 + 1)
     patch = d.shooters.filter("id % 5 = 0").select("id", name.alias("name"), team.cast("int").alias("team_id"))
-    return maintain.patch_shooters(d.shooters, patch)[0]
+    return maintain.patch_shooters(d.shooters, patch, d.teams)
 
 
 @query
-def patched_logos(d: ClubData) -> DataFrame:
-    """Every member asks for a logo, by turns for their own and the next team; some send no image."""
+def patched_shooters(d: ClubData) -> DataFrame:
+    return _shooter_patch(d)[0]
+
+
+@query
+def shooter_patch_report(d: ClubData) -> DataFrame:
+    return _shooter_patch(d)[1]
+
+
+def _logo_patch(d: ClubData) -> tuple[DataFrame, DataFrame]:
+    """Every member asks for a logo, by turns for their own and the next team; some send no image, some name no stored team."""
     image = F.when(F.col("id") % 4 == 1, "logo.png").when(F.col("id") % 4 != 2, F.concat(F.lit("data:image/png;"), "email"))
-    wanted = ((F.col("team_id") - 1 + F.col("id") % 2) % 25 + 1).cast("int")
+    wanted = F.when(F.col("id") % 100 == 0, 999).otherwise((F.col("team_id") - 1 + F.col("id") % 2) % 25 + 1).cast("int")
     requests = d.users.filter("team_id IS NOT NULL").select(
         F.col("id").alias("seq"), wanted.alias("team_id"), image.alias("logo_data"),
         "is_admin", "is_squad_leader", F.col("team_id").alias("own_team_id"),
     )
-    return maintain.patch_logos(d.team_logos, requests)[0]
+    return maintain.patch_logos(d.team_logos, requests, d.teams)
+
+
+@query
+def patched_logos(d: ClubData) -> DataFrame:
+    return _logo_patch(d)[0]
+
+
+@query
+def logo_report(d: ClubData) -> DataFrame:
+    return _logo_patch(d)[1]
 
 
 @query
@@ -340,20 +405,69 @@ def replaced_leagues(d: ClubData) -> DataFrame:
     return maintain.replace_leagues(d.leagues, d.leagues.select("id", hall.alias("location")))
 
 
+def _inserted_shooters(d: ClubData) -> tuple[DataFrame, DataFrame]:
+    """Every name on the sheets is asked for; some for a team that is not stored, some for none."""
+    number = F.col("submission_id")
+    team = F.when(number % 31 == 0, 999).when(number % 37 == 0, 0).otherwise(F.col("team_id"))
+    headers = d.submission_headers.select("submission_id", team.alias("team_id"))
+    requests = d.submission_lines.select("submission_id", "pos", "raw_name").join(headers, "submission_id")
+    return maintain.insert_shooters(requests, d.shooters, d.teams)
+
+
 @query
 def keyed_insert_report(d: ClubData) -> DataFrame:
-    teams = d.submission_headers.select("submission_id", "team_id")
-    requests = d.submission_lines.select("submission_id", "pos", "raw_name").join(teams, "submission_id")
-    return maintain.insert_shooters(requests, d.shooters)
+    return _inserted_shooters(d)[1]
+
+
+def _without_new_ids(after: DataFrame, before: DataFrame) -> DataFrame:
+    """``after`` with ids that ``before`` lacks hidden: they depend on the engine that hands them out."""
+    known = before.select(F.col("id").alias("known_id"))
+    joined = after.join(known, after["id"] == known["known_id"], "left")
+    return joined.withColumn("id", F.col("known_id")).drop("known_id")
+
+
+@query
+def shooters_after_insert(d: ClubData) -> DataFrame:
+    return _without_new_ids(_inserted_shooters(d)[0], d.shooters)
+
+
+def _inserted_leagues(d: ClubData) -> tuple[DataFrame, DataFrame]:
+    """Every team asks for a league: of a stored name, of one several ask for, or without a name."""
+    name = F.when(F.col("id") % 5 == 0, "  ").when(F.col("id") % 5 == 1, "ASIA").otherwise(
+        F.concat(F.lit(" League "), (F.col("id") % 7).cast("string"))
+    )
+    requests = d.teams.select(F.col("id").alias("seq"), name.alias("name"), F.concat(F.lit(" "), "name").alias("location"))
+    return maintain.insert_leagues(requests, d.leagues)
+
+
+@query
+def leagues_after_insert(d: ClubData) -> DataFrame:
+    return _without_new_ids(_inserted_leagues(d)[0], d.leagues).select("id", "name", "location", "contact_name")
+
+
+@query
+def league_insert_report(d: ClubData) -> DataFrame:
+    return _inserted_leagues(d)[1]
+
+
+def _intake(d: ClubData) -> tuple[DataFrame, DataFrame]:
+    return maintain.users_after_intake(maintain.account_intake(d.applicants, d.users, d.teams), d.users, d.teams)
 
 
 @query
 def teams_after_intake(d: ClubData) -> DataFrame:
     """Teams with those founded by new accounts added; their ids are hidden."""
-    founded = maintain.account_intake(d.applicants, d.users, d.teams).select(F.col("new_team").alias("name"))
-    after = maintain.upsert_teams(founded, d.teams)
-    known = d.teams.select(F.col("id").alias("known_id"))
-    return after.join(known, after["id"] == known["known_id"], "left").select(F.col("known_id").alias("id"), "name", "league_id")
+    return _without_new_ids(_intake(d)[1], d.teams)
+
+
+@query
+def users_after_intake(d: ClubData) -> DataFrame:
+    """Accounts by email, with the name of their team."""
+    users, teams = _intake(d)
+    named = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team"))
+    return _without_new_ids(users, d.users).join(named, "team_id", "left").select(
+        "id", "email", "name", "is_admin", "is_squad_leader", "team_approved", "team"
+    )
 
 
 @query
@@ -378,10 +492,29 @@ def _unwanted_teams(d: ClubData) -> tuple[DataFrame, DataFrame]:
     return d.teams.filter("id % 5 = 0").select("id"), d.users
 
 
+def _after_delete_teams(d: ClubData) -> dict[str, DataFrame]:
+    wanted, members = _unwanted_teams(d)
+    return maintain.delete_teams(wanted, d.teams, d.shooters, d.rounds, d.scores, members)
+
+
 @query
 def after_delete_teams(d: ClubData) -> DataFrame:
-    wanted, members = _unwanted_teams(d)
-    return maintain.delete_teams(wanted, d.teams, d.shooters, d.rounds, d.scores, members)["scores"]
+    return _after_delete_teams(d)["scores"]
+
+
+@query
+def teams_after_delete(d: ClubData) -> DataFrame:
+    return _after_delete_teams(d)["teams"]
+
+
+@query
+def shooters_after_delete(d: ClubData) -> DataFrame:
+    return _after_delete_teams(d)["shooters"]
+
+
+@query
+def rounds_after_delete(d: ClubData) -> DataFrame:
+    return _after_delete_teams(d)["rounds"].withColumn("round_date", iso_date("round_date"))
 
 
 @query
@@ -405,6 +538,14 @@ def identity_match(d: ClubData) -> DataFrame:
     return maintain.identity_match(d.identities, d.users)
 
 
+@query
+def users_after_sign_in(d: ClubData) -> DataFrame:
+    users = maintain.users_after_sign_in(maintain.identity_match(d.identities, d.users), d.identities, d.users)
+    return _without_new_ids(users, d.users).select(
+        "id", "email", "google_id", "name", "is_admin", "is_squad_leader", "team_approved", "team_id"
+    )
+
+
 def _after_requests(d: ClubData) -> tuple[DataFrame, DataFrame, DataFrame]:
     return membership.apply_requests(d.users, d.membership_requests, d.teams)
 
@@ -425,11 +566,7 @@ def membership_request_outcomes(d: ClubData) -> DataFrame:
 @query
 def teams_after_requests(d: ClubData) -> DataFrame:
     """Teams with those founded by requests added; their ids are hidden."""
-    known = d.teams.select(F.col("id").alias("known_id"))
-    after = _after_requests(d)[2]
-    return after.join(known, after["id"] == known["known_id"], "left").select(
-        F.col("known_id").alias("id"), "name", "league_id"
-    )
+    return _without_new_ids(_after_requests(d)[2], d.teams)
 
 
 @query

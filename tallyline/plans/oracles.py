@@ -147,16 +147,16 @@ SELECT t.id, t.name, o.logo_data, t.league_id, l.name AS league_name
 FROM teams t LEFT JOIN leagues l ON l.id = t.league_id LEFT JOIN team_logos o ON o.team_id = t.id""")
 
 oracle("user_directory", "users teams", """
-SELECT u.id, u.email, u.name, is_admin, is_squad_leader, team_approved, u.team_id, t.name AS team_name,
+SELECT u.id, u.email, u.name, u.phone, is_admin, is_squad_leader, team_approved, u.team_id, t.name AS team_name,
        strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
 FROM users u LEFT JOIN teams t ON t.id = u.team_id""")
 
-oracle("league_directory", "leagues", "SELECT id, name FROM leagues")
+oracle("league_directory", "leagues", "SELECT * FROM leagues")
 
 oracle("squad_leaders", "users", "SELECT name, team_id FROM users WHERE is_squad_leader AND name IS NOT NULL")
 
 oracle("pending_members", "users", """
-SELECT team_id, id, email, name, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+SELECT team_id, id, email, name, phone, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
 FROM users WHERE NOT team_approved AND team_id IS NOT NULL""")
 
 _APPROVERS = """
@@ -243,6 +243,12 @@ oracle("leagues_for_member", "leagues teams users", """
 SELECT u.id AS user_id, t.league_id AS pinned_league_id, l.name AS pinned_league
 FROM users u LEFT JOIN teams t ON t.id = u.team_id LEFT JOIN leagues l ON l.id = t.league_id""")
 
+oracle("league_lists", "leagues teams", """
+SELECT o.league_id AS own_league_id, l.id AS league_id, l.name,
+       CAST(row_number() OVER (PARTITION BY o.league_id ORDER BY o.league_id IS NOT DISTINCT FROM l.id DESC, l.name, l.id) AS INT)
+         AS place
+FROM (SELECT DISTINCT league_id FROM teams) o, leagues l""")
+
 oracle("history_labels", "scores shooters rounds", f"""WITH {_FLAT}
 SELECT round_id, team_id, shooter_id, CASE WHEN sub_for_shooter_id IS NULL THEN name ELSE name || '*' END AS label,
        CASE WHEN sub_for_shooter_id IS NOT NULL THEN 'SUB for ' || sub_for_name END AS tag, total
@@ -319,8 +325,11 @@ oracle("sheet_headers", "submission_headers", f"""WITH {_TYPED}
 SELECT submission_id, team_id, round_date, yardage, round_number,
        CASE WHEN round_date IS NULL THEN 'date' END AS fault FROM typed""")
 
-oracle("rejected_submissions", "submission_headers submission_lines", f"""WITH {_KEPT}, {_TYPED}, {_VERDICTS}
-SELECT submission_id, reason, bad_lines FROM verdicts WHERE reason IS NOT NULL""")
+oracle("rejected_submissions", "submission_headers submission_lines", f"""WITH {_KEPT}, {_TYPED}, {_VERDICTS},
+named AS (SELECT *, submission_id % 53 = 0 AS strange FROM verdicts)
+SELECT submission_id, bad_lines,
+       CASE WHEN reason IN ('no_lines', 'date') THEN reason WHEN strange THEN 'unknown_team' ELSE reason END AS reason
+FROM named WHERE reason IS NOT NULL OR strange""")
 
 oracle("substitutions", "submission_lines", f"""WITH {_KEPT}
 SELECT submission_id, pos, name, sub_for FROM kept WHERE sub_for IS NOT NULL""")
@@ -361,44 +370,86 @@ WITH {_KEPT}, {_TYPED}, per_bad AS (SELECT submission_id, count(*) AS bad_lines
 SELECT submission_id, round_number, round_number = low AS keeps_round, n_lines, n_scores
 FROM groups JOIN lowest USING (submission_id)""")
 
+_PER_BAD = "per_bad AS (SELECT submission_id, count(*) AS bad_lines FROM kept WHERE total IS NULL GROUP BY 1)"
+# What an edit asks for, and the team the round ends up with.
+_MOVED = """
+wished AS (SELECT t.*, CASE WHEN submission_id % 39 = 0 OR submission_id % 26 = 0 THEN team_id
+                            WHEN submission_id % 65 = 0 THEN NULL ELSE CAST(team_id % 25 + 1 AS INT) END AS new_team
+           FROM typed t WHERE submission_id % 13 = 0),
+replaced AS (SELECT w.* FROM wished w JOIN editable USING (submission_id) WHERE new_team IS NOT NULL)"""
+
 oracle("scores_after_edit", "scores shooters rounds submission_headers submission_lines", f"""
-WITH {_KEPT}, {_TYPED}, per_bad AS (SELECT submission_id, count(*) AS bad_lines FROM kept WHERE total IS NULL GROUP BY 1),
-{_GROUPS}, {_FLAT},
-replaced AS (SELECT * FROM editable WHERE submission_id % 13 = 0)
+WITH {_KEPT}, {_TYPED}, {_PER_BAD}, {_GROUPS}, {_FLAT}, {_MOVED}
 SELECT round_id AS source_id, team_id, round_number, yardage, name, sub_for_name, {ST}, total
 FROM flat WHERE round_id NOT IN (SELECT submission_id FROM replaced)
 UNION ALL
-SELECT e.submission_id, CAST(e.team_id % 25 + 1 AS INT), CAST(COALESCE(k.row_round_number, e.round_number) AS SMALLINT),
+SELECT e.submission_id, new_team, CAST(COALESCE(k.row_round_number, e.round_number) AS SMALLINT),
        e.yardage, k.name, k.sub_for, {ST}, k.total
 FROM replaced e JOIN kept k USING (submission_id)""")
 
+oracle("rounds_after_edit", "rounds submission_headers submission_lines", f"""
+WITH {_KEPT}, {_TYPED}, {_PER_BAD}, {_GROUPS}, {_MOVED}
+SELECT id AS source_id, team_id, strftime(rounds.round_date, '%Y-%m-%d') AS round_date, round_number, yardage
+FROM rounds WHERE id NOT IN (SELECT submission_id FROM replaced)
+UNION ALL
+SELECT r.submission_id, r.new_team, r.round_date, g.round_number, r.yardage
+FROM replaced r JOIN groups g USING (submission_id)""")
+
+oracle("edit_report", "submission_headers submission_lines", f"""
+WITH {_KEPT}, {_TYPED}, {_PER_BAD}, {_GROUPS}, {_MOVED}
+SELECT submission_id, CASE WHEN w.round_date IS NULL THEN 'date' WHEN new_team IS NULL THEN 'unknown_team' ELSE 'line' END AS reason
+FROM wished w LEFT JOIN per_bad USING (submission_id)
+WHERE w.round_date IS NULL OR new_team IS NULL OR bad_lines > 0""")
+
 # --- maintenance ---------------------------------------------------------------------
 
-oracle("patched_users", "users", """
-SELECT id, email, google_id, name, is_admin, is_squad_leader OR id % 4 = 0 AS is_squad_leader, team_approved,
-       CASE WHEN id % 8 = 0 THEN NULL ELSE team_id END AS team_id
-FROM users""")
+oracle("patched_users", "users", """WITH
+asked AS (SELECT *, id % 4 = 0 AND id % 24 <> 0 AS done FROM users)
+SELECT id, email, google_id, name, phone, is_admin, is_squad_leader OR (done AND id % 12 <> 0) AS is_squad_leader,
+       team_approved AND NOT (done AND id % 28 = 0) AS team_approved,
+       CASE WHEN NOT done OR id % 8 <> 0 THEN team_id WHEN id % 20 = 0 THEN 3 END AS team_id
+FROM asked""")
+
+oracle("user_patch_report", "users", """
+SELECT id, CASE WHEN id % 24 = 0 THEN 'unknown_team'
+                WHEN id % 12 <> 0 OR id % 28 = 0 OR id % 8 = 0 THEN 'updated' ELSE 'nothing_to_update' END AS outcome
+FROM users WHERE id % 4 = 0""")
 
 oracle("patched_teams", "teams", """
-SELECT id, CASE WHEN id % 2 = 0 OR id = 3 THEN name ELSE 'New ' || name END AS name,
+SELECT id, CASE WHEN id % 2 = 0 OR id IN (3, 7) THEN name ELSE 'New ' || name END AS name,
        CASE WHEN id % 2 = 1 AND id % 3 = 0 AND id <> 3 THEN NULL ELSE league_id END AS league_id
 FROM teams""")
 
+oracle("team_patch_report", "teams", """
+SELECT id, CASE id WHEN 3 THEN 'conflict' WHEN 7 THEN 'unknown_league' ELSE 'updated' END AS outcome FROM teams WHERE id % 2 = 1""")
+
 oracle("patched_shooters", "shooters", """
-SELECT id, CASE WHEN id % 10 = 0 THEN CAST(team_id % 25 + 1 AS INT) ELSE team_id END AS team_id,
-       CASE WHEN id % 5 = 0 AND id % 15 <> 0 THEN 'New ' || name ELSE name END AS name
+SELECT id, CASE WHEN id % 10 = 0 AND id % 70 <> 0 THEN CAST(team_id % 25 + 1 AS INT) ELSE team_id END AS team_id,
+       CASE WHEN id % 5 = 0 AND id % 15 <> 0 AND id % 70 <> 0 THEN 'New ' || name ELSE name END AS name
 FROM shooters""")
 
-oracle("patched_logos", "users team_logos", """WITH
-asked AS (SELECT id AS seq, CAST((team_id - 1 + id % 2) % 25 + 1 AS INT) AS team_id,
-                 CASE id % 4 WHEN 1 THEN 'logo.png' WHEN 2 THEN NULL ELSE 'data:image/png;' || email END AS logo_data
-          FROM users
-          WHERE team_id IS NOT NULL AND id % 4 <> 1
-            AND (is_admin OR (is_squad_leader AND (team_id - 1 + id % 2) % 25 + 1 = team_id))),
-last AS (SELECT team_id, arg_max({'logo': logo_data}, seq).logo AS logo_data FROM asked GROUP BY team_id)
+oracle("shooter_patch_report", "shooters", """
+SELECT id, CASE WHEN id % 70 = 0 THEN 'unknown_team' WHEN id % 15 = 0 AND id % 10 <> 0 THEN 'nothing_to_update'
+                ELSE 'updated' END AS outcome
+FROM shooters WHERE id % 5 = 0""")
+
+_LOGOS = """
+asked AS (SELECT id AS seq, CASE WHEN id % 100 = 0 THEN 999 ELSE CAST((team_id - 1 + id % 2) % 25 + 1 AS INT) END AS wanted,
+                 CASE id % 4 WHEN 1 THEN 'logo.png' WHEN 2 THEN NULL ELSE 'data:image/png;' || email END AS logo_data,
+                 is_admin, is_squad_leader, team_id AS own
+          FROM users WHERE team_id IS NOT NULL),
+judged AS (SELECT *, CASE WHEN NOT (is_admin OR (is_squad_leader AND wanted = own)) THEN 'forbidden'
+                          WHEN logo_data = 'logo.png' THEN 'not_an_image' WHEN wanted = 999 THEN 'not_found'
+                          WHEN logo_data IS NULL THEN 'cleared' ELSE 'set' END AS outcome FROM asked),
+last AS (SELECT wanted AS team_id, arg_max({'logo': logo_data}, seq).logo AS logo_data FROM judged
+         WHERE outcome IN ('set', 'cleared') GROUP BY wanted)"""
+
+oracle("patched_logos", "users team_logos", f"""WITH {_LOGOS}
 SELECT team_id, logo_data FROM team_logos WHERE team_id NOT IN (SELECT team_id FROM last)
 UNION ALL SELECT team_id, logo_data FROM last WHERE logo_data IS NOT NULL""")
 
+oracle("logo_report", "users", f"WITH {_LOGOS} SELECT seq, wanted AS team_id, outcome FROM judged")
+
 oracle("replaced_profiles", "users", """
 SELECT id, CASE WHEN id % 4 = 0 THEN email WHEN id % 2 = 1 THEN name END AS name,
        CASE WHEN id % 2 = 0 THEN '555-' || id END AS phone, CAST(NULL AS VARCHAR) AS address
@@ -410,19 +461,63 @@ SELECT id, name, CASE WHEN id % 2 = 1 THEN 'Hall' END AS location, CAST(NULL AS
        CAST(NULL AS VARCHAR) AS schedule_text, CAST(NULL AS VARCHAR) AS costs_text, CAST(NULL AS VARCHAR) AS description
 FROM leagues""")
 
-oracle("keyed_insert_report", "submission_headers submission_lines shooters", """WITH
-asked AS (SELECT h.team_id, trim(raw_name) AS name, submission_id, pos
+_ASKED_NAMES = """
+asked AS (SELECT CASE WHEN submission_id % 31 = 0 THEN 999 WHEN submission_id % 37 = 0 THEN 0 ELSE h.team_id END AS team_id,
+                 trim(raw_name) AS name, submission_id, pos
           FROM submission_lines JOIN submission_headers h USING (submission_id)),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY team_id, name ORDER BY submission_id, pos) AS turn,
                    count(*) OVER (PARTITION BY team_id, name) AS attempts FROM asked),
-judged AS (SELECT o.*, CASE WHEN o.name = '' THEN 'invalid' WHEN s.id IS NOT NULL THEN 'conflict' ELSE 'inserted' END
-                  AS outcome
-           FROM ordered o LEFT JOIN shooters s ON s.team_id = o.team_id AND s.name = o.name WHERE turn = 1)
+judged AS (SELECT o.*, CASE WHEN o.name = '' OR o.team_id = 0 THEN 'invalid' WHEN o.team_id = 999 THEN 'unknown_team'
+                            WHEN s.id IS NOT NULL THEN 'conflict' ELSE 'inserted' END AS outcome
+           FROM ordered o LEFT JOIN shooters s ON s.team_id = o.team_id AND s.name = o.name WHERE turn = 1)"""
+
+oracle("keyed_insert_report", "submission_headers submission_lines shooters", f"""WITH {_ASKED_NAMES}
 SELECT team_id, name, outcome, attempts,
        CASE outcome WHEN 'inserted' THEN attempts - 1 WHEN 'conflict' THEN attempts ELSE 0 END AS conflicts,
        submission_id AS first_submission_id, pos AS first_pos
 FROM judged""")
 
+oracle("shooters_after_insert", "submission_headers submission_lines shooters", f"""WITH {_ASKED_NAMES}
+SELECT CAST(id AS BIGINT) AS id, team_id, name FROM shooters
+UNION ALL SELECT NULL, team_id, name FROM judged WHERE outcome = 'inserted'""")
+
+_ASKED_LEAGUES = """
+asked AS (SELECT id AS seq, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ASIA' ELSE 'League ' || (id % 7) END AS name, name AS location
+          FROM teams),
+judged AS (SELECT *, CASE WHEN name IS NULL THEN 'name_required' WHEN name IN (SELECT name FROM leagues) THEN 'conflict'
+                          WHEN seq <> min(seq) OVER (PARTITION BY name) THEN 'conflict' ELSE 'inserted' END AS outcome FROM asked)"""
+
+oracle("leagues_after_insert", "leagues teams", f"""WITH {_ASKED_LEAGUES}
+SELECT id, name, location, contact_name FROM leagues
+UNION ALL SELECT NULL, name, location, NULL FROM judged WHERE outcome = 'inserted'""")
+
+oracle("league_insert_report", "leagues teams", f"WITH {_ASKED_LEAGUES} SELECT seq, name, outcome FROM judged")
+
+_INTAKE = """
+clean AS (SELECT seq, lower(trim(raw_email)) AS email, nullif(trim(raw_name), '') AS name, nullif(trim(new_team_name), '') AS new_team,
+                 CASE WHEN nullif(trim(new_team_name), '') IS NULL THEN nullif(team_id, 0) END AS team_id
+          FROM applicants),
+fine AS (SELECT seq, email FROM clean WHERE contains(email, '@') AND (team_id IS NULL OR team_id IN (SELECT id FROM teams))),
+winner AS (SELECT email, min(seq) AS seq FROM fine GROUP BY email),
+judged AS (SELECT c.*, CASE WHEN NOT contains(c.email, '@') THEN 'invalid_email'
+                            WHEN c.email IN (SELECT email FROM users) OR c.seq > w.seq THEN 'email_taken'
+                            WHEN team_id NOT IN (SELECT id FROM teams) THEN 'unknown_team'
+                            ELSE 'created' END AS outcome
+           FROM clean c LEFT JOIN winner w ON w.email = c.email)"""
+
+oracle("teams_after_intake", "applicants users teams", f"""WITH {_INTAKE}
+SELECT id, name, league_id FROM teams
+UNION ALL
+SELECT DISTINCT NULL, new_team, NULL FROM judged
+WHERE outcome = 'created' AND new_team IS NOT NULL AND new_team NOT IN (SELECT name FROM teams)""")
+
+oracle("users_after_intake", "applicants users teams", f"""WITH {_INTAKE}
+SELECT u.id, u.email, u.name, is_admin, is_squad_leader, team_approved, t.name AS team
+FROM users u LEFT JOIN teams t ON t.id = u.team_id
+UNION ALL
+SELECT NULL, email, j.name, false, new_team IS NOT NULL, new_team IS NOT NULL OR j.team_id IS NULL, COALESCE(new_team, t.name)
+FROM judged j LEFT JOIN teams t ON t.id = j.team_id WHERE outcome = 'created'""")
+
 _ALL_SCORES = f"round_id, shooter_id, sub_for_shooter_id, {ST}, total"
 oracle("teams_after_intake", "applicants users teams", """WITH
 clean AS (SELECT seq, lower(trim(raw_email)) AS email, nullif(trim(new_team_name), '') AS new_team FROM applicants),
@@ -457,6 +552,16 @@ SELECT round_id, shooter_id,
 FROM scores
 WHERE round_id NOT IN (SELECT id FROM gone_rounds) AND shooter_id NOT IN (SELECT id FROM gone_shooters)""")
 
+oracle("teams_after_delete", "teams users", f"""WITH {_GONE_TEAMS}
+SELECT * FROM teams WHERE id NOT IN (SELECT id FROM gone)""")
+
+oracle("shooters_after_delete", "teams users shooters", f"""WITH {_GONE_TEAMS}
+SELECT * FROM shooters WHERE team_id NOT IN (SELECT id FROM gone)""")
+
+oracle("rounds_after_delete", "teams users rounds", f"""WITH {_GONE_TEAMS}
+SELECT id, team_id, strftime(rounds.round_date, '%Y-%m-%d') AS round_date, round_number, yardage
+FROM rounds WHERE team_id NOT IN (SELECT id FROM gone)""")
+
 oracle("team_delete_report", "teams users", """
 SELECT t.id, t.name, count(u.id) AS members, CASE WHEN count(u.id) > 0 THEN 'has_members' ELSE 'deleted' END AS outcome
 FROM teams t LEFT JOIN users u ON u.team_id = t.id 
@@ -465,16 +570,10 @@ WHERE t.id % 5 = 0 GROUP BY 1, 2""")
 oracle("after_delete_leagues", "teams", """
 SELECT id, name, CASE WHEN league_id <> 2 THEN league_id END AS league_id FROM teams""")
 
-oracle("account_intake", "applicants users teams", """WITH
-clean AS (SELECT seq, lower(trim(raw_email)) AS email, team_id, nullif(trim(new_team_name), '') AS new_team
-          FROM applicants),
-judged AS (SELECT c.*, CASE WHEN NOT contains(email, '@') THEN 'invalid_email'
-                            WHEN email IN (SELECT email FROM users) THEN 'email_taken'
-                            WHEN seq <> min(seq) OVER (PARTITION BY email) THEN 'email_taken'
-                            ELSE 'created' END AS outcome FROM clean c)
-SELECT seq, email, outcome,
+oracle("account_intake", "applicants users teams", f"""WITH {_INTAKE}
+SELECT seq, email, CASE WHEN outcome = 'created' THEN name END AS name, outcome,
        CASE WHEN outcome = 'created' THEN new_team END AS new_team,
-       CASE WHEN outcome = 'created' AND new_team IS NULL THEN team_id END AS joined_team_id,
+       CASE WHEN outcome = 'created' THEN team_id END AS joined_team_id,
        CASE WHEN outcome = 'created' THEN false END AS is_admin,
        CASE WHEN outcome = 'created' THEN new_team IS NOT NULL END AS is_squad_leader,
        CASE WHEN outcome = 'created' THEN new_team IS NOT NULL OR team_id IS NULL END AS team_approved,
@@ -482,12 +581,36 @@ SELECT seq, email, outcome,
          AS names_existing_team
 FROM judged""")
 
-oracle("identity_match", "identities users", """WITH
-seen AS (SELECT i.seq, i.external_id, lower(trim(raw_email)) AS email, email_verified AS ok FROM identities i)
-SELECT s.seq, s.external_id, s.email, CASE WHEN ok THEN COALESCE(g.id, e.id) END AS user_id,
-       CASE WHEN NOT ok THEN 'rejected' WHEN g.id IS NOT NULL THEN 'signed_in' WHEN e.id IS NOT NULL THEN 'linked'
-            ELSE 'created' END AS outcome
-FROM seen s LEFT JOIN users g ON g.google_id = s.external_id LEFT JOIN users e ON e.email = s.email""")
+# In the order of the batch: each row asks what the sign-ins before it have left behind. No external id comes with two emails.
+_SIGN_INS = """
+seen AS (SELECT seq, external_id, lower(trim(raw_email)) AS email, raw_name, email_verified AS ok FROM identities),
+homes AS (SELECT s.*, g.id AS home_id, g.email AS home_email,
+                 EXISTS (SELECT 1 FROM seen o WHERE o.ok AND o.email = g.email AND o.external_id <> s.external_id AND o.seq < s.seq)
+                   AS replaced
+          FROM seen s LEFT JOIN users g ON g.google_id = s.external_id),
+away AS (SELECT *, home_id IS NOT NULL AND NOT replaced AS home FROM homes),
+chain AS (SELECT *, lag(external_id) OVER (PARTITION BY email ORDER BY seq) AS last_id,
+                 row_number() OVER (PARTITION BY email ORDER BY seq) AS turn
+          FROM away WHERE ok AND NOT (home AND home_email <> email)),
+matched AS (
+  SELECT c.seq, c.external_id, c.email, e.id AS user_id, c.raw_name,
+         CASE WHEN e.id IS NULL AND turn = 1 THEN 'created'
+              WHEN turn = 1 AND e.google_id = external_id OR last_id = external_id THEN 'signed_in' ELSE 'linked' END AS outcome
+  FROM chain c LEFT JOIN users e ON e.email = c.email
+  UNION ALL
+  SELECT seq, external_id, email, CASE WHEN ok THEN home_id END, raw_name, CASE WHEN ok THEN 'signed_in' ELSE 'rejected' END
+  FROM away WHERE NOT ok OR (home AND home_email <> email))"""
+
+oracle("identity_match", "identities users", f"""WITH {_SIGN_INS}
+SELECT seq, external_id, email, user_id, outcome FROM matched""")
+
+oracle("users_after_sign_in", "identities users", f"""WITH {_SIGN_INS},
+tied AS (SELECT email, arg_max(external_id, seq) AS held FROM matched WHERE outcome IN ('linked', 'created') GROUP BY email)
+SELECT id, u.email, COALESCE(held, google_id) AS google_id, name, is_admin, is_squad_leader, team_approved, team_id
+FROM users u LEFT JOIN tied ON tied.email = u.email
+UNION ALL
+SELECT NULL, m.email, held, nullif(trim(raw_name), ''), false, false, true, NULL
+FROM matched m JOIN tied ON tied.email = m.email WHERE outcome = 'created'""")
 
 # One request after the other, as the site handles them.
 _REQUESTS = """
@@ -543,26 +666,39 @@ SELECT id, team_id, strftime(round_date, '%Y-%m-%d') AS round_date,
 FROM rounds""")
 
 
-def _constraints() -> str:
-    from tallyline.operators.maintain import FOREIGN, LOGO_PREFIX, NOT_NULL, UNIQUE
+# The rules of the stored schema, one by one.
+_RULES = """
+leagues: not null id | not null name | unique id | unique name
+teams: not null id | not null name | unique id | unique name | league_id in leagues
+users: not null id | not null email | not null is_admin | not null is_squad_leader | not null team_approved
+users: not null created_at | unique id | unique email | unique google_id | team_id in teams
+shooters: not null id | not null team_id | not null name | unique id | unique team_id,name | team_id in teams
+rounds: not null id | not null team_id | not null round_date | not null round_number | unique id | team_id in teams
+scores: not null round_id | not null shooter_id | not null total
+scores: round_id in rounds | shooter_id in shooters | sub_for_shooter_id in shooters
+"""
 
+
+def _constraints() -> str:
     parts = []
-    for table, columns in NOT_NULL.items():
-        for c in columns:
-            parts.append(f"SELECT '{table}' AS table_name, 'not null {c}' AS rule, "
-                         f"count(*) FILTER (WHERE {c} IS NULL) AS violations FROM {table}")
-    for table, groups in UNIQUE.items():
-        for keys in groups:
-            cols = ", ".join(keys)
-            filled = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-            parts.append(f"SELECT '{table}', 'unique {','.join(keys)}', "
-                         f"CAST(COALESCE(sum(n - 1), 0) AS BIGINT) FROM "
-                         f"(SELECT count(*) AS n FROM {table} WHERE {filled} GROUP BY {cols})")
-    for table, column, parent in FOREIGN:
-        parts.append(f"SELECT '{table}', '{column} in {parent}', count(*) FROM {table} "
-                     f"WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {parent})")
-    parts.append(f"SELECT 'teams', 'logo_data is an image', "
-                 f"count(*) FILTER (WHERE NOT starts_with(logo_data, '{LOGO_PREFIX}')) FROM team_logos")
+    for line in _RULES.strip().splitlines():
+        table, rules = line.split(": ")
+        for rule in rules.split(" | "):
+            if rule.startswith("not null "):
+                c = rule.removeprefix("not null ")
+                count = f"count(*) FILTER (WHERE {c} IS NULL) FROM {table}"
+            elif rule.startswith("unique "):
+                keys = rule.removeprefix("unique ").split(",")
+                filled = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+                count = (f"CAST(COALESCE(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM {table} WHERE {filled} "
+                         f"GROUP BY {', '.join(keys)})")
+            else:
+                column, parent = rule.split(" in ")
+                count = f"count(*) FROM {table} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {parent})"
+            select, rest = count.split(" FROM ", 1)
+            parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, {select} AS violations FROM {rest}")
+    parts.append("SELECT 'teams', 'logo_data is an image', "
+                 "count(*) FILTER (WHERE NOT starts_with(logo_data, 'data:image/')) FROM team_logos")
     return "\nUNION ALL ".join(parts)
 
 

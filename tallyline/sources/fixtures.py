@@ -17,7 +17,12 @@ from tallyline.operators.skew import heavy_keys, number_within
 BASE_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 BLOCKS: dict[str, str] = {
-    "leagues": "SELECT r_regionkey AS id, r_name AS name FROM {region}",
+    "leagues": """
+SELECT r_regionkey AS id, r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'Hall ' || r_name END AS location,
+       'Chair ' || r_name AS contact_name, CASE WHEN r_regionkey % 3 > 0 THEN lower(r_name) || '@league.test' END AS contact_email,
+       CASE WHEN r_regionkey = 1 THEN '555-100' END AS contact_phone, 'Mondays' AS schedule_text,
+       CASE WHEN r_regionkey > 2 THEN '20 a season' END AS costs_text, r_name || ' league' AS description
+FROM {region}""",
     "teams": """
 SELECT n_nationkey + 1 AS id, n_name AS name,
        CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE n_regionkey END AS league_id
@@ -51,6 +56,7 @@ FROM (
 SELECT c_custkey AS id, lower(c_name) || '@club.test' AS email,
        CASE WHEN c_custkey % 9 = 0 THEN 'g' || CAST(c_custkey AS VARCHAR(20)) END AS google_id,
        CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS name,
+       CASE WHEN c_custkey % 4 > 0 THEN '555-' || CAST(c_custkey AS VARCHAR(20)) END AS phone,
        c_custkey % 50 = 0 AS is_admin, c_custkey % 20 = 0 AS is_squad_leader,
        c_acctbal >= 0 AS team_approved,
        CASE WHEN c_custkey % 7 = 0 OR c_nationkey % 10 = 4 THEN NULL ELSE c_nationkey + 1 END AS team_id,
@@ -100,8 +106,16 @@ FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey""",
 SELECT c_custkey AS seq, 'g' || CAST(c_custkey AS VARCHAR(20)) AS external_id,
        CASE WHEN c_custkey % 2 = 0 THEN ' ' || upper(c_name) || '@CLUB.test'
             ELSE 'moved' || CAST(c_custkey AS VARCHAR(20)) || '@new.test' END AS raw_email,
-       c_custkey % 17 <> 0 AS email_verified
-FROM {customer}""",
+       CASE WHEN c_custkey % 5 > 0 THEN ' ' || c_name END AS raw_name, c_custkey % 17 <> 0 AS email_verified
+FROM {customer}
+UNION ALL
+SELECT 10000000 + c_custkey, 'x' || CAST(c_custkey AS VARCHAR(20)), lower(c_name) || '@club.test', NULL, c_custkey % 14 <> 0
+FROM {customer} WHERE c_custkey % 4 < 2
+UNION ALL
+SELECT 20000000 + c_custkey, 'g' || CAST(c_custkey AS VARCHAR(20)),
+       CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '@club.test'
+            ELSE 'moved' || CAST(c_custkey AS VARCHAR(20)) || '@new.test' END, 'Late ' || c_name, true
+FROM {customer} WHERE c_custkey % 8 < 5""",
     "membership_requests": """
 SELECT event_id AS seq, user_id,
        CASE event_id % 4 WHEN 0 THEN 'join' WHEN 1 THEN 'create' WHEN 2 THEN 'approve' ELSE 'deny' END AS action,

@@ -224,9 +224,10 @@ def test_edit_replaces_moves_and_splits(spark):
         sheet(5, [{"name": "Al", "total": 9, "subFor": "Bo"}, {"name": "Bo", "total": 8, "roundNumber": 2}], team_id=2),
         sheet(99, [{"name": "Al", "total": 1}]),
     )
-    after, roster, rounds_after = ingest.scores_after_edit(
+    after, roster, rounds_after, refused = ingest.scores_after_edit(
         scores, shooters, rounds, sheets.sheet_header_rows(p), sheets.sheet_line_rows(p)
     )
+    assert rows(refused) == [(99, "unknown_round")]
     ids = {(r.team_id, r.name): r.id for r in roster.collect()}
     new_round = next(r for r in rounds_after.collect() if r.source_id != r.id)
     assert (new_round.id, new_round.source_id, new_round.team_id, new_round.round_number) == (7, 5, 2, 2)
@@ -236,6 +237,33 @@ def test_edit_replaces_moves_and_splits(spark):
     assert rounds_after.count() == 3
 
 
+def test_edits_keep_their_team_or_are_reported(spark):
+    rounds = spark.sql(
+        "SELECT * FROM VALUES (5L, 1, DATE'2024-01-01', 1S, 16S), (6L, 2, DATE'2024-01-02', 1S, 16S), "
+        "(7L, 2, DATE'2024-01-02', 1S, 16S), (8L, 2, DATE'2024-01-02', 1S, 16S), (9L, 2, DATE'2024-01-02', 1S, 16S) "
+        "AS t(id, team_id, round_date, round_number, yardage)"
+    )
+    shooters = spark.createDataFrame([(1, 1, "Al")], SHOOTERS)
+    scores = spark.createDataFrame([score(5, 1, 20)], SCORES)
+    p = parsed(
+        spark, sheet(5, [{"name": "Al", "total": 9}], team_id=None), sheet(6, [{"name": "Al", "total": 8}], team_id=0),
+        sheet(7, [{"name": "Al", "total": 7}], team_id=44), sheet(8, [{"name": "Al", "total": "x"}]),
+        sheet(9, [{"name": "Al", "total": 3}], date="soon"),
+    )
+    after, _, rounds_after, refused = ingest.scores_after_edit(
+        scores, shooters, rounds, sheets.sheet_header_rows(p), sheets.sheet_line_rows(p), two_teams(spark)
+    )
+    assert rows(after, "round_id", "total") == [(5, 9), (6, 8)]
+    assert rows(rounds_after, "id", "team_id") == [(5, 1), (6, 2), (7, 2), (8, 2), (9, 2)]
+    assert rows(refused) == [(7, "unknown_team"), (8, "line"), (9, "date")]
+
+
+def test_unknown_teams_reject_their_sheets(spark):
+    headers, judged = split(spark, sheet(1, [{"name": "Al", "total": 1}]), sheet(2, [{"name": "Al", "total": 1}], team_id=44))
+    found = ingest.rejected_submissions(ingest.with_known_teams(headers, two_teams(spark)), judged)
+    assert rows(found, "submission_id", "reason") == [(2, "unknown_team")]
+
+
 # --- reads -----------------------------------------------------------------------------
 
 
@@ -299,8 +327,11 @@ def test_one_round_is_listed_by_name(club):
 
 def test_own_league_comes_first(spark):
     leagues = spark.createDataFrame([(1, "B"), (2, "C"), (3, "A")], "id INT, name STRING")
-    assert [r.id for r in derived.league_list(leagues, 2).collect()] == [2, 3, 1]
-    assert [r.id for r in derived.league_list(leagues, None).collect()] == [3, 1, 2]
+    teams = spark.createDataFrame([(1, 2), (2, 2), (3, None), (4, 9)], "id INT, league_id INT")
+    lists = {}
+    for r in derived.league_lists(leagues, teams).orderBy("place").collect():
+        lists.setdefault(r.own_league_id, []).append(r.league_id)
+    assert lists == {2: [2, 3, 1], None: [3, 1, 2], 9: [3, 1, 2]}
 
 
 def test_documents_round_trip(spark, club, tmp_path):
@@ -425,12 +456,36 @@ def test_first_account_on_an_empty_site(spark):
     }
 
 
+def test_accounts_and_teams_after_intake(spark):
+    users = spark.createDataFrame([user(7, 1)], USERS)
+    asked = spark.createDataFrame(
+        [(1, "a@x", 77, None, "A"), (2, "A@x ", 1, None, " Ann "), (3, "a@x", 1, None, "late"), (4, "b@x", 0, None, " "),
+         (5, "c@x", 77, " New ", None), (6, "d@x", None, "One", None), (7, "u7@x", 77, None, None)],
+        APPLICANTS + ", raw_name STRING",
+    )
+    intake = maintain.account_intake(asked, users, two_teams(spark))
+    assert dict(rows(intake, "seq", "outcome")) == {
+        1: "unknown_team", 2: "created", 3: "email_taken", 4: "created", 5: "created", 6: "created", 7: "email_taken"
+    }
+    after, teams = maintain.users_after_intake(intake, users, two_teams(spark))
+    assert rows(teams, "id", "name") == [(1, "One"), (2, "Two"), (3, "New")]
+    got = {r["email"]: r for r in after.collect()}
+    assert sorted(r["id"] for r in got.values()) == [7, 8, 9, 10, 11]
+    assert {e: (r["name"], r["team_id"], r["is_squad_leader"], r["team_approved"], r["is_admin"]) for e, r in got.items() if e != "u7@x"} == {
+        "a@x": ("Ann", 1, False, False, False), "b@x": (None, None, False, True, False), "c@x": (None, 3, True, True, False),
+        "d@x": (None, 1, True, True, False),
+    }
+
+
+SIGN_INS = "seq INT, external_id STRING, raw_email STRING, email_verified BOOLEAN"
+
+
 def test_identities_match_in_tiers(spark):
     users = spark.createDataFrame([user(1, google="g1"), user(2)], USERS)
     seen = spark.createDataFrame(
         [(1, "g1", "other@x", True), (2, "g2", " U2@X ", True), (3, "g3", "new@x", True), (4, "g4", "u2@x", False),
          (5, "g3", "new@x", True), (6, "g6", "new@x", True)],
-        "seq INT, external_id STRING, raw_email STRING, email_verified BOOLEAN",
+        SIGN_INS,
     )
     assert rows(maintain.identity_match(seen, users), "seq", "user_id", "outcome") == [
         (1, 1, "signed_in"), (2, 2, "linked"), (3, None, "created"), (4, None, "rejected"),
@@ -438,6 +493,40 @@ def test_identities_match_in_tiers(spark):
     ]
 
 
+def test_an_account_holds_one_outside_id(spark, monkeypatch):
+    """Each sign-in meets what those before it left; compared with one step after the other."""
+    draw = random.Random(3)
+    emails = {f"g{k}": f"u{draw.randint(1, 6)}@x" for k in range(12)}
+    users = [user(1, google="g0"), user(2, google="g1"), user(3, google="old"), user(4)]
+    emails["g0"], emails["g1"] = "u1@x", "u5@x"
+    asked = [(seq, g, emails[g], draw.random() < 0.9) for seq, g in enumerate(draw.choices(sorted(emails), k=200))]
+    frame = spark.createDataFrame(asked, SIGN_INS)
+    stored = spark.createDataFrame(users, USERS)
+    for width in (7, 65_536):
+        monkeypatch.setattr(maintain, "SIGN_INS", width)
+        for is_open in (True, False):
+            held = {u[1]: u[2] for u in users}
+            want = []
+            for seq, g, e, ok in asked:
+                if not ok:
+                    want.append((seq, "rejected"))
+                elif g in held.values():
+                    want.append((seq, "signed_in"))
+                elif e in held:
+                    held[e] = g
+                    want.append((seq, "linked"))
+                elif is_open:
+                    held[e] = g
+                    want.append((seq, "created"))
+                else:
+                    want.append((seq, "registration_closed"))
+            matched = maintain.identity_match(frame, stored, registration_open=is_open)
+            assert sorted(map(tuple, matched.select("seq", "outcome").collect())) == want
+            after = maintain.users_after_sign_in(matched, frame.withColumn("raw_name", F.lit(" N ")), stored)
+            assert {r["email"]: r["google_id"] for r in after.collect()} == held
+            assert {r["name"] for r in after.collect() if r["id"] > 4} <= {"N"}
+
+
 # --- maintenance ---------------------------------------------------------------------------
 
 
@@ -469,49 +558,76 @@ def test_members_delete_only_their_own_rounds_and_never_themselves(spark, club):
 
 
 def test_team_patches(spark):
-    teams = spark.createDataFrame([(1, "A", 5), (2, "B", 5), (3, "C", 5), (4, "D", 5)], "id INT, name STRING, league_id INT")
+    teams = spark.createDataFrame([(1, "A", 5), (2, "B", 5), (3, "C", 5), (4, "D", 5), (5, "E", 5)], "id INT, name STRING, league_id INT")
     patch = spark.createDataFrame(
-        [(1, " A2 ", None, False), (2, "C", None, True), (3, "C", 0, True), (4, " ", 6, True), (9, "Z", None, False)],
+        [(1, " A2 ", None, False), (2, "C", None, True), (3, "C", 0, True), (4, " ", 6, True), (9, "Z", None, False),
+         (5, "E2", 77, True)],
         "id INT, name STRING, league_id INT, league_id_set BOOLEAN",
     )
-    after, report = maintain.patch_teams(teams, patch)
-    assert rows(after) == [(1, "A2", 5), (2, "B", 5), (3, "C", None), (4, "D", 5)]
-    assert dict(rows(report, "id", "outcome")) == {1: "updated", 2: "conflict", 3: "updated", 4: "name_required", 9: "not_found"}
+    after, report = maintain.patch_teams(teams, patch, spark.createDataFrame([(5,)], "id INT"))
+    assert rows(after) == [(1, "A2", 5), (2, "B", 5), (3, "C", None), (4, "D", 5), (5, "E", 5)]
+    assert dict(rows(report, "id", "outcome")) == {
+        1: "updated", 2: "conflict", 3: "updated", 4: "name_required", 5: "unknown_league", 9: "not_found"
+    }
 
 
 def test_shooter_patches(spark):
-    shooters = spark.createDataFrame([(1, 1, "Al"), (2, 2, "Al"), (3, 1, "Cy")], SHOOTERS)
-    patch = spark.createDataFrame([(1, None, 2), (2, " Di ", None), (3, " ", None), (8, "X", 1)], "id BIGINT, name STRING, team_id INT")
-    after, report = maintain.patch_shooters(shooters, patch)
-    assert rows(after) == [(1, 1, "Al"), (2, 2, "Di"), (3, 1, "Cy")]
-    assert dict(rows(report)) == {1: "conflict", 2: "updated", 3: "nothing_to_update", 8: "not_found"}
+    shooters = spark.createDataFrame([(1, 1, "Al"), (2, 2, "Al"), (3, 1, "Cy"), (4, 1, "Ed")], SHOOTERS)
+    patch = spark.createDataFrame([(1, None, 2), (2, " Di ", None), (3, " ", None), (8, "X", 1), (4, "Ed", 77)], "id BIGINT, name STRING, team_id INT")
+    after, report = maintain.patch_shooters(shooters, patch, two_teams(spark))
+    assert rows(after) == [(1, 1, "Al"), (2, 2, "Di"), (3, 1, "Cy"), (4, 1, "Ed")]
+    assert dict(rows(report)) == {1: "conflict", 2: "updated", 3: "nothing_to_update", 4: "unknown_team", 8: "not_found"}
 
 
 def test_logo_patches(spark):
     logos = spark.createDataFrame([(1, "data:image/a"), (2, "data:image/b"), (3, "data:image/c")], tables.SCHEMAS["team_logos"])
     asked = spark.createDataFrame(
         [(1, 1, None, True, False, None), (2, 2, "data:image/y", False, True, 2), (3, 2, "data:image/z", False, True, 2),
-         (4, 3, "x", True, False, None), (5, 4, "data:image/q", False, True, 2), (6, 3, "", True, False, None)],
+         (4, 3, "x", True, False, None), (5, 4, "data:image/q", False, True, 2), (6, 3, "", True, False, None),
+         (7, 77, "data:image/q", True, False, None)],
         "seq INT, team_id INT, logo_data STRING, is_admin BOOLEAN, is_squad_leader BOOLEAN, own_team_id INT",
     )
-    after, report = maintain.patch_logos(logos, asked)
+    after, report = maintain.patch_logos(logos, asked, spark.range(1, 5).select(F.col('id').cast('int').alias('id')))
     assert rows(after) == [(2, "data:image/z"), (3, "data:image/c")]
     assert dict(rows(report, "seq", "outcome")) == {
-        1: "cleared", 2: "set", 3: "set", 4: "not_an_image", 5: "forbidden", 6: "not_an_image"
+        1: "cleared", 2: "set", 3: "set", 4: "not_an_image", 5: "forbidden", 6: "not_an_image",
+        7: "not_found",
     }
 
 
 def test_user_patch_keeps_what_was_not_supplied(spark):
-    users = spark.createDataFrame([user(1, 4, leader=True), user(2, 4)], USERS)
+    users = spark.createDataFrame([user(1, 1, leader=True), user(2, 1), user(3, 1)], USERS)
     patch = spark.createDataFrame(
-        [(1, True, True, None, False, None, False, 0, True)],
+        [(1, True, True, None, True, None, False, 0, True), (2, True, True, None, False, None, False, 77, True),
+         (3, None, True, None, None, None, False, None, False), (9, True, True, None, False, None, False, None, False)],
         "id BIGINT, is_admin BOOLEAN, is_admin_set BOOLEAN, is_squad_leader BOOLEAN, is_squad_leader_set BOOLEAN, "
         "team_approved BOOLEAN, team_approved_set BOOLEAN, team_id INT, team_id_set BOOLEAN",
     )
-    after = maintain.patch_users(users, patch)
+    after, report = maintain.patch_users(users, patch, two_teams(spark))
     assert rows(after, "id", "is_admin", "is_squad_leader", "team_approved", "team_id") == [
-        (1, True, True, True, None), (2, False, False, True, 4)
+        (1, True, True, True, None), (2, False, False, True, 1), (3, False, False, True, 1)
     ]
+    assert dict(rows(report)) == {1: "updated", 2: "unknown_team", 3: "nothing_to_update", 9: "not_found"}
+
+
+def test_inserted_shooters_get_ids(spark):
+    shooters = spark.createDataFrame([(4, 1, "Al")], SHOOTERS)
+    asked = spark.createDataFrame(
+        [(1, " Al ", 1, 1), (1, "Bo", 1, 2), (1, "Bo", 1, 3), (77, "Cy", 1, 4), (0, "Di", 1, 5), (None, "Di", 1, 6), (2, " ", 1, 7)],
+        "team_id INT, raw_name STRING, submission_id BIGINT, pos INT",
+    )
+    after, report = maintain.insert_shooters(asked, shooters, two_teams(spark))
+    assert rows(after) == [(4, 1, "Al"), (5, 1, "Bo")]
+    assert rows(report, "team_id", "name", "outcome", "conflicts") == sorted(
+        [(1, "Al", "conflict", 1), (1, "Bo", "inserted", 1), (77, "Cy", "unknown_team", 0), (0, "Di", "invalid", 0),
+         (None, "Di", "invalid", 0), (2, "", "invalid", 0)], key=str,
+    )
+
+
+def test_sheet_team_overrides(spark):
+    frame = spark.createDataFrame([(True, 0, 5), (True, 3, 5), (True, None, 5), (False, 3, 5)], "admin BOOLEAN, asked INT, own INT")
+    got = frame.select(ingest.effective_team("admin", "asked", "own").alias("t"))
+    assert [r.t for r in got.collect()] == [5, 3, 5, 5]
 
 
 def test_leagues(spark):
