@@ -602,7 +602,7 @@ def constraint_violations(d: ClubData) -> DataFrame:
 @query
 def stream_ingest(d: ClubData) -> DataFrame:
     return jobs.ingest_documents(
-        d.spark, sheets.sheet_documents(d.submission_headers, d.submission_lines), d.shooters
+        d.spark, sheets.sheet_documents(d.submission_headers, d.submission_lines), d.shooters, d.teams
     )
 
 

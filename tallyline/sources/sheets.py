@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.exprs import col
+from tallyline.functions.exprs import as_number, col, trimmed
 
 SHEET_SCHEMA = (
-    "submission_id BIGINT, team_id INT, date STRING, yardage VARIANT, roundNumber VARIANT, "
+    "submission_id BIGINT, team_id VARIANT, date STRING, yardage VARIANT, roundNumber VARIANT, "
     "first_pos BIGINT, shooters ARRAY<STRUCT<name: STRING, stations: ARRAY<VARIANT>, total: VARIANT, "
     "subFor: STRING, roundNumber: VARIANT>>"
 )
@@ -21,6 +21,7 @@ MALFORMED = "_corrupt_record"
 FILE_SCHEMA = f"{SHEET_SCHEMA}, {MALFORMED} STRING"
 STATION_FIELDS = [f"st{i}" for i in range(1, 6)]
 HEADER_FIELDS = ["submission_id", "team_id", "raw_date", "raw_yardage", "raw_round_number"]
+DOCUMENT_FIELDS = ["head_hash", "first_pos", "lines_hash"]
 LINE_FIELDS = ["pos", "raw_name", *STATION_FIELDS, "station_sum", "raw_total", "raw_sub_for", "raw_row_round"]
 
 
@@ -29,13 +30,14 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_sheets(docs: DataFrame, text: str = "doc") -> DataFrame:
-    """Sheets from a column of JSON text."""
-    return docs.select(F.from_json(text, SHEET_SCHEMA).alias("s")).select("s.*")
+    """Sheets from a column of JSON text. A text that is no sheet is a row of NULLs that keeps it in MALFORMED."""
+    parsed = F.from_json(text, FILE_SCHEMA, {"columnNameOfCorruptRecord": MALFORMED})
+    return docs.select(parsed.alias("s")).select("s.*")
 
 
-def _text(value: str | Column) -> Column:
-    """A JSON scalar as the text the database would be given; NULL for null or missing."""
-    return col(value).cast("string")
+def broken_sheets(sheets: DataFrame) -> DataFrame:
+    """The documents that did not parse."""
+    return sheets.filter(F.col(MALFORMED).isNotNull()).select("submission_id", MALFORMED)
 
 
 def _is_number(value: Column) -> Column:
@@ -43,6 +45,25 @@ def _is_number(value: Column) -> Column:
     return F.substring(F.schema_of_variant(value), 1, 3).isin("BIG", "DEC", "DOU", "FLO")
 
 
+def _text(value: str | Column) -> Column:
+    """A JSON scalar as the text the database would be given; NULL for null or missing.
+
+    Numbers are judged as numbers: 2e1 and 20.0 are 20. Texts stay as they are.
+    """
+    value = col(value)
+    number = F.when(_is_number(value), value.try_cast("double"))
+    whole = number.try_cast("bigint")
+    return F.when(whole == number, whole.cast("string")).otherwise(value.cast("string"))
+
+
+def _team(value: str | Column) -> Column:
+    """The number of a team given as a number or as text; NULL for none, 0 and anything that is no whole number."""
+    text = _text(value)
+    number = as_number(trimmed(F.when(text != "", text)))
+    whole = number.try_cast("int")
+    return F.when((whole == number) & (whole != 0), whole)
+
+
 def one_per_key(rows: DataFrame, *keys: str) -> DataFrame:
     """One row per key, the same one on every run, also when repeats differ."""
     rest = [c for c in rows.columns if c not in keys]
@@ -52,7 +73,7 @@ def one_per_key(rows: DataFrame, *keys: str) -> DataFrame:
 def _header_columns() -> list[Column]:
     return [
         F.col("submission_id"),
-        F.col("team_id"),
+        _team("team_id").alias("team_id"),
         F.col("date").alias("raw_date"),
         _text("yardage").alias("raw_yardage"),
         _text("roundNumber").alias("raw_round_number"),
@@ -81,7 +102,7 @@ def _line_columns() -> list[Column]:
 
 def sheet_header_rows(sheets: DataFrame) -> DataFrame:
     """One row per sheet with its raw header texts, also when it came in several documents."""
-    return one_per_key(sheets.select(*_header_columns()), "submission_id")
+    return one_per_key(sheets.filter("submission_id IS NOT NULL").select(*_header_columns()), "submission_id")
 
 
 def sheet_line_rows(sheets: DataFrame) -> DataFrame:
@@ -97,10 +118,36 @@ def flat_sheets(sheets: DataFrame) -> DataFrame:
     ``rows_to_lines`` take the two apart again.
     """
     header = _header_columns()
-    exploded = sheets.select(
-        *header, MALFORMED, "first_pos", F.posexplode_outer("shooters").alias("offset", "line")
+    shape = F.xxhash64(*[F.to_json(F.struct(c)) for c in ("team_id", "date", "yardage", "roundNumber")])
+    exploded = sheets.withColumns({"head_hash": shape, "lines_hash": F.xxhash64(F.to_json("shooters"))}).select(
+        *header, MALFORMED, "head_hash", "lines_hash", F.coalesce("first_pos", F.lit(1)).alias("first_pos"),
+        F.posexplode_outer("shooters").alias("offset", "line"),
     )
-    return exploded.select(*HEADER_FIELDS, MALFORMED, *_line_columns())
+    return exploded.select(*HEADER_FIELDS, MALFORMED, *DOCUMENT_FIELDS, *_line_columns())
+
+
+def line_count() -> Column:
+    """Lines of one document, whose positions have no gaps, however often it arrived."""
+    return F.coalesce(F.max("pos") - F.min("pos") + 1, F.lit(0)).cast("bigint")
+
+
+def chosen_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, set aside) of flat sheets: of differing documents of one sheet one set counts, whole.
+
+    Parts of a sheet share their header and begin at different positions. Where
+    headers differ, the documents of the least header hash are taken; where two
+    parts begin at one position, the one of the least hash. The same documents win
+    on every run. The others are listed with their number of lines. Equal
+    documents count once.
+    """
+    documents = rows.groupBy("submission_id", *DOCUMENT_FIELDS).agg(line_count().alias("n_lines"))
+    head = documents.groupBy("submission_id").agg(F.min("head_hash").alias("head_hash"))
+    part = documents.join(head, ["submission_id", "head_hash"], "left_semi").groupBy(
+        "submission_id", "head_hash", "first_pos"
+    ).agg(F.min("lines_hash").alias("lines_hash"))
+    keys = ["submission_id", *DOCUMENT_FIELDS]
+    lost = documents.join(part, keys, "left_anti").select("submission_id", "first_pos", "n_lines")
+    return rows.join(part, keys, "left_semi"), lost
 
 
 def rows_to_headers(rows: DataFrame) -> DataFrame:

@@ -212,6 +212,26 @@ def test_edit_splits_by_lowest_number(spark):
     ]
 
 
+def test_numbers_and_teams_in_every_form(spark):
+    docs = [
+        '{"submission_id": 1, "team_id": "3", "date": "2024-05-01", "shooters": [{"name": "Al", "total": 2e1, "stations": [5e0, 4.0, "3"]}]}',
+        '{"submission_id": 2, "team_id": " 3 ", "date": "2024-05-01", "shooters": [{"name": "Al", "total": "2e1"}]}',
+        '{"submission_id": 3, "team_id": 3.0, "date": "2024-05-01", "shooters": [{"name": "Al", "total": 20.5}]}',
+        '{"submission_id": 4, "team_id": "x", "date": "2024-05-01", "shooters": [{"name": "Al", "total": 2}]}',
+        '{"submission_id": 5, "team_id": 0, "date": "2024-05-01", "shooters": [{"name": "Al", "total": 2}]}',
+        "no sheet at all", '{"submission_id": 6,',
+    ]
+    p = sheets.parse_sheets(spark.createDataFrame([(d,) for d in docs], "doc STRING"))
+    assert sorted(r[sheets.MALFORMED] for r in sheets.broken_sheets(p).collect()) == sorted(docs[5:])
+    headers, judged = sheets.sheet_header_rows(p), ingest.judged_lines(sheets.sheet_line_rows(p))
+    assert rows(headers, "submission_id", "team_id") == [(1, 3), (2, 3), (3, 3), (4, None), (5, None)]
+    first = judged.filter("submission_id = 1").first()
+    assert (first.total, first.station_1, first.station_2, first.station_3) == (20, 5, 4, 3)
+    assert rows(ingest.rejected_submissions(headers, judged), "submission_id", "reason") == [
+        (2, "line"), (3, "line"), (4, "team"), (5, "team")
+    ]
+
+
 def test_edit_replaces_moves_and_splits(spark):
     rounds = spark.sql(
         "SELECT * FROM VALUES (5L, 1, DATE'2024-01-01', 1S, 16S), (6L, 1, DATE'2024-01-02', 1S, 16S) "
