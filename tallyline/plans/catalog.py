@@ -216,8 +216,7 @@ def _stored_ids_only(roster: DataFrame) -> DataFrame:
 
 @query
 def explode_scoresheets(d: ClubData) -> DataFrame:
-    documents = sheets.sheet_documents(d.submission_headers, d.submission_lines)
-    return sheets.sheet_line_rows(sheets.parse_sheets(documents))
+    return sheets.sheet_line_rows(sheets.parse_sheets(d.documents))
 
 
 @query
@@ -601,9 +600,7 @@ def constraint_violations(d: ClubData) -> DataFrame:
 
 @query
 def stream_ingest(d: ClubData) -> DataFrame:
-    return jobs.ingest_documents(
-        d.spark, sheets.sheet_documents(d.submission_headers, d.submission_lines), d.shooters, d.teams
-    )
+    return jobs.ingest_documents(d.spark, d.documents, d.shooters, d.teams)
 
 
 @query

@@ -86,7 +86,10 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 @contextmanager
 def clearing(spark: SparkSession) -> Iterator[None]:
-    """Remove at the end the scratch folders made inside. Results must be written or read by then."""
+    """Remove at the end the scratch folders made inside. Results must be written or read by then.
+
+    What later work is to read must be made before.
+    """
     before = len(_written)
     try:
         yield

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.operators.skew import heavy_keys, number_within
+from tallyline.session import scratch, shared_folder
+from tallyline.sources import sheets
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
@@ -139,6 +141,10 @@ _LINE_NUMBER = (
 _LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
+# Scoresheet documents written so far, by session folder and data folder.
+_documents: dict[tuple[str | None, str], str] = {}
+
+
 class ClubData:
     """The score tables of one data folder as lazy DataFrames.
 
@@ -187,3 +193,13 @@ class ClubData:
             name="pos",
             heavy=heavy_keys(self.base("lineitem").withColumnRenamed("l_orderkey", "submission_id"), ["submission_id"]),
         ).drop(*_LINE_ORDER)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The scoresheets as stored JSON documents (doc). Written once per session and data folder."""
+        key = (shared_folder(self.spark), self.folder)
+        if key not in _documents:
+            path = scratch(self.spark, "documents")
+            sheets.sheet_documents(self.submission_headers, self.submission_lines).select("doc").write.text(path)
+            _documents[key] = path
+        return self.spark.read.text(_documents[key]).withColumnRenamed("value", "doc")

@@ -36,11 +36,27 @@ def no_broadcast(spark):
 def test_big_tables_join_without_broadcast(data, no_broadcast):
     """With large dimensions only the top-k and id helpers still broadcast."""
     top_k = {"site_top_individuals", "site_top_teams", "leader_callouts"}
-    new_ids = {"roster_after_ingest", "teams_after_intake"}
+    new_ids = {
+        "roster_after_ingest", "teams_after_intake", "users_after_intake", "users_after_sign_in", "shooters_after_insert",
+        "leagues_after_insert", "league_insert_report",
+    }
     for name in sorted(set(LAZY) - top_k - new_ids):
         assert "BroadcastHashJoin" not in plan(catalog.CATALOG[name](data)), name
 
 
+def test_constraints_read_every_table_once(data, no_broadcast):
+    text = plan(catalog.constraint_violations(data))
+    assert len(re.findall(r"FileScan parquet.*lineitem", text)) == 1
+    assert len(re.findall(r"FileScan parquet.*orders", text)) == 1
+
+
+@pytest.mark.parametrize("name", ["shooter_trends", "round_history", "normalised_lines"])
+def test_no_window_on_a_bare_key(data, name):
+    """Rows are numbered within slices, whatever the size."""
+    windows = re.findall(r"row_number\(\) windowspecdefinition\((.*)", plan(catalog.CATALOG[name](data)))
+    assert windows and all("_s0" in w for w in windows)
+
+
 def test_scores_shrink_before_they_are_shuffled(data, no_broadcast):
     text = plan(reads.site_top_teams(data.scores, data.rounds, data.teams, data.team_logos))
     scan = text[: text.index("l_suppkey")] if "l_suppkey" in text else text
