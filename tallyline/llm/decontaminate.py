@@ -152,10 +152,11 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     """The rows of ``docs`` without a single hit word, all columns as they are."""
     sent = automata_of(benchmark, WINDOW, BLOCK_WINDOWS, "item_id", "text")
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automata = [a for a in (pickle.loads(x.value) for x in sent) if len(a)]
-        return texts.map(lambda x: not any(_hits(x, a) for a in automata)).astype(bool)
+        for texts in batches:
+            yield pa.array([not any(_hits(x.as_py(), a) for a in automata) for x in texts], pa.bool_())
 
     return docs.filter(clean(F.col(text_col)))
 

@@ -19,7 +19,7 @@ from tallyline.llm.shared import WORD, partitions, stage
 SEQUENCE = 4096
 END = 1
 #: Words and pieces of words whose ids a worker remembers, and the longest such word in characters.
-REMEMBERED, LONGEST = 800_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 # Words that only need lower case and a split before the merges: Latin letters
 # up to U+017F are the same in composed form.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch

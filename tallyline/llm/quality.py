@@ -6,7 +6,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +18,8 @@ MAX_COVERED = 0.5
 MAX_LONGEST = 100
 #: The base rule: fewest words, and the highest percentage of words in repeated 3-word windows.
 MIN_WORDS, MAX_WINDOW_PERCENT, BASE_WINDOW = 50, 50, 3
-#: Words of short documents that are sorted together.
-CHUNK = 100_000
+#: Characters of short documents that are split and sorted together.
+CHUNK = 600_000
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\x0c"
 
@@ -109,26 +108,29 @@ def repetition(split: list[list[bytes]], min_repeat: int = MIN_REPEAT) -> tuple[
 
 
 def measure(texts: list[str | None], min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarray]:
-    """n_words and the COUNTS of every text; null counts as empty."""
-    raws = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-    split = [r.split() for r in raws]
-    found: list[tuple[np.ndarray, ...]] = []
-    start, size = 0, 0
-    for k, words in enumerate(split):
-        size += len(words)
-        if size >= CHUNK or k + 1 == len(split):
-            found.append(repetition(split[start:k + 1], min_repeat))
-            start, size = k + 1, 0
-    repeats = [np.concatenate(x) for x in zip(*found)] or [np.zeros(0, dtype=np.int64)] * 3
-    chars, symbols, lines = [], [], []
-    for text, raw in zip(texts, raws):
+    """n_words and the COUNTS of every text; null counts as empty. Only CHUNK bytes of texts are split at once."""
+    parts, group, size = [], [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text or "")
+        if size >= CHUNK:
+            parts.append(_measured(group, min_repeat))
+            group, size = [], 0
+    parts.append(_measured(group, min_repeat))
+    return {c: np.concatenate([p[c] for p in parts]) for c in ("n_words", *COUNTS)}
+
+
+def _measured(texts: list[str | None], min_repeat: int) -> dict[str, np.ndarray]:
+    split, chars, symbols, lines = [], [], [], []
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        split.append(raw.split())
         chars.append(len(text or "") - len(raw) + len(raw.translate(None, _SPACES)))
         symbols.append(len(raw) - len(raw.translate(None, _SYMBOLS)))
         filled = [x for x in raw.split(b"\n") if x.strip(_SPACES)]
         lines.append(len(filled) - len(set(filled)))
-    counts = [np.array(x, dtype=np.int64) for x in (chars, symbols, lines)]
-    n_words = np.array([len(x) for x in split], dtype=np.int64)
-    return dict(zip(("n_words", *COUNTS), [n_words, *counts, *repeats]))
+    counts = [np.array(x, dtype=np.int64) for x in ([len(x) for x in split], chars, symbols, lines)]
+    return dict(zip(("n_words", *COUNTS), [*counts, *repetition(split, min_repeat)]))
 
 
 def verdicts(m: dict[str, np.ndarray], max_covered: float, max_longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +167,8 @@ def judged(
 def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they are."""
 
-    @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
-        return pd.Series(verdicts(measure([x for x in texts]), MAX_COVERED, MAX_LONGEST)[1])
+    @F.arrow_udf("boolean")
+    def keeps(texts: pa.Array) -> pa.Array:
+        return pa.array(verdicts(measure(texts.to_pylist()), MAX_COVERED, MAX_LONGEST)[1])
 
     return docs.filter(keeps(F.col(text_col)))

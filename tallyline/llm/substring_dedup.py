@@ -211,7 +211,8 @@ def repeats(rows: DataFrame, seen: DataFrame, window: int = WINDOW) -> tuple[Dat
 def _copies(seen: DataFrame) -> DataFrame:
     """The rows of ``seen`` whose words are those of a smaller doc_id."""
     least = seen.groupBy("sha256").agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"))
-    least = least.filter("__first < __last").select("sha256", "__first")
+    # Written, so that the join meets it on a shuffle of its own and can split a text with very many copies.
+    least = stage(least.filter("__first < __last").select("sha256", "__first"), "repeat-copies")
     return seen.join(least, "sha256").filter("doc_id > __first").drop("__first")
 
 
@@ -305,10 +306,12 @@ def without_repeats(
         copies.select(F.col("doc_id").alias("__id"), F.lit(None).cast("array<int>").alias("__starts"))
     )
 
-    @F.pandas_udf("string")
-    def rest(text, at):
-        return text.combine(at, lambda x, y: cut(x, y, window))
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, starts: pa.Array) -> pa.Array:
+        return pa.array([cut(x.as_py(), y.as_py(), window) for x, y in zip(texts, starts)], pa.string())
 
+    # Evaluated once, although a filter and the result both read it.
+    rest = rest.asNondeterministic()
     joined = docs.join(changes, docs[id_col].cast("long") == F.col("__id"), "left")
     changed = F.col("__id").isNotNull()
     new = F.when(changed & F.col("__starts").isNotNull(), rest(F.col(text_col), F.coalesce("__starts", F.array().cast("array<int>"))))
