@@ -21,7 +21,7 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 # Odd 64-bit multipliers of the rolling hashes.
 _ANCHOR, _LEFT, _RIGHT = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 #: Anchors or windows that a task holds to settle among themselves.
-HELD = 4_000_000
+HELD = 1_000_000
 
 
 def word_hashes(text: str | None) -> np.ndarray:
