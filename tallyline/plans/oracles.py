@@ -452,7 +452,7 @@ oracle("logo_report", "users", f"WITH {_LOGOS} SELECT seq, wanted AS team_id, ou
 
 oracle("replaced_profiles", "users", """
 SELECT id, CASE WHEN id % 4 = 0 THEN email WHEN id % 2 = 1 THEN name END AS name,
-       CASE WHEN id % 2 = 0 THEN '555-' || id END AS phone, CAST(NULL AS VARCHAR) AS address
+       CASE WHEN id % 2 = 0 THEN '555-' || id ELSE phone END AS phone, CAST(NULL AS VARCHAR) AS address
 FROM users""")
 
 oracle("replaced_leagues", "leagues", """
