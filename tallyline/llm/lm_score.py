@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.shared import stage
+from tallyline.llm.shared import partitions, stage
 
 #: Order of the model.
 ORDER = 3
-#: Words with at least this share of all training tokens are sent to the workers: at most 1 / share.
-WORD_SHARE = 5e-7
-#: N-grams with at least this share are states and arcs: at most 1 / share of each order.
-NGRAM_SHARE = 1e-5
-#: Longer words are never sent to the workers, so that what is sent has a bound in bytes.
+#: Words need this share of all training tokens to be part of n-grams: none, every word is.
+WORD_SHARE = 0.0
+#: N-grams need this share to be states and arcs: none, one occurrence is enough at every size.
+NGRAM_SHARE = 0.0
+#: Longer words are part of no n-gram; they are counted and weighed alone.
 LONGEST = 64
 #: What is taken from every count of a longer n-gram and handed down to shorter ones.
 DISCOUNT = 0.75
@@ -29,8 +29,10 @@ DISCOUNT = 0.75
 ALPHA = 0.5
 #: The document remainder (crc32 of the id modulo FOLDS) that is held out.
 FOLDS, HELD_OUT = 5, 1
-#: Different n-grams that a task adds up before it hands them on.
+#: Different words that a task adds up before it hands them on.
 GATHERED = 400_000
+#: Tokens of a block of documents, and of all blocks whose n-grams meet in one part.
+BLOCK_TOKENS, PART_TOKENS = 1 << 20, 1 << 22
 END = b""
 
 
@@ -113,14 +115,6 @@ def unigram(count: int, total: int, distinct: int) -> float:
     return (count + ALPHA) / (total + ALPHA * (distinct + 1))
 
 
-def _numbered(texts: list[str | None], number: dict[bytes, int]) -> np.ndarray:
-    """Numbers of all tokens of some texts one after the other, 0 for other words."""
-    split = [tokens(x) for x in texts]
-    return np.fromiter(
-        map(number.get, chain.from_iterable(split), repeat(0)), dtype=np.int64, count=sum(map(len, split))
-    )
-
-
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, count) over all tokens of the texts, added up in every task first."""
 
@@ -143,89 +137,291 @@ def _counted(held: Counter) -> pa.RecordBatch:
     )
 
 
-def ngram_counts(rows: DataFrame, words: Broadcast, shorter: Broadcast | None, end: int) -> DataFrame:
-    """(gram, count) of all n-grams of the sent words whose first words are a kept n-gram.
+def _packed(x: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes each as the largest needs, which the first byte tells."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=f"u{x[0]}", offset=1).astype(np.int64)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two hashes in their order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of hashes begins and ends in sorted ``keys``."""
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+    return np.r_[0, np.searchsorted(keys, edges), len(keys)]
+
 
-    Without ``shorter`` these are bigrams: first * width + second. With it, the
-    sorted codes of the kept bigrams, they are trigrams: (place of the first bigram) *
-    width + third word, where the second bigram is kept too. An n-gram is no more frequent
-    than what it holds, so nothing that could be kept is left out.
+BLOCK = (
+    "block long, doc_id array<long>, held_out array<boolean>, size array<long>, train long, ids binary, words binary, "
+    "usable binary"
+)
+REQUEST = "part long, block long, keys binary, n binary, sizes binary, next binary, next_n binary, own binary, passed binary"
+ANSWER = "block long, part long, count binary, arcs binary, lost binary, first binary, next binary, total long"
+
+
+def blocks(rows: DataFrame, vocabulary: frozenset[bytes] | None = None) -> DataFrame:
+    """Documents in blocks of about BLOCK_TOKENS tokens: their words by number, and the hash of each number's word.
+
+    ``rows`` are (doc_id, text, held_out). A word is usable in n-grams if it is
+    in the vocabulary, without one always, and not longer than LONGEST.
     """
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    names = [x.split()[0] for x in BLOCK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: k for k, w in enumerate(words.value, 1)}
-        width = len(words.value) + 1
-        keys, counts, size = [], [], 0
+        known = sent.value
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        docs: list[tuple[int | None, bool]] = []
+        ids: list[np.ndarray] = []
+        size, block = 0, TaskContext.get().partitionId() << 32
+
+        def whole() -> pa.RecordBatch:
+            sizes = [len(x) for x in ids]
+            hashes = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in number)
+            usable = bytes(len(w) <= LONGEST and (known is None or w in known) for w in number)
+            row = (
+                block, [d[0] for d in docs], [d[1] for d in docs], sizes,
+                sum(n for n, d in zip(sizes, docs) if not d[1]), _packed(np.concatenate(ids)), hashes, usable,
+            )
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+
+        for batch in batches:
+            for doc, text, held in zip(*(batch.column(k) for k in range(3))):
+                split = tokens(text.as_py())
+                ids.append(np.fromiter(map(number.__getitem__, split), dtype=np.int32, count=len(split)))
+                docs.append((doc.as_py(), held.as_py()))
+                size += len(split)
+                if size >= BLOCK_TOKENS:
+                    yield whole()
+                    number.clear()
+                    docs, ids, size, block = [], [], 0, block + 1
+        if docs:
+            yield whole()
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, BLOCK)
+
+
+class Block:
+    """The n-grams of a block: word numbers, bigrams (usable words only) and what follows each of them.
+
+    ``bigram`` and ``after`` give every token the bigram it ends and the entry (bigram before
+    it, token) it ends, or -1. ``pairs`` are the bigrams' two words, in the order of their
+    hashes. An entry without a usable word, or at the end of a text, says that the
+    bigram was there and no arc leaves it.
+    """
+
+    def __init__(self, row: dict, order: int):
+        self.ids = t = _unpacked(row["ids"])
+        self.words = np.frombuffer(row["words"], dtype="<u8").astype(np.uint64)
+        self.usable = usable = np.frombuffer(row["usable"], dtype=np.uint8) > 0
+        self.doc_id, self.held_out, self.size = row["doc_id"], row["held_out"], np.array(row["size"], dtype=np.int64)
+        width, n = len(self.words), len(t)
+        self.starts = np.cumsum(self.size) - self.size
+        self.counts = np.repeat(~np.array(self.held_out, dtype=bool), self.size).astype(np.int64)
+        ends = np.zeros(n, dtype=bool)
+        ends[self.starts + self.size - 1] = True
+        #: Whether a token has a history of a word.
+        self.led = np.r_[False, ~ends[:-1] & usable[t[:-1]]] if order > 1 else np.zeros(n, dtype=bool)
+        self.bigram, self.after = np.full(n, -1), np.full(n, -1)
+        at = np.flatnonzero(self.led & usable[t])
+        code, back = np.unique(t[at - 1] * width + t[at], return_inverse=True)
+        a, b = code // width, code % width
+        hashed = _mixed(self.words[a], self.words[b])
+        sort = np.argsort(hashed)
+        place = np.empty(len(sort), dtype=np.int64)
+        place[sort] = np.arange(len(sort))
+        self.bigram[at] = place[back]
+        self.pairs, self.keys = (a[sort], b[sort]), hashed[sort]
+        #: The bigram a token has as history.
+        self.past = np.where(self.led, np.r_[-1, self.bigram[:-1]], -1)
+        follows = np.flatnonzero(self.past >= 0)
+        last = np.flatnonzero(ends & (self.bigram >= 0))
+        # Word 0 stands for no arc.
+        word = np.where(usable[t[follows]], t[follows] + 1, 0) if order > 2 else np.zeros(len(follows), dtype=np.int64)
+        code, back = np.unique(
+            np.r_[self.past[follows], self.bigram[last]] * (width + 1) + np.r_[word, np.zeros(len(last), dtype=np.int64)],
+            return_inverse=True,
+        )
+        self.after[follows] = back[:len(follows)]
+        self.entry_n = np.bincount(back, weights=np.r_[self.counts[follows], self.counts[last]], minlength=len(code)).astype(np.int64)
+        self.entry_word = np.r_[np.uint64(0), self.words][code % (width + 1)]
+        self.entries = np.bincount(code // (width + 1), minlength=len(self.keys))
+        # Words in the order of their hashes.
+        self.sorted = np.argsort(self.words)
+
+
+def _request(parts: int, cuts: np.ndarray, block: int, columns: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+    """A row for each part: of every column its slice, by the cuts given with it."""
+    out = []
+    for part in range(parts):
+        if cuts[part] == cuts[part + 1]:
+            continue
+        row = [x[c[part]:c[part + 1]] for x, c in columns]
+        out.append((part, block, *(x.tobytes() if x.dtype == np.uint64 else _packed(x) for x in row)))
+    return out
+
+
+def _table(rows: list[tuple], kinds: str) -> pa.Table:
+    names, types = zip(*(x.split() for x in kinds.split(", ")))
+    return pa.table(
+        [pa.array([r[k] for r in rows], pa.int64() if t == "long" else pa.binary()) for k, t in enumerate(types)], names=list(names),
+    )
+
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, back = np.unique(np.concatenate(keys), return_inverse=True)
-            return key, np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+def bigram_requests(held: DataFrame, order: int, parts: int) -> DataFrame:
+    """Every block's bigrams and their followers with their training counts, by ranges of the bigrams' hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _numbered(batch.column(0).to_pylist(), number)
-            ok = (x[:-1] > 0) & (x[1:] > 0) & (x[:-1] != end)
-            code = x[:-1] * width + x[1:]
-            if shorter is not None:
-                place = np.searchsorted(shorter.value, code)
-                ok &= np.take(shorter.value, place, mode="clip") == code
-                code, ok = place[:-1] * width + x[2:], ok[:-1] & ok[1:]
-            key, n = np.unique(code[ok], return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            size += len(key)
-            if size >= 4 * GATHERED:
-                key, n = merged()
-                keys, counts, size = [key], [n], len(key)
-                if size >= 2 * GATHERED:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"])
-                    keys, counts, size = [], [], 0
-        if keys:
-            key, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"])
-
-    return rows.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("count"))
-
-
-def _kept(grams: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams with at least ``least`` occurrences, sorted; their number is bounded by the share behind ``least``."""
-    found = grams.filter(F.col("count") >= least).toArrow()
-    key = found["gram"].to_numpy()
-    order = np.argsort(key)
-    return key[order], found["count"].to_numpy()[order]
-
-
-def train(
-    training: DataFrame, totals: DataFrame, total: int, distinct: int, order: int = ORDER,
-    word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE,
-) -> tuple[list[bytes], Automaton]:
-    """The sent words, number k at place k - 1, and the automaton over them.
-
-    Its size depends on the shares, never on the corpus; its counts cover all
-    training texts. ``order`` is 1, 2 or 3.
+            for row in batch.to_pylist():
+                b = Block(row, order)
+                cuts = _cuts(b.keys, parts)
+                inner = np.r_[0, np.cumsum(b.entries)][cuts]
+                none = np.zeros(0, dtype=np.int64), np.zeros(parts + 1, dtype=np.int64)
+                rows = _request(parts, cuts, row["block"], [
+                    (b.keys, cuts), none, (b.entries, cuts), (b.entry_word, inner), (b.entry_n, inner), none, none,
+                ])
+                yield from _table(rows, REQUEST).to_batches()
+
+    return held.mapInArrow(run, REQUEST)
+
+
+def bigram_answers(requests: DataFrame, least: float) -> DataFrame:
+    """What all blocks together hold: counts of bigrams, their arcs and what these leave, counts of the arcs.
+
+    ``first`` marks, for each bigram, one block that has it in its training texts.
     """
-    context = training.sparkSession.sparkContext
-    head = totals.filter((F.col("count") >= word_share * total) & (F.length("word") <= LONGEST)).toArrow()
-    pairs = sorted(zip(head["count"].to_pylist(), head["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
-    words = [w for _, w in pairs]
-    base = [0.0, *(math.log10(unigram(c, total, distinct)) for c, _ in pairs)]
-    least = ngram_share * total
-    counts = {k: c for k, (c, _) in enumerate(pairs, 1) if c >= least}
-    ngrams: list[dict[tuple[int, ...], int]] = []
-    if order > 1 and counts:
-        # The words of an n-gram are at least as frequent as itself; they have the first numbers.
-        known = context.broadcast(words[:len(counts)])
-        width = len(counts) + 1
-        end = words.index(END) + 1 if END in words[:len(counts)] else -1
-        key, n = _kept(ngram_counts(training, known, None, end), least)
-        ngrams.append({(int(k) // width, int(k) % width): int(c) for k, c in zip(key, n)})
-        if order > 2 and len(key):
-            sent = context.broadcast(key)
-            long, m = _kept(ngram_counts(training, known, sent, end), least)
-            first = key[long // width]
-            ngrams.append({
-                (int(a) // width, int(a) % width, int(k) % width): int(c) for a, k, c in zip(first, long, m)
-            })
-    return words, Automaton(base, counts, ngrams)
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = sorted(found.to_pylist(), key=lambda r: r["block"])
+        keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        sizes = np.concatenate([_unpacked(r["sizes"]) for r in rows])
+        word = np.concatenate([np.frombuffer(r["next"], dtype=np.uint64) for r in rows])
+        n = np.concatenate([_unpacked(r["next_n"]) for r in rows])
+        distinct, group = np.unique(np.concatenate(keys), return_inverse=True)
+        owner = np.repeat(group, sizes)
+        code, one, back = np.unique(
+            word + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True
+        )
+        total = np.bincount(back, weights=n, minlength=len(code)).astype(np.int64)
+        count = np.bincount(owner, weights=n, minlength=len(distinct)).astype(np.int64)
+        arc = (total >= max(least, 1)) & (word[one] != 0)
+        arcs = np.bincount(owner[one][arc], minlength=len(distinct))
+        kept = np.bincount(owner[one][arc], weights=total[arc], minlength=len(distinct)).astype(np.int64)
+        trained = np.flatnonzero(np.add.reduceat(n, np.cumsum(sizes) - sizes) > 0)
+        first = np.zeros(len(group), dtype=np.int64)
+        first[trained[np.unique(group[trained], return_index=True)[1]]] = 1
+        following = np.where(arc, total, 0)[back]
+        out, at, inner = [], 0, 0
+        for r, k in zip(rows, keys):
+            g, end = group[at:at + len(k)], inner + int(sizes[at:at + len(k)].sum())
+            out.append((
+                r["block"], r["part"], _packed(count[g]), _packed(arcs[g]), _packed((count - kept)[g]),
+                _packed(first[at:at + len(k)]), _packed(following[inner:end]), 0,
+            ))
+            at, inner = at + len(k), end
+        return _table(out, ANSWER)
+
+    return requests.groupBy("part").applyInArrow(run, ANSWER)
+
+
+def _joined(answers: list[dict], column: str) -> np.ndarray:
+    """One block's answers in the order of its hashes."""
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(_unpacked(r[column]) for r in answers)])
+
+
+def word_requests(held: DataFrame, answers: DataFrame, order: int, least: float, parts: int) -> DataFrame:
+    """Every block's words with their training counts, and the arcs that its own first bigrams are."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        b = Block(row, order)
+        found = sorted(right.to_pylist(), key=lambda r: r["part"])
+        count = _joined(found, "count")
+        arc = (_joined(found, "first") > 0) & (count >= max(least, 1))
+        width = len(b.words)
+        own = np.bincount(b.pairs[0][arc], minlength=width)
+        passed = np.bincount(b.pairs[0][arc], weights=count[arc], minlength=width).astype(np.int64)
+        n = np.bincount(b.ids, weights=b.counts, minlength=width).astype(np.int64)
+        keys = b.words[b.sorted]
+        cuts = _cuts(keys, parts)
+        none = np.zeros(0, dtype=np.int64), np.zeros(parts + 1, dtype=np.int64)
+        empty = np.zeros(0, dtype=np.uint64), np.zeros(parts + 1, dtype=np.int64)
+        return _table(_request(parts, cuts, row["block"], [
+            (keys, cuts), (n[b.sorted], cuts), none, empty, none, (own[b.sorted], cuts), (passed[b.sorted], cuts),
+        ]), REQUEST)
+
+    # Counts of arcs, most of the answers, stay out of this shuffle.
+    needed = answers.select("block", "part", "count", "first")
+    return held.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(run, REQUEST)
+
+
+def word_answers(requests: DataFrame) -> DataFrame:
+    """Counts of words, their arcs and what these leave; ``total`` of block -1 is a part's number of different words."""
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = sorted(found.to_pylist(), key=lambda r: r["block"])
+        keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        distinct, group = np.unique(np.concatenate(keys), return_inverse=True)
+        count, arcs, kept = (
+            np.bincount(group, weights=np.concatenate([_unpacked(r[c]) for r in rows]), minlength=len(distinct)).astype(np.int64)
+            for c in ("n", "own", "passed")
+        )
+        none = _packed(np.zeros(0, dtype=np.int64))
+        out, at = [(-1, rows[0]["part"], none, none, none, none, none, int((count > 0).sum()))], 0
+        for r, k in zip(rows, keys):
+            g = group[at:at + len(k)]
+            # Parts of words come before those of bigrams.
+            out.append((r["block"], -1 - r["part"], _packed(count[g]), _packed(arcs[g]), _packed((count - kept)[g]), none, none, 0))
+            at += len(k)
+        return _table(out, ANSWER)
+
+    return requests.groupBy("part").applyInArrow(run, ANSWER)
+
+
+def block_scores(
+    b: Block, words: list[dict], bigrams: list[dict], total: int, distinct: int, least: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known tokens, base score, score) of every text of a block: one pass from left to right over the automaton.
+
+    The state after a token is the longest history its text and the counts have.
+    A token takes the arc of its state; the weight of an arc holds what comes over
+    the failure arcs, and without an arc only that is left.
+    """
+    count, arcs, lost = (np.empty(len(b.words), dtype=np.int64) for _ in range(3))
+    for into, column in ((count, "count"), (arcs, "arcs"), (lost, "lost")):
+        into[b.sorted] = _joined(words, column)
+    single = (count + ALPHA) / (total + ALPHA * (distinct + 1))
+    t = b.ids
+    p = single[t]
+    base = np.log10(p)
+    c2, arcs2, lost2, c3 = (_joined(bigrams, x) for x in ("count", "arcs", "lost", "next"))
+
+    def taken(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+        seen = np.where(at >= 0, np.r_[n, 0][at], 0)
+        return np.where(seen >= max(least, 1), seen - DISCOUNT, 0.0)
+
+    before = np.r_[0, t[:-1]]
+    at = np.flatnonzero(b.led & (count[before] > 0))
+    past = before[at]
+    p[at] = (taken(c2, b.bigram[at]) + (lost[past] + DISCOUNT * arcs[past]) * p[at]) / count[past]
+    at = np.flatnonzero((b.past >= 0) & (np.r_[c2, 0][b.past] > 0))
+    past = b.past[at]
+    p[at] = (taken(c3, b.after[at]) + (lost2[past] + DISCOUNT * arcs2[past]) * p[at]) / c2[past]
+    known = np.add.reduceat((count[t] > 0).astype(np.int64), b.starts)
+    return known, np.add.reduceat(base, b.starts), np.add.reduceat(np.log10(p), b.starts)
 
 
 def scored(
@@ -238,59 +434,44 @@ def scored(
     single tokens. Null and empty texts are the end token alone. Rows with a null
     doc_id take part in the training. Repeated rows count as often as they come.
     Nothing is learned from a table without training rows: all counts are zero.
-    Other columns are not read.
+    Other columns are not read. ``order`` is 1, 2 or 3.
 
-    Frequent words and n-grams, whose number the shares bound, are sent to every
-    task. The exact counts of all other words, however many, come by a join.
+    The model is never in one place. Each block of documents adds up its n-grams,
+    counts are settled by ranges of hashes, and every block gets back the
+    states and arcs of its own n-grams. Shares above 0 make a smaller model.
     """
     number = F.col(id_col).cast("long")
     rows = docs.select(
         number.alias("doc_id"), F.col(text_col).alias("text"),
         F.coalesce(F.crc32(number.cast("string")) % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"),
     )
-    training = rows.filter("NOT held_out")
-    totals = stage(word_counts(training), "lm-words")
-    total, distinct = totals.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    words, model = train(training, totals, total, distinct, order, word_share, ngram_share)
-    sent = docs.sparkSession.sparkContext.broadcast((words, model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, automaton = sent.value
-        known = {w: k for k, w in enumerate(own, 1)}
-        base = np.array(automaton.base)
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
-        for batch in batches:
-            n_tokens, n_known, low, high, rest = [], [], [], [], []
-            for text in batch.column(2):
-                split = tokens(text.as_py())
-                numbers = list(map(known.get, split, repeat(0)))
-                at = np.array(numbers)
-                rare = Counter(split[k] for k in np.flatnonzero(at == 0))
-                n_tokens.append(len(split))
-                n_known.append(int(np.count_nonzero(at)))
-                low.append(float(base[at].sum()))
-                high.append(automaton.score(numbers))
-                rest.append([{"word": w, "tf": n} for w, n in rare.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(n_tokens, pa.int64()),
-                 pa.array(n_known, pa.int64()), pa.array(low), pa.array(high), pa.array(rest, kind)],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"],
-            )
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    part = stage(numbered.mapInArrow(
-        run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
-             "score double, rest array<struct<word: binary, tf: int>>",
-    ), "lm-scores")
-    rare = part.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.tf")
-    count = F.coalesce(F.col("count"), F.lit(0))
-    weight = F.log10((count + ALPHA) / F.lit(float(total + ALPHA * (distinct + 1))))
-    more = rare.join(totals, "word", "left").groupBy("row").agg(
-        F.sum(F.when(count > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * weight).alias("weight"),
-    )
-    weight = F.coalesce("weight", F.lit(0.0))
-    return part.drop("rest").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + weight).alias("base_score"), (F.col("score") + weight).alias("score"),
-    )
+    vocabulary = None
+    if word_share > 0:
+        totals = stage(word_counts(rows.filter("NOT held_out")), "lm-words")
+        least = word_share * (totals.agg(F.sum("count")).first()[0] or 0)
+        # At most 1 / share.
+        vocabulary = frozenset(bytes(r["word"]) for r in totals.filter(F.col("count") >= least).collect())
+    held = stage(blocks(rows, vocabulary), "lm-blocks")
+    size, total = held.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum("train")).first()
+    size, total = size or 0, total or 0
+    least = ngram_share * total
+    parts = max(partitions(docs.sparkSession), -(-size // PART_TOKENS))
+    # A block has far fewer words than n-grams.
+    few = max(1, parts // 16)
+    bigrams = stage(bigram_answers(bigram_requests(held, order, parts), least), "lm-bigrams")
+    words = stage(word_answers(word_requests(held, bigrams, order, least, few)), "lm-words")
+    distinct = words.filter("block = -1").agg(F.sum("total")).first()[0] or 0
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = Block(left.to_pylist()[0], order)
+        found = sorted(right.to_pylist(), key=lambda r: r["part"])
+        single = [r for r in found if r["part"] < 0][::-1]
+        known, base, score = block_scores(b, single, [r for r in found if r["part"] >= 0], total, distinct, least)
+        return pa.table({
+            "doc_id": pa.array(b.doc_id, pa.int64()), "held_out": pa.array(b.held_out, pa.bool_()), "n_tokens": b.size,
+            "n_known": known, "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": base, "score": score,
+        })
+
+    answers = bigrams.unionByName(words.filter("block >= 0")).drop("first", "total")
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind)

@@ -98,3 +98,27 @@ def test_model_beats_single_tokens_on_held_out_documents(make):
 
 def test_no_documents(make):
     assert lm_score.scored(make([], 1)).count() == 0
+
+
+def test_rare_ngrams_stay_in_a_large_corpus(make):
+    """N-grams seen once are arcs, though one is under 1e-5 of 190,000 training tokens."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(1000))) for i in range(240)]
+    spare = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    held = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows += [(spare, "alpha beta gamma"), (held, "alpha beta gamma")]
+    got = {r["doc_id"]: r for r in lm_score.scored(make(rows)).collect()}
+    want = {r[0]: r for r in plain(rows, 0.0, 0.0, 3)}
+    assert got[held]["score"] == pytest.approx(want[held][6], rel=1e-9)
+    assert got[held]["score"] > 0.5 * got[held]["base_score"]
+    assert max(abs(got[i]["score"] / want[i][6] - 1) for i in got) < 1e-9
+
+
+def test_blocks_and_parts_do_not_change_scores(make, monkeypatch):
+    docs = make(drawn_rows(5, 90))
+    want = sorted(tuple(r) for r in lm_score.scored(docs).collect())
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 100)
+    got = sorted(tuple(r) for r in lm_score.scored(docs).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5:] for r in got] == [pytest.approx(r[5:], rel=1e-9) for r in want]
