@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 #: The shortest repeat in words that counts as repetition.
 MIN_REPEAT = 10
-#: A document is rejected when repeats cover more than this share of its words, ...
-MAX_COVERED = 0.5
-#: ... or when its longest repeat has more words than this.
-MAX_LONGEST = 100
+#: A document is rejected when repeats cover more than this share of its words, all copies counted, ...
+MAX_COVERED = 0.3
+#: ... or when its longest repeat has more words than this. Two copies of it are under the share from 400 words on.
+MAX_LONGEST = 60
 #: The base rule: fewest words, and the highest percentage of words in repeated 3-word windows.
+#: Longer repeats lie inside these windows, so MAX_COVERED only decides below this percentage.
 MIN_WORDS, MAX_WINDOW_PERCENT, BASE_WINDOW = 50, 50, 3
 #: Characters of short documents that are split and sorted together.
 CHUNK = 600_000

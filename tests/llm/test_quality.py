@@ -91,6 +91,27 @@ def test_verdicts(make):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _, k in want if k), key=str)
 
 
+def test_each_limit_decides_alone(make):
+    fresh = iter(range(100_000))
+
+    def words(n):
+        return " ".join(f"u{next(fresh)}" for _ in range(n))
+
+    passages = [words(12) for _ in range(20)]
+    covered = " ".join(f"{p} {words(15)} {p} {words(15)}" for p in passages)
+    quote, line = words(80), words(13)
+    long = f"{quote} {words(900)} {quote}"
+    clean = [words(300), f"{line}\n{words(90)}\n{line}", f"{(p := words(40))} {words(300)} {p}"]
+    rows = list(enumerate([covered, long, *clean]))
+    m = quality.measure([t for _, t in rows])
+    share = m["n_covered_words"] / m["n_words"]
+    assert 0.4 < share[0] < 0.5 and m["longest_repeat"][0] == 12
+    assert share[1] < 0.2 and m["longest_repeat"][1] == 80
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judged(make(rows)).collect()}
+    assert got == {0: (False, False), 1: (False, False), 2: (False, True), 3: (False, True), 4: (False, True)}
+    assert {r["doc_id"] for r in quality.kept_rows(make(rows)).collect()} == {2, 3, 4}
+
+
 def test_no_documents(make):
     assert quality.judged(make([], 1)).count() == 0
     assert quality.kept_rows(make([], 1)).count() == 0
