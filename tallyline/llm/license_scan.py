@@ -1,4 +1,4 @@
-"""Licences of files: TF-IDF cosine of their lines and whole texts to templates, and inheritance from directories."""
+"""Licences of files: TF-IDF cosine of their lines, passages and whole texts to templates, and inheritance from directories."""
 
 from __future__ import annotations
 
@@ -17,7 +17,51 @@ from tallyline.llm.shared import stage
 COSINE = 0.75
 #: File names that make a file the licence of its directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|copyright)([.\-_].*)?$"
-# The notices by which files are put under a licence, by licence identifier.
+_GNU_HEADER = (
+    "is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as "
+    "published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+)
+_GNU_OPENING = (
+    "GNU {0}GENERAL PUBLIC LICENSE Version {1} Copyright (C) {2} Free Software Foundation, Inc. Everyone is permitted to "
+    "copy and distribute verbatim copies of this license document, but changing it is not allowed."
+)
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+    "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+    "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+    "and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_MIT_WARRANTY = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution."
+)
+_BSD_NAMES = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_BSD_WARRANTY = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+# The notices by which files are put under a licence, by licence identifier. Short licences
+# are here whole, long ones with their standard header and the opening of their text.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
@@ -33,12 +77,45 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MIT", _MIT_GRANT + _MIT_WARRANTY),
+    ("BSD-2-Clause", _BSD_GRANT + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD_GRANT + _BSD_NAMES + _BSD_WARRANTY),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
+                   "compliance with the License. You may obtain a copy of the License at "
+                   "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+                   "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS "
+                   "OF ANY KIND, either express or implied. See the License for the specific language governing permissions "
+                   "and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+                   "REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that "
+                "creates, contributes to the creation of, or owns Covered Software."),
+    ("GPL-2.0", _GNU_HEADER.format("", 2)),
+    ("GPL-3.0", _GNU_HEADER.format("", 3)),
+    ("LGPL-2.1", _GNU_HEADER.format("Lesser ", "2.1")),
+    ("LGPL-3.0", _GNU_HEADER.format("Lesser ", 3)),
+    ("AGPL-3.0", _GNU_HEADER.format("Affero ", 3)),
+    ("GPL-2.0", _GNU_OPENING.format("", "2, June 1991", "1989, 1991")),
+    ("GPL-3.0", _GNU_OPENING.format("", "3, 29 June 2007", "2007")),
+    ("LGPL-2.1", _GNU_OPENING.format("LESSER ", "2.1, February 1999", "1991, 1999")),
+    ("LGPL-3.0", _GNU_OPENING.format("LESSER ", "3, 29 June 2007", "2007")),
+    ("AGPL-3.0", _GNU_OPENING.format("AFFERO ", "3, 19 November 2007", "2007")),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 _TERM = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
+def sequence(text: str) -> list[str]:
+    return _TERM.findall(text.lower())
+
+
 def terms(text: str) -> Counter[str]:
-    return Counter(_TERM.findall(text.lower()))
+    return Counter(sequence(text))
 
 
 class Matcher:
@@ -56,6 +133,7 @@ class Matcher:
         self.rare = math.log((lines + 1) / 2) + 1
         self.idf = {t: math.log((lines + 1) / (n + 1)) + 1 for t, n in frequency.items()}
         self.vectors: list[tuple[str, dict[str, float]]] = []
+        self.sizes: list[int] = []
         self.heavy: dict[str, list[int]] = {}
         for k, (name, text) in enumerate(templates):
             found = terms(text)
@@ -63,6 +141,7 @@ class Matcher:
             size = math.sqrt(sum(x * x for x in raw.values())) or 1.0
             vector = {t: x / size for t, x in raw.items()}
             self.vectors.append((name, vector))
+            self.sizes.append(sum(found.values()))
             rest = 1.0
             for term, weight in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
                 if rest < least * least - 1e-9:
@@ -86,11 +165,46 @@ class Matcher:
                 out = (cosine, name)
         return out
 
+    def passage(self, found: list[str], k: int) -> float:
+        """The highest cosine of template ``k`` to any run of as many terms as it has, wherever lines end."""
+        vector, size = self.vectors[k][1], self.sizes[k]
+        idf, rare = self.idf, self.rare
+        held: dict[str, int] = {}
+        dot = norm = top = 0.0
+        for at, term in enumerate(found):
+            w, n = idf.get(term, rare), held.get(term, 0)
+            held[term] = n + 1
+            norm += w * w * (2 * n + 1)
+            dot += w * vector.get(term, 0.0)
+            if at >= size:
+                term = found[at - size]
+                w, n = idf.get(term, rare), held[term]
+                held[term] = n - 1
+                norm -= w * w * (2 * n - 1)
+                dot -= w * vector.get(term, 0.0)
+            if at >= size - 1 and dot > 0 and dot * dot > top * norm:
+                top = dot * dot / norm
+        return math.sqrt(top)
+
     def of_text(self, text: str | None) -> tuple[float, str] | None:
-        """The best of the whole text and of all its lines."""
+        """The best of the whole text, of all its lines and of its passages."""
         text = text or ""
-        found = [x for x in map(self.best, {text, *text.split("\n")}) if x]
-        return min(found, key=lambda x: (-x[0], x[1])) if found else None
+        found = sequence(text)
+        words = set(found)
+        # No part of a text comes nearer to a template than the terms they share allow.
+        near = sorted(
+            k for k in {k for t in words for k in self.heavy.get(t, ())}
+            if sum(w * w for t, w in self.vectors[k][1].items() if t in words) >= self.least * self.least - 1e-9
+        )
+        if not near:
+            return None
+        best = [x for x in map(self.best, {text, *text.split("\n")}) if x]
+        for k in near:
+            cosine = self.passage(found, k)
+            if cosine >= self.least - 1e-9:
+                # Sums carried along a text are rounded: what is next to 1 counts as 1.
+                best.append((1.0 if cosine > 1 - 1e-9 else cosine, self.vectors[k][0]))
+        return min(best, key=lambda x: (-round(x[0], 9), x[1])) if best else None
 
 
 def line_frequencies(rows: DataFrame, templates) -> tuple[dict[str, int], int]:

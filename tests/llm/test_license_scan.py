@@ -82,3 +82,40 @@ def test_root_licence_reaches_everything(spark, make):
 
 def test_no_files(spark, make):
     assert license_scan.scanned(spark.createDataFrame([], "path string, doc_id long, text string")).count() == 0
+
+
+GPL = """#!/usr/bin/env python
+# thing - does things. Copyright (C) 2019 Some One
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+BSD = """/* Redistribution and use in source and binary forms,
+ * with or without modification, are permitted provided
+ * that the following conditions are met:
+ */
+"""
+CODE = "\n".join(f"value_{k} = compute(input_{k}, {k})" for k in range(80))
+
+
+def test_notices_over_lines_and_inside_lines(spark, make):
+    rows = [
+        ("g.py", 1, GPL + CODE), ("b.c", 2, BSD + CODE), ("p.txt", 3, f"Some words about the thing and its use. {MIT} More words follow here, and more.\n{CODE}"),
+        ("x.py", 4, CODE), ("t/COPYING", 5, "My project\n\n" + "\n".join(license_scan.TEMPLATES[11][1][k:k + 60] for k in range(0, 1200, 60))),
+        ("t/deep/y.py", 6, CODE), ("g2.py", 7, GPL.replace("version 3", "version 2") + CODE),
+        ("l/LICENSE", 8, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n"
+         "Everyone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n" + "the preamble of it " * 300),
+    ]
+    rows += [(f"f{k}", 100 + k, "\n".join(f"the plain text of {k} and {j}" for j in range(300))) for k in range(10)]
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scanned(spark.createDataFrame(rows, "path string, doc_id long, text string")).collect()}
+    assert {k: got[k] for k in range(1, 9)} == {
+        1: "GPL-3.0", 2: "BSD-3-Clause", 3: "MIT", 4: None, 5: "MIT", 6: "MIT", 7: "GPL-2.0", 8: "GPL-3.0",
+    }
+    assert not any(got[k] for k in range(100, 110))
