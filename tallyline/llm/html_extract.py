@@ -33,6 +33,8 @@ _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
     "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"},
 }
+# All that a head holds; anything else, text too, ends one whose end tag is left out.
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)""",
     re.S,
@@ -86,6 +88,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
         end = found.start() if found else size
         if end > at:
             text = entities.unescape(page[at:end])
+            if stack and stack[-1].tag == "head" and text.strip():
+                flush()
+                stack.pop()
             parts.append(text)
             if links:
                 linked.append(text)
@@ -105,6 +110,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                         del stack[k:]
                         break
             continue
+        if stack and stack[-1].tag == "head" and tag not in _IN_HEAD:
+            flush()
+            stack.pop()
         if tag in OPAQUE:
             if not found[0].endswith("/>"):
                 close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)

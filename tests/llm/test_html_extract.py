@@ -102,3 +102,18 @@ def test_nulls_repeats_and_clashing_columns(spark, make):
     text = "First of all, this is the text.\nThen there is more of it."
     assert got == sorted([(1, text), (1, text), (2, ""), (3, ""), (None, text)], key=str)
     assert html_extract.extracted(pages.limit(0)).count() == 0
+
+
+def test_head_without_its_end_tag():
+    prose = "".join(f"<p>The long way number {k} leads through the hills, and after a day it reaches the sea.</p>" for k in range(5))
+    inside = '<title>T <b>t</b></title><meta charset="utf-8"><link rel=x href=y><script>s()</script><style>p{}</style><noscript>n</noscript>'
+    field = html_extract.fit(html_extract.labelled([]))
+    want = html_extract.main_text(f"<html><head>{inside}</head><body><article>{prose}</article></body></html>", field)
+    assert want.count("\n") == 4 and "T" not in want.split()
+    for page in (
+        f"<html><head>{inside}<article>{prose}</article>", f"<head>\n{inside}\n<article>{prose}</article></html>",
+        f"<html><head>{inside}<b></b><article>{prose}</article>", f"<html><head>{inside}<body><article>{prose}</article>",
+    ):
+        assert html_extract.main_text(page, field) == want
+    blocks = html_extract.leaf_blocks(f"<head>{inside} plain words <div>more</div>")
+    assert [b.text for b in blocks if "head" not in b.tags] == ["plain words", "more"]
