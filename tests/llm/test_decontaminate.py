@@ -1,7 +1,10 @@
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark import SparkContext
+from pyspark.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 from tallyline.llm import decontaminate
@@ -88,3 +91,32 @@ def test_empty_tables(make, bench):
     got = decontaminate.contamination(make(rows), bench([])).collect()
     assert len(got) == len(rows) and not any(r["n_hit"] or r["items"] for r in got)
     assert decontaminate.clean_rows(make(rows), bench([])).count() == len(rows)
+
+
+def test_one_block_in_memory_at_a_time(make, bench, monkeypatch):
+    rows, items = drawn(3)
+    held, most = set(), []
+    send, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def sending(self, value):
+        out = send(self, value)
+        held.add(id(out))
+        most.append(len(held))
+        return out
+
+    def destroying(self, *args):
+        held.discard(id(self))
+        destroy(self, *args)
+
+    monkeypatch.setattr(SparkContext, "broadcast", sending)
+    monkeypatch.setattr(Broadcast, "destroy", destroying)
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 100)
+    want = plain(rows, items)
+    found = decontaminate.contamination(make(rows), bench(items), block=100).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"])) for r in found), key=str) == want
+    whole = decontaminate.automaton([x for x in items if None not in x])
+    texts = Counter((i, str(decontaminate.scan(t, [whole])[3])) for i, t in rows)
+    assert Counter((r["doc_id"], str([tuple(s) for s in r["spans"]])) for r in found) == texts
+    clean = decontaminate.clean_rows(make(rows), bench(items))
+    assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((i for i, _, n, _ in want if not n), key=str)
+    assert len(most) > 4 and max(most) == 1
