@@ -1,0 +1,89 @@
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyline.llm import line_dedup
+
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def folded(line):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(SPACE))
+
+
+def plain(rows, min_docs, min_chars, keep_first=False):
+    """The rows of ``deduplicated`` straight from its definition."""
+    docs, first = defaultdict(set), {}
+    for i, text in rows:
+        for k, line in enumerate((text or "").split("\n")):
+            if len(folded(line)) >= min_chars:
+                docs[folded(line)].add(("id", i) if i is not None else ("text", text or ""))
+                first[folded(line)] = min(first.get(folded(line), (i or 0, k)), (i or 0, k))
+    out = []
+    for i, text in rows:
+        kept = [
+            line for k, line in enumerate((text or "").split("\n"))
+            if len(docs.get(folded(line), ())) < min_docs or keep_first and first[folded(line)] == (i, k)
+        ]
+        n = (text or "").count("\n") + 1
+        out.append((i, n, n - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def found(docs, *options):
+    return sorted((tuple(r) for r in line_dedup.deduplicated(docs, *options).collect()), key=str)
+
+
+def drawn(seed, many=70):
+    rng = random.Random(seed)
+    lines = ["Subscribe now!", " subscribe NOW!\t", "É1", "é1", "", "  ", "x", "ab", "\x1c", *(f"line {k}" for k in range(25))]
+    rows = [(i, "\n".join(rng.choices(lines, [9, 9] + [2] * (len(lines) - 2), k=rng.randint(1, 12)))) for i in range(many)]
+    return rows + [(500, None), (501, ""), (502, "\n\n"), (7, "subscribe now!\nonce more"), rows[3], (503, "x\n" * 3000), (504, "y" * 100_000), (505, "a\r\nb\r\n")]
+
+
+@pytest.mark.parametrize(("min_docs", "min_chars"), [(10, 1), (2, 1), (1, 3), (5, 2), (1000, 1)])
+def test_follows_the_definition(make, min_docs, min_chars):
+    rows = drawn(min_docs)
+    docs = make(rows).withColumn("row", F.lit(1)).withColumn("doc", F.lit("mine")).withColumn("bits", F.lit(0)).withColumn("pos", F.lit(0))
+    assert found(docs, min_docs, min_chars) == plain(rows, min_docs, min_chars)
+
+
+@pytest.mark.parametrize("min_docs", [1, 2, 10])
+def test_first_lines_may_stay(make, min_docs):
+    rows = [r for r in drawn(8) if r[0] != 7 and r[0] != 3]
+    assert found(make(rows), min_docs, 1, True) == plain(rows, min_docs, 1, True)
+
+
+def test_rows_without_an_id(make):
+    rows = [(None, f"same\nown {k % 3}") for k in range(9)] + [(1, "same"), (2, None)]
+    assert found(make(rows), 4, 1) == plain(rows, 4, 1)
+    assert found(make(rows), 5, 1) == plain(rows, 5, 1)
+
+
+def test_a_key_over_many_tasks(spark, make):
+    """One line has most rows, so that whole tasks see nothing else; another has exactly the least number of documents."""
+    rows = [(i, "the common line\n" * 3 + f"own {i}" + ("\nedge" if i % 40 == 0 else "")) for i in range(400)]
+    rows += [(1000 + i, "edge" if i < 9 else "rare") for i in range(18)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for keep_first in (False, True):
+            for least in (9, 10, 19, 20):
+                assert found(make(rows, 5), least, 1, keep_first) == plain(rows, least, 1, keep_first)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_bitmaps_hold_dropped_runs_only(make):
+    rows = [(i, "\n".join(["a"] * 70 + [f"own {i}"] * 300 + ["a"])) for i in range(10)]
+    got = line_dedup.keep_bitmaps(make(rows)).collect()
+    assert len(got) == 10 and all(sorted(r["bits"]) == [0, 1, 5] for r in got)
+    assert all(r["bits"][0] == -1 and r["bits"][1] == 63 for r in got)
+
+
+def test_no_rows(make):
+    assert found(make([], 1)) == []
