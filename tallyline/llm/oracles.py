@@ -74,6 +74,111 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(places.n, 0) AS n
 FROM split LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_COMMON = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+each_line AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS k FROM split),
+keyed AS (
+  SELECT doc_id, line, k, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each_line
+),
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS text FROM keyed ANTI JOIN common USING (key) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, len(parts) - coalesce(kept.n, 0) AS n_dropped,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+# The damage needs CRC-32, which is spelled out bit by bit. The repair goes row by row: of every state (nothing yet,
+# system, user, assistant last) the least cost and the first audit with it.
+_REPAIRS = r"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS codes
+  FROM conversations
+),
+fated AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(codes, lambda c, b: list_reduce(range(8),
+    lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295), 4294967295) % 20 AS fate FROM coded
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated WHERE fate <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k FROM damaged
+),
+judged AS (
+  SELECT conv_id, turn, role, text, k, left(role, 1) AS letter,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE 'f' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS earlier
+  FROM placed
+),
+steps AS (
+  SELECT conv_id, 0 AS k, {'c': 0, 'a': ''} AS none, {'c': 1000000000, 'a': ''} AS sys,
+         {'c': 2, 'a': 'I'} AS usr, {'c': 4, 'a': 'II'} AS ass
+  FROM (SELECT DISTINCT conv_id FROM judged) x
+  UNION ALL
+  SELECT conv_id, k, none, sys, usr, list_sort([ass, {'c': usr.c + 2, 'a': usr.a || 'I'}])[1] AS ass
+  FROM (
+    SELECT conv_id, k, none, sys, ass, list_sort([usr, {'c': none.c + 2, 'a': none.a || 'I'}, {'c': sys.c + 2, 'a': sys.a || 'I'},
+      {'c': ass.c + 2, 'a': ass.a || 'I'}])[1] AS usr
+    FROM (
+      SELECT s.conv_id, r.k, {'c': none.c + 3, 'a': none.a || 'D'} AS none,
+        list_sort([{'c': sys.c + 3, 'a': sys.a || 'D'}, {'c': none.c + t + if(letter = 's', gone, 1000000000), 'a': none.a || 'K'}])[1] AS sys,
+        list_sort([{'c': usr.c + 3, 'a': usr.a || 'D'},
+          {'c': none.c + t + if(letter = 'u', gone, 1000000000), 'a': none.a || 'K'}, {'c': none.c + t + gone + 2, 'a': none.a || 'R'},
+          {'c': sys.c + t + if(letter = 'u', gone, 1000000000), 'a': sys.a || 'K'}, {'c': sys.c + t + gone + 2, 'a': sys.a || 'R'},
+          {'c': ass.c + t + if(letter = 'u', gone, 1000000000), 'a': ass.a || 'K'}, {'c': ass.c + t + gone + 2, 'a': ass.a || 'R'}])[1] AS usr,
+        list_sort([{'c': ass.c + 3, 'a': ass.a || 'D'},
+          {'c': usr.c + t + if(letter = 'a', gone, 1000000000), 'a': usr.a || 'K'}, {'c': usr.c + t + gone + 2, 'a': usr.a || 'R'}])[1] AS ass
+      FROM steps s JOIN (
+        SELECT *, if(fault = 't', 1, 0) AS t, if(fault IN ('b', 'd'), 1000000000, 0) AS gone FROM judged
+      ) r ON r.conv_id = s.conv_id AND r.k = s.k + 1
+    ) x
+  ) y
+),
+sums AS (
+  SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (earlier IS NOT NULL AND earlier || letter NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+),
+best AS (
+  SELECT sums.*, list_sort([none, ass])[1] AS found FROM sums JOIN steps ON steps.conv_id = sums.conv_id AND steps.k = sums.n
+),
+told AS (
+  SELECT conv_id, 0 AS i, 0 AS k, 'n' AS state, CAST(NULL AS VARCHAR) AS text FROM best
+  UNION ALL
+  SELECT conv_id, i + 1, if(edit = 'I', k, k + 1), if(edit = 'D', state, if(edit = 'K', letter, left(follower, 1))),
+         CASE WHEN edit = 'D' THEN text ELSE concat_ws(chr(10), text,
+           if(edit = 'K', role, follower) || ':' || if(edit = 'I', '', said)) END
+  FROM (
+    SELECT t.conv_id, t.i, t.k, t.state, t.text, substr(b.found.a, CAST(t.i + 1 AS INTEGER), 1) AS edit, r.letter, r.role, r.text AS said,
+           if(t.state = 'u', 'assistant', 'user') AS follower
+    FROM told t JOIN best b ON b.conv_id = t.conv_id AND t.i < length(b.found.a)
+    LEFT JOIN judged r ON r.conv_id = t.conv_id AND r.k = t.k + 1
+  ) x
+),
+digests AS (
+  SELECT told.conv_id, sha256(coalesce(told.text, '')) AS repaired_sha256
+  FROM told JOIN best ON best.conv_id = told.conv_id AND told.i = length(best.found.a)
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.found.c, 0) AS BIGINT) AS cost,
+       coalesce(best.found.a, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best ON best.conv_id = c.conv_id
+LEFT JOIN digests ON digests.conv_id = c.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": _REMOVED, "op7_html_extraction": _ARTICLES, "op10_decontaminate": _HITS}
+    return {
+        "op6_substring_dedup": _REMOVED, "op7_html_extraction": _ARTICLES, "op10_decontaminate": _HITS,
+        "op11_conversation_repair": _REPAIRS, "op12_line_dedup": _COMMON,
+    }

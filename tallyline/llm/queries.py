@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import (
-    decontaminate, html_extract, license_scan, lm_score, packing, quality, simhash, substring_dedup, token_counts,
-    url_filter,
+    conversations, decontaminate, html_extract, license_scan, line_dedup, lm_score, packing, quality, simhash,
+    substring_dedup, token_align, token_counts, url_filter,
 )
 from tallyline.llm.shared import table
 
 VOCABULARY = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 URL_RULES = [
     url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
     url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"),
@@ -87,9 +88,22 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.restored(table(spark, folder, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, folder, "documents"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_align.aligned(table(spark, folder, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 QUERIES = (
     op1_simhash, op2_license_scan, op3_token_counts, op4_lm_scoring, op5_url_filter, op6_substring_dedup, op7_html_extraction, op8_quality,
-    op9_best_fit_packing, op10_decontaminate,
+    op9_best_fit_packing, op10_decontaminate, op11_conversation_repair, op12_line_dedup, op13_token_alignment,
 )
 
 

@@ -12,6 +12,7 @@ from tests.compare import database, difference
 from tests.llm.test_decontaminate import plain as plain_hits
 from tests.llm.test_lm_score import plain as plain_scores
 from tests.llm.test_packing import check_pieces, tokenizer  # noqa: F401
+from tests.llm.test_token_align import plain as plain_alignment
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_url_filter import plain as plain_rule
 
@@ -29,11 +30,13 @@ def run(spark, name):
 
 def test_all_are_registered():
     names = contract.queries()
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.queries()) | {"pipeline"} <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op6_substring_dedup", "op7_html_extraction", "op10_decontaminate"])
+@pytest.mark.parametrize("name", [
+    "op6_substring_dedup", "op7_html_extraction", "op10_decontaminate", "op11_conversation_repair", "op12_line_dedup",
+])
 def test_matches_sql(spark, make, name):
     assert difference(spark, database(FOLDER), FOLDER, name) is None
 
@@ -109,3 +112,8 @@ def test_op2(spark, rows):
     assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
     marked = {i for i, t in rows if any(x in t for x in ("MIT License.", "CC BY-NC 4.0.", "Apache License, Version 2.0.", "General Public License, version 3."))}
     assert {r["doc_id"] for r in got if r["own"]} == marked
+
+
+def test_op13(spark, rows):
+    got = {r["doc_id"]: tuple(r) for r in run(spark, "op13_token_alignment").collect()}
+    assert got == {r[0]: r for r in plain_alignment(rows)}
