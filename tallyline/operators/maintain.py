@@ -461,50 +461,51 @@ def identity_match(identities: DataFrame, users: DataFrame, registration_open: b
     email, the first must link again by email. An external id is taken to come
     with one email throughout a batch. ``seq`` is unique and not negative.
     """
-    seen = identities.select(
+    checked = identities.select(
         "seq", "external_id", F.lower(trimmed("raw_email")).alias("email"),
         (F.coalesce("email_verified", F.lit(False)) & (F.coalesce("raw_email", F.lit("")) != "")).alias("ok"),
-    ).withColumn("slice", F.floor(F.col("seq") / SIGN_INS))
-    by_id = users.filter("google_id IS NOT NULL").select(
-        F.col("google_id").alias("external_id"), F.col("id").alias("id_user"), F.col("email").alias("id_email")
     )
-    by_email = users.select("email", F.col("id").alias("email_user"), F.col("google_id").alias("held"))
+    seen = stage(checked.withColumn("slice", F.floor(F.col("seq") / SIGN_INS)), "checked-sign-ins")
     accounts = users.select(F.count(F.lit(1)) == 0).scalar()
     opener = seen.filter("ok").select(F.min("seq")).scalar()
-    good = seen.filter("ok")
-    # When each account's stored id was first replaced.
-    replaced = (
-        good.join(by_email, "email").filter("external_id <> held").groupBy("email").agg(F.min("seq").alias("replaced_at"))
-        .withColumnRenamed("email", "_replaced_email")
+    by_email = users.select("email", F.col("id").alias("email_user"), F.col("google_id").alias("held"))
+    by_id = users.filter("google_id IS NOT NULL").select(
+        F.col("google_id").alias("external_id"), F.col("id").alias("id_user"), F.col("email").alias("id_email")
     )
+    known = seen.filter("ok").join(by_email, "email", "left")
+    # When each account's stored id was first replaced.
+    replaced = known.filter("external_id <> held").groupBy(F.col("email").alias("id_email")).agg(F.min("seq").alias("replaced_at"))
+    home_of = by_id.join(replaced, "id_email", "left")
     at_home = F.col("id_user").isNotNull() & (F.col("seq") < F.coalesce("replaced_at", F.col("seq") + 1))
-    homes = good.join(by_id, "external_id", "left").join(replaced, spread_null_name("id_email", "seq") == F.col("_replaced_email"), "left").select(
-        "seq", "external_id", "email", "slice", "id_user", "id_email", at_home.alias("home")
-    )
+    homes = known.join(home_of, "external_id", "left").withColumn("home", at_home)
     # Signing in to an account with another email does not touch the one with this email.
-    away = homes.filter("home AND id_email <> email").select(
-        "seq", "external_id", "email", F.col("id_user").alias("user_id"), F.lit("signed_in").alias("outcome")
-    )
-    chain = homes.filter("NOT (home AND id_email <> email)")
-    # The id of the sign-in before, for the same email: within a slice, or the last one of the slice before.
-    ends = chain.groupBy("email", "slice").agg(F.max_by("external_id", "seq").alias("last"))
-    ends = ends.select("email", "slice", F.lag("last").over(W.partitionBy("email").orderBy("slice")).alias("carried"))
-    inside = F.lag("external_id").over(W.partitionBy("email", "slice").orderBy("seq"))
-    first = chain.groupBy("email").agg(F.min("seq").alias("first_seq"))
-    joined = (
-        chain.withColumn("inside", inside).join(ends, ["email", "slice"]).join(first, "email").join(by_email, "email", "left")
-        .withColumn("before", F.coalesce("inside", "carried", F.when(F.col("home"), F.col("external_id"))))
+    elsewhere = F.col("home") & (F.col("id_email") != F.col("email"))
+    here = F.when(~elsewhere, F.col("seq"))
+    turn = W.partitionBy("email", "slice").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    own_id = F.when(~elsewhere, F.col("external_id"))
+    inside = F.last(own_id, ignorenulls=True).over(turn)
+    # The id of the sign-in before, for the same email: within a slice, or the last one of the slices before.
+    ends = homes.groupBy("email", "slice").agg(F.max_by("external_id", here).alias("last"), F.min(here).alias("first"))
+    earlier = W.partitionBy("email").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(
+        "email", "slice", F.last("last", ignorenulls=True).over(earlier).alias("carried"),
+        F.min("first").over(W.partitionBy("email")).alias("first_seq"),
+    )
+    joined = homes.withColumn("inside", inside).join(ends, ["email", "slice"]).withColumn(
+        "before", F.coalesce("inside", "carried", F.when(F.col("home"), F.col("external_id")))
     )
     may_open = F.lit(registration_open) | (accounts & (F.col("first_seq") == opener))
     outcome = (
-        F.when(F.col("email_user").isNull() & ~may_open, "registration_closed")
+        F.when(elsewhere, "signed_in")
+        .when(F.col("email_user").isNull() & ~may_open, "registration_closed")
         .when(F.col("email_user").isNull() & (F.col("seq") == F.col("first_seq")), "created")
         .when(F.col("before") == F.col("external_id"), "signed_in")
         .otherwise("linked")
     )
     judged = joined.select(
-        "seq", "external_id", "email", F.col("email_user").alias("user_id"), outcome.alias("outcome")
-    ).unionByName(away)
+        "seq", "external_id", "email", F.when(elsewhere, F.col("id_user")).otherwise(F.col("email_user")).alias("user_id"),
+        outcome.alias("outcome"),
+    )
     rejected = seen.filter("NOT ok").select(
         "seq", "external_id", "email", F.lit(None).cast("bigint").alias("user_id"), F.lit("rejected").alias("outcome")
     )
@@ -514,13 +515,16 @@ def identity_match(identities: DataFrame, users: DataFrame, registration_open: b
 def users_after_sign_in(matched: DataFrame, identities: DataFrame, users: DataFrame) -> DataFrame:
     """Accounts after ``matched`` (of ``identity_match``): linked ids stored, new accounts added with ids.
 
-    ``identities`` may have ``raw_name``, the name a new account gets.
+    ``identities`` may have ``raw_name``, the name a new account gets: without white space at its ends, so
+    a name of white space alone is the empty text. NULL and the empty text mean none.
     """
     matched = stage(matched, "sign-ins")
     tied = matched.filter(F.col("outcome").isin("linked", "created")).groupBy("email").agg(
         F.max_by("external_id", "seq").alias("_linked")
     )
-    name = blank_to_null("raw_name") if "raw_name" in identities.columns else F.lit(None).cast("string")
+    name = F.lit(None).cast("string")
+    if "raw_name" in identities.columns:
+        name = F.when(F.col("raw_name") != "", trimmed("raw_name"))
     names = identities.select("seq", name.alias("name"))
     made = matched.filter("outcome = 'created'").select("seq", "email").join(names, "seq").join(tied, "email")
     first = users.select(F.count(F.lit(1)) == 0).scalar()
@@ -554,14 +558,14 @@ ADDED_COLUMNS: dict[str, dict[str, tuple[str, object]]] = {
 
 def upgrade(old: DataFrame, table: str) -> DataFrame:
     """Add the columns ``old`` lacks and fill defaults where a newer file left a gap."""
-    out = {}
-    for name, (kind, default) in ADDED_COLUMNS[table].items():
-        value = F.lit(default).cast(kind)
-        if name not in old.columns:
-            out[name] = value
-        elif default is not None:
-            out[name] = F.coalesce(F.col(name), value)
-    return old.withColumns(out) if out else old
+    filled = {n: d for n, (_, d) in ADDED_COLUMNS[table].items() if d is not None and n in old.columns}
+    return added_columns(old.na.fill(filled) if filled else old, table)
+
+
+def added_columns(old: DataFrame, table: str) -> DataFrame:
+    """Add the columns that ``old``, rows from before they were there, lacks, with their defaults."""
+    new = {n: F.lit(d).cast(k) for n, (k, d) in ADDED_COLUMNS[table].items() if n not in old.columns}
+    return old.withColumns(new) if new else old
 
 
 def with_default_team(teams: DataFrame) -> DataFrame:

@@ -1,180 +1,29 @@
 """Membership requests applied in their order, for all members at once.
 
 A member's requests depend on each other: joining works for accounts without a
-team only, and approvals and denials only for the team the account is on. The
-order is cut into blocks of request numbers. Each block is folded into a small
-transition, blocks of transitions likewise, until a member has one block only;
-then the states in front of all blocks are handed back down. No task holds more
-than one block of one member, however many requests a single member has.
+team only, and approvals and denials only for the team the account is on. So what
+counts is a chain: a join holds until the next denial by its team, and the next
+join after that counts again. Where each join leads is looked up for all of them at
+once; the chain from a member's first state is then followed by doubling its steps, and every request
+finds the join in force before it. No row holds more than one request, however many a member has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.exprs import blank_to_null, spread_null_id, spread_null_name
 from tallyline.operators.maintain import upsert_teams
+from tallyline.operators.skew import event_after, event_before
 from tallyline.session import stage
 
-#: Request numbers of one block, and blocks of one block of the next level.
-BLOCK = 4096
-# A state is (team, approved, leader). Teams are known ids or names to be founded;
-# None stands for no team. approved None: as it was before. leader: founded a team.
+#: Request numbers that one task looks at together, per member.
+BLOCK = 65_536
+# Teams are known ids ("#3") or names to be founded ("+Name"); none is the empty text.
 NO_TEAM = ""
-
-
-def _step(kind: str, team: str, state: tuple[str, bool | None, bool], is_admin: bool):
-    """(outcome, next state) of one checked request."""
-    on, _, leader = state
-    if kind in ("join", "create"):
-        if on != NO_TEAM:
-            return "already_on_a_team", state
-        if kind == "create":
-            return "created", (team, True, True)
-        return ("joined" if is_admin else "pending"), (team, is_admin, leader)
-    if on == NO_TEAM or on != team:
-        return "other_team", state
-    return ("approved", (on, True, leader)) if kind == "approve" else ("denied", (NO_TEAM, True, leader))
-
-
-class _Fold:
-    """What a run of requests does to a member, whatever team they start on.
-
-    ``ends`` has the end state for a start without a team and for every team the
-    run approves or denies. Any other team is left alone.
-    """
-
-    def __init__(self):
-        self.ends: dict[str, tuple[str, bool | None, bool]] = {NO_TEAM: (NO_TEAM, None, False)}
-        # Starts by the team they are on now: only those of the request's team move.
-        self.on: dict[str, set[str]] = {NO_TEAM: {NO_TEAM}}
-
-    def _starts(self, team: str) -> list[str]:
-        if team not in self.ends:
-            self.ends[team] = (team, None, False)
-            self.on.setdefault(team, set()).add(team)
-        return list(self.on.get(team, ()))
-
-    def _move(self, start: str, state) -> None:
-        self.on[self.ends[start][0]].discard(start)
-        self.ends[start] = state
-        self.on.setdefault(state[0], set()).add(start)
-
-    def request(self, kind: str, team: str, is_admin: bool) -> None:
-        moved = self._starts(NO_TEAM if kind in ("join", "create") else team)
-        for start in moved:
-            self._move(start, _step(kind, team, self.ends[start], is_admin)[1])
-
-    def then(self, ends: dict[str, tuple[str, bool | None, bool]]) -> None:
-        """Append another run's effect."""
-        moved = []
-        for team, (to, approved, leader) in ends.items():
-            for start in self._starts(team):
-                _, was, led = self.ends[start]
-                moved.append((start, (to, was if approved is None else approved, led or leader)))
-        for start, state in moved:
-            self._move(start, state)
-
-
-_EFFECT = "ends array<struct<start: string, team: string, approved: boolean, leader: boolean>>"
-_EFFECT_TYPE = pa.list_(pa.struct([("start", pa.string()), ("team", pa.string()), ("approved", pa.bool_()), ("leader", pa.bool_())]))
-
-
-def _listed(ends) -> list[dict]:
-    return [{"start": s, "team": t, "approved": a, "leader": x} for s, (t, a, x) in ends.items()]
-
-
-def _effects(listed: list[dict]) -> dict[str, tuple[str, bool | None, bool]]:
-    return {e["start"]: (e["team"], e["approved"], e["leader"]) for e in listed}
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
-
-
-def _in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
-    """Blocks side by side in tasks, each in order."""
-    return rows.select("user_id", "block", "pos", *columns).repartition("user_id", "block").sortWithinPartitions(
-        "user_id", "block", "pos"
-    )
-
-
-def _folded(rows: DataFrame, first: bool) -> DataFrame:
-    """(user_id, block, ends): one transition per block."""
-    columns = ("kind", "team", "is_admin") if first else ("ends",)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fold, out = None, None, []
-        for user, block, _, *what in _runs(batches):
-            if (user, block) != key:
-                if key:
-                    out.append((*key, _listed(fold.ends)))
-                key, fold = (user, block), _Fold()
-                if len(out) == 1000:
-                    yield _table(out)
-                    out = []
-            if first:
-                fold.request(*what)
-            else:
-                fold.then(_effects(what[0]))
-        if key:
-            out.append((*key, _listed(fold.ends)))
-        yield _table(out)
-
-    def _table(out: list[tuple]) -> pa.RecordBatch:
-        columns = [list(c) for c in zip(*out)] or [[], [], []]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], _EFFECT_TYPE)],
-            ["user_id", "block", "ends"],
-        )
-
-    return _in_blocks(rows, *columns).mapInArrow(run, f"user_id long, block long, {_EFFECT}")
-
-
-_STATE = "team string, approved boolean, leader boolean"
-
-
-def _states(rows: DataFrame, starts: DataFrame, width: int, reach: int) -> DataFrame:
-    """(user_id, pos, team, approved, leader): the state in front of every transition (user_id, pos, ends).
-
-    ``starts`` has the state in front of all of them; ``reach`` is the number of positions.
-    """
-    if reach > width:
-        blocked = rows.withColumn("block", F.floor(F.col("pos") / width))
-        above = stage(_folded(blocked, first=False).withColumnRenamed("block", "pos"), "membership-blocks")
-        before = _states(above, starts, width, -(-reach // width))
-        before = before.withColumnRenamed("pos", "block")
-        rows = blocked.join(before, ["user_id", "block"])
-    else:
-        rows = rows.withColumn("block", F.lit(0).cast("long")).join(starts, "user_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, out = None, None, []
-        for user, block, pos, ends, team, approved, leader in _runs(batches):
-            if (user, block) != key:
-                key, state = (user, block), (team, approved, leader)
-            out.append((user, pos, *state))
-            to = _effects(ends).get(state[0])
-            if to:
-                state = (to[0], state[1] if to[1] is None else to[1], state[2] or to[2])
-            if len(out) == 10_000:
-                yield _table(out)
-                out = []
-        yield _table(out)
-
-    def _table(out: list[tuple]) -> pa.RecordBatch:
-        columns = [list(c) for c in zip(*out)] or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["user_id", "pos", "team", "approved", "leader"]
-        )
-
-    return _in_blocks(rows, "ends", "team", "approved", "leader").mapInArrow(run, f"user_id long, pos long, {_STATE}")
+#: A member's own state before all requests.
+START = -1
 
 
 def _checked(requests: DataFrame, users: DataFrame, teams: DataFrame) -> DataFrame:
@@ -215,6 +64,51 @@ def _checked(requests: DataFrame, users: DataFrame, teams: DataFrame) -> DataFra
     )
 
 
+def _joins(kind: str = "kind") -> Column:
+    return F.col(kind).isin("join", "create")
+
+
+def _steps(rows: DataFrame, width: int) -> DataFrame:
+    """(user_id, pos, team, kind, is_admin, released, onward) of every join and every start.
+
+    ``released`` is the denial that ends it, if any, and ``onward`` the next join after that.
+    A start without a team is over at once.
+    """
+    denied = event_after(rows, ["user_id", "team"], F.when(F.col("kind") == "deny", F.col("pos")), "denied", width)
+    released = F.when((F.col("kind") == "start") & (F.col("team") == NO_TEAM), F.col("pos")).otherwise(F.col("denied"))
+    after = event_after(
+        rows.filter(_joins() | (F.col("kind") == "deny") | (F.col("kind") == "start")), ["user_id"],
+        F.when(_joins(), F.col("pos")), "onward", width,
+    )
+    after = after.filter((F.col("kind") == "deny") | (F.col("kind") == "start")).select(
+        F.col("user_id").alias("_user"), F.col("pos").alias("_pos"), "onward"
+    )
+    held = denied.filter(_joins() | (F.col("kind") == "start")).withColumn("released", released).drop("denied")
+    return held.join(
+        after, (F.col("user_id") == F.col("_user")) & (F.col("released") == F.col("_pos")), "left"
+    ).drop("_user", "_pos")
+
+
+def _in_force(steps: DataFrame) -> DataFrame:
+    """(user_id, pos) of the starts and of all joins that take effect.
+
+    Each round goes on twice as far as all rounds before it, so there are as many as the logarithm of the
+    longest chain. A round is a written table.
+    """
+    on = steps.select("user_id", "pos", "onward")
+    edges = stage(on.filter("onward IS NOT NULL"), "membership-steps")
+    reached = on.filter(F.col("pos") == START).select("user_id", "pos")
+    while True:
+        new = stage(
+            reached.join(edges, ["user_id", "pos"]).select("user_id", F.col("onward").alias("pos")), "membership-chain"
+        )
+        if new.isEmpty():
+            return reached
+        reached = reached.unionByName(new)
+        far = edges.select("user_id", F.col("pos").alias("onward"), F.col("onward").alias("_far"))
+        edges = stage(edges.join(far, ["user_id", "onward"]).select("user_id", "pos", F.col("_far").alias("onward")), "membership-steps")
+
+
 def apply_requests(
     users: DataFrame, requests: DataFrame, teams: DataFrame, width: int = BLOCK
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -229,82 +123,80 @@ def apply_requests(
     whether the member was still pending. ``outcomes`` has a row for every request.
     """
     checked = stage(_checked(requests, users, teams), "membership-requests")
+    columns = ["user_id", F.col("seq").cast("long").alias("pos"), "kind", "team", "is_admin"]
+    sound = checked.filter("user_id IS NOT NULL AND fault IS NULL").select(*columns)
+    starts = users.select(
+        F.col("id").cast("long").alias("user_id"), F.lit(START).cast("long").alias("pos"), F.lit("start").alias("kind"),
+        F.coalesce(F.concat(F.lit("#"), F.col("team_id").cast("string")), F.lit(NO_TEAM)).alias("team"),
+        F.col("is_admin"),
+    ).join(checked.select("user_id").distinct(), "user_id", "left_semi")
+    steps = stage(_steps(sound.unionByName(starts), width), "membership-joins")
+    chain = stage(steps.join(_in_force(steps), ["user_id", "pos"], "left_semi"), "membership-in-force")
+
     # Only a member without a team is told what is wrong with the wish for one.
-    rows = checked.filter("user_id IS NOT NULL AND fault IS NULL").select(
-        "user_id", F.col("seq").cast("long").alias("pos"), "kind", "team", "is_admin"
-    )
     faulty = checked.filter("fault IS NOT NULL")
-    wishes = faulty.filter("kind = 'join' AND fault <> 'unknown_user'").select(
-        "user_id", F.col("seq").cast("long").alias("pos"), F.lit("wish").alias("kind"), "fault", "is_admin"
+    wish = (F.col("kind") == "join") & (F.col("fault") != "unknown_user")
+    wishes = faulty.filter(wish).select(
+        "user_id", F.col("seq").cast("long").alias("pos"), F.lit("wish").alias("kind"), F.col("fault").alias("team"), "is_admin"
     )
-    rows = rows.unionByName(wishes.withColumnRenamed("fault", "team"))
-    reach = (rows.agg(F.max("pos")).first()[0] or 0) + 1
-    starts = users.select(
-        F.col("id").cast("long").alias("user_id"),
-        F.coalesce(F.concat(F.lit("#"), F.col("team_id").cast("string")), F.lit(NO_TEAM)).alias("team"),
-        F.lit(None).cast("boolean").alias("approved"), F.lit(False).alias("leader"),
+    none = F.lit(None)
+    asked = sound.unionByName(wishes).withColumns({"held": none.cast("string"), "released": none.cast("long")})
+    # The join in force comes to every request after it: its mark is behind the request itself.
+    marks = chain.select(
+        "user_id", "pos", F.lit("mark").alias("kind"), "team", "is_admin", F.col("team").alias("held"), "released"
+    )
+    is_mark = F.col("kind") == "mark"
+    both = asked.unionByName(marks).withColumn("at", 2 * F.col("pos") + is_mark.cast("long"))
+    mark = F.when(is_mark, F.struct("held", "released"))
+    placed = event_before(both, ["user_id"], mark, "last", 2 * width, "at").filter(~is_mark)
+    on = F.when(F.col("last.released").isNull() | (F.col("pos") <= F.col("last.released")), F.col("last.held")).otherwise(NO_TEAM)
+    done = stage(
+        placed.withColumn("on", on).select("user_id", "pos", "kind", "team", "is_admin", "on", _outcome().alias("outcome")),
+        "membership-outcomes",
     )
-    blocked = rows.withColumn("block", F.floor(F.col("pos") / width))
-    blocks = stage(_folded(blocked.filter("kind <> 'wish'"), first=True).withColumnRenamed("block", "pos"), "membership-blocks")
-    # Blocks that hold wishes only have no transition; they need a state all the same.
-    empty = blocked.filter("kind = 'wish'").select("user_id", F.col("block").alias("pos")).distinct().join(
-        blocks, ["user_id", "pos"], "left_anti"
-    ).withColumn("ends", F.array().cast("array<struct<start: string, team: string, approved: boolean, leader: boolean>>"))
-    before = _states(blocks.unionByName(empty), starts, width, -(-reach // width)).withColumnRenamed("pos", "block")
-    done = stage(_replayed(blocked.join(before.withColumnRenamed("team", "at"), ["user_id", "block"])), "membership-outcomes")
+
     outcomes = done.select(F.col("pos").alias("seq"), "outcome").unionByName(
-        faulty.filter("kind IS DISTINCT FROM 'join' OR fault = 'unknown_user'").select(
-            F.col("seq").cast("long").alias("seq"), F.col("fault").alias("outcome")
-        )
+        faulty.filter(~F.coalesce(wish, F.lit(False))).select(F.col("seq").cast("long").alias("seq"), F.col("fault").alias("outcome"))
     )
     report = checked.select(F.col("seq").cast("long").alias("seq"), "user_id", "action").join(outcomes, "seq")
-    founded = done.filter("outcome = 'created' AND after_team LIKE '+%'").select(F.expr("substring(after_team, 2)").alias("name"))
+    founded = done.filter("outcome = 'created' AND team LIKE '+%'").select(F.expr("substring(team, 2)").alias("name"))
     all_teams = stage(upsert_teams(founded.distinct(), teams), "membership-teams")
     return _accounts(users, done, all_teams), report, all_teams
 
 
-def _replayed(rows: DataFrame) -> DataFrame:
-    """(user_id, pos, outcome, after_team, after_approved, after_leader) of every request from its block's start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, out = None, None, []
-        for user, block, pos, kind, team, is_admin, at, approved, leader in _runs(batches):
-            if (user, block) != key:
-                key, state = (user, block), (at, approved, leader)
-            if kind == "wish":
-                outcome = team if state[0] == NO_TEAM else "already_on_a_team"
-            else:
-                outcome, state = _step(kind, team, state, is_admin)
-            out.append((user, pos, outcome, *state))
-            if len(out) == 10_000:
-                yield _table(out)
-                out = []
-        yield _table(out)
-
-    def _table(out: list[tuple]) -> pa.RecordBatch:
-        columns = [list(c) for c in zip(*out)] or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
-        names = ["user_id", "pos", "outcome", "after_team", "after_approved", "after_leader"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    return _in_blocks(rows, "kind", "team", "is_admin", "at", "approved", "leader").mapInArrow(
-        run, "user_id long, pos long, outcome string, after_team string, after_approved boolean, after_leader boolean"
+def _outcome() -> Column:
+    """What becomes of a request of a member who is ``on`` a team."""
+    free = F.col("on") == NO_TEAM
+    return (
+        F.when(F.col("kind").isin("join", "create", "wish") & ~free, "already_on_a_team")
+        .when(F.col("kind") == "wish", F.col("team"))
+        .when(F.col("kind") == "create", "created")
+        .when(F.col("kind") == "join", F.when(F.col("is_admin"), "joined").otherwise("pending"))
+        .when(free | (F.col("on") != F.col("team")), "other_team")
+        .when(F.col("kind") == "approve", "approved")
+        .otherwise("denied")
     )
 
 
 def _accounts(users: DataFrame, done: DataFrame, teams: DataFrame) -> DataFrame:
-    last = done.groupBy(F.col("user_id").alias("_user")).agg(
-        F.max_by(F.struct("after_team", "after_approved", "after_leader"), "pos").alias("s")
+    """Accounts after the last request of each that changed something."""
+    told = F.col("outcome").isin("created", "joined", "pending", "approved", "denied")
+    state = F.struct(
+        F.when(F.col("outcome") != "denied", F.col("team")).otherwise(NO_TEAM).alias("team"),
+        (F.col("outcome") != "pending").alias("approved"),
+    )
+    last = done.filter(told).groupBy(F.col("user_id").alias("_user")).agg(
+        F.max_by(state, "pos").alias("s"), F.bool_or(F.col("outcome") == "created").alias("led")
     )
     ids = teams.select(F.col("name").alias("_name"), F.col("id").alias("_new_id"))
     rows = users.join(last, F.col("id").cast("long") == F.col("_user"), "left").withColumn(
-        "_new", F.when(F.col("s.after_team").startswith("+"), F.expr("substring(s.after_team, 2)"))
+        "_new", F.when(F.col("s.team").startswith("+"), F.expr("substring(s.team, 2)"))
     )
     rows = rows.join(ids, spread_null_name("_new", "id") == F.col("_name"), "left")
-    kept = F.when(F.col("s.after_team").startswith("#"), F.expr("substring(s.after_team, 2)").cast("int"))
+    kept = F.when(F.col("s.team").startswith("#"), F.expr("substring(s.team, 2)").cast("int"))
     out = {
         "team_id": F.when(F.col("s").isNull(), F.col("team_id")).otherwise(F.coalesce("_new_id", kept).cast("int")),
-        "team_approved": F.coalesce("s.after_approved", "team_approved"),
-        "is_squad_leader": F.col("is_squad_leader") | F.coalesce("s.after_leader", F.lit(False)),
+        "team_approved": F.coalesce("s.approved", "team_approved"),
+        "is_squad_leader": F.col("is_squad_leader") | F.coalesce("led", F.lit(False)),
     }
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in users.columns])

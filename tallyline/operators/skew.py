@@ -78,6 +78,39 @@ def number_within(
     return local.join(shifts, [*keys, *names], "left").select(*rows.columns, number.alias(name))
 
 
+def _sliced(rows: DataFrame, keys: Sequence[str], event: Column, name: str, width: int, order: str, later: bool) -> DataFrame:
+    """``event_after`` or ``event_before``: the nearest event inside the slice, else that of the nearest slice with one."""
+    outside = f"_{name}"
+    cut = rows.withColumns({"_slice": F.floor(F.col(order) / width), "_event": event})
+    way = [F.col(order).asc() if later else F.col(order).desc()]
+    nearest = F.first("_event", ignorenulls=True)
+    inside = nearest.over(W.partitionBy(*keys, "_slice").orderBy(*way).rowsBetween(1, W.unboundedFollowing))
+    # One row per key and slice: its event that is nearest to the other slices.
+    pick = (F.min_by if later else F.max_by)("_event", F.when(F.col("_event").isNotNull(), F.col(order)))
+    ends = cut.groupBy(*keys, "_slice").agg(pick.alias("_event"))
+    slices = [F.col("_slice").asc() if later else F.col("_slice").desc()]
+    other = nearest.over(W.partitionBy(*keys).orderBy(*slices).rowsBetween(1, W.unboundedFollowing))
+    ends = ends.select(*keys, "_slice", other.alias(outside))
+    return (
+        cut.withColumn(name, inside).join(ends, [*keys, "_slice"])
+        .withColumn(name, F.coalesce(name, outside)).select(*rows.columns, name)
+    )
+
+
+def event_after(rows: DataFrame, keys: Sequence[str], event: Column, name: str, width: int, order: str = "pos") -> DataFrame:
+    """Add ``name``: the first ``event`` (not NULL) of a later row with the same ``keys`` (not NULL), NULL if there is none.
+
+    ``order`` is a whole number, unique within the keys. Rows are cut into slices of ``width``
+    of its values, so a key with a third of all rows goes through many tasks.
+    """
+    return _sliced(rows, keys, event, name, width, order, later=True)
+
+
+def event_before(rows: DataFrame, keys: Sequence[str], event: Column, name: str, width: int, order: str = "pos") -> DataFrame:
+    """The last ``event`` of an earlier row, like ``event_after``."""
+    return _sliced(rows, keys, event, name, width, order, later=False)
+
+
 def allocate_ids(
     new: DataFrame, keys: Sequence[str], start: Column, name: str = "id", buckets: int | None = None
 ) -> DataFrame:

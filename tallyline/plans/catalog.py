@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.exprs import iso_date
-from tallyline.operators import derived, directory, ingest, maintain, membership, reads
+from tallyline.operators import derived, directory, ingest, maintain, membership, reads, removal
 from tallyline.operators.reads import STATIONS
-from tallyline.session import prepare, stage
-from tallyline.sources import sheets
+from tallyline.session import prepare, scratch, stage
+from tallyline.sources import layout, sheets, tables
 from tallyline.sources.fixtures import ClubData
 from tallyline.streaming import jobs
 
@@ -85,6 +86,55 @@ def shooters_overview(d: ClubData) -> DataFrame:
     return reads.shooters_overview(d.scores, d.shooters, d.teams)
 
 
+# --- the stored layout ----------------------------------------------------------------
+
+
+def stored_layout(d: ClubData, by: str) -> layout.Layout:
+    """Rounds and scores in the stored layout, written once per session and data folder."""
+    return d.once(f"layout-{by}", lambda path: _laid_out(d, path, by))
+
+
+def _laid_out(d: ClubData, path: str, by: str) -> layout.Layout:
+    own = layout.Layout(d.spark, path, f"club_{uuid.uuid4().hex}", by, buckets=2).attach()
+    own.write(d.rounds, d.scores)
+    return own
+
+
+@query
+def stored_leaderboard(d: ClubData) -> DataFrame:
+    """The leaderboard from the layout by month: scores are not shuffled."""
+    own = stored_layout(d, layout.MONTH)
+    return reads.team_leaderboard(own.read("scores"), d.shooters, own.read("rounds"))
+
+
+@query
+def month_trends(d: ClubData) -> DataFrame:
+    """Daily averages of March 1995, from one partition."""
+    own = stored_layout(d, layout.MONTH)
+    return reads.site_trends(own.read("scores", month=199503), own.read("rounds", month=199503))
+
+
+@query
+def stored_team_leaderboard(d: ClubData) -> DataFrame:
+    """The leaderboard of team 3 from the layout by team, from one partition."""
+    own = stored_layout(d, layout.TEAM)
+    return reads.team_leaderboard(own.read("scores", team_id=3), d.shooters, own.read("rounds", team_id=3), team_id=3)
+
+
+@query
+def replaced_year(d: ClubData) -> DataFrame:
+    """Rounds and their number of scores after 1995 was written anew without its odd rounds and all at 27 yards."""
+    own = _laid_out(d, scratch(d.spark, "layout"), layout.YEAR)
+    even = own.read("rounds", year=1995).filter("id % 2 = 0")
+    scores = own.read("scores", year=1995).join(even.select(F.col("id").alias("round_id")), "round_id", "left_semi")
+    # The new content comes from the partition it replaces, so it is written down first.
+    own.write(stage(even.withColumn("yardage", F.lit(27).cast("smallint")), "year"), stage(scores, "year-scores"))
+    counts = own.read("scores").groupBy("round_id").agg(F.count(F.lit(1)).alias("n_scores"))
+    return own.read("rounds").withColumn("round_date", iso_date("round_date")).join(
+        counts, F.col("id") == F.col("round_id"), "left"
+    ).drop("round_id").na.fill(0, ["n_scores"])
+
+
 # --- teams, leagues, members -----------------------------------------------------
 
 
@@ -243,6 +293,13 @@ def rejected_submissions(d: ClubData) -> DataFrame:
     return ingest.rejected_submissions(headers, ingest.judged_lines(_lines(d)))
 
 
+@query
+def submitted_headers(d: ClubData) -> DataFrame:
+    """Sheets sent by accounts: most name no team, their own or another one; some come from nobody or an unknown account."""
+    headers = ingest.with_submitters(d.sent_headers, d.users)
+    return ingest.sheet_headers(headers).withColumn("round_date", iso_date("round_date"))
+
+
 @query
 def substitutions(d: ClubData) -> DataFrame:
     return ingest.substitutions(_lines(d))
@@ -522,6 +579,22 @@ def team_delete_report(d: ClubData) -> DataFrame:
     return maintain.team_delete_report(wanted, d.teams, members)
 
 
+def _delete_tables(d: ClubData) -> dict[str, DataFrame]:
+    return {"rounds": d.rounds, "shooters": d.shooters, "teams": d.teams, "leagues": d.leagues, "users": d.users, "scores": d.scores}
+
+
+@query
+def delete_report(d: ClubData) -> DataFrame:
+    """Every event asks for a delete, a third of them in the name of an admin."""
+    return removal.delete_report(d.delete_requests, _delete_tables(d))
+
+
+@query
+def scores_after_requests(d: ClubData) -> DataFrame:
+    tables = _delete_tables(d)
+    return removal.after_deletes(stage(removal.delete_report(d.delete_requests, tables), "delete-report"), tables)["scores"]
+
+
 @query
 def after_delete_leagues(d: ClubData) -> DataFrame:
     return maintain.without_leagues(d.teams, d.leagues.filter("id = 2").select("id"))
@@ -576,14 +649,37 @@ def backfilled_rounds(d: ClubData) -> DataFrame:
     )
 
 
+def _generations(d: ClubData, table: str, *ages: DataFrame) -> DataFrame:
+    """A table from one folder of files that were written with other columns each time."""
+    folder = scratch(d.spark, f"{table}-files")
+    for rows in ages:
+        rows.write.mode("append").parquet(folder)
+    return tables.read_generations(d.spark, folder, table, lambda old: maintain.added_columns(old, table))
+
+
 @query
 def upgraded_rounds(d: ClubData) -> DataFrame:
     """Rounds before 1995 come from files that lack the yardage and the round number."""
     old = F.col("round_date") < "1995-01-01"
-    mixed = d.rounds.filter(old).drop("yardage", "round_number").unionByName(
-        d.rounds.filter(~old), allowMissingColumns=True
-    )
-    return maintain.upgrade(mixed, "rounds").withColumn("round_date", iso_date("round_date"))
+    found = _generations(d, "rounds", d.rounds.filter(old).drop("yardage", "round_number"), d.rounds.filter(~old))
+    return found.withColumn("round_date", iso_date("round_date"))
+
+
+@query
+def upgraded_scores(d: ClubData) -> DataFrame:
+    """Scores of even rounds come from files that know no substitutes."""
+    old = F.col("round_id") % 2 == 0
+    return _generations(d, "scores", d.scores.filter(old).drop("sub_for_shooter_id"), d.scores.filter(~old))
+
+
+@query
+def upgraded_users(d: ClubData) -> DataFrame:
+    """Accounts by thirds: from before names, from before outside ids and squad leaders, and of today."""
+    first, second, third = (d.users.filter(F.col("id") % 3 == k) for k in range(3))
+    newest = ("google_id", "is_squad_leader", "team_approved")
+    return _generations(
+        d, "users", first.drop("name", "phone", "address", *newest), second.drop(*newest), third
+    ).drop("created_at")
 
 
 @query

@@ -49,14 +49,32 @@ ST = ", ".join(STATIONS)
 
 # --- leaderboards, trends, histories -------------------------------------------
 
-oracle("team_leaderboard", "scores shooters rounds", f"""
+def _leaderboard(teams: str) -> str:
+    return f"""
 SELECT r.team_id, CAST(COALESCE(b.id, a.id) AS BIGINT) AS shooter_id, COALESCE(b.name, a.name) AS name,
        count(*) AS rounds, count(s.sub_for_shooter_id) AS subbed_rounds,
        {avg("sum(s.total)", "count(*)", 1)} AS avg_total, CAST(max(s.total) AS INT) AS best_total,
        {", ".join(avg(f"sum({c})", f"count({c})", 2) + f" AS avg_{c}" for c in STATIONS)}
 FROM scores s JOIN rounds r ON s.round_id = r.id JOIN shooters a ON s.shooter_id = a.id
 LEFT JOIN shooters b ON s.sub_for_shooter_id = b.id
-GROUP BY 1, 2, 3""")
+WHERE {teams} GROUP BY 1, 2, 3"""
+
+
+oracle("team_leaderboard", "scores shooters rounds", _leaderboard("true"))
+oracle("stored_leaderboard", "scores shooters rounds", _leaderboard("true"))
+oracle("stored_team_leaderboard", "scores shooters rounds", _leaderboard("r.team_id = 3"))
+
+oracle("month_trends", "scores rounds", f"""
+SELECT strftime(r.round_date, '%Y-%m-%d') AS date, {avg("sum(s.total)", "count(*)", 1)} AS avg
+FROM scores s JOIN rounds r ON s.round_id = r.id
+WHERE r.round_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' GROUP BY r.round_date""")
+
+oracle("replaced_year", "scores rounds", """
+SELECT r.id, r.team_id, strftime(r.round_date, '%Y-%m-%d') AS round_date, r.round_number,
+       CASE WHEN year(r.round_date) = 1995 THEN CAST(27 AS SMALLINT) ELSE r.yardage END AS yardage,
+       count(s.round_id) AS n_scores
+FROM rounds r LEFT JOIN scores s ON s.round_id = r.id
+WHERE year(r.round_date) <> 1995 OR r.id % 2 = 0 GROUP BY ALL""")
 
 _POINTS = """
 points AS (SELECT r.team_id, a.name, r.round_date, r.round_number, s.round_id, s.total
@@ -665,6 +683,61 @@ SELECT id, team_id, strftime(round_date, '%Y-%m-%d') AS round_date,
        CASE WHEN rounds.round_date < DATE '1995-01-01' THEN NULL ELSE yardage END AS yardage
 FROM rounds""")
 
+_DELETES = """
+asked AS (SELECT d.*, coalesce(u.is_admin, false) AS is_admin, u.team_id AS own_team
+          FROM delete_requests d LEFT JOIN users u ON u.id = d.requested_by),
+targets AS (SELECT 'round' AS kind, id, team_id FROM rounds UNION ALL SELECT 'shooter', id, team_id FROM shooters
+            UNION ALL SELECT 'team', id, id FROM teams UNION ALL SELECT 'league', id, NULL FROM leagues
+            UNION ALL SELECT 'user', id, NULL FROM users),
+judged AS (SELECT a.seq, a.kind, a.id, a.requested_by, t.team_id,
+                  CASE WHEN a.kind = 'round' AND t.id IS NULL THEN 'not_found'
+                       WHEN NOT (is_admin OR coalesce(a.kind = 'round' AND t.team_id = own_team, false)) THEN 'forbidden'
+                       WHEN t.id IS NULL THEN 'not_found'
+                       WHEN a.kind = 'user' AND a.id = a.requested_by THEN 'own_account' END AS fault
+           FROM asked a LEFT JOIN targets t ON t.kind = a.kind AND t.id = a.id),
+firsts AS (SELECT kind, id, min(seq) AS seq FROM judged WHERE fault IS NULL AND kind <> 'team' GROUP BY 1, 2),
+held AS (SELECT u.team_id, max(coalesce(f.seq, 1000000000000)) AS until
+         FROM users u LEFT JOIN firsts f ON f.kind = 'user' AND f.id = u.id GROUP BY 1),
+closed AS (SELECT j.id, min(j.seq) AS seq FROM judged j LEFT JOIN held h ON h.team_id = j.id
+           WHERE j.kind = 'team' AND fault IS NULL AND j.seq > coalesce(h.until, -1) GROUP BY 1),
+told AS (SELECT j.seq, j.kind, j.id, j.requested_by, j.team_id, CASE
+           WHEN fault IS NOT NULL THEN fault
+           WHEN j.kind = 'team' AND (c.seq IS NULL OR j.seq < c.seq) THEN 'has_members'
+           WHEN j.kind = 'team' AND j.seq = c.seq THEN 'deleted'
+           WHEN c.seq < j.seq OR j.seq > f.seq THEN 'not_found' ELSE 'deleted' END AS outcome
+         FROM judged j LEFT JOIN closed c ON c.id = j.team_id LEFT JOIN firsts f ON f.kind = j.kind AND f.id = j.id)"""
+
+oracle("delete_report", "delete_requests rounds shooters teams leagues users", f"""WITH {_DELETES}
+SELECT seq, kind, CAST(id AS BIGINT) AS id, CAST(requested_by AS BIGINT) AS requested_by, outcome FROM told""")
+
+oracle("scores_after_requests", "delete_requests rounds shooters teams leagues users scores", f"""WITH {_DELETES},
+lost AS (SELECT kind, id FROM told WHERE outcome = 'deleted'),
+no_round AS (SELECT id FROM lost WHERE kind = 'round' UNION SELECT r.id FROM rounds r JOIN lost l ON l.kind = 'team' AND l.id = r.team_id),
+no_shooter AS (SELECT id FROM lost WHERE kind = 'shooter' UNION SELECT s.id FROM shooters s JOIN lost l ON l.kind = 'team' AND l.id = s.team_id)
+SELECT round_id, shooter_id, CASE WHEN sub_for_shooter_id NOT IN (SELECT id FROM no_shooter) THEN sub_for_shooter_id END AS sub_for_shooter_id, {ST}, total
+FROM scores WHERE round_id NOT IN (SELECT id FROM no_round) AND shooter_id NOT IN (SELECT id FROM no_shooter)""")
+
+oracle("submitted_headers", "sent_headers users", """
+WITH placed AS (
+  SELECT h.*, u.id IS NOT NULL OR h.user_id IS NULL AS known_sender,
+         CAST(CASE WHEN h.user_id IS NULL THEN h.team_id WHEN u.is_admin THEN coalesce(nullif(h.team_id, 0), u.team_id) ELSE u.team_id END AS INT) AS team
+  FROM sent_headers h LEFT JOIN users u ON u.id = h.user_id)
+SELECT submission_id, CAST(user_id AS BIGINT) AS user_id, team AS team_id, known_sender,
+       CASE WHEN raw_date <> 'not-a-date' THEN raw_date END AS round_date, CAST(NULL AS SMALLINT) AS yardage,
+       CAST(raw_round_number AS SMALLINT) AS round_number,
+       CASE WHEN team IS NULL THEN 'team' WHEN raw_date = 'not-a-date' THEN 'date' END AS fault
+FROM placed""")
+
+oracle("upgraded_scores", "scores", f"""
+SELECT round_id, shooter_id, CASE WHEN round_id % 2 = 1 THEN CAST(sub_for_shooter_id AS BIGINT) END AS sub_for_shooter_id, {ST}, total
+FROM scores""")
+
+oracle("upgraded_users", "users", """
+SELECT CAST(id AS BIGINT) AS id, email, CASE WHEN id % 3 = 2 THEN google_id END AS google_id,
+       CASE WHEN id % 3 > 0 THEN name END AS name, CASE WHEN id % 3 > 0 THEN phone END AS phone, CAST(NULL AS VARCHAR) AS address,
+       is_admin, id % 3 = 2 AND is_squad_leader AS is_squad_leader, id % 3 < 2 OR team_approved AS team_approved, team_id
+FROM users""")
+
 
 # The rules of the stored schema, one by one.
 _RULES = """

@@ -24,12 +24,6 @@ SETTINGS = {
     # Duplicate keys in a scoresheet text: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
-# Deduplication state of the running totals stays off the heap.
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-}
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply SETTINGS to a session made elsewhere."""
@@ -74,13 +68,17 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder for intermediate tables and stream checkpoints, in the shared folder of the session."""
+def scratch(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new folder for intermediate tables and stream checkpoints, in the shared folder of the session.
+
+    ``clearing`` leaves it alone with ``keep``.
+    """
     base = shared_folder(spark)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     return path
 
 
@@ -100,12 +98,12 @@ def clearing(spark: SparkSession) -> Iterator[None]:
         del _written[before:]
 
 
-def stage(rows: DataFrame, label: str) -> DataFrame:
-    """Write ``rows`` once and go on from the written table.
+def stage(rows: DataFrame, label: str, options: dict[str, object] | None = None) -> DataFrame:
+    """Write ``rows`` once, with the ``options`` of the writer, and go on from the written table.
 
     For results that several later steps read, and for ids that must be handed
     out once even when executors are lost.
     """
     path = scratch(rows.sparkSession, label)
-    rows.write.parquet(path)
+    rows.write.options(**(options or {})).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -7,7 +7,9 @@ view or base table. Spark binds those to DataFrames, the checks in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +128,18 @@ SELECT event_id AS seq, user_id,
             THEN CASE WHEN event_id % 8 = 1 THEN ' NATION_' || CAST(user_id % 25 AS VARCHAR(2)) || ' '
                       ELSE 'Founded ' || CAST(event_id % 30 AS VARCHAR(2)) END END AS team_name
 FROM {events}""",
+    "delete_requests": """
+SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN user_id - user_id % 50 ELSE user_id END AS requested_by,
+       CASE event_id % 7 WHEN 2 THEN 'shooter' WHEN 3 THEN 'user' WHEN 4 THEN 'user' WHEN 5 THEN 'team' WHEN 6 THEN 'league' ELSE 'round' END AS kind,
+       CASE event_id % 7 WHEN 2 THEN event_id % 150 WHEN 3 THEN event_id % 400 WHEN 4 THEN user_id % 60 WHEN 5 THEN event_id % 31
+            WHEN 6 THEN event_id % 9 ELSE event_id % 5000 END AS id
+FROM {events}""",
+    "sent_headers": """
+SELECT id AS submission_id, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 50 = 3 THEN 999999999 ELSE c_custkey END AS user_id,
+       CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN r.team_id % 25 + 1 ELSE r.team_id END AS team_id,
+       CASE WHEN id % 211 = 0 THEN 'not-a-date' ELSE CAST(round_date AS VARCHAR(10)) END AS raw_date,
+       CAST(NULL AS VARCHAR(4)) AS raw_yardage, CAST(round_number AS VARCHAR(4)) AS raw_round_number
+FROM {rounds} r JOIN {customer} ON c_custkey = CASE WHEN id % 3 = 0 THEN id % 3 * 50 ELSE id % 140 END""",
 }
 
 # The views each block reads, in the order of the blocks above.
@@ -141,8 +155,8 @@ _LINE_NUMBER = (
 _LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-# Scoresheet documents written so far, by session folder and data folder.
-_documents: dict[tuple[str | None, str], str] = {}
+# What was written once so far, by session folder, data folder and name.
+_once: dict[tuple[str | None, str, str], Any] = {}
 
 
 class ClubData:
@@ -180,6 +194,8 @@ class ClubData:
     applicants = cached_property(lambda self: self._view("applicants"))
     identities = cached_property(lambda self: self._view("identities"))
     membership_requests = cached_property(lambda self: self._view("membership_requests"))
+    delete_requests = cached_property(lambda self: self._view("delete_requests"))
+    sent_headers = cached_property(lambda self: self._view("sent_headers"))
 
     @cached_property
     def submission_lines(self) -> DataFrame:
@@ -197,9 +213,15 @@ class ClubData:
     @cached_property
     def documents(self) -> DataFrame:
         """The scoresheets as stored JSON documents (doc). Written once per session and data folder."""
-        key = (shared_folder(self.spark), self.folder)
-        if key not in _documents:
-            path = scratch(self.spark, "documents")
-            sheets.sheet_documents(self.submission_headers, self.submission_lines).select("doc").write.text(path)
-            _documents[key] = path
-        return self.spark.read.text(_documents[key]).withColumnRenamed("value", "doc")
+        return self.spark.read.text(self.once("documents", self._write_documents)).withColumnRenamed("value", "doc")
+
+    def _write_documents(self, path: str) -> str:
+        sheets.sheet_documents(self.submission_headers, self.submission_lines).select("doc").write.text(path)
+        return path
+
+    def once(self, name: str, write: Callable[[str], Any]) -> Any:
+        """What ``write`` made of a new folder, the first time it was asked for in this session and data folder."""
+        key = (shared_folder(self.spark), self.folder, name)
+        if key not in _once:
+            _once[key] = write(scratch(self.spark, name, keep=True))
+        return _once[key]

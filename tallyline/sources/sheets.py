@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.exprs import as_number, col, trimmed
 
 SHEET_SCHEMA = (
-    "submission_id BIGINT, team_id VARIANT, date STRING, yardage VARIANT, roundNumber VARIANT, "
+    "submission_id BIGINT, user_id BIGINT, team_id VARIANT, date STRING, yardage VARIANT, roundNumber VARIANT, "
     "first_pos BIGINT, shooters ARRAY<STRUCT<name: STRING, stations: ARRAY<VARIANT>, total: VARIANT, "
     "subFor: STRING, roundNumber: VARIANT>>"
 )
@@ -20,7 +20,7 @@ SHEET_SCHEMA = (
 MALFORMED = "_corrupt_record"
 FILE_SCHEMA = f"{SHEET_SCHEMA}, {MALFORMED} STRING"
 STATION_FIELDS = [f"st{i}" for i in range(1, 6)]
-HEADER_FIELDS = ["submission_id", "team_id", "raw_date", "raw_yardage", "raw_round_number"]
+HEADER_FIELDS = ["submission_id", "user_id", "team_id", "raw_date", "raw_yardage", "raw_round_number"]
 DOCUMENT_FIELDS = ["head_hash", "first_pos", "lines_hash"]
 LINE_FIELDS = ["pos", "raw_name", *STATION_FIELDS, "station_sum", "raw_total", "raw_sub_for", "raw_row_round"]
 
@@ -73,6 +73,7 @@ def one_per_key(rows: DataFrame, *keys: str) -> DataFrame:
 def _header_columns() -> list[Column]:
     return [
         F.col("submission_id"),
+        F.col("user_id"),
         _team("team_id").alias("team_id"),
         F.col("date").alias("raw_date"),
         _text("yardage").alias("raw_yardage"),
@@ -118,7 +119,7 @@ def flat_sheets(sheets: DataFrame) -> DataFrame:
     ``rows_to_lines`` take the two apart again.
     """
     header = _header_columns()
-    shape = F.xxhash64(*[F.to_json(F.struct(c)) for c in ("team_id", "date", "yardage", "roundNumber")])
+    shape = F.xxhash64(*[F.to_json(F.struct(c)) for c in ("user_id", "team_id", "date", "yardage", "roundNumber")])
     exploded = sheets.withColumns({"head_hash": shape, "lines_hash": F.xxhash64(F.to_json("shooters"))}).select(
         *header, MALFORMED, "head_hash", "lines_hash", F.coalesce("first_pos", F.lit(1)).alias("first_pos"),
         F.posexplode_outer("shooters").alias("offset", "line"),
@@ -203,6 +204,7 @@ def sheet_documents(headers: DataFrame, lines: DataFrame, lines_per_document: in
     empty = headers.join(lines.select("submission_id").distinct(), "submission_id", "left_anti")
     body = F.struct(
         "submission_id",
+        *([F.col("user_id")] if "user_id" in headers.columns else []),
         "team_id",
         F.col("raw_date").alias("date"),
         F.col("raw_yardage").alias("yardage"),

@@ -1,20 +1,8 @@
-"""Where results go: batch-numbered tables that can be rewritten, and JSON documents."""
+"""Where results go: JSON documents and bucketed tables. Tables that grow by batches are in ``store``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def write_batch(rows: DataFrame, base: str, table: str, batch: int) -> None:
-    """Write one batch of a table. Writing the same batch again replaces it."""
-    rows.write.mode("overwrite").parquet(f"{base}/{table}/batch={batch}")
-
-
-def read_table(spark: SparkSession, base: str, table: str, schema: str, skip_batch: int | None = None) -> DataFrame:
-    """All batches of a table, without ``skip_batch`` (the one being written)."""
-    rows = spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{base}/{table}")
-    return rows if skip_batch is None else rows.filter(F.col("batch") != skip_batch)
+from pyspark.sql import DataFrame
 
 
 def write_documents(rows: DataFrame, path: str) -> None:

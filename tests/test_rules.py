@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.functions import exprs, jsontext
-from tallyline.operators import derived, directory, ingest, maintain, membership, reads
+from tallyline.operators import derived, directory, ingest, maintain, membership, reads, skew
 from tallyline.sources import sheets, sinks, tables
 
 SCORES = tables.SCHEMAS["scores"]
@@ -453,6 +455,61 @@ def test_requests_of_one_busy_member(spark):
         assert got == {k: [names.get(t, t), a, x] for k, (t, a, x) in state.items()}
 
 
+def test_a_member_with_denials_of_many_teams(spark):
+    """No Python, and every row of every table written on the way holds one request."""
+    teams = spark.range(1, 3001).selectExpr("CAST(id AS INT) AS id", "concat('T', id) AS name", "CAST(NULL AS INT) AS league_id")
+    asked = spark.range(20_000).selectExpr(
+        "CAST(id AS INT) AS seq", "1L AS user_id", "IF(id % 2 = 0, 'deny', 'join') AS action",
+        "CAST(IF(id % 2 = 0, (id * 7) % 3000, id % 3000) + 1 AS INT) AS team_id", "CAST(NULL AS STRING) AS team_name",
+    )
+    users = spark.createDataFrame([user(1)], USERS)
+    on, want = None, {}
+    for seq in range(20_000):
+        team = ((seq * 7) % 3000 if seq % 2 == 0 else seq % 3000) + 1
+        if seq % 2:
+            want[seq] = "already_on_a_team" if on else "pending"
+            on = on or team
+        else:
+            want[seq] = "denied" if on == team else "other_team"
+            on = None if on == team else on
+    after, outcomes, _ = membership.apply_requests(users, asked, teams, 512)
+    assert {r["seq"]: r["outcome"] for r in outcomes.collect()} == want
+    assert after.first()["team_id"] == on
+    for frame in (after, outcomes):
+        assert not re.search("Python|Arrow", frame._jdf.queryExecution().executedPlan().toString())
+        assert not any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in frame.schema)
+
+
+def test_events_before_and_after(spark):
+    draw = random.Random(2)
+    held = [(draw.choice("ab"), pos, draw.choice([None, None, pos])) for pos in draw.sample(range(400), 120)]
+    frame = spark.createDataFrame(held, "k STRING, pos BIGINT, mark BIGINT")
+    for width in (1, 7, 1000):
+        found = skew.event_before(skew.event_after(frame, ["k"], F.col("mark"), "later", width), ["k"], F.col("mark"), "earlier", width)
+        for r in found.collect():
+            marks = [m for k, _, m in held if k == r["k"] and m is not None]
+            assert r["later"] == min((m for m in marks if m > r["pos"]), default=None)
+            assert r["earlier"] == max((m for m in marks if m < r["pos"]), default=None)
+        assert found.count() == len(held)
+
+
+def test_sheets_go_to_the_team_of_their_sender(spark):
+    users = spark.createDataFrame([user(1, 1, admin=True), user(2, 2), user(3), user(4, admin=True)], USERS)
+    headers = spark.createDataFrame(
+        [(1, 1, 5), (2, 1, None), (3, 1, 0), (4, 2, 5), (5, 2, None), (6, 3, 5), (7, 4, 5), (8, 4, None), (9, 77, 5), (10, None, 5)],
+        "submission_id BIGINT, user_id BIGINT, team_id INT",
+    ).selectExpr("*", "'2024-01-01' AS raw_date", "CAST(NULL AS STRING) AS raw_yardage", "CAST(NULL AS STRING) AS raw_round_number")
+    found = ingest.with_submitters(headers, users)
+    assert rows(found, "submission_id", "team_id", "known_sender") == [
+        (1, 5, True), (10, 5, True), (2, 1, True), (3, 1, True), (4, 2, True), (5, 2, True), (6, None, True), (7, 5, True),
+        (8, None, True), (9, None, False),
+    ]
+    lines = headers.selectExpr("submission_id", "true AS counts", "true AS valid")
+    assert rows(ingest.sheet_verdicts(found, lines).filter("reason IS NOT NULL"), "submission_id", "reason") == [
+        (6, "team"), (8, "team"), (9, "unknown_sender"),
+    ]
+
+
 APPLICANTS = "seq INT, raw_email STRING, team_id INT, new_team_name STRING"
 
 
