@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 from tallyline.llm.shared import stage
 
 #: Stretches of text whose tokens a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Stretches that go through the tokenizers together, in characters.
 TOGETHER = 1 << 15
 #: Links written out one by one in a group; larger groups are counted by their distinct ids.
 WRITTEN_OUT = 1 << 12
 #: Id pairs of documents that make a block.
-BLOCK_PAIRS = 1 << 20
+BLOCK_PAIRS = 1 << 18
 
 # A text may be cut before a blank or line feed between two other characters: both
 # tokenizers begin a token there, whatever stands around it.
@@ -89,16 +90,16 @@ class Aligner:
         """
         whole = text.encode()
         found = self.a.encode(text, add_special_tokens=False)
-        ids_a = np.array(found.ids, dtype=np.int64)
-        spans = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)
+        listed = found.ids
+        ids_a = np.array(listed, dtype=np.int64)
+        spans = np.fromiter(chain.from_iterable(found.offsets), dtype=np.int64, count=2 * len(listed)).reshape(-1, 2)
         led = text[0] == " "
         pieces = self.b.encode(text[1:] if led else text, return_type="proto", num_threads=1).pieces
-        pairs = [(p.id, p.end) for p in pieces]
-        ids_b, ends_b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        ids_b, ends_b = (np.array(x, dtype=np.int64) for x in ([p.id for p in pieces], [p.end for p in pieces]))
         if not led:
             # The blank that B puts before a text is a token of its own here.
             ids_b, ends_b = ids_b[1:], ends_b[1:]
-        if b"".join(map(self.bytes_a.__getitem__, found.ids)) != whole:
+        if b"".join(map(self.bytes_a.__getitem__, listed)) != whole:
             return None
         if b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != whole:
             return None
@@ -171,7 +172,7 @@ class Aligner:
             parts.append(((x[:, None] * self.width + y).ravel(), (m[:, None] * n).ravel()))
         return text, *_added(parts)
 
-    def learn(self, keys: list[str]) -> dict[str, tuple[str, bytes] | None]:
+    def learn(self, keys: Iterable[str]) -> dict[str, tuple[str, bytes] | None]:
         """What is kept of stretches; None where the tokens' bytes are others."""
         out: dict[str, tuple[str, bytes] | None] = {}
         held: list[str] = []
@@ -204,31 +205,35 @@ class Aligner:
         """
         if len(self.young) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
-        split = [self._split(x) for x in texts]
-        new: list[str] = []
-        for key in {k for parts in split for k in parts if type(k) is str}.difference(self.young):
-            if key in self.old:
-                self.young[key] = self.old[key]
-            else:
-                new.append(key)
-        self.young.update(self.learn(new))
+        missing: set[str] = set()
+        split = [self._split(x, missing) for x in texts]
+        again = missing & self.old.keys()
+        self.young.update((k, self.old[k]) for k in again)
+        self.young.update(self.learn(missing - again))
         return [self._joined(parts) if parts else None for parts in split]
 
-    def _split(self, text: str | None) -> list[str | tuple[str]]:
-        """The stretches of a text: a string for one that is remembered, a tuple for one that is encoded for itself."""
+    def _split(self, text: str | None, missing: set[str]) -> list[str | tuple[str]]:
+        """The stretches of a text: a string for one that is remembered, a tuple for one that is encoded for itself.
+
+        Strings that are not remembered yet are added to ``missing``.
+        """
         if not text:
             return []
         if not self.parted:
             return [(" " + text,)]
         keys = text.replace("\n", " \n").split(" ")
-        if all(map(_regular, set(keys).difference(self.young))):
+        new = set(keys).difference(self.young, missing)
+        if all(map(_regular, new)):
+            missing |= new
             return keys
         led = " " + text
         cuts = [0, *(m.start() for m in _CUT.finditer(led)), len(led)]
         chunks = (led[a:b] for a, b in zip(cuts, cuts[1:]))
         # A first stretch may begin with several blanks or line feeds.
         keyed = ((c, c if c[0] == "\n" else c[1:]) for c in chunks)
-        return [k if _regular(k) and not c.startswith(" \n") else (c,) for c, k in keyed]
+        parts = [k if _regular(k) and not c.startswith(" \n") else (c,) for c, k in keyed]
+        missing |= {k for k in parts if type(k) is str}.difference(self.young)
+        return parts
 
     def _joined(self, parts: list[str | tuple[str]]) -> tuple[str, np.ndarray, np.ndarray] | None:
         alone: list[tuple[str, np.ndarray, np.ndarray] | None] = []
@@ -320,7 +325,7 @@ def blocks(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Blocks of about BLOCK_PAIRS id pairs of documents: the block's different pairs, and for each document places in them.
 
     ``pairs`` and ``docs`` are the pairs' codes and in how many of the block's rows they
-    come; ``at`` and ``n`` give, document after document, the place of each of its ``size``
+    come; ``at`` and ``n`` (in as few bytes as they need) give, document after document, the place of each of its ``size``
     pairs and how many links it has there.
     """
     kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 4]
@@ -335,9 +340,12 @@ def blocks(rows: DataFrame, a: str, b: str) -> DataFrame:
 
         def whole() -> pa.RecordBatch:
             pairs, at, docs = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+            n = np.concatenate(counts).astype(np.int64)
+            # As many bytes each as the largest needs.
+            n = n.astype(np.min_scalar_type(int(n.max(initial=0))))
             row = (
                 block, *map(list, zip(*held)), [len(x) for x in codes], at.astype(np.uint32).tobytes(),
-                np.concatenate(counts).astype(np.int64).tobytes(), pairs.astype(np.int64).tobytes(), docs.astype(np.int64).tobytes(),
+                n.tobytes(), pairs.astype(np.int64).tobytes(), docs.astype(np.int64).tobytes(),
             )
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
@@ -409,7 +417,8 @@ def aligned(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: s
     blocks are shuffled, never links.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held = stage(blocks(rows, a, b), "align-blocks")
+    # Few rows, and large ones: they are written as they come.
+    held = stage(blocks(rows, a, b), "align-blocks", {"parquet.block.size": 8 << 20})
     each = _pairs(held)
     width = aligner(a, b).width
     known = pair_counts(each, width)
@@ -420,7 +429,8 @@ def aligned(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: s
         order = np.argsort(right.column("at").to_numpy())
         count = right.column("count").to_numpy()[order]
         best = right.column("best").to_numpy()[order]
-        at, n = np.frombuffer(row["at"], dtype=np.uint32), np.frombuffer(row["n"], dtype=np.int64)
+        at = np.frombuffer(row["at"], dtype=np.uint32)
+        n = np.frombuffer(row["n"], dtype=f"u{len(row['n']) // max(len(at), 1) or 1}").astype(np.int64)
         owner = np.repeat(np.arange(len(row["size"])), row["size"])
         n_best, total = (np.zeros(len(row["size"]), dtype=np.int64) for _ in range(2))
         np.add.at(n_best, owner, n * best[at])
