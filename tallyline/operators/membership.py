@@ -92,21 +92,29 @@ def _steps(rows: DataFrame, width: int) -> DataFrame:
 def _in_force(steps: DataFrame) -> DataFrame:
     """(user_id, pos) of the starts and of all joins that take effect.
 
-    Each round goes on twice as far as all rounds before it, so there are as many as the logarithm of the
-    longest chain. A round is a written table.
+    Each round reaches four times as far as all rounds before it, so there are as many as the logarithm of the
+    longest chain. What a round finds, and the longer steps of the next one, are written tables.
     """
     on = steps.select("user_id", "pos", "onward")
-    edges = stage(on.filter("onward IS NOT NULL"), "membership-steps")
+    edges = on.filter("onward IS NOT NULL")
     reached = on.filter(F.col("pos") == START).select("user_id", "pos")
-    while True:
-        new = stage(
-            reached.join(edges, ["user_id", "pos"]).select("user_id", F.col("onward").alias("pos")), "membership-chain"
-        )
-        if new.isEmpty():
-            return reached
-        reached = reached.unionByName(new)
-        far = edges.select("user_id", F.col("pos").alias("onward"), F.col("onward").alias("_far"))
-        edges = stage(edges.join(far, ["user_id", "onward"]).select("user_id", "pos", F.col("_far").alias("onward")), "membership-steps")
+    while not edges.isEmpty():
+        double = stage(_twice(edges), "membership-steps")
+        once = _moved(reached, edges)
+        found = once.unionByName(_moved(reached.unionByName(once), double))
+        reached = reached.unionByName(stage(found, "membership-chain"))
+        edges = stage(_twice(double), "membership-steps")
+    return reached
+
+
+def _moved(places: DataFrame, edges: DataFrame) -> DataFrame:
+    return places.join(edges, ["user_id", "pos"]).select("user_id", F.col("onward").alias("pos"))
+
+
+def _twice(edges: DataFrame) -> DataFrame:
+    """The edges that two edges make together."""
+    far = edges.select("user_id", F.col("pos").alias("onward"), F.col("onward").alias("_far"))
+    return edges.join(far, ["user_id", "onward"]).select("user_id", "pos", F.col("_far").alias("onward"))
 
 
 def apply_requests(

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.exprs import exact_avg, iso_date, spread_null_id
-from tallyline.operators.skew import heavy_keys, heavy_names, number_within
+from tallyline.operators.skew import heavy_keys, number_within
+from tallyline.session import stage
 
 STATIONS = [f"station_{i}" for i in range(1, 6)]
 TOP_K = 10
@@ -158,13 +159,13 @@ def shooter_trends(
 
     Names, not ids: namesakes within one team's rounds share a series. A series
     longer than ``page_rows`` continues on the next page, so no group of rows is
-    ever gathered whole.
+    ever gathered whole. Points are written once: they are counted before they are numbered.
     """
-    points = trend_points(scores, shooters, rounds, team_id)
+    points = stage(trend_points(scores, shooters, rounds, team_id), "trend-points")
     keys = ["team_id", "name"]
     order = [F.col(c) for c in ("round_date", "round_number", "round_id", "total")]
     slices = [*order[:2], F.floor(F.col("round_id") / 65_536), *order[2:]]
-    paged = _paged(points, keys, order, slices, page_rows, heavy_names(scores, shooters, heavy_rows))
+    paged = _paged(points, keys, order, slices, page_rows, heavy_keys(points, ["name"], heavy_rows))
     point = F.struct(iso_date("round_date").alias("date"), F.col("total"))
     pages = paged.groupBy(*keys, "page").agg(_listed(point).alias("history"))
     return in_order(pages, team_id is not None, "name", "page")
@@ -178,7 +179,10 @@ def round_history(
     page_rows: int = PAGE_ROWS,
     heavy_rows: int | None = None,
 ) -> DataFrame:
-    """Every round with its score lines as JSON, ``[]`` without scores; for one team newest first."""
+    """Every round with its score lines as JSON, ``[]`` without scores; for one team newest first.
+
+    Named lines are written once: they are counted before they are numbered.
+    """
     rounds = _of_team(rounds, team_id)
     lines = scores
     if team_id is not None:
@@ -189,9 +193,10 @@ def round_history(
         spread_null_id("sub_for_shooter_id", "round_id", "shooter_id", "total") == F.col("subbed_id"),
         "left",
     )
+    lines = stage(lines.drop("subbed_id"), "history-lines")
     order = [F.col(c) for c in ("shooter_id", "sub_for_shooter_id", *STATIONS, "total")]
     slices = [F.floor(F.col("shooter_id") / 65_536), *order[:5]]
-    paged = _paged(lines, ["round_id"], order, slices, page_rows, heavy_keys(scores, ["round_id"], heavy_rows))
+    paged = _paged(lines, ["round_id"], order, slices, page_rows, heavy_keys(lines, ["round_id"], heavy_rows))
     entry = F.struct(
         F.col("name"), F.array(*STATIONS).alias("stations"), F.col("total"), F.col("sub_for_name").alias("subFor")
     )

@@ -21,23 +21,6 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int | None = None
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > min_rows).drop("_rows")
 
 
-def heavy_names(scores: DataFrame, shooters: DataFrame, min_rows: int | None = None) -> DataFrame:
-    """The names (``name``) that hold more than ``min_rows`` scores, however many shooters share them.
-
-    Scores are counted per shooter before names are looked up; no other table is read.
-    """
-    min_rows = HEAVY_ROWS if min_rows is None else min_rows
-    return (
-        scores.groupBy("shooter_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(shooters.select(F.col("id").alias("shooter_id"), "name"), "shooter_id")
-        .groupBy("name")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") > min_rows)
-        .select("name")
-    )
-
-
 def number_within(
     rows: DataFrame,
     keys: Sequence[str],

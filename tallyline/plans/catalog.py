@@ -619,7 +619,19 @@ def users_after_sign_in(d: ClubData) -> DataFrame:
 
 
 def _after_requests(d: ClubData) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return membership.apply_requests(d.users, d.membership_requests, d.teams)
+    """The three tables that one batch of requests gives, written once per session and data folder."""
+
+    def written(path: str) -> str:
+        found = membership.apply_requests(d.users, d.membership_requests, d.teams)
+        for name, rows in zip(_REQUEST_TABLES, found):
+            rows.write.parquet(f"{path}/{name}")
+        return path
+
+    path = d.once("membership", written)
+    return tuple(d.spark.read.parquet(f"{path}/{name}") for name in _REQUEST_TABLES)
+
+
+_REQUEST_TABLES = ("users", "outcomes", "teams")
 
 
 @query

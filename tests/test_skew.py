@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyline.operators.skew import allocate_ids, heavy_keys, heavy_names, number_within
+from tallyline.operators.skew import allocate_ids, heavy_keys, number_within
 
 
 def lopsided(spark):
@@ -24,13 +24,6 @@ def test_heavy_keys_are_found(spark):
     assert heavy_keys(rows, ["k"], min_rows=0).count() == rows.select("k").distinct().count()
 
 
-def test_heavy_names_count_all_namesakes(spark):
-    scores = spark.range(300).select((F.col("id") % 30).alias("shooter_id"))
-    shooters = spark.range(30).select("id", F.when(F.col("id") < 20, "Guest").otherwise(F.col("id").cast("string")).alias("name"))
-    assert [r.name for r in heavy_names(scores, shooters, min_rows=100).collect()] == ["Guest"]
-    assert heavy_names(scores, shooters, min_rows=250).count() == 0
-
-
 def test_sliced_numbers_equal_plain_numbers(spark):
     rows = lopsided(spark)
     order = [F.col("a"), F.col("b"), F.col("c")]
