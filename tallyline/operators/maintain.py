@@ -477,7 +477,8 @@ def identity_match(identities: DataFrame, users: DataFrame, registration_open: b
     replaced = known.filter("external_id <> held").groupBy(F.col("email").alias("id_email")).agg(F.min("seq").alias("replaced_at"))
     home_of = by_id.join(replaced, "id_email", "left")
     at_home = F.col("id_user").isNotNull() & (F.col("seq") < F.coalesce("replaced_at", F.col("seq") + 1))
-    homes = known.join(home_of, "external_id", "left").withColumn("home", at_home)
+    # Read twice below, by the sign-ins themselves and by what one slice hands on to the next.
+    homes = stage(known.join(home_of, "external_id", "left").withColumn("home", at_home), "sign-in-accounts")
     # Signing in to an account with another email does not touch the one with this email.
     elsewhere = F.col("home") & (F.col("id_email") != F.col("email"))
     here = F.when(~elsewhere, F.col("seq"))
