@@ -457,15 +457,15 @@ def test_requests_of_one_busy_member(spark):
 
 def test_a_member_with_denials_of_many_teams(spark):
     """No Python, and every row of every table written on the way holds one request."""
-    teams = spark.range(1, 3001).selectExpr("CAST(id AS INT) AS id", "concat('T', id) AS name", "CAST(NULL AS INT) AS league_id")
-    asked = spark.range(20_000).selectExpr(
+    teams = spark.range(1, 901).selectExpr("CAST(id AS INT) AS id", "concat('T', id) AS name", "CAST(NULL AS INT) AS league_id")
+    asked = spark.range(6_000).selectExpr(
         "CAST(id AS INT) AS seq", "1L AS user_id", "IF(id % 2 = 0, 'deny', 'join') AS action",
-        "CAST(IF(id % 2 = 0, (id * 7) % 3000, id % 3000) + 1 AS INT) AS team_id", "CAST(NULL AS STRING) AS team_name",
+        "CAST(IF(id % 2 = 0, (id * 7) % 900, id % 900) + 1 AS INT) AS team_id", "CAST(NULL AS STRING) AS team_name",
     )
     users = spark.createDataFrame([user(1)], USERS)
     on, want = None, {}
-    for seq in range(20_000):
-        team = ((seq * 7) % 3000 if seq % 2 == 0 else seq % 3000) + 1
+    for seq in range(6_000):
+        team = ((seq * 7) % 900 if seq % 2 == 0 else seq % 900) + 1
         if seq % 2:
             want[seq] = "already_on_a_team" if on else "pending"
             on = on or team
