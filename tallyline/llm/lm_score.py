@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +21,6 @@ ORDER = 3
 WORD_SHARE = 0.0
 #: N-grams need this share to be states and arcs: none, one occurrence is enough at every size.
 NGRAM_SHARE = 0.0
-#: Longer words are part of no n-gram; they are counted and weighed alone.
-LONGEST = 64
 #: What is taken from every count of a longer n-gram and handed down to shorter ones.
 DISCOUNT = 0.75
 #: Added to every unigram count.
@@ -32,7 +30,11 @@ FOLDS, HELD_OUT = 5, 1
 #: Different words that a task adds up before it hands them on.
 GATHERED = 400_000
 #: Tokens of a block of documents, and of all blocks whose n-grams meet in one part.
-BLOCK_TOKENS, PART_TOKENS = 1 << 20, 1 << 22
+BLOCK_TOKENS, PART_TOKENS = 1 << 18, 1 << 20
+#: Tokens of a stretch of a text that the automaton reads at one go, beside other stretches.
+STRETCH = 1024
+#: Bits of a word's hash that tell the followers of one bigram apart.
+FOLLOWER = np.uint64((1 << 48) - 1)
 END = b""
 
 
@@ -44,71 +46,63 @@ def tokens(text: str | None) -> list[bytes]:
 class Automaton:
     """Weighted backoff automaton: a state per history, arcs for seen n-grams, one failure arc per state.
 
-    State 0 has no history, state k the word number k, and longer histories
-    follow. ``arcs`` maps state * width + word to (log10 weight, next state);
-    ``fail`` gives the state of the next shorter history and its log10 weight. From
-    state 0 every known word has an arc of weight ``base[word]`` to its own state.
+    State 0 has no history, state 1 + k the word number k of ``width`` words, and
+    longer histories follow. ``keys`` are the arcs in order, each as state * width +
+    word, with their log10 ``weights`` and the state each leads ``to``. The failure arc
+    of a state leads to the state of the next shorter history, ``fail``, at the log10 weight
+    ``cost``. State 0 has no failure arc: there every word has an arc, of weight
+    ``base[word]`` to ``first[word]``, and words without a state lead back to 0.
     """
 
-    def __init__(self, base: list[float], counts: dict[int, int], ngrams: list[dict[tuple[int, ...], int]]):
-        self.base, self.width = base, len(base)
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.fail: dict[int, tuple[int, float]] = {}
-        states = {(k,): k for k in counts}
-        seen = {(k,): c for k, c in counts.items()}
-        free = self.width
-        for grams in ngrams:
-            history: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-            for gram, count in sorted(grams.items()):
-                states[gram], seen[gram] = free, count
-                # Without arcs of its own a state fails to the shorter history at no cost.
-                self.fail[free] = (states.get(gram[1:], gram[-1]), 0.0)
-                free += 1
-                history.setdefault(gram[:-1], []).append((gram[-1], count))
-            for past, follow in history.items():
-                state = states[past]
-                lower = self.fail.get(state, (0, 0.0))[0]
-                # What the kept arcs leave over, for unseen and pruned followers alike, goes down.
-                left = 1.0 - sum(c - DISCOUNT for _, c in follow) / seen[past]
-                for word, count in follow:
-                    p = (count - DISCOUNT) / seen[past] + left * 10 ** self.weight(lower, word)
-                    self.arcs[state * self.width + word] = (math.log10(p), states[(*past, word)])
-                self.fail[state] = (lower, math.log10(left))
-
-    def weight(self, state: int, word: int) -> float:
-        """log10 probability of a known word after a state."""
-        passed = 0.0
-        while state:
-            arc = self.arcs.get(state * self.width + word)
-            if arc is not None:
-                return passed + arc[0]
-            state, cost = self.fail.get(state, (0, 0.0))
-            passed += cost
-        return passed + self.base[word]
-
-    def score(self, numbers: list[int]) -> float:
-        """One pass over a text's word numbers, the state carried along.
-
-        Words without a number (0) lead to state 0 over the failure arcs; the
-        weight of their exact count is the caller's to add.
+    def __init__(
+        self, base: np.ndarray, first: np.ndarray, fail: np.ndarray, cost: np.ndarray, keys: np.ndarray, weights: np.ndarray,
+        to: np.ndarray,
+    ):
+        self.base, self.first, self.fail, self.cost, self.width = base, first, fail, cost, len(base)
+        order = np.argsort(keys)
+        # The last key is that of no arc.
+        self.keys = np.r_[keys[order], np.iinfo(np.int64).max]
+        self.weights, self.to = np.r_[weights[order], 0.0], np.r_[to[order], 0]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of a word after each state, and the state it leads to."""
+        passed, reached = self.base[word], self.first[word]
+        on = np.flatnonzero(state)
+        at, read, spent = state[on], word[on], np.zeros(len(on))
+        while len(on):
+            key = at * self.width + read
+            arc = np.searchsorted(self.keys, key)
+            found = self.keys[arc] == key
+            passed[on[found]] = spent[found] + self.weights[arc[found]]
+            reached[on[found]] = self.to[arc[found]]
+            lost = ~found
+            on, at, read = on[lost], at[lost], read[lost]
+            spent, at = spent[lost] + self.cost[at], self.fail[at]
+            over = at == 0
+            passed[on[over]] += spent[over]
+            on, at, read, spent = on[~over], at[~over], read[~over], spent[~over]
+        return passed, reached
+
+    def scores(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
+        """log10 probability of every text, each read once from left to right with its state carried along.
+
+        Texts are read beside each other, a word of each at a time. Long ones are read in
+        stretches: a state knows ``order`` - 1 words, so that many words before
+        a stretch, read without adding them up, lead to the state it begins in.
         """
-        find, fails, base, width = self.arcs.get, self.fail.get, self.base, self.width
-        state, total, none = 0, 0.0, (0, 0.0)
-        for word in numbers:
-            while state:
-                if word:
-                    arc = find(state * width + word)
-                    if arc is not None:
-                        total += arc[0]
-                        state = arc[1]
-                        break
-                state, cost = fails(state, none)
-                total += cost
-            else:
-                if word:
-                    total += base[word]
-                    state = word
-        return total
+        pieces = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        inner = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+        lead = np.minimum(inner, order - 1)
+        begin, size = starts[text] + inner - lead, np.minimum(sizes[text] - inner, STRETCH) + lead
+        longest = np.argsort(-size, kind="stable")
+        text, lead, begin, size = text[longest], lead[longest], begin[longest], size[longest]
+        state, total, shrink = np.zeros(len(text), dtype=np.int64), np.zeros(len(text)), -size
+        for k in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(shrink, -k))
+            weight, state[:live] = self.step(state[:live], words[begin[:live] + k])
+            total[:live] += np.where(lead[:live] > k, 0.0, weight) if k < order - 1 else weight
+        return np.bincount(text, weights=total, minlength=len(sizes))
 
 
 def unigram(count: int, total: int, distinct: int) -> float:
@@ -138,13 +132,33 @@ def _counted(held: Counter) -> pa.RecordBatch:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Non-negative numbers in as few bytes each as the largest needs, which the first byte tells."""
-    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
-    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+    """Non-negative numbers, byte by byte of equal weight, compressed; the first byte tells how many bytes a number has."""
+    kind = x.dtype if x.dtype == np.uint64 else np.min_scalar_type(int(x.max()) if len(x) else 0)
+    planes = x.astype(kind, copy=False).view(np.uint8).reshape(-1, kind.itemsize).T
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, dtype=f"u{x[0]}", offset=1).astype(np.int64)
+def _unpacked(x: pa.Buffer, kind: type = np.int64) -> np.ndarray:
+    x = memoryview(x)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), dtype=np.uint8).reshape(x[0], -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"u{x[0]}").astype(kind, copy=False)
+
+
+def _rising(keys: np.ndarray) -> bytes:
+    """Hashes in order as the steps from one to the next, whose upper bytes are zero."""
+    return _packed(np.r_[keys[:1], np.diff(keys)])
+
+
+def _risen(x: pa.Buffer) -> np.ndarray:
+    return np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64)
+
+
+def _rows(found: pa.Table | pa.RecordBatch) -> list[dict]:
+    """The rows, their binary columns as views of the Arrow buffers."""
+    return [
+        {n: c[k].as_buffer() if pa.types.is_binary(c.type) else c[k].as_py() for n, c in zip(found.schema.names, found.columns)}
+        for k in range(found.num_rows)
+    ]
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,7 +187,7 @@ def blocks(rows: DataFrame, vocabulary: frozenset[bytes] | None = None) -> DataF
     """Documents in blocks of about BLOCK_TOKENS tokens: their words by number, and the hash of each number's word.
 
     ``rows`` are (doc_id, text, held_out). A word is usable in n-grams if it is
-    in the vocabulary, without one always, and not longer than LONGEST.
+    in the vocabulary, without one always.
     """
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
     names = [x.split()[0] for x in BLOCK.split(", ")]
@@ -189,7 +203,7 @@ def blocks(rows: DataFrame, vocabulary: frozenset[bytes] | None = None) -> DataF
         def whole() -> pa.RecordBatch:
             sizes = [len(x) for x in ids]
             hashes = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in number)
-            usable = bytes(len(w) <= LONGEST and (known is None or w in known) for w in number)
+            usable = bytes(known is None or w in known for w in number)
             row = (
                 block, [d[0] for d in docs], [d[1] for d in docs], sizes,
                 sum(n for n, d in zip(sizes, docs) if not d[1]), _packed(np.concatenate(ids)), hashes, usable,
@@ -216,13 +230,13 @@ def blocks(rows: DataFrame, vocabulary: frozenset[bytes] | None = None) -> DataF
 class Block:
     """The n-grams of a block: word numbers, bigrams (usable words only) and what follows each of them.
 
-    ``bigram`` and ``after`` give every token the bigram it ends and the entry (bigram before
-    it, token) it ends, or -1. ``pairs`` are the bigrams' two words, in the order of their
-    hashes. An entry without a usable word, or at the end of a text, says that the
-    bigram was there and no arc leaves it.
+    ``pairs`` are the bigrams' two words, in the order of the bigrams' hashes ``keys``. An
+    entry is a bigram (``entry_past``), a usable word after it (``entry_word``) and the bigram
+    these end with (``entry_last``). An entry without a usable word, or at the end
+    of a text, has word -1: the bigram was there and no arc leaves it. ``longer`` leaves the entries out.
     """
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, longer: bool = True):
         self.ids = t = _unpacked(row["ids"])
         self.words = np.frombuffer(row["words"], dtype="<u8").astype(np.uint64)
         self.usable = usable = np.frombuffer(row["usable"], dtype=np.uint8) > 0
@@ -230,46 +244,45 @@ class Block:
         width, n = len(self.words), len(t)
         self.starts = np.cumsum(self.size) - self.size
         self.counts = np.repeat(~np.array(self.held_out, dtype=bool), self.size).astype(np.int64)
+        # Words in the order of their hashes.
+        self.sorted = np.argsort(self.words)
         ends = np.zeros(n, dtype=bool)
         ends[self.starts + self.size - 1] = True
-        #: Whether a token has a history of a word.
-        self.led = np.r_[False, ~ends[:-1] & usable[t[:-1]]] if order > 1 else np.zeros(n, dtype=bool)
-        self.bigram, self.after = np.full(n, -1), np.full(n, -1)
-        at = np.flatnonzero(self.led & usable[t])
+        # Whether a token has a word before it to lead to it.
+        led = np.r_[False, ~ends[:-1] & usable[t[:-1]]] if order > 1 else np.zeros(n, dtype=bool)
+        bigram = np.full(n, -1)
+        at = np.flatnonzero(led & usable[t])
         code, back = np.unique(t[at - 1] * width + t[at], return_inverse=True)
         a, b = code // width, code % width
         hashed = _mixed(self.words[a], self.words[b])
         sort = np.argsort(hashed)
         place = np.empty(len(sort), dtype=np.int64)
         place[sort] = np.arange(len(sort))
-        self.bigram[at] = place[back]
+        bigram[at] = place[back]
         self.pairs, self.keys = (a[sort], b[sort]), hashed[sort]
-        #: The bigram a token has as history.
-        self.past = np.where(self.led, np.r_[-1, self.bigram[:-1]], -1)
-        follows = np.flatnonzero(self.past >= 0)
-        last = np.flatnonzero(ends & (self.bigram >= 0))
+        if not longer:
+            return
+        past = np.where(led, np.r_[-1, bigram[:-1]], -1)
+        follows = np.flatnonzero(past >= 0)
+        last = np.flatnonzero(ends & (bigram >= 0))
         # Word 0 stands for no arc.
         word = np.where(usable[t[follows]], t[follows] + 1, 0) if order > 2 else np.zeros(len(follows), dtype=np.int64)
-        code, back = np.unique(
-            np.r_[self.past[follows], self.bigram[last]] * (width + 1) + np.r_[word, np.zeros(len(last), dtype=np.int64)],
-            return_inverse=True,
+        code, one, back = np.unique(
+            np.r_[past[follows], bigram[last]] * (width + 1) + np.r_[word, np.zeros(len(last), dtype=np.int64)],
+            return_index=True, return_inverse=True,
         )
-        self.after[follows] = back[:len(follows)]
         self.entry_n = np.bincount(back, weights=np.r_[self.counts[follows], self.counts[last]], minlength=len(code)).astype(np.int64)
-        self.entry_word = np.r_[np.uint64(0), self.words][code % (width + 1)]
-        self.entries = np.bincount(code // (width + 1), minlength=len(self.keys))
-        # Words in the order of their hashes.
-        self.sorted = np.argsort(self.words)
+        self.entry_past, self.entry_word = code // (width + 1), code % (width + 1) - 1
+        self.entry_last = np.where(self.entry_word >= 0, np.r_[bigram[follows], bigram[last]][one], -1)
+        self.entries = np.bincount(self.entry_past, minlength=len(self.keys))
 
 
 def _request(parts: int, cuts: np.ndarray, block: int, columns: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
-    """A row for each part: of every column its slice, by the cuts given with it."""
+    """A row for each part: of every column its slice, by the cuts given with it. The first column is that of the hashes."""
     out = []
-    for part in range(parts):
-        if cuts[part] == cuts[part + 1]:
-            continue
-        row = [x[c[part]:c[part + 1]] for x, c in columns]
-        out.append((part, block, *(x.tobytes() if x.dtype == np.uint64 else _packed(x) for x in row)))
+    for part in np.flatnonzero(np.diff(cuts)).tolist():
+        keys, *row = (x[c[part]:c[part + 1]] for x, c in columns)
+        out.append((part, block, _rising(keys), *map(_packed, row)))
     return out
 
 
@@ -285,13 +298,15 @@ def bigram_requests(held: DataFrame, order: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 b = Block(row, order)
                 cuts = _cuts(b.keys, parts)
                 inner = np.r_[0, np.cumsum(b.entries)][cuts]
                 none = np.zeros(0, dtype=np.int64), np.zeros(parts + 1, dtype=np.int64)
+                # Inside one bigram a part of its hash tells a word; 0 is no word.
+                follower = np.where(b.entry_word < 0, np.uint64(0), np.maximum(b.words[b.entry_word] & FOLLOWER, np.uint64(1)))
                 rows = _request(parts, cuts, row["block"], [
-                    (b.keys, cuts), none, (b.entries, cuts), (b.entry_word, inner), (b.entry_n, inner), none, none,
+                    (b.keys, cuts), none, (b.entries, cuts), (follower, inner), (b.entry_n, inner), none, none,
                 ])
                 yield from _table(rows, REQUEST).to_batches()
 
@@ -305,10 +320,10 @@ def bigram_answers(requests: DataFrame, least: float) -> DataFrame:
     """
 
     def run(found: pa.Table) -> pa.Table:
-        rows = sorted(found.to_pylist(), key=lambda r: r["block"])
-        keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        rows = sorted(_rows(found), key=lambda r: r["block"])
+        keys = [_risen(r["keys"]) for r in rows]
         sizes = np.concatenate([_unpacked(r["sizes"]) for r in rows])
-        word = np.concatenate([np.frombuffer(r["next"], dtype=np.uint64) for r in rows])
+        word = np.concatenate([_unpacked(r["next"], np.uint64) for r in rows])
         n = np.concatenate([_unpacked(r["next_n"]) for r in rows])
         distinct, group = np.unique(np.concatenate(keys), return_inverse=True)
         owner = np.repeat(group, sizes)
@@ -346,9 +361,9 @@ def word_requests(held: DataFrame, answers: DataFrame, order: int, least: float,
     """Every block's words with their training counts, and the arcs that its own first bigrams are."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        b = Block(row, order)
-        found = sorted(right.to_pylist(), key=lambda r: r["part"])
+        row = _rows(left)[0]
+        b = Block(row, order, longer=False)
+        found = sorted(_rows(right), key=lambda r: r["part"])
         count = _joined(found, "count")
         arc = (_joined(found, "first") > 0) & (count >= max(least, 1))
         width = len(b.words)
@@ -358,9 +373,8 @@ def word_requests(held: DataFrame, answers: DataFrame, order: int, least: float,
         keys = b.words[b.sorted]
         cuts = _cuts(keys, parts)
         none = np.zeros(0, dtype=np.int64), np.zeros(parts + 1, dtype=np.int64)
-        empty = np.zeros(0, dtype=np.uint64), np.zeros(parts + 1, dtype=np.int64)
         return _table(_request(parts, cuts, row["block"], [
-            (keys, cuts), (n[b.sorted], cuts), none, empty, none, (own[b.sorted], cuts), (passed[b.sorted], cuts),
+            (keys, cuts), (n[b.sorted], cuts), none, none, none, (own[b.sorted], cuts), (passed[b.sorted], cuts),
         ]), REQUEST)
 
     # Counts of arcs, most of the answers, stay out of this shuffle.
@@ -372,8 +386,8 @@ def word_answers(requests: DataFrame) -> DataFrame:
     """Counts of words, their arcs and what these leave; ``total`` of block -1 is a part's number of different words."""
 
     def run(found: pa.Table) -> pa.Table:
-        rows = sorted(found.to_pylist(), key=lambda r: r["block"])
-        keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        rows = sorted(_rows(found), key=lambda r: r["block"])
+        keys = [_risen(r["keys"]) for r in rows]
         distinct, group = np.unique(np.concatenate(keys), return_inverse=True)
         count, arcs, kept = (
             np.bincount(group, weights=np.concatenate([_unpacked(r[c]) for r in rows]), minlength=len(distinct)).astype(np.int64)
@@ -391,37 +405,42 @@ def word_answers(requests: DataFrame) -> DataFrame:
     return requests.groupBy("part").applyInArrow(run, ANSWER)
 
 
-def block_scores(
-    b: Block, words: list[dict], bigrams: list[dict], total: int, distinct: int, least: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known tokens, base score, score) of every text of a block: one pass from left to right over the automaton.
+def automaton(b: Block, words: list[dict], bigrams: list[dict], total: int, distinct: int, least: float) -> tuple[Automaton, np.ndarray]:
+    """The states and arcs that a block's texts can reach, and the training counts of its words.
 
-    The state after a token is the longest history its text and the counts have.
-    A token takes the arc of its state; the weight of an arc holds what comes over
-    the failure arcs, and without an arc only that is left.
+    What the arcs of a state take less than it was seen, and what pruned followers
+    had, is the weight of its failure arc; an arc has its own share and that of its word in the
+    shorter history.
     """
-    count, arcs, lost = (np.empty(len(b.words), dtype=np.int64) for _ in range(3))
+    width, pairs = len(b.words), len(b.keys)
+    count, arcs, lost = (np.empty(width, dtype=np.int64) for _ in range(3))
     for into, column in ((count, "count"), (arcs, "arcs"), (lost, "lost")):
         into[b.sorted] = _joined(words, column)
     single = (count + ALPHA) / (total + ALPHA * (distinct + 1))
-    t = b.ids
-    p = single[t]
-    base = np.log10(p)
     c2, arcs2, lost2, c3 = (_joined(bigrams, x) for x in ("count", "arcs", "lost", "next"))
-
-    def taken(n: np.ndarray, at: np.ndarray) -> np.ndarray:
-        seen = np.where(at >= 0, np.r_[n, 0][at], 0)
-        return np.where(seen >= max(least, 1), seen - DISCOUNT, 0.0)
-
-    before = np.r_[0, t[:-1]]
-    at = np.flatnonzero(b.led & (count[before] > 0))
-    past = before[at]
-    p[at] = (taken(c2, b.bigram[at]) + (lost[past] + DISCOUNT * arcs[past]) * p[at]) / count[past]
-    at = np.flatnonzero((b.past >= 0) & (np.r_[c2, 0][b.past] > 0))
-    past = b.past[at]
-    p[at] = (taken(c3, b.after[at]) + (lost2[past] + DISCOUNT * arcs2[past]) * p[at]) / c2[past]
-    known = np.add.reduceat((count[t] > 0).astype(np.int64), b.starts)
-    return known, np.add.reduceat(base, b.starts), np.add.reduceat(np.log10(p), b.starts)
+    one, two = 1 + np.arange(width), 1 + width + np.arange(pairs)
+    seen = count > 0
+    fail, left = np.zeros(1 + width + pairs, dtype=np.int64), np.ones(1 + width + pairs)
+    left[one[seen]] = (lost + DISCOUNT * arcs)[seen] / count[seen]
+    there = c2 > 0
+    left[two[there]] = (lost2 + DISCOUNT * arcs2)[there] / c2[there]
+    past, last = b.pairs
+    fail[two] = one[last]
+
+    def taken(n: np.ndarray) -> np.ndarray:
+        return np.where(n >= max(least, 1), n - DISCOUNT, 0.0)
+
+    after = left[one[past]] * single[last] + taken(c2) / np.maximum(count[past], 1)
+    short = np.flatnonzero(c2 >= max(least, 1))
+    long = np.flatnonzero((b.entry_word >= 0) & (c3 >= max(least, 1)))
+    state, ends = b.entry_past[long], b.entry_last[long]
+    weight = left[two[state]] * after[ends] + taken(c3[long]) / c2[state]
+    made = Automaton(
+        np.log10(single), np.where(seen & b.usable, one, 0), fail, np.log10(left),
+        np.r_[one[past[short]] * width + last[short], two[state] * width + b.entry_word[long]],
+        np.log10(np.r_[after[short], weight]), np.r_[two[short], two[ends]],
+    )
+    return made, count
 
 
 def scored(
@@ -438,7 +457,8 @@ def scored(
 
     The model is never in one place. Each block of documents adds up its n-grams,
     counts are settled by ranges of hashes, and every block gets back the
-    states and arcs of its own n-grams. Shares above 0 make a smaller model.
+    counts of its own n-grams: the states and arcs of the automaton its texts are read by.
+    Shares above 0 make a smaller model.
     """
     number = F.col(id_col).cast("long")
     rows = docs.select(
@@ -464,10 +484,12 @@ def scored(
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left.to_pylist()[0], order)
-        found = sorted(right.to_pylist(), key=lambda r: r["part"])
+        b = Block(_rows(left)[0], order)
+        found = sorted(_rows(right), key=lambda r: r["part"])
         single = [r for r in found if r["part"] < 0][::-1]
-        known, base, score = block_scores(b, single, [r for r in found if r["part"] >= 0], total, distinct, least)
+        made, count = automaton(b, single, [r for r in found if r["part"] >= 0], total, distinct, least)
+        known = np.add.reduceat((count[b.ids] > 0).astype(np.int64), b.starts)
+        base, score = np.add.reduceat(made.base[b.ids], b.starts), made.scores(b.ids, b.starts, b.size, order)
         return pa.table({
             "doc_id": pa.array(b.doc_id, pa.int64()), "held_out": pa.array(b.held_out, pa.bool_()), "n_tokens": b.size,
             "n_known": known, "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": base, "score": score,

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ def plain(rows, word_share, ngram_share, order):
     training = [t for (_, t), h in zip(split, held) if not h]
     one = Counter(w for t in training for w in t)
     total = sum(one.values())
-    grams = [None, {(w,): c for w, c in one.items() if c >= max(word_share, ngram_share) * total and len(w) <= 64}]
+    grams = [None, {(w,): c for w, c in one.items() if c >= max(word_share, ngram_share) * total}]
     for n in range(2, order + 1):
         seen = Counter(g for t in training for g in zip(*(t[k:] for k in range(n))))
         grams.append({g: c for g, c in seen.items() if c >= ngram_share * total and g[:-1] in grams[-1] and g[1:] in grams[-1]})
@@ -76,16 +77,59 @@ def test_counts_are_the_same_when_handed_on_early(make, monkeypatch):
     assert sorted(tuple(r) for r in lm_score.word_counts(early).collect()) == want
 
 
-def test_arcs_of_a_state_sum_to_one():
-    words = 6
-    counts = {k: 10 for k in range(1, words + 1)}
-    base = [0.0] + [math.log10(1 / words)] * words
-    own = lm_score.Automaton(base, counts, [{(1, 2): 4, (1, 3): 3, (2, 1): 5}, {(1, 2, 1): 3, (2, 1, 2): 2}])
-    for state in range(0, 12):
-        assert sum(10 ** own.weight(state, w) for w in range(1, words + 1)) == pytest.approx(1)
-    text = [1, 2, 1, 2, 5, 1, 3, 6]
-    state_free = sum(own.score(text[:k + 1]) - own.score(text[:k]) for k in range(len(text)))
-    assert own.score(text) == pytest.approx(state_free)
+def one_block(make, rows):
+    """The automaton the query builds for the only block of ``rows``, the block, and its words' counts."""
+    docs = make(rows, 1).withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 5 = 1"))
+    held = lm_score.blocks(docs)
+    row = lm_score._rows(held.toArrow())[0]
+    b = lm_score.Block(row, 3)
+    bigrams = lm_score.bigram_answers(lm_score.bigram_requests(held, 3, 2), 0.0)
+    words = lm_score.word_answers(lm_score.word_requests(held, bigrams, 3, 0.0, 1)).filter("block >= 0")
+    by_part = lambda x: sorted(lm_score._rows(x.toArrow()), key=lambda r: r["part"])
+    total = int(b.counts.sum())
+    distinct = len(np.unique(b.ids[b.counts > 0]))
+    return (b, *lm_score.automaton(b, by_part(words), by_part(bigrams), total, distinct, 0.0))
+
+
+def test_arcs_of_a_state_sum_to_one(make):
+    """Of every state the texts reach: all words together, and one that nobody has seen, have probability one."""
+    b, own, count = one_block(make, [r for r in drawn_rows(3, 40) if zlib.crc32(str(r[0]).encode()) % 5 != 1])
+    states = np.unique(np.r_[0, own.first, own.to])
+    assert len(states) > 200
+    unseen = lm_score.ALPHA / (b.counts.sum() + lm_score.ALPHA * (len(count) + 1))
+    for state in states.tolist():
+        weight, _ = own.step(np.full(own.width, state), np.arange(own.width))
+        left = unseen
+        at = state
+        while at:
+            left *= 10 ** own.cost[at]
+            at = int(own.fail[at])
+        # All words of this block are trained and its arcs are all there are.
+        assert (10 ** weight).sum() + left == pytest.approx(1)
+
+
+def test_a_text_is_read_alike_in_any_stretches(make, monkeypatch):
+    b, own, _ = one_block(make, [*drawn_rows(6, 50), (900, " ".join(t for _, t in drawn_rows(8, 200)))])
+    got = []
+    for stretch in (1, 2, 7, 1 << 30):
+        monkeypatch.setattr(lm_score, "STRETCH", stretch)
+        got.append(own.scores(b.ids, b.starts, b.size, 3))
+    state, total = np.zeros(1, dtype=np.int64), 0.0
+    start = int(b.starts[np.argmax(b.size)])
+    for word in b.ids[start:start + b.size.max()]:
+        weight, state = own.step(state, np.array([word]))
+        total += weight[0]
+    for scores in got:
+        assert scores == pytest.approx(got[-1], rel=1e-9)
+        assert scores[np.argmax(b.size)] == pytest.approx(total, rel=1e-9)
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [1, 255], [3, 70000, 2], [1 << 40, 0]):
+        assert lm_score._unpacked(lm_score._packed(np.array(x, dtype=np.int64))).tolist() == x
+    hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 500, dtype=np.uint64))
+    for k in (0, 1, 500):
+        assert (lm_score._risen(lm_score._rising(hashes[:k])) == hashes[:k]).all()
 
 
 def test_model_beats_single_tokens_on_held_out_documents(make):
