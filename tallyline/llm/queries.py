@@ -12,7 +12,7 @@ from tallyline.llm import (
     conversations, decontaminate, html_extract, license_scan, line_dedup, lm_score, packing, quality, simhash,
     substring_dedup, token_align, token_counts, url_filter,
 )
-from tallyline.llm.shared import table
+from tallyline.llm.shared import stage, table
 
 VOCABULARY = "word_bpe_49k.json"
 ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -45,9 +45,9 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return token_counts.totals(
-        token_counts.histogram(token_counts.lengths(docs, public_tokenizers.path(VOCABULARY)))
-    )
+    seen = token_counts.histogram(token_counts.lengths(docs, public_tokenizers.path(VOCABULARY)))
+    # The totals read it twice.
+    return token_counts.totals(stage(seen, "lengths"))
 
 
 def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
