@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,9 @@ from tallyline.llm.shared import spread_sample
 
 #: Pages the field is trained on, at most.
 TRAINING_PAGES = 300
-EPOCHS, RATE, PENALTY = 60, 0.2, 1e-4
+#: Longer pages, in characters, are no examples: the driver holds 300 pages of at most this.
+TRAINING_CHARS = 1 << 18
+EPOCHS, RATE, PENALTY = 120, 0.3, 1e-5
 # Elements that begin and end a block of text, that have no end tag, and whose content is no text.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption "
@@ -26,6 +29,14 @@ BLOCKS = frozenset(
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = frozenset("iframe math noembed noscript object script style svg template".split())
+# Elements and class words of what is no main text, also inside an article, and words that say nothing beside them.
+_REST_TAGS = frozenset("aside footer form nav".split())
+_REST_NAMES = frozenset(
+    "ad ads advert advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer menu "
+    "modal navigation newsletter notice pagination popup promo promoted recommended related share sharing sidebar social "
+    "sponsor sponsored subscribe widget".split()
+)
+_PLAIN_NAMES = frozenset("area articles block bottom box container content inline inner items left legal list posts right section slot top unit wrapper".split())
 _SECTIONS = frozenset("article aside footer form header main nav section".split())
 # A paragraph ends where one of these begins, an item where the next one does.
 _CLOSED_BY = {
@@ -43,30 +54,65 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-gold)\s*=\s*(?:"([^"]*)"|'([^'
 _NAME = re.compile(r"[a-z]+")
 
 
-@dataclass
+class _Open:
+    """An open block element. ``fresh`` are the tag and names that none of its ancestors has, as features."""
+
+    __slots__ = ("tag", "names", "gold", "parent", "near", "fresh", "article", "heading", "rest")
+
+    def __init__(self, tag: str, names: tuple[str, ...], gold: bool | None, parent: _Open | None, fresh: list[str]):
+        self.tag, self.names, self.parent, self.fresh = tag, names, parent, fresh
+        self.gold = parent.gold if gold is None and parent else gold
+        # The innermost container that has a name or divides the page. A teaser or comment is part of what it is in.
+        teaser = tag == "article" and parent is not None and parent.rest
+        self.near = (tag, *names) if (names or tag in _SECTIONS) and not teaser else parent.near if parent else ("",)
+        self.article = tag == "article" or (parent is not None and parent.article)
+        self.heading = tag in ("head", "title") or (parent is not None and parent.heading)
+        own = tag in _REST_TAGS or (any(n in _REST_NAMES for n in names) and all(n in _REST_NAMES or n in _PLAIN_NAMES for n in names))
+        self.rest = own or (parent is not None and parent.rest)
+
+    def up(self) -> Iterator[_Open]:
+        node: _Open | None = self
+        while node:
+            yield node
+            node = node.parent
+
+
+@dataclass(eq=False)
 class Block:
-    """A run of text between the edges of block elements."""
+    """A run of text between the edges of block elements, and the innermost one it is in."""
 
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
-    near: tuple[str, ...]
+    at: _Open | None
     linked: int
-    gold: bool | None = None
 
+    @property
+    def tags(self) -> tuple[str, ...]:
+        return tuple(x.tag for x in self.at.up())[::-1] if self.at else ()
 
-@dataclass
-class _Open:
-    tag: str
-    names: tuple[str, ...] = ()
-    gold: bool | None = None
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(n for x in list(self.at.up())[::-1] for n in x.names) if self.at else ()
+
+    @property
+    def gold(self) -> bool | None:
+        return self.at.gold if self.at else None
+
+    @property
+    def heading(self) -> bool:
+        """Whether it is in the page's head or title."""
+        return self.at is not None and self.at.heading
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order, white space folded and references decoded. Broken pages give what they have."""
+    """The blocks of a page in order, white space folded and references decoded. Broken pages give what they have.
+
+    Blocks share their ancestors, so elements without an end tag cost no more than others.
+    """
     page = page or ""
     out: list[Block] = []
     stack: list[_Open] = []
+    open_tags: Counter[str] = Counter()
+    held: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     links = 0
@@ -76,13 +122,28 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                gold = next((x.gold for x in reversed(stack) if x.gold is not None), None)
-                names = tuple(n for x in stack for n in x.names)
-                inner = next((x for x in reversed(stack) if x.names or x.tag in _SECTIONS), _Open(""))
-                out.append(Block(text, tuple(x.tag for x in stack), names, (inner.tag, *inner.names), len("".join(linked)), gold))
+                out.append(Block(text, stack[-1] if stack else None, len("".join(linked))))
             parts.clear()
             linked.clear()
 
+    def push(tag: str, attributes: str) -> None:
+        names, gold = _attributes(attributes)
+        fresh = []
+        for name in (f"in={tag}", *(f"name={n}" for n in dict.fromkeys(names))):
+            if not held[name]:
+                fresh.append(name)
+            held[name] += 1
+        open_tags[tag] += 1
+        stack.append(_Open(tag, names, gold, stack[-1] if stack else None, fresh))
+
+    def pop() -> None:
+        node = stack.pop()
+        open_tags[node.tag] -= 1
+        for name in (f"in={node.tag}", *(f"name={n}" for n in dict.fromkeys(node.names))):
+            held[name] -= 1
+            if not held[name]:
+                del held[name]
+
     while at < size:
         found = _TAG.search(page, at)
         end = found.start() if found else size
@@ -90,7 +151,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             text = entities.unescape(page[at:end])
             if stack and stack[-1].tag == "head" and text.strip():
                 flush()
-                stack.pop()
+                pop()
             parts.append(text)
             if links:
                 linked.append(text)
@@ -105,14 +166,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 links = max(0, links - 1)
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if open_tags[tag]:
+                    while stack[-1].tag != tag:
+                        pop()
+                    pop()
             continue
         if stack and stack[-1].tag == "head" and tag not in _IN_HEAD:
             flush()
-            stack.pop()
+            pop()
         if tag in OPAQUE:
             if not found[0].endswith("/>"):
                 close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
@@ -125,50 +186,55 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             while stack and tag in _CLOSED_BY.get(stack[-1].tag, ()):
-                stack.pop()
+                pop()
             if tag not in EMPTY:
-                stack.append(_opened(tag, found[2]))
+                push(tag, found[2])
                 links = 0
     flush()
     return out
 
 
-def _opened(tag: str, attributes: str) -> _Open:
-    new = _Open(tag)
-    if "=" in attributes:
-        names = []
-        for key, *values in _ATTRIBUTE.findall(attributes):
+def _attributes(text: str) -> tuple[tuple[str, ...], bool | None]:
+    """The words in classes, id and role of an element, and its label if it has one."""
+    names: list[str] = []
+    gold = None
+    if "=" in text:
+        for key, *values in _ATTRIBUTE.findall(text):
             value = "".join(values).lower()
             if key.lower() == "data-gold":
-                new.gold = value == "1"
+                gold = value == "1"
             else:
                 names += _NAME.findall(value)
-        new.names = tuple(names)
-    return new
+    return tuple(names), gold
 
 
-def features(block: Block) -> list[str]:
-    """Names of a block's features: ancestors, their classes and ids, and what its text looks like."""
-    text = block.text
+def _own_features(block: Block) -> list[str]:
+    """What a block's text and innermost containers look like."""
+    text, at = block.text, block.at
     size = len(text)
     words = text.count(" ") + 1
     share = block.linked / size
-    out = ["bias", f"own={block.tags[-1] if block.tags else ''}", f"words={min(words.bit_length(), 7)}"]
-    out += [f"in={t}" for t in set(block.tags)]
-    out += [f"name={n}" for n in set(block.names)]
+    out = ["bias", f"own={at.tag if at else ''}", f"words={min(words.bit_length(), 7)}"]
     # The innermost container speaks for itself, also within the main text.
-    out += [f"near={n}" for n in set(block.near)]
+    out += [f"near={n}" for n in set(at.near if at else ("",))]
     out.append("links=" + ("none" if not block.linked else "some" if share < 0.5 else "most"))
     out.append("ends=" + ("stop" if text[-1] in ".!?\"'»”…" else "colon" if text[-1] == ":" else "other"))
     marks = text.count(",") + text.count(". ")
     out.append(f"marks={min(marks.bit_length(), 4)}")
     if "©" in text:
         out.append("copyright")
-    if not any(t in ("article", "main") for t in block.tags):
-        out.append("outside")
+    if at and at.rest:
+        out.append("rest")
     return out
 
 
+def features(block: Block) -> list[str]:
+    """Names of a block's features: ancestors, their classes and ids, and what its text looks like."""
+    above = [f for x in block.at.up() for f in x.fresh] if block.at else []
+    outside = [] if "in=article" in above or "in=main" in above else ["outside"]
+    return _own_features(block) + above + outside
+
+
 class Field:
     """A linear-chain conditional random field with the labels 0 (left out) and 1 (main text)."""
 
@@ -176,19 +242,40 @@ class Field:
         self.weights, self.chain = weights, chain
 
     def decode(self, named: list[list[str]]) -> list[bool]:
-        """The most probable labels of a page's blocks (Viterbi)."""
-        if not named:
+        """The most probable labels of blocks with these features."""
+        return self._best([self._weight(names) for names in named])
+
+    def labels(self, blocks: list[Block]) -> list[bool]:
+        """The most probable labels of a page's blocks. What blocks have by their ancestors is added up once an ancestor."""
+        none = 0.0, 0.0, False
+        sums: dict[_Open, tuple[float, float, bool]] = {}
+        weights = []
+        for block in blocks:
+            path = []
+            node = block.at
+            while node and node not in sums:
+                path.append(node)
+                node = node.parent
+            x, y, inside = sums[node] if node else none
+            for node in reversed(path):
+                own = self._weight(node.fresh)
+                x, y, inside = sums[node] = x + own[0], y + own[1], inside or node.tag in ("article", "main")
+            own = self._weight(_own_features(block) + ([] if inside else ["outside"]))
+            weights.append((x + own[0], y + own[1]))
+        return self._best(weights)
+
+    def _weight(self, names: list[str]) -> tuple[float, float]:
+        found = [self.weights[n] for n in names if n in self.weights]
+        return sum(w[0] for w in found), sum(w[1] for w in found)
+
+    def _best(self, weights: list[tuple[float, float]]) -> list[bool]:
+        """The labels of the greatest sum (Viterbi)."""
+        if not weights:
             return []
-        none = (0.0, 0.0)
         (a, b), (c, d) = self.chain
         steps: list[tuple[bool, bool]] = []
         off = on = 0.0
-        for k, names in enumerate(named):
-            x = y = 0.0
-            for name in names:
-                w = self.weights.get(name, none)
-                x += w[0]
-                y += w[1]
+        for k, (x, y) in enumerate(weights):
             if k:
                 # Whether the best way to each label comes from label 1.
                 steps.append((on + c > off + a, on + d > off + b))
@@ -301,13 +388,16 @@ def made_up_page(rng: random.Random, paragraphs: list[str], shorts: list[str]) -
                 body.append(rng.choice((f"<label>{text}</label><input>", f"<button>{text}</button>", f"<p>{text}")))
             else:
                 body.append(f"<p>{text}</p>" if rng.random() < 0.6 else f"<div>{text}</div>")
+            if name in ("related", "comments", "comment", "promo") and rng.random() < 0.4:
+                # Teasers and comments may be articles of their own.
+                body[-1] = f"<article>{body[-1]}</article>"
         return f'<{tag} class="{name}" data-gold="0">{" ".join(body)}</{tag}>'
 
     def main() -> str:
         tag, name = rng.choice(_MAIN)
         body = [f"<h1>{rng.choice(small)}</h1>"] if rng.random() < 0.7 else []
         for _ in range(rng.randint(2, 10)):
-            if rng.random() < 0.08:
+            if rng.random() < 0.15:
                 body.append(rest(_INSIDE))
             elif rng.random() < 0.12:
                 body.append("<ul>" + "".join(f"<li>{rng.choice(small)}</li>" for _ in range(3)) + "</ul>")
@@ -323,16 +413,17 @@ def made_up_page(rng: random.Random, paragraphs: list[str], shorts: list[str]) -
 
 
 def labelled(pages: list[str], seed: int = 7) -> list[tuple[list[list[str]], list[bool]]]:
-    """Features and labels: the pages' own articles, and drawn layouts around their texts."""
+    """Features and labels: the pages' own articles without what _REST_TAGS and _REST_NAMES tell, and drawn layouts around their texts."""
     rng = random.Random(seed)
     out, long, short = [], list(_PROSE), list(_SHORT)
     for page in pages:
-        blocks = [b for b in leaf_blocks(page) if "head" not in b.tags]
+        blocks = [b for b in leaf_blocks(page) if not b.heading]
         for b in blocks:
             (long if b.text.count(" ") >= 8 else short).append(b.text[:400])
-        if any("article" in b.tags for b in blocks):
-            out.append(([features(b) for b in blocks], ["article" in b.tags for b in blocks]))
-    for _ in range(max(len(pages), 200)):
+        labels = [b.at is not None and b.at.article and not b.at.rest for b in blocks]
+        if any(labels):
+            out.append(([features(b) for b in blocks], labels))
+    for _ in range(max(2 * len(pages), 300)):
         blocks = leaf_blocks(made_up_page(rng, rng.sample(long, min(20, len(long))), rng.sample(short, min(20, len(short)))))
         out.append(([features(b) for b in blocks], [bool(b.gold) for b in blocks]))
     return out
@@ -340,8 +431,8 @@ def labelled(pages: list[str], seed: int = 7) -> list[tuple[list[list[str]], lis
 
 def main_text(page: str | None, own: Field) -> str:
     """The page's main text, a line per block."""
-    blocks = [b for b in leaf_blocks(page) if "head" not in b.tags]
-    keep = own.decode([features(b) for b in blocks])
+    blocks = [b for b in leaf_blocks(page) if not b.heading]
+    keep = own.labels(blocks)
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
@@ -351,12 +442,12 @@ def extracted(
     """(page_id, text) for every row of ``pages``.
 
     The field learns from at most ``training_pages`` pages with an article element,
-    those with the least hash of their html, and from drawn layouts; it is then
+    of at most TRAINING_CHARS characters and with the least hash of their html, and from drawn layouts; it is then
     applied to every whole page. Null and empty pages give an empty text. Repeated rows come
     out each time, a null page_id stays; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
-    usable = rows.filter(F.col("html").contains("<article")).select("html")
+    usable = rows.filter(F.col("html").contains("<article") & (F.length("html") <= TRAINING_CHARS)).select("html")
     sample = [r["html"] for r in spread_sample(usable, F.col("html"), training_pages).collect()]
     sent = pages.sparkSession.sparkContext.broadcast(fit(labelled(sample)))
 

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,66 @@ def test_held_out_layouts(field):
     assert right / total > 0.97
 
 
+PROSE = [f"The long way number {k} leads through the hills, and after a day of walking it reaches the sea." for k in range(6)]
+PARAGRAPHS = [f"<p>{x}</p>" for x in PROSE]
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """The field of a table whose pages hold everything between the article's tags to be main text."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages").limit(300).collect()
+    return html_extract.fit(html_extract.labelled([r["html"] for r in pages]))
+
+
+@pytest.mark.parametrize("inner", [
+    '<aside>Related: <a href="#">The bridge</a></aside>', '<aside class="sidebar"><p>Related: more about the hills.</p></aside>',
+    '<div class="advert"><p>Buy two pairs of boots, and get a third pair free today.</p></div>', '<div class="ad">Buy boots now</div>',
+    '<form><label>Your name</label><input><button>Send</button></form>',
+    '<div class="comments"><p>I walked there too, and it was a fine day.</p></div>',
+    '<section class="comments"><div class="comment"><p>I walked there too, and it was a fine day.</p></div></section>',
+    '<div class="related"><article><p>Another way leads to the lake, and few know it.</p></article></div>',
+    '<div class="newsletter subscribe"><p>Get our letter each week.</p></div>', '<nav><a href="#">Next</a></nav>',
+    '<div class="share social"><a href="#">Share</a></div>',
+])
+def test_what_is_no_main_text_inside_an_article(fitted, inner):
+    for page in (
+        f"<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><article><h1>Ways</h1>{''.join(PARAGRAPHS[:3])}{inner}{''.join(PARAGRAPHS[3:])}</article></body></html>",
+        f"<body><article>{''.join(PARAGRAPHS)}{inner}</article><footer>© us</footer></body>",
+    ):
+        assert [x for x in html_extract.main_text(page, fitted).split("\n") if x != "Ways"] == PROSE
+
+
+def test_teasers_and_comments_that_are_articles(fitted):
+    for after in (
+        '<div class="related"><article><p>Another way leads to the lake, and few know it.</p></article></div>',
+        '<section class="comments"><article><p>I walked there too, and it was a fine day.</p></article></section>',
+        '<aside><article><p>Another way leads to the lake, and few know it.</p></article></aside>',
+    ):
+        assert html_extract.main_text(f"<body><article>{''.join(PARAGRAPHS)}</article>{after}</body>", fitted).split("\n") == PROSE
+
+
+def test_title_without_a_head(fitted):
+    page = f"<html><title>Bridge news</title><h1>Ways</h1><article>{''.join(PARAGRAPHS)}</article>"
+    found = html_extract.main_text(page, fitted).split("\n")
+    assert "Bridge news" not in found and [x for x in found if x != "Ways"] == PROSE
+
+
+@pytest.mark.parametrize("unit", ["<div>a", "<div class=c{}>a", "<p>a</nav>", "<section id=s{}><b>a</b>", "</div>a<ul><li>"])
+def test_fifty_thousand_unclosed_tags(field, unit):
+    page = "".join(unit.replace("{}", format(k, "b").translate({48: "x", 49: "y"})) for k in range(50_000))
+    start = time.process_time()
+    html_extract.main_text(page, field)
+    assert time.process_time() - start < 5
+    assert len(html_extract.leaf_blocks(page)) == 50_000
+
+
+def test_labels_are_those_of_the_features(field):
+    rng = random.Random(5)
+    for _ in range(30):
+        blocks = html_extract.leaf_blocks(html_extract.made_up_page(rng, list(html_extract._PROSE), list(html_extract._SHORT)))
+        assert field.labels(blocks) == field.decode([html_extract.features(b) for b in blocks])
+
+
 def test_weights_without_labels():
     assert html_extract.fit([]).decode([["bias"]]) == [False]
 
