@@ -21,6 +21,8 @@ MAX_LONGEST = 60
 MIN_WORDS, MAX_WINDOW_PERCENT, BASE_WINDOW = 50, 50, 3
 #: Characters of short documents that are split and sorted together.
 CHUNK = 600_000
+#: Words compared at once between neighbouring suffixes.
+STEP = 1 << 18
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\x0c"
 
@@ -43,7 +45,7 @@ def suffix_array(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = start
-    levels, width = [rank], 1
+    width = 1
     group = np.r_[fresh, True]
     open_at = np.flatnonzero(~(group[:-1] & group[1:]))
     while len(open_at):
@@ -58,24 +60,49 @@ def suffix_array(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
         at, first, second = at[sort], first[sort], second[sort]
         order[open_at] = at
         fresh = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
-        rank = rank.copy()
         rank[at] = np.maximum.accumulate(np.where(fresh, open_at, 0))
-        levels.append(rank)
         width *= 2
         group = np.r_[fresh, True]
         open_at = open_at[~(group[:-1] & group[1:])]
-    lcp = np.zeros(n, dtype=np.int64)
-    left, right = order[:-1].copy(), order[1:].copy()
-    same = np.flatnonzero(levels[0][left] == levels[0][right])
-    left, right, found = left[same], right[same], np.zeros(len(same), dtype=np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        a, b = left + found, right + found
-        equal = (a < n) & (b < n)
-        a, b = a[equal], b[equal]
-        equal[equal] = levels[k][a] == levels[k][b]
-        found[equal] += 1 << k
-    lcp[same + 1] = found
-    return order, lcp
+    return order, common_prefixes(words, doc, order)
+
+
+def common_prefixes(words: np.ndarray, doc: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The LCP array of a suffix array, in memory that follows the number of words.
+
+    Where the words before two neighbouring suffixes are equal, these suffixes are
+    neighbours too and have one word more in common. So only suffixes whose
+    neighbour comes after another word are compared, word by word; such lengths add
+    up to n log n at most.
+    """
+    n = len(words)
+    near = np.full(n, -1, dtype=np.int64)
+    near[order[1:]] = np.where(doc[order[1:]] == doc[order[:-1]], order[:-1], -1)
+    ends = np.searchsorted(doc, doc, side="right")
+    first = np.r_[True, doc[1:] != doc[:-1]]
+    led = (near > 0) & ~first
+    at = np.flatnonzero(led)
+    led[at] = ~first[near[at]] & (words[at - 1] == words[near[at] - 1])
+    own = np.flatnonzero(~led)
+    length = np.zeros(len(own), dtype=np.int64)
+    other = near[own]
+    # The suffix that begins later ends first.
+    most = np.where(other >= 0, ends[own] - np.maximum(own, other), 0)
+    live = np.flatnonzero(most)
+    while len(live):
+        step = np.arange(max(1, STEP // len(live)))
+        step = step[:int((most[live] - length[live]).max())]
+        begin, rest = length[live], most[live] - length[live]
+        left, right = (np.minimum((x[live] + begin)[:, None] + step, n - 1) for x in (own, other))
+        same = (words[left] == words[right]) & (step < rest[:, None])
+        more = np.where(same.all(axis=1), len(step), same.argmin(axis=1))
+        length[live] += more
+        live = live[(more == len(step)) & (rest > more)]
+    # The others have a word less than the suffix that begins a word before.
+    back = np.maximum.accumulate(np.where(led, 0, np.arange(n)))
+    shared = np.zeros(n, dtype=np.int64)
+    shared[own] = length
+    return (shared[back] - (np.arange(n) - back))[order]
 
 
 def _spans(order: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:

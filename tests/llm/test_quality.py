@@ -115,3 +115,31 @@ def test_each_limit_decides_alone(make):
 def test_no_documents(make):
     assert quality.judged(make([], 1)).count() == 0
     assert quality.kept_rows(make([], 1)).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 3, 1 << 18])
+def test_common_prefixes_of_repetitive_texts(monkeypatch, step):
+    monkeypatch.setattr(quality, "STEP", step)
+    rng = random.Random(step)
+    for _ in range(150):
+        texts = [[rng.randrange(rng.choice((1, 2, 4))) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 4))]
+        order, lcp, start = [], [], 0
+        for words in texts:
+            suffixes = sorted(range(len(words)), key=lambda k: words[k:])
+            for before, k in zip([None, *suffixes], suffixes):
+                order.append(start + k)
+                lcp.append(0 if before is None else next((d for d, (a, b) in enumerate(zip(words[before:], words[k:])) if a != b), min(len(words) - before, len(words) - k)))
+            start += len(words)
+        found = quality.suffix_array(np.array(sum(texts, [])), np.repeat(np.arange(len(texts)), [len(x) for x in texts]))
+        assert [x.tolist() for x in found] == [order, lcp]
+
+
+def test_memory_of_a_long_repetitive_text():
+    import tracemalloc
+
+    tracemalloc.start()
+    found = quality.measure(["word " * 400_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["longest_repeat"].tolist() == [399_999] and found["n_covered_words"].tolist() == [400_000]
+    assert peak < 100 << 20
