@@ -16,8 +16,8 @@ from tallyline.llm.shared import stage
 
 #: Words of a window.
 WINDOW = 10
-#: Windows of one automaton. Larger benchmarks are scanned in blocks of this size, a pass over the documents for each.
-BLOCK_WINDOWS = 1_000_000
+#: Windows of one automaton, about 160 MB. Larger benchmarks are scanned in blocks of this size, a pass over the documents for each.
+BLOCK_WINDOWS = 200_000
 # Every byte as it counts: a-z and 0-9 and all of non-ASCII as they are, A-Z
 # lowered, everything else a space.
 _FOLD = bytes(
