@@ -18,6 +18,8 @@ from tallyline.sources.tables import SCHEMAS
 MONTH, YEAR, TEAM = "month", "year", "team"
 #: Partitions that teams are dealt into; a team is in one, which it shares with others.
 TEAM_PARTS = 16
+#: Scores that one task reads and sorts: a bucket should hold no more of them.
+BUCKET_ROWS = 2_000_000
 #: Bucket column of each table: the round.
 KEYS = {"rounds": "id", "scores": "round_id"}
 _KINDS = {MONTH: "month INT", YEAR: "year INT", TEAM: "team_part INT"}
@@ -32,11 +34,16 @@ def team_part(team: str | Column, parts: int = TEAM_PARTS) -> Column:
     return F.pmod(F.xxhash64(F.col(team) if isinstance(team, str) else team), F.lit(parts)).cast("int")
 
 
+def buckets_for(scores: DataFrame, bucket_rows: int = BUCKET_ROWS, least: int = 2) -> int:
+    """Buckets for so many scores, so that one keeps its size however many there are."""
+    return max(least, -(-scores.count() // bucket_rows))
+
+
 class Layout:
     """Two catalog tables, ``<name>_rounds`` and ``<name>_scores``, over folders below ``path``.
 
     ``by`` is MONTH, YEAR or TEAM. ``buckets`` stays what it was when the tables were first
-    written; a bucket is read by one task, so it should fit one. Rounds without a date or team are in a partition of their own, and so
+    written; a bucket is read by one task, so it should fit one (``buckets_for``). Rounds without a date or team are in a partition of their own, and so
     are scores without a stored round.
     """
 
