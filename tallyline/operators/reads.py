@@ -51,18 +51,21 @@ def score_lines(
     team_id: int | None = None,
     round_columns: Sequence[str] = ("team_id", "round_date", "round_number", "yardage"),
 ) -> DataFrame:
-    """Every score with its round, the name of who shot, and who was subbed for."""
-    rounds = round_keys(_of_team(rounds, team_id), *round_columns)
+    """Every score with its round, the name of who shot, and who was subbed for.
+
+    Only substitutes' scores are shuffled to look up whom they stood in for. Rounds come
+    last, so that their values are not shuffled with the scores.
+    """
+    rounds = _of_team(rounds, team_id)
+    if team_id is not None:
+        scores = scores.join(round_keys(rounds), "round_id", "left_semi")
     subbed = _named(shooters, "subbed_id", "sub_for_name")
+    own = scores.filter("sub_for_shooter_id IS NULL").withColumn("sub_for_name", F.lit(None).cast("string"))
+    subs = scores.filter("sub_for_shooter_id IS NOT NULL").join(subbed, F.col("sub_for_shooter_id") == F.col("subbed_id"), "left")
     return (
-        scores.join(rounds, "round_id")
+        own.unionByName(subs.drop("subbed_id"))
         .join(_named(shooters, "shooter_id", "name"), "shooter_id")
-        .join(
-            subbed,
-            spread_null_id("sub_for_shooter_id", "round_id", "shooter_id", "total") == F.col("subbed_id"),
-            "left",
-        )
-        .drop("subbed_id")
+        .join(round_keys(rounds, *round_columns), "round_id")
     )
 
 
@@ -220,10 +223,8 @@ def round_detail(
         scores = scores.filter(F.col("round_id") == round_id)
         rounds = rounds.filter(F.col("id") == round_id)
     team = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
-    lines = score_lines(scores, shooters, rounds.join(team, "team_id"), round_columns=(
-        "team_id", "team_name", "round_date", "round_number", "yardage",
-    ))
-    detail = lines.select(
+    # Names of teams come last: before, they would be shuffled with every score.
+    detail = score_lines(scores, shooters, rounds).join(team, "team_id").select(
         "round_id", "team_id", "team_name", iso_date("round_date").alias("round_date"), "round_number", "yardage",
         "shooter_id", "name", *STATIONS, "total", "sub_for_name",
     )
