@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -166,3 +167,59 @@ def test_blocks_and_parts_do_not_change_scores(make, monkeypatch):
     got = sorted(tuple(r) for r in lm_score.scored(docs).collect())
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert [r[5:] for r in got] == [pytest.approx(r[5:], rel=1e-9) for r in want]
+
+
+def zipf_rows(seed, many):
+    """Texts of common words and of some that come once."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(5000)]
+    weights = [1 / (k + 1) for k in range(5000)]
+    return [
+        (i, " ".join(w if rng.random() > 0.1 else f"once{i}x{n}" for n, w in enumerate(rng.choices(words, weights, k=500))))
+        for i in range(many)
+    ]
+
+
+def test_common_followers_are_sent_in_few_bytes(make):
+    docs = make(zipf_rows(11, 200), 2).withColumn("held_out", F.lit(False))
+    held = lm_score.blocks(docs)
+    entries = sum(len(lm_score.Block(lm_score._rows(x)[0], 3).entry_n) for x in held.toArrow().to_batches(1) if x.num_rows)
+    common = lm_score.frequent(held, held.count())
+    assert len(common) == len(set(common.tolist())) and 3000 < len(common) <= lm_score.COMMON
+    sent = lm_score.bigram_requests(held, 3, 4, common).toArrow()
+    # Six bytes each by hash alone.
+    assert sum(len(r["next"]) + len(r["rare"]) for r in sent.to_pylist()) < 3.5 * entries
+
+
+def test_scores_are_the_same_whichever_words_are_common(make, monkeypatch):
+    docs = make(zipf_rows(12, 60))
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 2000)
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 5000)
+    want = sorted(plain(zipf_rows(12, 60), 0.0, 0.0, 3))
+    for common, drawn in ((lm_score.COMMON, 32), (7, 3), (0, 32), (5, 0)):
+        monkeypatch.setattr(lm_score, "COMMON", common)
+        monkeypatch.setattr(lm_score, "DRAWN", drawn)
+        got = sorted(tuple(r) for r in lm_score.scored(docs).collect())
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert [r[5:] for r in got] == [pytest.approx(r[5:], rel=1e-9) for r in want]
+
+
+def test_shuffles_go_when_their_table_is_written(make, spark):
+    """What a table was shuffled for is off the disk when the table is there; the session's own setting stays."""
+    disk = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+
+    def shuffled():
+        files = disk()
+        return {files.apply(k).getName(): files.apply(k).length() for k in range(files.size())}
+
+    docs = make(zipf_rows(13, 200))
+    docs.count()
+    before, setting = shuffled(), spark.conf.get(lm_score.CLEANUP, None)
+    lm_score.scored(docs)
+    for _ in range(50):
+        new = sum(n for name, n in shuffled().items() if name not in before)
+        if new < 100_000:
+            break
+        time.sleep(0.1)
+    assert new < 100_000
+    assert spark.conf.get(lm_score.CLEANUP, None) == setting
