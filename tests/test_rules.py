@@ -82,6 +82,16 @@ def test_text_to_smallint(spark, text, expected):
     assert value(spark, exprs.text_to_smallint(F.lit(text))) == expected
 
 
+def test_numbers_come_back_from_words(spark):
+    columns = [f"c{i}" for i in range(7)]
+    given = [(k, *[(None, -32768, -1, 0, 1, 5, 32767)[(k + n * n) % 7] for n in range(7)]) for k in range(7)] + [(7, *[None] * 7), (8, *[32767] * 7)]
+    frame = spark.createDataFrame(given, "k BIGINT, " + ", ".join(f"{c} SMALLINT" for c in columns))
+    words = exprs.with_words(frame, columns)
+    assert words.columns == ["k", "_w0", "_w1", "_w2"]
+    found = exprs.without_words(words, columns)
+    assert found.dtypes == frame.dtypes and rows(found) == rows(frame)
+
+
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
